@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import columns, components, cut, finite_vector
+from marquee.llm.shared import columns, components, cut, finite_vector, sample
 
 THRESHOLD = 0.9
 TOP_SAMPLE, TOP_CELLS, CHUNK = 4096, 64, 2048
@@ -244,10 +244,10 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = columns(table, id=id_col, x=vector_col).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     valid = rows.where("id is not null").where(finite_vector(F.col("x"))).withColumn("x", F.transform("x", lambda v: v + F.lit(0.0)))
     groups = cut(valid.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).withColumn("dim", F.size("x")), "vectors")
-    sample = {}
-    for r in groups.select("dim", "x", F.xxhash64("id").alias("h")).orderBy("h", "dim").limit(TOP_SAMPLE).collect():
-        sample.setdefault(r["dim"], []).append(r["x"])
-    tops = {d: top_cells(np.array(x)) for d, x in sample.items()}
+    few: dict[int, list] = {}
+    for r in sample(groups.select("id", "dim", "x"), "id", TOP_SAMPLE).collect():  # TOP_SAMPLE rows
+        few.setdefault(r["dim"], []).append(r["x"])
+    tops = {d: top_cells(np.array(x)) for d, x in few.items()}
     held = spark.sparkContext.broadcast(tops)  # TOP_CELLS vectors at most for each length that the sample has
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ fixed number of times whatever the window length."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,25 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_lean = False
+
+
+def lean() -> None:
+    """In a Python worker: memory of large arrays goes back to the system when
+    they are freed, instead of staying with a worker that waits to be used
+    again. The thresholds are glibc's; elsewhere nothing is done."""
+    global _lean
+    if not _lean and sys.platform == "linux":
+        try:
+            c = ctypes.CDLL(None)
+            c.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
+            c.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+        except (OSError, AttributeError):
+            pass
+        pa.set_memory_pool(pa.system_memory_pool())
+    _lean = True
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n, at least."""
     if base not in _powers or len(_powers[base][0]) < n:

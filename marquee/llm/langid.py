@@ -129,8 +129,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language and a text with a letter."""
     kept = docs if where is None else docs.where(where)
     kept = columns(kept, id=id_col, text=text_col, lang=lang_col).where("id is not null and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    few = kept.select("id", "lang", F.octet_length("text").alias("size"), has_letter(F.col("text")).alias("ok")).where("ok").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE)
+    kept = kept.withColumn("u", F.xxhash64("id").bitwiseAND((1 << 53) - 1) / float(1 << 53))
+    # of frequent languages a share that holds the sample for certain is ranked
+    n = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()}  # a row for each language
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(8 * SAMPLE / v)) for k, v in n.items()], F.lit(1.0))
+    order = Window.partitionBy("lang").orderBy("u", "id")
+    few = kept.where(F.col("u") < share).select("id", "lang", "u", F.octet_length("text").alias("size"), has_letter(F.col("text")).alias("ok")).where("ok").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE)
     chosen = sorted((r["turn"], r["lang"], r["id"], r["size"]) for r in few.collect())  # SAMPLE rows a language
     total = np.cumsum([x[3] for x in chosen])
     chosen = [x for i, x in enumerate(chosen) if total[i] <= SAMPLE_BYTES or i == 0]
@@ -165,6 +169,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     out = T.StructType([*[sent.schema[c] for c in carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         m = held.value
         for batch in batches:
             texts = batch.column(at)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import kernels as K
-from marquee.llm.shared import columns
+from marquee.llm.shared import columns, sample
 
 FEATURES, LEAST, CONFIRM = 1 << 15, 0.5, 0.6
 SAMPLE_DOCS, SAMPLE_BYTES, VARIANTS, EPOCHS = 150, 4 << 20, 30, 120
@@ -169,7 +169,7 @@ def train(lines: list[str], seed: int = 5) -> Model:
 def sample_lines(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     rows = columns(docs, id=id_col, text=text_col).where("id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES // 64)
     total, out = 0, []
-    for r in rows.select(F.xxhash64("id", F.lit("licence")).alias("h"), "text").orderBy("h", "text").limit(SAMPLE_DOCS).collect():  # SAMPLE_DOCS rows
+    for r in sample(rows, "id", SAMPLE_DOCS).collect():  # SAMPLE_DOCS rows
         total += len(r["text"].encode())
         if total > SAMPLE_BYTES:
             break
@@ -190,6 +190,7 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     found_type = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         m = held.value
         for batch in batches:
             for a, b in K.pieces(batch.column("text"), 1 << 19):

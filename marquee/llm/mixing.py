@@ -39,6 +39,7 @@ TARGETS: dict[str, dict[str, float]] = {
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: (id, source, lang, text) -> id, source, lang, topic, tokens."""
+    K.lean()
     for batch in batches:
         texts = batch.column("text")
         tokens, topics = [], []

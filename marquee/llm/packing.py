@@ -96,6 +96,7 @@ def grouped(lengths: tuple[int, ...]):
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: (id, text) -> (id, tokens)."""
+    K.lean()
     for batch in batches:
         tokens = np.zeros(batch.num_rows, np.int64)
         for a, b in K.pieces(batch.column("text")):

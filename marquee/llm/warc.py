@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import columns, cut, shared_dir
+from marquee.llm.shared import columns, cut, sample, shared_dir
 
 LEAST, ARCHIVE = 100, 64 << 20
 SAMPLE, SAMPLE_BYTES, DICTIONARY, LEVEL = 2000, 8 << 20, 112_640, 3
@@ -142,7 +142,8 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     few, total = [], 0
-    for r in rows.where("id is not null").where(F.length("html") <= SAMPLE_BYTES // 64).select(F.xxhash64("id").alias("h"), "html").orderBy("h").limit(SAMPLE).toLocalIterator():
+    short = columns(pages, id=id_col, html=payload_col).where("id is not null").where(F.octet_length("html") <= SAMPLE_BYTES // 64)
+    for r in sample(short.select("id", F.col("html").cast("binary").alias("html")), "id", SAMPLE).collect():  # SAMPLE rows
         total += len(r["html"])
         if total > SAMPLE_BYTES:
             break
