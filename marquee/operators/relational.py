@@ -93,16 +93,19 @@ def phrase_matches(phrases: DataFrame, texts: DataFrame, phrase: str, text: str,
     """Pairs of a phrase and a text that contains it, both normalised to words
     joined by blanks.
 
-    Containment is no equi-join. Every phrase of at least ``words`` words is
-    looked up by its first ``words`` words among all runs of so many words of
-    each text, and verified; a phrase may begin and end within a word, so its
-    first and last word are not part of the key."""
-    key = F.array_join(F.slice(F.split(phrase, " "), 2, words), " ")
-    p = phrases.where(F.size(F.split(phrase, " ")) >= words + 2).withColumn("__key", key)
-    w = F.split(text, " ")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, words), " ")))
-    t = texts.select("*", F.explode(runs).alias("__key"))
-    return t.join(p, "__key").where(F.contains(F.col(text), F.col(phrase))).drop("__key").distinct()
+    Containment is no equi-join. A phrase may begin and end within a word, so
+    its inner words are whole words of the text: the first ``words`` of them
+    are looked up among all runs of so many words of each text, and what is
+    found is verified. The few phrases that are too short for such a key are
+    compared with every text."""
+    size = F.size(F.split(phrase, " "))
+    keyed = phrases.where(size >= words + 2).withColumn("__key", F.array_join(F.slice(F.split(phrase, " "), 2, words), " "))
+    run = r"(?<!\S)(?=(\S+" + r" \S+" * (words - 1) + r")(?!\S))"  # overlapping runs, in one pass
+    t = texts.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), 1))).alias("__key"))
+    long = t.join(keyed, "__key").where(F.contains(F.col(text), F.col(phrase))).drop("__key")
+    # a text has a run as often as it likes, but array_distinct keeps one
+    short = texts.join(phrases.where(size < words + 2), F.contains(F.col(text), F.col(phrase)))
+    return long.unionByName(short)
 
 
 def union_in_order(routes: list[DataFrame], key: list[str], value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.functions import text, values
-from marquee.operators import chunks, merge, relational
+from marquee.operators import bibliography, chunks, merge, relational
 from marquee.plans.registry import query
 from marquee.sources.tables import Model, with_model
 
@@ -53,7 +53,7 @@ def phrase(c):
     "jn21_phrase_match",
     """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents),
 b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS p FROM benchmark)
-SELECT item_id, doc_id FROM b JOIN d ON contains(t, p) WHERE len(string_split(p, ' ')) >= 6""",
+SELECT item_id, doc_id FROM b JOIN d ON contains(t, p)""",
 )
 def phrase_match(m: Model):
     texts = m.raw("documents").select("doc_id", phrase(F.col("text")).alias("t"))
@@ -454,3 +454,68 @@ def constraints(m: Model):
     orphans = schemas.orphans(li, "l_orderkey", o.where("o_orderstatus <> 'P'"), "o_orderkey").select(F.lit("orphan").alias("rule"), F.col("l_orderkey").cast("string").alias("key"))
     twice = schemas.duplicates(li, "l_orderkey", "l_linenumber").select(F.lit("duplicate").alias("rule"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
     return rows.union(orphans).union(twice)
+
+
+# ---- bibliography --------------------------------------------------------------------
+
+
+@query(
+    "q15_discovery_quality",
+    """WITH t AS (SELECT p_partkey AS e, p_name AS title, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS p FROM part),
+w AS (SELECT t.*, CASE WHEN p_partkey % 3 = 0 THEN part.p_brand ELSE part.p_name || ' ' || p_type END AS wt, part.p_partkey AS k FROM t JOIN part ON part.p_partkey = t.e AND part.p_size < 40),
+c AS (SELECT e FROM w WHERE length(p) >= 8 AND contains(trim(regexp_replace(lower(wt), '[^a-z0-9]+', ' ', 'g')), p)),
+o AS (SELECT e, CASE WHEN length(p) < 8 THEN 'skipped_ambiguous' WHEN e IN (SELECT e FROM c) THEN 'complete' ELSE 'no_candidates' END AS status FROM t)
+SELECT (SELECT count(*) FROM t)::BIGINT AS collection_films, count(*)::BIGINT AS checked, count(*) FILTER (status = 'complete')::BIGINT AS complete, count(*) FILTER (status = 'no_candidates')::BIGINT AS no_candidates, count(*) FILTER (status = 'skipped_ambiguous')::BIGINT AS skipped_ambiguous, 0::BIGINT AS failed, (SELECT count(*) FROM c)::BIGINT AS candidates FROM o""",
+)
+def discovery_quality(m: Model):
+    p = m.raw("part")
+    entities = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("title"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_type"))
+    works = p.where("p_size < 40").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("W"), "p_partkey").alias("work_id"), name.alias("title"), F.lit(None).cast("string").alias("abstract"))
+    held = m.spark.createDataFrame([], "entity_id long, work_id string")
+    outcomes, fresh = bibliography.discovered(entities, works, held)
+    return bibliography.discovery_report(entities, outcomes, fresh)
+
+
+@query("flt11_safe_titles", "SELECT p_partkey AS id, length(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) >= 8 AS safe FROM part")
+def safe_titles(m: Model):
+    return m.raw("part").select(F.col("p_partkey").alias("id"), bibliography.safe_title(text.ascii_tokens("p_name")).alias("safe"))
+
+
+@query("prj9_header_merge", "SELECT o_orderkey, c_custkey AS id, coalesce(o_orderpriority, c_mktsegment) AS label FROM customer JOIN orders ON o_custkey = c_custkey")
+def header_merge(m: Model):
+    rows = m.raw("customer").join(m.raw("orders"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", F.col("c_custkey").alias("id"), F.coalesce("o_orderpriority", "c_mktsegment").alias("label"))
+
+
+@query("sm3_pending_after_failure", "SELECT DISTINCT user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'purchase' AND d.value > 50)")
+def pending_after_failure(m: Model):
+    e = m.raw("events")
+    done = e.where("value > 50").select("user_id", F.col("event_type").alias("status"), F.lit("v").alias("version"))
+    return relational.pending(e.select("user_id").distinct(), done, "user_id", ("purchase",), "v")
+
+
+@query("ag16_roles", with_model("credits", "SELECT film_id, person_id, string_agg(role, '/' ORDER BY role) AS roles FROM credits GROUP BY 1, 2"))
+def roles(m: Model):
+    from marquee.operators.catalogue import roles as joined
+
+    return m.credits().groupBy("film_id", "person_id").agg(joined(F.col("role")).alias("roles"))
+
+
+@query("prj11_manifest_entries", "SELECT row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS position, p_brand AS manifest, p_partkey AS id, sha256(p_brand || ':' || p_partkey) AS entry_hash FROM part")
+def manifest_entries(m: Model):
+    rows = relational.numbered(m.raw("part"), ["p_brand"], ["p_partkey"], "position", 1)
+    return rows.select("position", F.col("p_brand").alias("manifest"), F.col("p_partkey").alias("id"), values.content_hash(F.concat_ws(":", "p_brand", "p_partkey")).alias("entry_hash"))
+
+
+@query(
+    "q14_selection_audit",
+    """WITH f AS (SELECT l_orderkey AS position, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS types, list(DISTINCT year(l_shipdate)) AS years FROM lineitem GROUP BY 1),
+e AS (SELECT o_orderkey AS position, o_custkey AS qid, year(o_orderdate) AS y FROM orders)
+SELECT e.position, CASE WHEN f.position IS NULL THEN 'missing' WHEN NOT contains(types, 'R') THEN 'not an accepted film type' WHEN NOT list_contains(years, y) THEN 'release year absent' ELSE 'verified' END AS outcome FROM e LEFT JOIN f USING (position)""",
+)
+def selection_audit(m: Model):
+    facts_ = m.raw("lineitem").groupBy(F.col("l_orderkey").alias("position")).agg(F.collect_set("l_returnflag").alias("types"), F.collect_set(F.year("l_shipdate")).alias("years"))
+    rows = m.raw("orders").select(F.col("o_orderkey").alias("position"), F.year("o_orderdate").alias("y")).join(facts_, "position", "left")
+    outcome = F.when(F.col("types").isNull(), "missing").when(~F.arrays_overlap("types", F.array(F.lit("R"))), "not an accepted film type").when(~F.array_contains("years", F.col("y")), "release year absent").otherwise("verified")
+    return rows.select("position", outcome.alias("outcome"))

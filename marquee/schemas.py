@@ -31,7 +31,7 @@ def duplicates(df: DataFrame, *key: str, null_safe: bool = False) -> DataFrame:
     """Keys that occur more than once. As in SQL, a key with a null is never a
     duplicate, unless null_safe."""
     kept = df if null_safe else df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
-    return kept.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept.groupBy(*key).agg(F.count(F.lit(1)).alias("times_found")).where("times_found > 1")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

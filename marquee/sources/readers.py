@@ -70,7 +70,7 @@ def title_years(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return rows.withColumn("line", F.monotonically_increasing_id()).selectExpr("cast(row_number() over (order by line) as int) as position", "title", "release_year")
 
 
-ENTRY = T.StructType.fromDDL("position int, title string, release_year int, wikidata_id string, wikipedia_title string, evidence_url string, reason string")
+ENTRY = T.StructType([T.StructField(n, T.IntegerType() if n in ("position", "release_year") else T.StringType()) for n in ("position", "title", "release_year", "wikidata_id", "wikipedia_title", "evidence_url", "reason")])
 
 
 def manifest(spark: SparkSession, path: str, tag: str, field: str = "entries", tag_field: str = "schema") -> DataFrame:

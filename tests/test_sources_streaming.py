@@ -113,3 +113,56 @@ def test_windowed_counts(spark, tmp_path):
     q = ingest.windowed_counts(stream, "ts", "k").writeStream.format("memory").queryName("wc").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["n"] for r in spark.table("wc").orderBy(F.col("window.start")).collect()] == [2, 1]
+
+
+def test_paced_client():
+    from marquee.sources.endpoint import PacedClient, Unavailable, pages
+
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    def client(*answers):
+        it = iter(answers)
+        return PacedClient(lambda q: next(it), sleep=sleep, clock=lambda: now[0])
+
+    ok = (200, {}, '{"results": {"bindings": [{"a": {"value": "1"}}]}}')
+    assert client((503, {}, ""), (502, {}, ""), ok).bindings("q") == [{"a": {"value": "1"}}]
+    assert client((429, {"Retry-After": "7"}, ""), ok).query("q") and 7.0 in slept
+    for answers in ([(403, {}, "")], [(503, {}, "")] * 4, [(429, {}, "")] * 4, [(500, {}, "")]):
+        with pytest.raises(Unavailable):
+            client(*answers).query("q")
+    assert list(pages(["a", "b", "c"], 2)) == [["a", "b"], ["c"]]
+
+
+def test_recorded_source(spark, tmp_path):
+    from marquee.sources.endpoint import RecordedSource
+
+    spark.dataSource.register(RecordedSource)
+    (tmp_path / "r.json").write_text('{"results": {"bindings": [{"film": {"value": "Q1"}}, {"film": {"value": "Q2"}}]}}\n')
+    rows = spark.read.format("recorded_bindings").option("path", str(tmp_path / "r.json")).load()
+    assert [r[0] for r in readers.bindings(rows, "film").collect()] == ["Q1", "Q2"]
+
+
+def test_bibliography(spark):
+    from marquee.operators import bibliography as b
+
+    raw = lines(spark, {"DOI": " 10.1/X ", "title": ["T"], "abstract": "secret", "author": [{"given": "A", "family": "B"}, {"family": "C"}], "published-print": {"date-parts": [[2001]]}}, {"title": ["no doi"]})
+    w = raw.select(F.from_json("value", b.REGISTERED).alias("w")).select("w.*")
+    got = b.registered_works(w).collect()
+    assert len(got) == 1 and got[0]["doi"] == "10.1/x" and got[0]["authors"] == ["A B", "C"] and got[0]["url"] == "https://doi.org/10.1/x" and "abstract" not in got[0].asDict()
+    raw = lines(spark, {"id": "https://openalex.org/W5/", "title": "On The Great Film", "abstract_inverted_index": {"great": [1], "the": [0], "film": [2]}, "authorships": [{"author": {"display_name": "X"}}, {"author": {}}], "primary_location": {"license": "cc"}})
+    idx = b.indexed_works(raw.select(F.from_json("value", b.INDEXED).alias("w")).select("w.*"))
+    row = idx.first()
+    assert (row["work_id"], row["abstract"], row["authors"], row["open_access"]["license"]) == ("W5", "the great film", ["X"], "cc")
+    entities = spark.createDataFrame([(1, "The Great Film"), (2, "Up"), (3, "Nowhere To Be"), (4, "Broken Title")], "entity_id long, title string")
+    works = idx.select((F.substring("work_id", 2, 9).cast("long") - 4).alias("entity_id"), "work_id", "title", "abstract")
+    held = spark.createDataFrame([], "entity_id long, work_id string")
+    failed = spark.createDataFrame([(4,)], "entity_id long")
+    out, fresh = b.discovered(entities, works, held, failed)
+    assert {(r["entity_id"], r["status"]) for r in out.collect()} == {(1, "complete"), (2, "skipped_ambiguous"), (3, "no_candidates"), (4, "failed")}
+    assert [(r["method"], r["score"]) for r in fresh.collect()] == [("title_and_abstract_phrase", 1.0)]
+    assert b.discovered(entities, works, fresh.select("entity_id", "work_id"), failed)[1].count() == 0
+    assert b.discovery_report(entities, out, fresh).first()["collection_films"] == 4
