@@ -59,6 +59,7 @@ def signatures(ngram: int):
     the set and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in K.pieces(texts):
@@ -167,6 +168,7 @@ def link(rows: list, key: int, i: int, j: int, threshold: float, least: list[int
 
 def linked(ngram: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         least = least_matches(threshold)
         out, size = [], 0
         for (key, i, j), rows in blocks(batches, ngram):
@@ -193,14 +195,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("keys").alias("keys"))
     classes = cut(classes, "classes")
     met = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("docs > 1")
+    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("a")).where("docs > 1")
     # of buckets with the same members one stays
-    buckets = buckets.groupBy("docs", "size", "x", "a", "b").agg(F.min("key").alias("key"))
-    buckets = cut(buckets.select("key", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "buckets")
-    met = met.select("key", "rep").join(buckets, "key")
+    buckets = cut(buckets.groupBy("docs", "x", "a").agg(F.min("key").alias("key")).select("key", "docs"), "buckets")
+    # merge joins at every size: no side is bounded, and the plan stays the same
+    met = cut(met.join(buckets.hint("merge"), "key"), "met")
+    large = met.groupBy("key").agg(F.max("docs").alias("docs"), F.sum("n").alias("size"))
+    large = large.select("key", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    met = met.join(large, "key", "left").select("key", "rep", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     places = met.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.collect_list("blocks").alias("blocks"))  # at most BANDS each
     places = places.join(classes.select("rep", "w"), "rep")
-    put = real.join(places, real["id"] == places["rep"]).select("id", "text", "w", "keys", F.explode(F.arrays_zip("keys", "blocks")).alias("p"))
+    put = real.join(places.hint("merge"), real["id"] == places["rep"]).select("id", "text", "w", "keys", F.explode(F.arrays_zip("keys", "blocks")).alias("p"))
     put = put.select("id", "text", "w", "keys", F.col("p.keys").alias("key"), F.col("p.blocks").alias("blocks"), F.pmod(F.xxhash64("id"), F.col("p.blocks")).cast("int").alias("block"))
     # a block meets itself and each other block of its bucket once
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "text", "w", "keys", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
