@@ -21,3 +21,35 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
   CASE WHEN d.payload_bytes >= 100 AND d.page_id <> f.first THEN f.first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)
 """
+#: Jump hashing by recursion and CRC-32 by bytes.
+SQL["op3_jump_hash_sharding"] = """
+WITH RECURSIVE jump AS (
+  SELECT doc_id, n, (-1)::BIGINT AS b, 0::BIGINT AS j, doc_id::UHUGEINT AS k FROM documents, (VALUES (16), (17)) AS t(n)
+  UNION ALL
+  SELECT doc_id, n, j AS b, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k // 8589934592)::DOUBLE + 1)))::BIGINT AS j, k
+  FROM (SELECT doc_id, n, j, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS k FROM jump WHERE j < n)),
+shards AS (SELECT doc_id, max(b) FILTER (n = 16) AS shard, max(b) FILTER (n = 17) AS grown FROM jump WHERE j >= n GROUP BY doc_id),
+tab AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS l FROM documents),
+crc AS (SELECT doc_id, size, xor(list_reduce(l, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS c FROM bytes, tab)
+SELECT s.doc_id, size::BIGINT AS size, c::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY s.doc_id) - 1)::BIGINT AS slot, grown::INT AS grown_shard
+FROM shards s JOIN crc USING (doc_id)
+"""
+#: All pairs by their common shingles; groups by recursion.
+SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, p, p + 4), ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)),
+n AS (SELECT w.doc_id, count(sh.s) AS n FROM w LEFT JOIN sh ON sh.doc_id = w.doc_id GROUP BY 1),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y, c = p.n AND c = q.n AS same FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.r)
+SELECT n.doc_id, (SELECT min(r) FROM reach WHERE reach.doc_id = n.doc_id) AS class_id, (SELECT count(*) FROM link WHERE x = n.doc_id)::BIGINT AS n_links,
+  least(n.doc_id, (SELECT min(y) FROM link WHERE x = n.doc_id AND same)) AS copy_of, n.n::INT AS n_shingles FROM n
+"""
+#: All pairs of vectors.
+SQL["op4_cover_tree_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = v.vec_id)::BIGINT AS n_links, (SELECT min(r) FROM reach WHERE reach.vec_id = v.vec_id) AS component_id, (SELECT min(r) FROM reach WHERE reach.vec_id = v.vec_id) = vec_id AS kept FROM v
+"""

@@ -3,8 +3,9 @@
 A 64-bit key k jumps from bucket to bucket: k <- k * JUMP + 1 modulo 2**64, and
 from bucket b to floor((b + 1) * 2**31 / ((k >> 33) + 1)) until that passes the
 number of shards (Lamping and Veach, 2014). No ring table is kept, and with
-one more shard rows move only into the new one. The key is xxhash64 of the id
-(null has a key of its own), so equal ids share a shard.
+one more shard rows move only into the new one. The key is the id itself where
+it is a whole number and xxhash64 of it otherwise; null has the key 0. Equal
+ids share a shard.
 
 The slot numbers the rows of a shard from 0 without gaps in the order of the
 ids. Rows are range-partitioned by (shard, id) and written once; counts of
@@ -17,6 +18,7 @@ from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from marquee.llm.shared import columns, cut, shuffle_parts
 
@@ -47,7 +49,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     their own; null and empty texts have size 1."""
     spark = docs.sparkSession
     rows = columns(docs, id=id_col, text=text_col)
-    key = F.xxhash64("id")
+    whole = isinstance(rows.schema["id"].dataType, IntegralType)
+    key = F.coalesce(F.col("id").cast("long") if whole else F.xxhash64("id"), F.lit(0))
     rows = rows.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"))
     rows = cut(rows.repartitionByRange(shuffle_parts(spark), "shard", "id").withColumn("part", F.spark_partition_id()), "shards")
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))

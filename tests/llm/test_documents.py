@@ -188,6 +188,7 @@ def test_sharding(spark):
         by[r["shard"]].append(r)
         assert r["grown_shard"] in (r["shard"], 16) and r["law"] == "key"
     assert set(by) <= set(range(16))
+    assert all(r["shard"] == jump((r["doc_id"] or 0) & (2**64 - 1), 16) for r in rows)
     assert all(sorted(x["slot"] for x in v) == list(range(len(v))) for v in by.values())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in zip(ids, texts, strict=True))
     assert sharding.shard(frame(spark, [])).collect() == []
