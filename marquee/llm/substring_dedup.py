@@ -7,9 +7,10 @@ tells, of each that occurs again, all occurrences but the first (smallest id,
 then smallest start). Before that, each piece of PIECE bytes of text counts its
 own: what is not the first there goes for certain, and only the first travels,
 so a window that a third of all documents hold reaches its part once a piece.
-Occurrences travel in packed slices, ten bytes a window: the hash and the
-distance to the slice's window before. The repeated starts of each document
-merge into maximal intervals of words, which are removed.
+Occurrences travel in packed slices, nine bytes a window or so: what the part
+does not tell of the hash, and the compressed distances to the windows before.
+The repeated starts of each document merge into maximal intervals of words,
+which are removed.
 
 Null, empty and short texts have no window and stay. Rows with a null id take
 no part and stay as they are. Rows repeating id and text are one document.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,28 @@ WINDOW = 20
 PART_WINDOWS, PIECE = 1_000_000, 8 << 20
 
 
-def slices(window: int, parts: int):
-    """mapInArrow: (id, text) -> packed slices (part, hashes, steps, ids,
-    starts): a slice holds the windows of one part in the order of the rows;
-    its ids are those of the rows that have windows in it, ``starts`` where
-    each row's windows begin in the running number that ``steps`` advances. Rows
-    without hashes bring the repeated starts of one document in its piece."""
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def numbers(data: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    x = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return np.ascontiguousarray(x).view(kind).reshape(n), at + n * width
+
+
+def slices(window: int, bits: int):
+    """mapInArrow: (id, text) -> packed slices (part, id, hashes, rest): a slice
+    holds the windows of one part, the first ``bits`` bits of the hash, in the
+    order of the rows: the last bytes of the hashes, and the rows' ids and
+    numbers of windows with the steps from start to start. Rows without hashes
+    bring the repeated starts of one document in its piece."""
+    parts, keep = 1 << bits, -(-(64 - bits) // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             all_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, b in K.pieces(texts, PIECE):
@@ -55,41 +71,50 @@ def slices(window: int, parts: int):
                 if not sum(map(len, hs)):
                     continue
                 h, doc, pos = np.concatenate(hs), np.concatenate(docs), np.concatenate(where)
-                out: dict[str, list] = {k: [] for k in ("part", "hashes", "docs", "ids", "pos")}
+                del hs, docs, where
+                out: dict[str, list] = {k: [] for k in ("part", "id", "hashes", "rest")}
                 ids = all_ids[doc].astype(np.int64)
                 o = again(h, ids, pos)
                 for i, found in by_id(o, ids, pos):
-                    for k, v in (("part", i % parts), ("hashes", b""), ("docs", b""), ("ids", np.int64(i).tobytes()), ("pos", found)):
+                    for k, v in (("part", i % parts), ("id", i), ("hashes", b""), ("rest", found)):
                         out[k].append(v)
                 stays = np.ones(len(h), bool)
                 stays[o] = False
                 h, doc, pos = h[stays], doc[stays], pos[stays]
-                part = (h >> np.uint64(33)).astype(np.int64) * parts >> 31
-                order = np.argsort(part.astype(np.int16 if parts < 1 << 15 else np.int32), kind="stable")
+                part = (h >> np.uint64(64 - bits)).astype(np.int16 if bits < 16 else np.int32)
+                order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                h, doc, pos = h[order], doc[order], pos[order]
                 for p in np.flatnonzero(np.diff(cuts)):
-                    o = order[cuts[p] : cuts[p + 1]]
-                    seen, first = np.unique(doc[o], return_index=True)
+                    own = slice(cuts[p], cuts[p + 1])
+                    d = doc[own]
+                    first = np.flatnonzero(np.diff(d, prepend=-1))
+                    step = np.diff(pos[own], prepend=np.int32(0)).astype(np.int32)
+                    step[first] = pos[own][first]
                     out["part"].append(int(p))
-                    out["hashes"].append(h[o].tobytes())
-                    out["ids"].append(all_ids[seen].astype(np.int64).tobytes())
-                    out["docs"].append(np.diff(np.append(first, len(o))).astype(np.int32).tobytes())
-                    step = np.diff(pos[o], prepend=0)
-                    step[first] = pos[o][first]
-                    out["pos"].append(step.astype(np.uint16).tobytes() if step.max() < 1 << 16 else b"\0" + step.astype(np.int32).tobytes())
-                yield pa.record_batch([pa.array(out["part"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("hashes", "docs", "ids", "pos")]], names=["part", "hashes", "docs", "ids", "pos"])
+                    out["id"].append(None)
+                    out["hashes"].append(h[own].view(np.uint8).reshape(-1, 8)[:, :keep].tobytes())
+                    out["rest"].append(packer.compress(len(first).to_bytes(8, "little") + planes(np.diff(all_ids[d[first]].astype(np.int64), prepend=0)) + planes(np.diff(np.append(first, len(d))).astype(np.int32)) + planes(step)))
+                yield pa.record_batch([pa.array(out["part"], pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["hashes"], pa.binary()), pa.array(out["rest"], pa.binary())], names=["part", "id", "hashes", "rest"])
 
     return run
 
 
-def opened(hashes: bytes, docs: bytes, ids: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A slice's hashes, ids and starts, one for each window."""
-    h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(docs, np.int32)
-    step = (np.frombuffer(pos, np.uint16) if len(pos) == 2 * len(h) else np.frombuffer(pos[1:], np.int32)).astype(np.int64)
-    total = np.cumsum(step)
+def opened(hashes: pa.Buffer, rest: pa.Buffer, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's hashes (without the part's bits above), ids and starts, one
+    for each window."""
+    low = np.frombuffer(hashes, np.uint8).reshape(-1, keep)
+    h = np.zeros((len(low), 8), np.uint8)
+    h[:, :keep] = low
+    data = zstandard.ZstdDecompressor().decompress(rest)
+    docs = int.from_bytes(data[:8], "little")
+    ids, at = numbers(data, 8, docs, np.int64)
+    n, at = numbers(data, at, docs, np.int32)
+    step, _ = numbers(data, at, len(low), np.int32)
+    total = np.cumsum(step.astype(np.int64))
     first = np.cumsum(n) - n
     base = total[first] - step[first]
-    return h, np.repeat(np.frombuffer(ids, np.int64), n), (total - np.repeat(base, n)).astype(np.int32)
+    return h.view(np.uint64).reshape(-1), np.repeat(np.cumsum(ids), n), (total - np.repeat(base, n)).astype(np.int32)
 
 
 def again(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -118,34 +143,82 @@ def by_id(o: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int
         yield i, pos[o[a:b]].tobytes()
 
 
-def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by part: (id, starts) of repeated windows."""
+def repeats(buckets: int, bits: int):
+    """mapInArrow over slices sorted by part -> (bucket, ids, starts): the
+    repeated starts that a task finds, packed by a hash of the id."""
+    keep = -(-(64 - bits) // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def count(held: list) -> None:
+            h, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = again(h, ids, pos)
+            found.append((ids[o], pos[o]))
+
+        def told() -> pa.RecordBatch:
+            ids, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            to = (K.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            at = [order[cuts[b] : cuts[b + 1]] for b in some]
+            return pa.record_batch([pa.array(some.astype(np.int32)), pa.array([ids[o].tobytes() for o in at], pa.binary()), pa.array([pos[o].tobytes() for o in at], pa.binary())], names=["bucket", "ids", "starts"])
 
-    def told(held: list) -> Iterator[pa.RecordBatch]:
-        h, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        found = list(by_id(again(h, ids, pos), ids, pos))
+        now, held = None, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                part = batch.column(0)[r].as_py()
+                hashes, rest = batch.column(2)[r].as_buffer(), batch.column(3)[r].as_buffer()
+                if part != now and held:
+                    count(held)
+                    held = []
+                now = part
+                if hashes.size:
+                    held.append(opened(hashes, rest, keep))
+                else:
+                    at = np.frombuffer(rest, np.int32).copy()
+                    found.append((np.full(len(at), batch.column(1)[r].as_py()), at))
+                if len(found) >= 4096:
+                    yield told()
+        if held:
+            count(held)
         if found:
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["id", "starts"])
+            yield told()
+
+    return run
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over rows sorted by bucket: one row (id, starts) for each
+    document."""
+    K.lean()
+
+    def told(held: list) -> pa.RecordBatch:
+        ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        found = list(by_id(np.argsort(ids, kind="stable"), ids, pos))
+        return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["id", "starts"])
 
     now, held = None, []
     for batch in batches:
-        for part, hashes, docs, ids, pos in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if part != now and held:
-                yield from told(held)
+        for r in range(batch.num_rows):
+            bucket = batch.column(0)[r].as_py()
+            if bucket != now and held:
+                yield told(held)
                 held = []
-            now = part
-            if not hashes:
-                yield pa.record_batch([pa.array(np.frombuffer(ids, np.int64)), pa.array([pos], pa.binary())], names=["id", "starts"])
-                continue
-            held.append(opened(hashes, docs, ids, pos))
+            now = bucket
+            held.append((np.frombuffer(batch.column(1)[r].as_buffer(), np.int64), np.frombuffer(batch.column(2)[r].as_buffer(), np.int32)))
     if held:
-        yield from told(held)
+        yield told(held)
 
 
 def removed(window: int):
-    """mapInArrow: (id, text, all starts) -> what is left of each text."""
+    """mapInArrow: (id, text, starts) -> what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         for batch in batches:
             ids, texts, found = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in K.pieces(texts):
@@ -159,7 +232,7 @@ def removed(window: int):
                     keep, span = np.ones(len(lo), bool), []
                     if found[a + r]:
                         depth = np.zeros(len(lo) + 1, np.int32)
-                        at = np.frombuffer(b"".join(found[a + r]), np.int32)
+                        at = np.frombuffer(found[a + r], np.int32)
                         np.add.at(depth, at, 1)
                         np.add.at(depth, at + window, -1)
                         keep = np.cumsum(depth[:-1]) == 0
@@ -184,12 +257,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``spans`` (maximal removed intervals of words, end exclusive)."""
     docs = columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a word has 2 bytes at least, with the blank behind it
-    parts = max(8, -(-int(size) // (6 * PART_WINDOWS)))
-    packed = docs.where("id is not null").mapInArrow(slices(window, parts), "part int, hashes binary, docs binary, ids binary, pos binary")
-    packed = packed.repartition(max(8, parts // 4), "part").sortWithinPartitions("part")
-    found = cut(packed.mapInArrow(repeats, "id long, starts binary"), "repeats")
-    found = found.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    # words have 6 bytes or so, with the blank behind them
+    bits = max(8, (int(size) // (6 * PART_WINDOWS)).bit_length())
+    packed = docs.where("id is not null").mapInArrow(slices(window, bits), "part int, id long, hashes binary, rest binary")
+    tasks = max(8, (1 << bits) // 4)
+    packed = packed.repartition(tasks, "part").sortWithinPartitions("part")
+    found = packed.mapInArrow(repeats(tasks, bits), "bucket int, ids binary, starts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = cut(found.mapInArrow(gathered, "id long, starts binary"), "repeats")
     rows = docs.join(found.withColumnRenamed("id", "fid"), docs["id"] == F.col("fid"), "left").select("id", "text", "starts")
     rows = rows.mapInArrow(removed(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>")
     return rows.withColumnRenamed("id", id_col)
