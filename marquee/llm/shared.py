@@ -25,10 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and
-    reads it again, so that a lost executor never repeats what lies before."""
+    reads it again, so that a lost executor never repeats what lies before.
+    The shuffle files that led there are of no more use; Spark removes them
+    when the driver collects its garbage, which is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
