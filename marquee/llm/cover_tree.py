@@ -128,20 +128,34 @@ class Tree:
 
 def traverse(a: Tree, b: Tree, reach: float) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """Pairs of node ranges (starts and ends on both sides) that link whole,
-    and the pairs of vectors (positions in the trees' orders) left to decide."""
+    and the pairs of vectors (positions in the trees' orders) left to decide.
+
+    As long as most pairs of a level stay, all of the next level are taken as
+    one matrix product; then pairs are listed and only their children looked
+    at."""
     whole = []
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    i = j = None
     last = len(a.levels) - 1
     for level in range(len(a.levels)):
         (ca, sa, ea, ra, _), (cb, sb, eb, rb, _) = a.levels[level], b.levels[level]
-        if len(i) > 0.2 * len(ca) * len(cb):
-            d = distances(a.x32[ca], b.x32[cb])[i, j]
+        if i is None:
+            g = a.x32[ca] @ b.x32[cb].T
+            # near where the distance is at most the reach and both radii
+            least = (ra + np.float32(reach + SLACK))[:, None] + rb[None, :]
+            least *= least
+            least *= -0.5
+            least += 1
+            at = np.flatnonzero(g >= least)
+            if len(at) > 0.25 * g.size and level < last:
+                continue
+            i, j = at // len(cb), at % len(cb)
+            d = np.sqrt(np.maximum(2 - 2 * g.ravel()[at], 0))
         else:
             d = np.concatenate([np.zeros(0, np.float32), *[np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x32[ca[i[k : k + 65536]]], b.x32[cb[j[k : k + 65536]]]), 0)) for k in range(0, len(i), 65536)]])
-        near = d - ra[i] - rb[j] <= reach + SLACK
-        i, j, d = i[near], j[near], d[near]
+            near = d - ra[i] - rb[j] <= reach + SLACK
+            i, j, d = i[near], j[near], d[near]
         if level == last:
-            return whole, ca[i], cb[j]
+            break
         inside = d + ra[i] + rb[j] <= reach - SLACK
         if inside.any():
             whole.append((sa[i[inside]], ea[i[inside]], sb[j[inside]], eb[j[inside]]))
@@ -153,7 +167,7 @@ def traverse(a: Tree, b: Tree, reach: float) -> tuple[list[tuple], np.ndarray, n
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         i, j, w = np.repeat(i, n), np.repeat(j, n), np.repeat(nb[j], n)
         i, j = fa[i] + k // w, fb[j] + k % w
-    raise AssertionError
+    return whole, ca[i], cb[j]
 
 
 def link(a: dict, b: dict, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
