@@ -115,5 +115,6 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, -(-int(total) // GROUP_TOKENS))
     rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    out = rows.groupBy("bin_group").applyInArrow(grouped(tuple(sorted(lengths))), f"id {kind}, piece int, start long, tokens long, bin_group long, bin int, bin_offset long, bin_length int")
+    # groups are small to read and long to pack: not many to a task
+    out = rows.repartition(min(groups, 20_000), "bin_group").groupBy("bin_group").applyInArrow(grouped(tuple(sorted(lengths))), f"id {kind}, piece int, start long, tokens long, bin_group long, bin int, bin_offset long, bin_length int")
     return out.withColumnRenamed("id", id_col)
