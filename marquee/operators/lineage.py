@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.checkpoints import cut
 from marquee.operators.catalogue import bounded
 from marquee.schemas import LINEAGE
 
@@ -73,7 +74,7 @@ def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> Data
     known = new
     for depth in range(1, rounds + 1):
         step = new.join(pairs.withColumnRenamed("child", "ancestor"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        new = step.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = cut(step.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if new.isEmpty():
             break
         known = known.unionByName(new)

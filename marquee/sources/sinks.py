@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.checkpoints import cut
+
 
 def store_payloads(payloads: DataFrame, folder: str) -> DataFrame:
     """Writes (source, body) once by content: a payload's place is its source,
@@ -17,7 +19,7 @@ def store_payloads(payloads: DataFrame, folder: str) -> DataFrame:
     spark = payloads.sparkSession
     rows = payloads.select("source", "body", F.sha2("body", 256).alias("hash")).dropDuplicates(["source", "hash"])
     held = existing(spark, folder).select("source", "hash", F.lit(True).alias("held"))
-    rows = rows.join(held, ["source", "hash"], "left").withColumn("disposition", F.when(F.col("held"), "reused").otherwise("created")).drop("held").checkpoint()
+    rows = cut(rows.join(held, ["source", "hash"], "left").withColumn("disposition", F.when(F.col("held"), "reused").otherwise("created")).drop("held"), "payloads")
     fresh = rows.where("disposition = 'created'").select("source", F.substring("hash", 1, 2).alias("prefix"), "hash", "body")
     fresh.write.mode("append").partitionBy("source", "prefix").parquet(folder)
     return rows

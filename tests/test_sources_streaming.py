@@ -72,7 +72,6 @@ def test_works_and_robots(spark):
 
 
 def test_sinks(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
     p = spark.createDataFrame([("s", "one"), ("s", "two"), ("s", "one")], "source string, body string")
     folder = str(tmp_path / "blobs")
     assert {r["disposition"] for r in sinks.store_payloads(p, folder).collect()} == {"created"}
