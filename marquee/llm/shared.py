@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.checkpoints import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Where it is unset (tests on one machine) a temporary folder
-    is made once and set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marquee-"))
-    return shared_dir(spark)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and
-    reads it again, so that a lost executor never repeats what lies before.
-    The shuffle files that led there are of no more use; Spark removes them
-    when the driver collects its garbage, which is asked for here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["columns", "components", "cut", "finite_vector", "sample", "shared_dir", "shuffle_parts"]
 
 
 def shuffle_parts(spark: SparkSession) -> int:
