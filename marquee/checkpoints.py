@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and
     reads it again, so that a lost executor never repeats what lies before.
-    The shuffle files that led there are of no more use; Spark removes them
-    when the driver collects its garbage, which is asked for here."""
+    The shuffle files that led there are of no more use and go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns as a written table; the tables that it wrote on
+    its way are removed."""
+    _scopes.append([])
+    try:
+        df = build()
+    finally:
+        paths = _scopes.pop()
+    out = cut(df, name)
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
