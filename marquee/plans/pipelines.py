@@ -519,3 +519,76 @@ def selection_audit(m: Model):
     rows = m.raw("orders").select(F.col("o_orderkey").alias("position"), F.year("o_orderdate").alias("y")).join(facts_, "position", "left")
     outcome = F.when(F.col("types").isNull(), "missing").when(~F.arrays_overlap("types", F.array(F.lit("R"))), "not an accepted film type").when(~F.array_contains("years", F.col("y")), "release year absent").otherwise("verified")
     return rows.select("position", outcome.alias("outcome"))
+
+
+# ---- further joins, merges and text ------------------------------------------------------
+
+
+@query("jn8_three_way", "SELECT l_orderkey, l_linenumber, s_name, c_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F' AND l_quantity > 20")
+def three_way(m: Model):
+    """Passages of members: the selective sides come first, AQE broadcasts
+    what turns out small."""
+    members = m.raw("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
+    snapshots = m.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(members, F.col("o_custkey") == F.col("c_custkey"))
+    passages = m.raw("lineitem").where("l_quantity > 20").select("l_orderkey", "l_linenumber", "l_suppkey")
+    rows = passages.join(snapshots, F.col("l_orderkey") == F.col("o_orderkey")).join(m.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select("l_orderkey", "l_linenumber", "s_name", "c_name")
+
+
+@query("jn9_latest_snapshot", "SELECT o_custkey AS entity, max_by(o_orderkey, printf('%s-%012d', strftime(o_orderdate, '%Y%m%d'), o_orderkey)) AS snapshot FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1")
+def latest_snapshot(m: Model):
+    rows = m.raw("orders").where("o_orderstatus <> 'P'").join(m.raw("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    return rows.groupBy(F.col("o_custkey").alias("entity")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("snapshot"))
+
+
+@query(
+    "up18_classification",
+    f"""WITH {ENTITIES}, k AS (SELECT 'Q' || p_partkey AS qid, p_type AS kind, p_brand AS label FROM part WHERE p_size < 25)
+SELECT o.qid, CASE WHEN o.kind = 'unknown_work' AND k.qid IS NOT NULL THEN k.kind ELSE o.kind END AS kind, CASE WHEN o.kind = 'unknown_work' AND k.qid IS NOT NULL THEN k.label ELSE o.label END AS label FROM old o LEFT JOIN k ON k.qid = o.qid WHERE o.qid IS NOT NULL""",
+)
+def classification(m: Model):
+    old = entity_tables(m)[0].where("qid is not null")
+    kinds = m.raw("part").where("p_size < 25").select(F.concat(F.lit("Q"), "p_partkey").alias("qid"), F.col("p_type").alias("kind"), F.col("p_brand").alias("label"))
+    unknown = F.col("old_kind") == "unknown_work"
+    known = kinds.join(old.select("qid"), "qid", "left_semi")
+    return merge.update_or_insert(old, known, ["qid"], {"kind": unknown & F.col("new_kind").isNotNull(), "label": unknown & F.col("new_kind").isNotNull()})
+
+
+@query("sc7_entity_ids", "SELECT p_partkey AS id, nullif(regexp_extract(u, '/(Q\\d+)$', 1), '') AS qid, nullif(trim(l), '') AS label, string_split(rtrim(u, '/'), '/')[-1] AS last FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'http://x/entity/Q' || p_partkey || '/' ELSE 'http://x/entity/Q' || p_partkey END AS u, CASE WHEN p_size % 5 = 0 THEN '  ' ELSE ' ' || p_name || ' ' END AS l FROM part)")
+def entity_ids(m: Model):
+    u = F.concat(F.lit("http://x/entity/Q"), "p_partkey", F.when(F.col("p_size") % 3 == 0, "/").otherwise(""))
+    label = F.when(F.col("p_size") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    return m.raw("part").select(F.col("p_partkey").alias("id"), text.entity_id(u).alias("qid"), text.clean_label(label).alias("label"), text.last_part(u).alias("last"))
+
+
+def wikitext(m: Model):
+    """Documents as wiki pages: every line a paragraph with a reference, some
+    with links and templates."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(x, F.when(i % 3 == 0, F.concat(F.lit(' <ref name="r'), (i % 4).cast("string"), F.lit('" />'))).otherwise(" <ref>x</ref>"), F.when(i % 2 == 0, " [[A|b]] {{t|{{u}}}}").otherwise(" ''c'' [[d]]")))
+    return m.raw("documents").select("doc_id", F.array_join(lines, "\n\n").alias("wiki"))
+
+
+@query("tx1_wikitext", r"""SELECT doc_id, sha256(trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: x || '  ' ), '|'), '\s+', ' ', 'g'))) AS h, len(string_split(text, chr(10)))::INT AS paragraphs FROM documents""")
+def clean_wikitext(m: Model):
+    """Markup around the text goes, the text stays."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit(" {{t|{{u}}}} <br/> <!-- n\n -->")))
+    wiki = m.raw("documents").select("doc_id", F.array_join(lines, "|").alias("wiki"), F.size(lines).alias("paragraphs"))
+    return wiki.select("doc_id", values.content_hash(text.without_wikitext(F.col("wiki"))).alias("h"), "paragraphs")
+
+
+@query("tx3_paragraphs")
+def packed_paragraphs(m: Model):
+    """Paragraphs of each page packed to 1500 readable characters."""
+    rows = wikitext(m).select("doc_id", F.posexplode(text.paragraphs_packed(F.col("wiki"))).alias("ordinal", "content"))
+    return rows.select("doc_id", "ordinal", F.length(text.without_wikitext(F.col("content"))).alias("size"), values.content_hash(F.col("content")).alias("hash"))
+
+
+@query("tx4_citations", "SELECT doc_id, array_to_string(list_filter(['r0', 'inline', 'r3', 'r2', 'r1'], lambda x: (x = 'r0') OR (x = 'inline' AND n > 1) OR (x = 'r3' AND n > 3) OR (x = 'r2' AND n > 6) OR (x = 'r1' AND n > 9)), ',') AS markers FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
+def citations(m: Model):
+    return wikitext(m).select("doc_id", F.array_join(text.citation_markers(F.col("wiki")), ",").alias("markers"))
+
+
+@query("tx5_infobox_years", "SELECT p_partkey AS id, (1970 + p_size)::VARCHAR AS years FROM part")
+def infobox_years(m: Model):
+    page = F.concat(F.lit("{{Infobox\n| year = 1801\n| Released = {{d|"), (1970 + F.col("p_size")).cast("string"), F.lit("|5}} 120199\n}} in 1950"))
+    return m.raw("part").select(F.col("p_partkey").alias("id"), F.array_join(text.infobox_years(page).cast("array<string>"), ",").alias("years"))
