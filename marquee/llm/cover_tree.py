@@ -293,6 +293,8 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 gap = 0.0 if top is None or p["cell"] == q["cell"] else float(distances(top[p["cell"]], top[q["cell"]]))
                 if gap - p["radius"] - q["radius"] <= reach + SLACK:
                     near.append((p["dim"], p["cell"], first[p["dim"], p["cell"]], chunks[p["dim"], p["cell"]], first[q["dim"], q["cell"]], chunks[q["dim"], q["cell"]]))
+    # a task for each chunk pair or few of them: they are small to read and long to compare
+    tasks = min(10_000, max(1, sum(x[3] * x[5] for x in near) // 2))
     if not near:
         return rows.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.lit(0).cast("long")).alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     near = spark.createDataFrame(near, "dim int, cell int, first int, n int, other int, m int")  # bounded by TOP_CELLS squared
@@ -305,7 +307,7 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     put = chunks.join(near, (near["dim"] == chunks["dim"]) & (F.col("chunk") >= near["first"]) & (F.col("chunk") < near["first"] + near["n"]))
     put = put.select(chunks["dim"], "chunk", "held", F.explode(F.sequence(F.col("other"), F.col("other") + F.col("m") - 1)).alias("mate"))
     put = put.select("dim", "chunk", "held", F.least("chunk", "mate").alias("i"), F.greatest("chunk", "mate").alias("j"))
-    links = cut(put.groupBy("dim", "i", "j").applyInArrow(pair_rows(threshold), "id long, n long, root long"), "found")
+    links = cut(put.repartition(tasks, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(pair_rows(threshold), "id long, n long, root long"), "found")
     comps = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("id").agg(F.sum("n").alias("links"))
     told = groups.select("id", "w", "x").join(sums, "id", "left").join(comps, "id", "left").where("w > 1 or links > 0")
