@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import langid, mixing, ngram_join, packing, substring_dedup
-from marquee.llm.shared import cut
+from marquee.llm.shared import cut, settled
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.4
@@ -26,17 +26,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays."""
-    classes = ngram_join.ngram_jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(cut(classes, "gone"), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = settled(spark, "gone", lambda: ngram_join.ngram_jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")))
+    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows go. A text that loses words becomes its kept
     words joined by blanks; a document that loses all goes."""
-    told = substring_dedup.substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("rid"), "n_words", "n_removed", "kept_text")
-    rows = docs.join(told, docs["doc_id"] == F.col("rid"), "left").where("rid is null or n_removed < n_words")
-    text = F.when(F.col("rid").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("rid").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
+    rows = substring_dedup.substring_dedup(docs, carry=docs.columns).where("n_removed = 0 or n_removed < n_words")
+    whole = F.col("n_removed") == 0
+    return rows.select(
+        "doc_id",
+        F.when(whole, F.col("carried.text")).otherwise(F.col("kept_text")).alias("text"),
+        "carried.lang",
+        "carried.source",
+        F.when(whole, F.col("carried.n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"),
+    )
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

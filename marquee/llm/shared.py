@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.checkpoints import cut, shared_dir
+from marquee.checkpoints import cut, settled, shared_dir
 
-__all__ = ["columns", "components", "cut", "finite_vector", "sample", "shared_dir", "shuffle_parts"]
+__all__ = ["columns", "components", "cut", "finite_vector", "sample", "settled", "shared_dir", "shuffle_parts"]
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import kernels as K
-from marquee.llm.shared import columns, cut
+from marquee.llm.shared import cut
 
 WINDOW = 20
 PART_WINDOWS, PIECE = 1_000_000, 8 << 20
@@ -215,7 +215,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed(window: int):
-    """mapInArrow: (id, text, starts) -> what is left of each text."""
+    """mapInArrow: (id, text, starts, carried) -> what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
@@ -244,26 +244,29 @@ def removed(window: int):
                     kept.append(text)
                     spans.append([{"start": x, "end": y} for x, y in span])
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(gone), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    names=["id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
+                    [batch.column(3).slice(a, b - a), ids.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(gone), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                    names=["carried", "id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
                 )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``n_removed``,
     ``kept_sha256``, ``kept_text`` (kept words joined by one blank) and
-    ``spans`` (maximal removed intervals of words, end exclusive)."""
-    docs = columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    ``spans`` (maximal removed intervals of words, end exclusive); with
+    ``carry`` also a struct ``carried`` of those columns of the document."""
+    held = F.struct(*[docs[f"`{c}`"] for c in carry]) if carry else F.lit(None).cast("boolean")
+    docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"), held.alias("carried"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # words have 6 bytes or so, with the blank behind them
     bits = max(8, (int(size) // (6 * PART_WINDOWS)).bit_length())
-    packed = docs.where("id is not null").mapInArrow(slices(window, bits), "part int, id long, hashes binary, rest binary")
+    packed = docs.where("id is not null").select("id", "text").mapInArrow(slices(window, bits), "part int, id long, hashes binary, rest binary")
     tasks = max(8, (1 << bits) // 4)
     packed = packed.repartition(tasks, "part").sortWithinPartitions("part")
     found = packed.mapInArrow(repeats(tasks, bits), "bucket int, ids binary, starts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     found = cut(found.mapInArrow(gathered, "id long, starts binary"), "repeats")
-    rows = docs.join(found.withColumnRenamed("id", "fid"), docs["id"] == F.col("fid"), "left").select("id", "text", "starts")
-    rows = rows.mapInArrow(removed(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>")
-    return rows.withColumnRenamed("id", id_col)
+    rows = docs.join(found.withColumnRenamed("id", "fid"), docs["id"] == F.col("fid"), "left").select("id", "text", "starts", "carried")
+    out = f"carried {docs.schema['carried'].dataType.simpleString()}, id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
+    rows = rows.mapInArrow(removed(window), out).withColumnRenamed("id", id_col)
+    return rows if carry else rows.drop("carried")
