@@ -108,6 +108,8 @@ def writer(folder: str, held):
         def close() -> None:
             nonlocal out, turn
             out.close()
+            if system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+                system.delete_file(f"{path}/{name}")  # of an attempt that was lost
             system.move(f"{path}/{temporary}", f"{path}/{name}")
             for k, v in (("archive", name), ("n", n), ("bytes", size)):
                 told[k].append(v)
@@ -155,6 +157,8 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     put = rows.join(revisits.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"), "left").select("id", "url", "html", "digest", "first")
     # a page's payload may be shorter in one of several rows of its id
     put = put.withColumn("first", F.when(F.length("html") >= LEAST, F.col("first")))
+    # in the same order in every attempt, so that it fills the same archives
+    put = put.sortWithinPartitions("id", "digest")
     cut(put.mapInArrow(writer(folder, held), "archive string, n long, bytes long"), "archives")
     return folder
 
