@@ -64,6 +64,6 @@ def rebuilt_text(index: Column) -> Column:
     """Text of an inverted index word -> positions; where words collide the
     last one of the map stays."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-i).alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    last = F.filter(ordered, lambda x, i: (i == 0) | (x["p"] != F.get(ordered, i - 1)["p"]))
-    return F.coalesce(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
+    start = F.struct(F.lit(None).cast("int").alias("p"), F.array().cast("array<string>").alias("words"))
+    kept = F.aggregate(F.array_sort(pairs), start, lambda a, x: F.when(a["p"].eqNullSafe(x["p"]), a).otherwise(F.struct(x["p"].alias("p"), F.array_append(a["words"], x["w"]).alias("words"))), lambda a: a["words"])
+    return F.coalesce(F.array_join(kept, " "), F.lit(""))
