@@ -10,6 +10,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
