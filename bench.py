@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 import marquee.plans.catalogue
 import marquee.plans.pipelines  # noqa: F401
 from marquee.plans.registry import QUERIES
+from marquee.ship import ship
 
 HEADLINE = (
     "q1_health", "q2_source_quality", "q4_film_search", "q4_genre_decade", "q5_entry_points", "q6_compare_signals", "q7_lineage_edges", "q8_film_detail", "q9_filmography", "q10_person_graph", "q11_similar_films",
@@ -38,6 +39,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     spark.sparkContext.setCheckpointDir(f"/tmp/bench-checkpoint-{os.getpid()}")
     took = {}
     for name in HEADLINE:

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from marquee.ship import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,6 +16,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
 
