@@ -20,14 +20,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the languages of the labels; rejects those
     without a letter and those that no language is likely for."""
     model = langid.train(docs, where=~langid.held_out(F.col("doc_id")))
-    told = langid.identify(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    told = langid.identify(docs, model, pred="__lang", score="__score")
+    return told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays."""
     gone = settled(spark, "gone", lambda: ngram_join.ngram_jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")))
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Samples the documents so that sources, languages and topics meet their
     target shares of tokens."""
     kept = mixing.mix_sources(docs).where("kept").select(F.col("doc_id").alias("kid")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kid"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["kid"], "left_semi")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

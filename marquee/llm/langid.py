@@ -157,16 +157,16 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all) of ``docs`` with ``lang_pred`` and
-    ``score``, the probability of the prediction. Null texts and texts without
-    a letter are ``und`` with score 0, and so is all if there was nothing to
-    learn from. Only texts are read."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns ``carry`` (default: all) of ``docs`` with ``pred`` and
+    ``score``, the probability of the prediction; columns of those names are
+    replaced. Null texts and texts without a letter are ``und`` with score 0,
+    and so is all if there was nothing to learn from. Only texts are read."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in (pred, score)]
     sent = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if text_col in carry else [F.col(f"`{text_col}`")]))
     at, width = sent.columns.index(text_col), len(carry)
-    out = T.StructType([*[sent.schema[c] for c in carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*[sent.schema[c] for c in carry], T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
@@ -174,12 +174,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
         for batch in batches:
             texts = batch.column(at)
             ok = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool) & bool(m.languages)
-            best, score = np.zeros(len(ok), int), np.zeros(len(ok))
+            best, sure = np.zeros(len(ok), int), np.zeros(len(ok))
             if m.languages:
                 for a, b in K.pieces(texts):
                     p = scores(m, texts.slice(a, b - a))
-                    best[a:b], score[a:b] = p.argmax(1), p.max(1)
-            pred = np.where(ok, np.array([*m.languages, UNKNOWN], object)[best], UNKNOWN)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], names=out.names)
+                    best[a:b], sure[a:b] = p.argmax(1), p.max(1)
+            told = np.where(ok, np.array([*m.languages, UNKNOWN], object)[best], UNKNOWN)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(told, pa.string()), pa.array(np.where(ok, sure, 0.0))], names=out.names)
 
-    return sent.withColumn("__ok", has_letter(F.col(f"`{text_col}`"))).mapInArrow(run, out)
+    return sent.select("*", has_letter(F.col(f"`{text_col}`")).alias("__ok")).mapInArrow(run, out)

@@ -45,7 +45,7 @@ def numbers(data: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(x).view(kind).reshape(n), at + n * width
 
 
-def slices(window: int, bits: int):
+def slices(window: int, bits: int, piece: int):
     """mapInArrow: (id, text) -> packed slices (part, id, hashes, rest): a slice
     holds the windows of one part, the first ``bits`` bits of the hash, in the
     order of the rows: the last bytes of the hashes, and the rows' ids and
@@ -58,7 +58,7 @@ def slices(window: int, bits: int):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             all_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            for a, b in K.pieces(texts, PIECE):
+            for a, b in K.pieces(texts, piece):
                 hs, docs, where = [], [], []
                 for c, d in K.pieces(texts.slice(a, b - a)):
                     data, offs = K.raw(texts.slice(a + c, d - c))
@@ -261,7 +261,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # words have 6 bytes or so, with the blank behind them
     bits = max(8, (int(size) // (6 * PART_WINDOWS)).bit_length())
-    packed = docs.where("id is not null").select("id", "text").mapInArrow(slices(window, bits), "part int, id long, hashes binary, rest binary")
+    packed = docs.where("id is not null").select("id", "text").mapInArrow(slices(window, bits, PIECE), "part int, id long, hashes binary, rest binary")
     tasks = max(8, (1 << bits) // 4)
     packed = packed.repartition(tasks, "part").sortWithinPartitions("part")
     found = packed.mapInArrow(repeats(tasks, bits), "bucket int, ids binary, starts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")

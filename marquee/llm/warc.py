@@ -95,7 +95,7 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
-def writer(folder: str, held):
+def writer(folder: str, held, limit: int):
     """mapInArrow: (id, url, html, digest, first) -> (archive, n, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def writer(folder: str, held):
                 payload = html or b""
                 out.write(context.compress(record(page, url, payload, digest, first)))
                 n, size = n + 1, size + len(payload)
-                if size >= ARCHIVE:
+                if size >= limit:
                     close()
         if out is not None:
             close()
@@ -159,7 +159,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     put = put.withColumn("first", F.when(F.length("html") >= LEAST, F.col("first")))
     # in the same order in every attempt, so that it fills the same archives
     put = put.sortWithinPartitions("id", "digest")
-    cut(put.mapInArrow(writer(folder, held), "archive string, n long, bytes long"), "archives")
+    cut(put.mapInArrow(writer(folder, held, ARCHIVE), "archive string, n long, bytes long"), "archives")
     return folder
 
 

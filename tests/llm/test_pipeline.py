@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on their own inputs."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from marquee.llm import mixing, packing
 from tests.llm.test_documents import WORD, check_bins, dedup_brute, frame, jaccard_brute, odd_texts
@@ -36,7 +38,7 @@ def test_stages(spark, sf_dir):
 
 
 def test_odd_documents_pass(spark):
-    docs = frame(spark, odd_texts()).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = frame(spark, odd_texts()).select("doc_id", "text", "lang", "source", "n_chars", "key", F.lit(1).alias("score"), F.lit("x").alias("gone"), F.lit(2).alias("kid"))
     for _, stage in cp.STAGES:
         docs = cp.cut(stage(spark, docs, ""), "odd")
     assert docs.count() > 0
