@@ -96,8 +96,7 @@ def semi_filter(m: Model):
 FROM (SELECT *, l_linestatus || l_suppkey AS l_comment, printf('%012d-%03d-%012d-%s-%012d', l_orderkey, l_linenumber, l_suppkey, l_linestatus, l_partkey) AS l_key FROM lineitem) GROUP BY 1""",
 )
 def fold(m: Model):
-    order = F.format_string("%012d-%03d-%012d-%s-%012d", "l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_partkey")
-    rows = m.raw("lineitem").withColumn("title", F.concat("l_linestatus", "l_suppkey")).withColumn("key", order)
+    rows = m.raw("lineitem").withColumn("title", F.concat("l_linestatus", "l_suppkey")).withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus"))
     return rows.groupBy(F.col("l_partkey").alias("film")).agg(
         F.max_by("title", "key").alias("last_title"), F.count_distinct("l_suppkey").alias("people"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("genres"), F.min("l_shipdate").cast("date").cast("string").alias("first_release")
     )
