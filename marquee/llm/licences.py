@@ -1,24 +1,31 @@
 """Licence scan: a trained paragraph classifier.
 
-Paragraphs are the lines of a text. Their features are hashed words and word
-pairs (ASCII letters in lower case, signs as blanks), over the root of their
-number. A multinomial logistic regression tells the licence families from each
+Paragraphs are runs of lines with words; a line without (blank, or of signs, as
+in comments) ends one. Candidates are every line, so that a notice amid other
+lines is found, and for wrapped notices the stretches of lines of one paragraph
+that hold a share of CONFIRM or more of some notice's word pairs, with the
+shortest for each such share and the whole paragraph among them. Their features
+are hashed words and word pairs, across line ends too (ASCII letters in lower
+case, signs as blanks), over the root of their number. A multinomial logistic regression tells the licence families from each
 other and from ``unknown``. It is trained on variants of the families' own
 notices (words dropped, doubled or put around them, halves) and, for unknown,
-on lines of the corpus that no notice resembles: at most SAMPLE_DOCS documents
+on lines of the corpus that no notice resembles or is wrapped in: at most SAMPLE_DOCS documents
 of at most SAMPLE_BYTES, in the order of a hash of the id. A fourth of the
 rows is held back to calibrate: the temperature that makes their probabilities
 most likely, unknown among them.
 
-A paragraph counts for a family when its calibrated probability is LEAST at
+A candidate counts for a family when its calibrated probability is LEAST at
 least and beats the others, and one of the family's notices confirms it: a
-share of CONFIRM of the notice's word pairs stands in the paragraph. Null and
+share of CONFIRM of the notice's word pairs stands in it. Of candidates that
+overlap, the one with the larger share stays (then the shorter). Null and
 empty texts have no paragraph with words; null ids are scanned like others."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, VARIANTS, EPOCHS = 150, 4 << 20, 30, 120
 UNKNOWN = "unknown"
 #: Short notices by which works name their licence.
 NOTICES: dict[str, list[str]] = {
-    "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.", "Released under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the CC BY 4.0 licence."],
@@ -42,7 +49,7 @@ NOTICES: dict[str, list[str]] = {
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 into the public domain.", "Dedicated to the public domain under CC0 1.0."],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "Released under the GPL version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the LGPL version 3.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "Released under the LGPL version 3.", "SPDX-License-Identifier: LGPL-2.1-only"],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission.", "Copyright. All rights reserved.", "Confidential and proprietary. Do not distribute."],
@@ -83,6 +90,68 @@ def featured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return w, rows, doc, pair
 
 
+def joined(w: np.ndarray, lines: np.ndarray, doc: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with those of each line's last word and the first of the next
+    line of its paragraph, and each line's paragraph."""
+    full = np.diff(lines) > 0
+    on = full[:-1] & full[1:] & (doc[:-1] == doc[1:])
+    last = lines[1:-1][on] - 1
+    whole = pair.copy()
+    whole[last] = K.mix(w[last] * np.uint64(K.WORDS_BASE) + w[last + 1])
+    return whole, np.concatenate([[0], np.cumsum(~on)])
+
+
+def shortest(kinds: list[int], level: int) -> Iterator[tuple[int, int]]:
+    """The stretches of ``kinds`` (first, last) with ``level`` distinct ones of
+    which no part has as many."""
+    n: Counter[int] = Counter()
+    left = 0
+    for right, x in enumerate(kinds):
+        n[x] += 1
+        while len(n) > level or n[kinds[left]] > 1:
+            n[kinds[left]] -= 1
+            if not n[kinds[left]]:
+                del n[kinds[left]]
+            left += 1
+        if len(n) == level and n[x] == 1:
+            yield left, right
+
+
+def stretches(pairs: list[list[np.ndarray]], whole: np.ndarray, lines: np.ndarray, paragraph: np.ndarray) -> dict[tuple[int, int], set[int]]:
+    """Stretches of two lines or more (first, last) of one paragraph with a share
+    of CONFIRM or more of a notice's pairs, and the lines where those stand."""
+    notices = [n for f in pairs for n in f if len(n)]
+    known = np.unique(np.concatenate(notices))
+    quick = np.zeros(1 << 16, bool)
+    quick[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    at = np.flatnonzero(quick[(whole & np.uint64(0xFFFF)).astype(np.int64)])
+    at = at[np.isin(whole[at], known)]
+    first = np.searchsorted(lines, at, "right") - 1
+    many = np.bincount(paragraph)[paragraph[first]] > 1
+    at, first = at[many], first[many]
+    if not len(at):
+        return {}
+    last = first + (at == lines[first + 1] - 1)  # a pair across the line's end
+    kind = np.searchsorted(known, whole[at])
+    held = np.stack([np.isin(known, n) for n in notices], 1)
+    groups, group = np.unique(paragraph[first], return_inverse=True)
+    once = np.unique(group * len(known) + kind)
+    n = np.add.reduceat(held[once % len(known)].astype(np.int32), np.searchsorted(once // len(known), np.arange(len(groups))), axis=0)
+    size = held.sum(0)
+    out: dict[tuple[int, int], set[int]] = {}
+    for g, c in zip(*np.nonzero(n / size >= CONFIRM), strict=True):
+        a, b = np.searchsorted(group, [g, g + 1])
+        own = a + np.flatnonzero(held[kind[a:b], c])
+        kinds, starts, ends = kind[own].tolist(), first[own].tolist(), last[own].tolist()
+        found = [(0, len(own) - 1, *(np.searchsorted(paragraph, [groups[g], groups[g] + 1]) - [0, 1]).tolist())]
+        for level in range(int(np.ceil(CONFIRM * size[c] - 1e-9)), n[g, c] + 1):
+            found += [(i, j, starts[i], max(ends[i : j + 1])) for i, j in shortest(kinds, level)]
+        for i, j, x, y in found:
+            if x < y:
+                out.setdefault((x, y), set()).update(starts[i : j + 1], ends[i : j + 1])
+    return out
+
+
 def logits(weights: np.ndarray, bias: np.ndarray, w: np.ndarray, rows: np.ndarray, pair: np.ndarray) -> np.ndarray:
     mask = np.uint64(FEATURES - 1)
     each = weights[(w & mask).astype(np.int64)] + np.where(pair != 0, 1, 0).astype(np.float32)[:, None] * weights[(pair & mask).astype(np.int64)]
@@ -94,6 +163,24 @@ def logits(weights: np.ndarray, bias: np.ndarray, w: np.ndarray, rows: np.ndarra
     return out + bias
 
 
+def stretch_logits(weights: np.ndarray, bias: np.ndarray, w: np.ndarray, lines: np.ndarray, whole: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """As logits, of stretches of lines of one paragraph: of sums over lines, so
+    that many long stretches cost no more."""
+    x, y = min(s[0] for s in spans), max(s[1] for s in spans) + 1
+    a, b = lines[x], lines[y]
+    mask = np.uint64(FEATURES - 1)
+    ends = lines[x + 1 : y + 1] - 1
+    inner = whole[a:b] != 0
+    inner[ends - a] = False
+    each = weights[(w[a:b] & mask).astype(np.int64)] + inner.astype(np.float32)[:, None] * weights[(whole[a:b] & mask).astype(np.int64)]
+    zero = np.zeros((1, weights.shape[1]))
+    own = np.concatenate([zero, np.cumsum(np.add.reduceat(each, lines[x:y] - a, axis=0), axis=0, dtype=np.float64)])
+    over = np.concatenate([zero, np.cumsum(weights[(whole[ends] & mask).astype(np.int64)], axis=0, dtype=np.float64)])
+    i, j = np.array(spans).T - x
+    n = lines[j + x + 1] - lines[i + x]
+    return ((own[j + 1] - own[i] + over[j] - over[i]) / np.sqrt(2 * n - 1)[:, None] + bias).astype(np.float32)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
@@ -104,13 +191,19 @@ def similarity(notices: list[np.ndarray], pairs: np.ndarray) -> float:
     return max(float(np.isin(n, pairs).mean()) if len(n) else 0.0 for n in notices)
 
 
+def notice_pairs() -> list[list[np.ndarray]]:
+    """Each family's notices as sorted hashes of word pairs."""
+    out = []
+    for f in sorted(NOTICES):
+        _, rows, _, p = featured(pa.array(NOTICES[f]))
+        out.append([np.unique(p[a:b][p[a:b] != 0]) for a, b in zip(rows[:-1], rows[1:], strict=True)])
+    return out
+
+
 def train(lines: list[str], seed: int = 5) -> Model:
     """lines: of the corpus; those that resemble a notice are left out."""
     families = [*sorted(NOTICES), UNKNOWN]
-    pairs = []
-    for f in families[:-1]:
-        _, rows, _, p = featured(pa.array(NOTICES[f]))
-        pairs.append([np.unique(p[a:b][p[a:b] != 0]) for a, b in zip(rows[:-1], rows[1:], strict=True)])
+    pairs = notice_pairs()
     kept = []
     if lines:
         _, rows, _, p = featured(pa.array(lines))
@@ -168,12 +261,17 @@ def train(lines: list[str], seed: int = 5) -> Model:
 
 def sample_lines(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     rows = columns(docs, id=id_col, text=text_col).where("id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES // 64)
+    """Lines of the sample, without those that a wrapped notice stands in."""
     total, out = 0, []
+    pairs = notice_pairs()
     for r in sample(rows, "id", SAMPLE_DOCS).collect():  # SAMPLE_DOCS rows
         total += len(r["text"].encode())
         if total > SAMPLE_BYTES:
             break
-        out += [x for x in r["text"].split("\n") if x.strip()]
+        w, lines, doc, pair = featured(pa.array([r["text"]]))
+        whole, paragraph = joined(w, lines, doc, pair)
+        wrapped = set().union(*stretches(pairs, whole, lines, paragraph).values())
+        out += [x for i, x in enumerate(r["text"].split("\n")) if x.strip() and i not in wrapped]
     return out
 
 
@@ -182,12 +280,12 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     ``licence`` (the confirmed family of highest probability, or null),
     ``probability``, ``similarity``, ``n_confirmed``, ``families`` (all that
     are confirmed, sorted, joined by commas) and ``found`` (each confirmed
-    line's number, family, probability and similarity)."""
+    candidate's first line, family, probability, similarity and number of lines)."""
     model = model or train(sample_lines(docs, id_col, text_col))
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = columns(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    found_type = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
+    found_type = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("lines", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
@@ -202,15 +300,30 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
                     p = softmax(logits(m.weights, m.bias, w, lines, pair) / m.temperature)
                     best = p.argmax(1)
                     turn = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                    sure: list[tuple[float, float, int, int, int]] = []  # similarity, probability, family, first and last line
                     for i in np.flatnonzero((best < len(m.families) - 1) & (p.max(1) >= LEAST) & (np.diff(lines) > 0)):
                         s = similarity(m.pairs[best[i]], pair[lines[i] : lines[i + 1]])
-                        if s >= CONFIRM:
-                            found[doc[i]].append({"line": int(turn[i]), "family": m.families[best[i]], "probability": float(p[i, best[i]]), "similarity": s})
+                        sure.append((s, float(p[i, best[i]]), int(best[i]), int(i), int(i)))
+                    whole, paragraph = joined(w, lines, doc, pair)
+                    spans = sorted(stretches(m.pairs, whole, lines, paragraph))
+                    for _, some in groupby(spans, lambda x: paragraph[x[0]]):
+                        own = list(some)
+                        for (x, y), q in zip(own, softmax(stretch_logits(m.weights, m.bias, w, lines, whole, own) / m.temperature), strict=True):
+                            c = int(q.argmax())
+                            if c < len(m.families) - 1 and q[c] >= LEAST:
+                                sure.append((similarity(m.pairs[c], whole[lines[x] : lines[y + 1] - 1]), float(q[c]), c, x, y))
+                    taken = np.zeros(len(doc), bool)
+                    for s, q, c, x, y in sorted(sure, key=lambda v: (-v[0], v[4] - v[3], -v[1], v[3])):
+                        if s >= CONFIRM and not taken[x : y + 1].any():
+                            taken[x : y + 1] = True
+                            found[doc[x]].append({"line": int(turn[x]), "family": m.families[c], "probability": q, "similarity": s, "lines": y - x + 1})
+                    for f in found:
+                        f.sort(key=lambda v: v["line"])
                 top = [max(f, key=lambda x: (x["probability"], x["similarity"], x["family"])) if f else None for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array(n), pa.array([t and t["family"] for t in top], pa.string()), pa.array([t and t["probability"] for t in top], pa.float64()), pa.array([t and t["similarity"] for t in top], pa.float64()), pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted({x["family"] for x in f})) for f in found], pa.string()), pa.array(found, found_type)],
                     names=["id", "n_paragraphs", "licence", "probability", "similarity", "n_confirmed", "families", "found"],
                 )
 
-    out = rows.mapInArrow(run, f"id {kind}, n_paragraphs long, licence string, probability double, similarity double, n_confirmed long, families string, found array<struct<line:int,family:string,probability:double,similarity:double>>")
+    out = rows.mapInArrow(run, f"id {kind}, n_paragraphs long, licence string, probability double, similarity double, n_confirmed long, families string, found array<struct<line:int,family:string,probability:double,similarity:double,lines:int>>")
     return out.withColumnRenamed("id", id_col)

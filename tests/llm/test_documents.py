@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -282,3 +283,32 @@ def test_licences_odd(spark):
     assert [r["n_paragraphs"] for r in rows] == [sum(bool(re.search(r"[0-9A-Za-z\u0080-￿]", x)) for x in (t or "").split("\n")) for t in texts]
     assert licences.scan(frame(spark, []), model).collect() == []
     assert len(licences.scan(frame(spark, ["a b", "a b"], [None, None]), model).collect()) == 2
+
+
+HEADERS = {
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+}
+
+
+@pytest.mark.parametrize("width", [45, 72, 80])
+def test_licences_wrapped(spark, width):
+    """Headers alone, between blank lines, as comments amid code, and two in one paragraph."""
+    texts, want = [], []
+    for family, header in HEADERS.items():
+        lines = textwrap.wrap(header, width)
+        code = ["int main(void) {", "  return 0;", "}"]
+        mit = ["Released under the MIT", "License."]
+        for some, families in ((lines, family), (["A title", "", *lines, "", "plain words"], family), ([*code, *[f" * {x}" for x in lines], *code * 50], family), ([*mit, "some words of the text", *lines], ",".join(sorted([family, "MIT"])))):
+            texts.append("\n".join(some))
+            want.append(families)
+    texts += ["Released under\n\nthe MIT License", "This program is free software:\nplain words of the text"]
+    rows = sorted(licences.scan(frame(spark, texts), licences.train([])).collect(), key=lambda r: r["doc_id"])
+    assert [r["families"] for r in rows][: len(want)] == want
+    assert [r["licence"] for r in rows][len(want) :] == [None, None]
+    assert rows[0]["found"][0]["line"] == 0 and rows[0]["found"][0]["lines"] > 1
+    sampled = licences.sample_lines(frame(spark, texts[1:2]), "doc_id", "text")
+    assert {"A title", "plain words"} <= set(sampled) and not set(sampled) & set(texts[0].split("\n")[: rows[0]["found"][0]["lines"]])
