@@ -224,6 +224,54 @@ def test_mixing(spark, sf_dir):
     assert mixing.mix_sources(frame(spark, [])).collect() == []
 
 
+def expected_marginals(rows):
+    taken = sum(r["tokens"] * r["probability"] for r in rows)
+    out = {k: Counter() for k in ("source", "lang", "topic")}
+    for r in rows:
+        for k in out:
+            out[k][r[f"{k}_cell"]] += r["tokens"] * r["probability"] / taken
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_mixing_expects_the_targets(spark, hot):
+    """The given tables, and a third of the rows in one source."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    if hot:
+        docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
+    rows = mixing.mix_sources(docs).collect()
+    for k, got in expected_marginals(rows).items():
+        rest = sum(r["tokens"] for r in rows if r[f"{k}_cell"] == mixing.OTHER) / sum(r["tokens"] for r in rows)
+        want = {v: t / sum(mixing.TARGETS[k].values()) * (1 - rest) for v, t in mixing.TARGETS[k].items()} | {mixing.OTHER: rest}
+        assert set(got) <= set(want) and all(abs(got[v] - t) < 1e-5 for v, t in want.items())
+    share = sum(r["tokens"] * r["probability"] for r in rows) / sum(r["tokens"] for r in rows)
+    assert abs(share - rows[0]["expected_share"]) < 1e-9 and rows[0]["target_gap"] < 1e-5
+    # a source has too few tokens for the whole share: as many are taken as it allows, to a hundredth
+    own = Counter()
+    for r in rows:
+        own[r["source_cell"]] += r["tokens"]
+    least = min(own.values()) * len(own) / sum(own.values())
+    assert (least < mixing.SHARE) == hot and min(least, mixing.SHARE) * 0.99 < share <= min(least, mixing.SHARE) + 1e-6
+
+
+def test_probabilities_hold_full_cells():
+    rng = np.random.default_rng(3)
+    cells = rng.integers(1, 1000, (4, 3, 5)).astype(float)
+    cells[0] *= 10
+    w = mixing.rake(cells, [np.full(n, 1 / n) for n in cells.shape])
+    for share in (0.1, 0.2, 0.6):
+        p = mixing.probabilities(cells, w, share, np.zeros_like(cells))
+        x = p * cells / (p * cells).sum()
+        assert p.min() >= 0 and p.max() <= 1 and (p * cells).sum() <= share * cells.sum() * (1 + 1e-6)
+        assert all(np.allclose(x.sum(tuple(a for a in range(3) if a != axis)), 1 / n, atol=1e-5) for axis, n in enumerate(cells.shape))
+    # two languages in one source alone: no share has the targets, the nearest are those of the rake
+    apart = np.array([[[5.0], [7.0]], [[30.0], [0.0]]])
+    p = mixing.probabilities(apart, mixing.rake(apart, [np.array([0.2, 0.8]), np.array([0.5, 0.5]), np.ones(1)]), 0.5)
+    assert np.isfinite(p).all() and p.max() <= 1 and p[1, 1, 0] == 0
+
+
 def check_bins(rows, words, lengths):
     bins, docs = defaultdict(list), defaultdict(list)
     for r in rows:
