@@ -14,8 +14,10 @@ over each text's norm, gives all scores. The presence matrix is sparse, so its
 product sums the rows of the features that occur.
 
 The model is fitted on a bounded sample, SAMPLE texts of each language in the
-order of a hash of their id and at most SAMPLE_BYTES; every text is scored
-whole."""
+order of a hash of their id and at most SAMPLE_BYTES, in even shares as far as
+the languages need them. Texts of more than a 64th of this come last, and a text
+that does not fit is skipped; a language of which none fits has its shortest.
+Every text is scored whole."""
 
 from __future__ import annotations
 
@@ -124,6 +126,28 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def within(sizes: list[tuple[str, int]], rows: list[tuple]) -> list[tuple]:
+    """The rows that SAMPLE_BYTES have room for, given (language, size) of each:
+    first within each language's even share, or else its shortest, then others."""
+    share = SAMPLE_BYTES // max(1, len({g for g, _ in sizes}))
+    used: dict[str, int] = {}
+    taken = set()
+    for i, (g, n) in enumerate(sizes):
+        if used.get(g, 0) + n <= share:
+            used[g] = used.get(g, 0) + n
+            taken.add(i)
+    for i, (g, n) in sorted(enumerate(sizes), key=lambda x: x[1][1]):
+        if g not in used:
+            used[g] = n
+            taken.add(i)
+    total = sum(used.values())
+    for i, (_, n) in enumerate(sizes):
+        if i not in taken and total + n <= SAMPLE_BYTES:
+            total += n
+            taken.add(i)
+    return [x for i, x in enumerate(rows) if i in taken]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model:
     """Fits on the rows of ``docs`` that hold ``where`` and have an id, a
     language and a text with a letter."""
@@ -133,11 +157,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # of frequent languages a share that holds the sample for certain is ranked
     n = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()}  # a row for each language
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(8 * SAMPLE / v)) for k, v in n.items()], F.lit(1.0))
-    order = Window.partitionBy("lang").orderBy("u", "id")
+    order = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(SAMPLE_BYTES // 64)), "u", "id")
     few = kept.where(F.col("u") < share).select("id", "lang", "u", F.octet_length("text").alias("size"), has_letter(F.col("text")).alias("ok")).where("ok").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE)
     chosen = sorted((r["turn"], r["lang"], r["id"], r["size"]) for r in few.collect())  # SAMPLE rows a language
-    total = np.cumsum([x[3] for x in chosen])
-    chosen = [x for i, x in enumerate(chosen) if total[i] <= SAMPLE_BYTES or i == 0]
+    chosen = within([(x[1], x[3]) for x in chosen], chosen)
     if not chosen:
         return fit([], [])
     spark = docs.sparkSession

@@ -164,6 +164,23 @@ def test_language_id_odd(spark):
     assert [r["lang_pred"] for r in langid.identify(frame(spark, ["some text"]), none).collect()] == ["und"]
 
 
+def test_language_id_long_texts(spark, monkeypatch):
+    """Texts beyond the sample's budget neither end it nor take a language out."""
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 64 * 1024)
+    words = {"de": "der hund und die katze gehen nicht in das haus ".split(), "en": "the dog with a cat went through this house ".split(), "fr": "le chien avec une chatte qui va dans cette maison ".split()}
+    rng = np.random.default_rng(0)
+    texts, langs = [], []
+    for i in range(90):
+        g = ("de", "en", "fr")[i % 3]
+        langs.append(g)
+        texts.append(" ".join(rng.choice(words[g], 20000 if g == "fr" or i % 9 < 6 else 40)))
+    docs = frame(spark, texts, langs=langs)
+    model = langid.train(docs)
+    assert model.languages == ["de", "en", "fr"]
+    assert [r["lang_pred"] for r in sorted(langid.identify(docs, model).collect(), key=lambda r: r["doc_id"])] == langs
+    assert langid.within([("a", 10), ("a", 70_000), ("b", 90_000), ("b", 80_000), ("a", 20)], [0, 1, 2, 3, 4]) == [0, 3, 4]
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
