@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,15 +66,15 @@ def entry_points(films: DataFrame, assertions: DataFrame, limit: int = 6) -> Dat
     return films.join(n, "entity_id").orderBy(F.desc("installments"), F.desc("routes"), "title", "entity_id").limit(limit)
 
 
-def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, ancestor, depth): transitive closure of a hierarchy, each node
     with itself at depth 0; of several ways the shortest. Every round joins
-    only the last round's new pairs."""
+    only the last round's new pairs, until there are none; cycles end as well."""
     pairs = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent is not null").distinct()
     nodes = pairs.select("child").union(pairs.select("parent")).distinct()
     new = nodes.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
     known = new
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         step = new.join(pairs.withColumnRenamed("child", "ancestor"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
         new = cut(step.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if new.isEmpty():

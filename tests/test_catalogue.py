@@ -196,3 +196,10 @@ def test_constraints(spark):
     assert [r["k"] for r in schemas.duplicates(d, "k", "n").collect()] == ["y"]
     assert {r["k"] for r in schemas.duplicates(d, "k", "n", null_safe=True).collect()} == {"x", "y"}
     assert [r["rule"] for r in schemas.longer_than(d, "k", k=0).collect()] == ["length_k"] * 4
+
+
+def test_closure_has_no_last_level(spark):
+    n = 67
+    tree = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "child long, parent long")
+    got = {tuple(r) for r in lineage.closure(tree, "child", "parent").where("child = 0 or child >= 1000").collect()}
+    assert got == {(0, i, i) for i in range(n + 1)} | {(1000, 1000, 0), (1000, 1001, 1), (1001, 1001, 0), (1001, 1000, 1)}
