@@ -94,11 +94,20 @@ MARKUP: tuple[tuple[str, int | str], ...] = (
 
 
 def without_wikitext(c: Column, depth: int = 8) -> Column:
-    """Readable text of wiki markup: comments and templates (to ``depth``
-    levels) go, links keep their labels, tags go but what they hold stays."""
+    """Readable text of wiki markup: comments and templates go, links keep
+    their labels, tags go but what they hold stays. Templates go in ``depth``
+    passes; texts that still have some take as many more as they have pairs of
+    braces at most."""
+    template = r"\{\{[^{}]*\}\}"
     c = F.regexp_replace(c, "(?s)<!--.*?-->", "")
     for _ in range(depth):
-        c = F.regexp_replace(c, r"\{\{[^{}]*\}\}", "")
+        c = F.regexp_replace(c, template, "")
+
+    def rest(s: Column) -> Column:
+        pairs = ((F.length(s) - F.length(F.translate(s, "{", ""))) / 2).cast("int")
+        return F.when(s.rlike(template), F.aggregate(F.array_repeat(F.lit(0), pairs), s, lambda t, _: F.regexp_replace(t, template, ""))).otherwise(s)
+
+    c = F.transform(F.array(c), rest)[0]  # so that c is computed once
     for pattern, kept in MARKUP:
         c = F.regexp_replace(c, pattern, f"${kept}" if isinstance(kept, int) else kept)
     return collapse(c)

@@ -203,3 +203,12 @@ def test_closure_has_no_last_level(spark):
     tree = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "child long, parent long")
     got = {tuple(r) for r in lineage.closure(tree, "child", "parent").where("child = 0 or child >= 1000").collect()}
     assert got == {(0, i, i) for i in range(n + 1)} | {(1000, 1000, 0), (1000, 1001, 1), (1001, 1001, 0), (1001, 1000, 1)}
+
+
+def test_templates_of_any_depth(spark):
+    for depth in (1, 8, 9, 40):
+        wiki = "before " + "{{a|" * depth + "x" + "}}" * depth + " {{open after"
+        assert one(spark, text.without_wikitext, wiki) == text.readable(wiki) == "before {{open after"
+    deep = "{{a|" * 12 + "}}" * 12
+    assert one(spark, text.paragraphs_packed, f"One.\n\n{deep}\n\nTwo.") == ["One.\n\nTwo."]
+    assert one(spark, text.without_wikitext, None) is None
