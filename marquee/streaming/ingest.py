@@ -24,11 +24,16 @@ LEDGER = "run string, batch long, seen long, created long, reused long, status s
 
 
 def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table: str, ledger: str, checkpoint: str, run: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Drains ``source`` (JSON lines) into ``table``."""
+    """Drains ``source`` (JSON lines) into ``table``. The ledger has a row of a
+    batch when it starts (running) and when it ends (complete or failed)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
 
+    def note(s: SparkSession, n: int, status: str, seen: int = 0, created: int = 0) -> None:
+        s.createDataFrame([(run, n, seen, created, seen - created, status)], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+
     def merge(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
+        note(s, n, "running")
         batch = batch.persist()
         try:
             held = read_or_empty(s, table, schema)
@@ -36,8 +41,11 @@ def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table:
             seen, created = batch.count(), fresh.count()
             if created:
                 fresh.write.mode("append").parquet(table)
-            s.createDataFrame([(run, n, seen, created, seen - created, "complete")], LEDGER).write.mode("append").parquet(ledger)
+            note(s, n, "complete", seen, created)
             fresh.unpersist()
+        except Exception:
+            note(s, n, "failed")
+            raise
         finally:
             batch.unpersist()
 
@@ -45,9 +53,15 @@ def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table:
 
 
 def runs(spark: SparkSession, ledger: str) -> DataFrame:
-    """One row per run: its batches and counters."""
-    rows = read_or_empty(spark, ledger, LEDGER).dropDuplicates(["run", "batch"])
-    return rows.groupBy("run").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("seen", "created", "reused")])
+    """One row per run: its complete batches and counters, and ``status``: failed
+    or running if one of its batches is and was not completed since by that run."""
+    rows = read_or_empty(spark, ledger, LEDGER)
+    done = rows.where("status = 'complete'").dropDuplicates(["run", "batch"])
+    left = rows.where("status <> 'complete'").join(done.select("run", "batch"), ["run", "batch"], "left_anti")
+    open_ = left.groupBy("run").agg(F.min("status").alias("open"))  # failed before running
+    told = done.groupBy("run").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("seen", "created", "reused")])
+    told = rows.select("run").distinct().join(told, "run", "left").join(open_, "run", "left")
+    return told.select("run", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("batches", "seen", "created", "reused")], F.coalesce("open", F.lit("complete")).alias("status"))
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -104,6 +104,25 @@ def test_ingest_resumes(spark, tmp_path):
     assert told == {"r1": (2, 4, 3, 1), "r2": (1, 1, 0, 1)}
 
 
+def test_ledger_of_a_failed_batch(spark, tmp_path, monkeypatch):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('{"id": 1, "v": "a"}\n')
+    args = (spark, str(src), "id long, v string", ["id"], *[str(tmp_path / x) for x in ("table", "ledger", "ckpt")])
+
+    def broken(*_):
+        raise ValueError("broken")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "new_rows", broken)
+        with pytest.raises(Exception, match="broken"):
+            ingest.ingest(*args, "r1").awaitTermination()
+    assert [(r["run"], r["batches"], r["status"]) for r in ingest.runs(spark, args[5]).collect()] == [("r1", 0, "failed")]
+    ingest.ingest(*args, "r2").awaitTermination()
+    assert sorted(r["status"] for r in spark.read.parquet(args[5]).collect()) == ["complete", "failed", "running", "running"]
+    assert {(r["run"], r["batches"], r["status"]) for r in ingest.runs(spark, args[5]).collect()} == {("r1", 0, "failed"), ("r2", 1, "complete")}
+
+
 def test_windowed_counts(spark, tmp_path):
     src = tmp_path / "ev"
     src.mkdir()
