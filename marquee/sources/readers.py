@@ -113,8 +113,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def link_only_works(works: DataFrame, films: DataFrame) -> DataFrame:
-    """Violations (work, rule) of a manifest of critical works; an empty result
-    means that all of it may be taken."""
+    """Violations (work, rule) of the works' own fields; critical_works has all
+    rules of a manifest."""
     w = works.withColumn("work", F.coalesce("external_id", F.lit("?")))
     rules = F.array_compact(
         F.array(
@@ -130,6 +130,27 @@ def link_only_works(works: DataFrame, films: DataFrame) -> DataFrame:
     return own.union(unknown).distinct()
 
 
+ROLES = ("primary", "comparison", "context")
+
+
+def critical_works(works: DataFrame, films: DataFrame) -> DataFrame:
+    """Violations (work, rule) of a manifest of critical works, with those of
+    link_only_works; an empty result means that all of it may be taken. The
+    columns ``source`` (a struct) and ``authors`` (an array of strings) and those
+    of the kind, licence and language have to be there."""
+    filled = lambda c: F.coalesce(c.rlike(r"\S"), F.lit(False))
+    rules = F.array_compact(
+        F.array(
+            *[F.when(~filled(F.col(c)), F.lit(f"empty_{c}")) for c in ("work_kind", "work_license", "language_code")],
+            *[F.when(~filled(F.col("source")[c]), F.lit(f"empty_source_{c}")) for c in ("name", "url", "source_type", "license", "rights_status")],
+            F.when(~F.coalesce(F.forall("authors", filled), F.lit(False)), F.lit("authors")),
+            F.when(F.exists("subjects", lambda s: ~F.coalesce(s["role"].isin(*ROLES), F.lit(False))), F.lit("subject_role")),
+        )
+    )
+    more = works.select(F.coalesce("external_id", F.lit("?")).alias("work"), F.explode(rules).alias("rule"))
+    return link_only_works(works, films).union(more).distinct()
+
+
 def parse_robots(body: str, agent: str) -> list[tuple[str, str]]:
     """The rules that hold for an agent: those of its own group, else of *."""
     groups: dict[str, list[tuple[str, str]]] = {}

@@ -71,6 +71,22 @@ def test_works_and_robots(spark):
         readers.critical_manifest_json('{"works": 1}')
 
 
+def test_critical_works(spark):
+    films = spark.createDataFrame([("Q1",)], "qid string")
+    schema = "external_id string, title string, canonical_url string, rights_scope string, published_on string, work_kind string, work_license string, language_code string, authors array<string>, source struct<name:string,url:string,source_type:string,license:string,rights_status:string>, subjects array<struct<wikidata_id:string,role:string>>"
+    own = ("T", "u", "metadata_link_only", None)
+    good = ("n", "u", "t", "l", "r")
+    rows = [
+        ("a", *own, "essay", "l", "en", ["A B"], good, [("Q1", "primary"), ("Q1", "context")]),
+        ("b", *own, " ", "l", None, ["A", " "], good, [("Q1", "main")]),
+        ("c", *own, "essay", "l", "en", None, ("n", "", "t", None, "r"), [("Q1", None)]),
+        ("d", *own, "essay", "", "en", [None], None, [("Q9", "primary")]),
+    ]
+    want = {("b", "empty_work_kind"), ("b", "empty_language_code"), ("b", "authors"), ("b", "subject_role"), ("c", "authors"), ("c", "empty_source_url"), ("c", "empty_source_license"), ("c", "subject_role"), ("d", "empty_work_license"), ("d", "authors"), ("d", "unknown_subject")}
+    want |= {("d", f"empty_source_{c}") for c in ("name", "url", "source_type", "license", "rights_status")}
+    assert {tuple(r) for r in readers.critical_works(spark.createDataFrame(rows, schema), films).collect()} == want
+
+
 def test_sinks(spark, tmp_path):
     p = spark.createDataFrame([("s", "one"), ("s", "two"), ("s", "one")], "source string, body string")
     folder = str(tmp_path / "blobs")
