@@ -24,7 +24,8 @@ work between chunks is a matrix product for each pair of them.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing, and neither do vectors of different lengths. Rows with a null id
-come back with null results. Ids are taken as unique."""
+come back with null results. Every other row is a vector of its own, also where
+its id repeats; a component is named by the smallest id in it."""
 
 from __future__ import annotations
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import columns, components, cut, finite_vector, sample
+from marquee.llm.shared import columns, components, cut, finite_vector, sample, tagged
 
 THRESHOLD = 0.9
 TOP_SAMPLE, TOP_CELLS, CHUNK = 4096, 64, 2048
@@ -257,7 +258,10 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     spark = table.sparkSession
     rows = columns(table, id=id_col, x=vector_col).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     valid = rows.where("id is not null").where(finite_vector(F.col("x"))).withColumn("x", F.transform("x", lambda v: v + F.lit(0.0)))
-    groups = cut(valid.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).withColumn("dim", F.size("x")), "vectors")
+    # a vector is a node by its smallest id, or, where ids repeat, by a number of its own
+    _, repeated = tagged(valid.select("id"), "id", "id")
+    groups = valid.groupBy("x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"))
+    groups = cut(groups.select("x", "least", (F.monotonically_increasing_id() if repeated else F.col("least")).alias("id"), "w", F.size("x").alias("dim")), "vectors")
     few: dict[int, list] = {}
     for r in sample(groups.select("id", "dim", "x"), "id", TOP_SAMPLE).collect():  # TOP_SAMPLE rows
         few.setdefault(r["dim"], []).append(r["x"])
@@ -277,7 +281,7 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                     cell[at], far[at] = dist.argmin(1), dist.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
 
-    placed = cut(groups.mapInArrow(cells, "x array<double>, id long, w long, dim int, cell int, far double"), "cells")
+    placed = cut(groups.select("x", "id", "w", "dim").mapInArrow(cells, "x array<double>, id long, w long, dim int, cell int, far double"), "cells")
     # at most TOP_CELLS rows for each length of vector
     stats = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
     reach = float(np.sqrt(2 - 2 * threshold))
@@ -310,8 +314,11 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     links = cut(put.repartition(tasks, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(pair_rows(threshold), "id long, n long, root long"), "found")
     comps = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("id").agg(F.sum("n").alias("links"))
-    told = groups.select("id", "w", "x").join(sums, "id", "left").join(comps, "id", "left").where("w > 1 or links > 0")
-    told = told.select(F.col("id").alias("rep"), F.col("x").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    if repeated:
+        least = groups.select("id", "least").join(comps, "id").groupBy("root").agg(F.min("least").alias("name"))
+        comps = comps.join(least, "root").select("id", F.col("name").alias("root"))
+    told = groups.select("id", "least", "w", "x").join(sums, "id", "left").join(comps, "id", "left").where("w > 1 or links > 0")
+    told = told.select(F.col("x").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id"))
     out = rows.withColumn("y", F.transform("x", lambda v: v + F.lit(0.0))).join(told, F.col("y") == F.col("same"), "left")
     comp = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"), F.when(F.col("id").isNotNull(), comp).alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"))

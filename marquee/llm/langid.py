@@ -17,7 +17,8 @@ The model is fitted on a bounded sample, SAMPLE texts of each language in the
 order of a hash of their id and at most SAMPLE_BYTES, in even shares as far as
 the languages need them. Texts of more than a 64th of this come last, and a text
 that does not fit is skipped; a language of which none fits has its shortest.
-Every text is scored whole."""
+Of more than LANGUAGES languages the most frequent ones are learnt. Rows that
+repeat id, language and text count once. Every text is scored whole."""
 
 from __future__ import annotations
 
@@ -35,7 +36,7 @@ from marquee.llm.shared import columns
 
 NGRAMS = (2, 3, 4)
 FEATURES = 1 << 16
-SAMPLE, SAMPLE_BYTES, LANDMARKS, RIDGE = 300, 24 << 20, 128, 1e-2
+SAMPLE, SAMPLE_BYTES, LANGUAGES, LANDMARKS, RIDGE = 300, 24 << 20, 256, 128, 1e-2
 UNKNOWN = "und"
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -154,20 +155,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     kept = docs if where is None else docs.where(where)
     kept = columns(kept, id=id_col, text=text_col, lang=lang_col).where("id is not null and lang is not null and text is not null")
     kept = kept.withColumn("u", F.xxhash64("id").bitwiseAND((1 << 53) - 1) / float(1 << 53))
+    spark = docs.sparkSession
     # of frequent languages a share that holds the sample for certain is ranked
-    n = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()}  # a row for each language
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(8 * SAMPLE / v)) for k, v in n.items()], F.lit(1.0))
-    order = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(SAMPLE_BYTES // 64)), "u", "id")
-    few = kept.where(F.col("u") < share).select("id", "lang", "u", F.octet_length("text").alias("size"), has_letter(F.col("text")).alias("ok")).where("ok").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE)
-    chosen = sorted((r["turn"], r["lang"], r["id"], r["size"]) for r in few.collect())  # SAMPLE rows a language
-    chosen = within([(x[1], x[3]) for x in chosen], chosen)
+    top = kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows
+    if not top:
+        return fit([], [])
+    shares = spark.createDataFrame([(r["lang"], 8 * SAMPLE / r["count"]) for r in top], f"lang {kept.schema['lang'].dataType.simpleString()}, share double")
+    few = kept.join(F.broadcast(shares), "lang").where("u < share")
+    few = few.select("id", "lang", "u", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"), has_letter(F.col("text")).alias("ok")).where("ok")
+    order = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(SAMPLE_BYTES // 64)), "u", "id", "h")
+    few = few.dropDuplicates(["lang", "id", "h"]).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE)
+    chosen = sorted((r["turn"], r["lang"], r["id"], r["h"], r["size"]) for r in few.collect())  # SAMPLE rows a language
+    chosen = within([(x[1], x[4]) for x in chosen], chosen)
     if not chosen:
         return fit([], [])
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(x[2],) for x in chosen], f"id {kept.schema['id'].dataType.simpleString()}")
-    rows = kept.join(F.broadcast(wanted), "id", "left_semi").collect()
-    found = {(r["id"], r["lang"]): r["text"] for r in rows}
-    pairs = [(found[i, lang], lang) for _, lang, i, _ in chosen if (i, lang) in found]
+    wanted = spark.createDataFrame([(x[2], x[1], x[3]) for x in chosen], f"id {kept.schema['id'].dataType.simpleString()}, lang {kept.schema['lang'].dataType.simpleString()}, h long")
+    rows = kept.select("id", "lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(wanted), ["id", "lang", "h"], "left_semi")
+    found = {(r["id"], r["lang"], r["h"]): r["text"] for r in rows.dropDuplicates(["id", "lang", "h"]).collect()}  # SAMPLE rows a language
+    pairs = [(found[i, lang, h], lang) for _, lang, i, h, _ in chosen]
     return fit([p[0] for p in pairs], [p[1] for p in pairs])
 
 

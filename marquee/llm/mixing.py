@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import kernels as K
-from marquee.llm.shared import columns, cut
+from marquee.llm.shared import columns, cut, tagged
 
 TOPICS, SHARE, ROUNDS, CLOSE = 8, 0.6, 200, 1e-9
 BOUND_ROUNDS, BOUND_CLOSE = 500, 1e-6
@@ -43,7 +43,8 @@ TARGETS: dict[str, dict[str, float]] = {
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (id, source, lang, text) -> id, source, lang, topic, tokens."""
+    """mapInArrow: (id, tag, source, lang, text) -> id, tag, source, lang, topic,
+    tokens."""
     K.lean()
     for batch in batches:
         texts = batch.column("text")
@@ -58,7 +59,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.bincount(doc[long] * TOPICS + group[long], minlength=(b - a) * TOPICS).reshape(-1, TOPICS)
             tokens.append(n)
             topics += [f"topic{t}" if some else None for t, some in zip(table.argmax(1), table.any(1), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("lang"), pa.array(topics, pa.string()), pa.array(np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64))], names=["id", "source", "lang", "topic", "tokens"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topics, pa.string()), pa.array(np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64))], names=["id", "tag", "source", "lang", "topic", "tokens"])
 
 
 def rake(cells: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
@@ -169,11 +170,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: ``id_col``, ``source_cell``, ``lang_cell``,
     ``topic_cell``, ``tokens``, ``weight`` (the factor of its cell over the
     plain share), ``probability``, ``kept``, and, the same in all rows,
-    ``expected_share`` of all tokens and ``target_gap``. Null and empty texts have no tokens
-    and take their cell's probability; null ids are not kept."""
+    ``expected_share`` of all tokens and ``target_gap``; and ``tag``, which with
+    the id names the document (see tagged). Null and empty texts have no tokens
+    and take their cell's probability. Rows of one id share the draw, but each
+    has its cell's probability."""
     rows = columns(docs, id=id_col, source=source_col, lang=lang_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.select("id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(measured, f"id {kind}, source string, lang string, topic string, tokens long")
+    rows, _ = tagged(rows.select("id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text"), "id", "text", "source", "lang")
+    rows = rows.select("id", "tag", "source", "lang", "text").mapInArrow(measured, f"id {kind}, tag long, source string, lang string, topic string, tokens long")
     names = ("source", "lang", "topic")
     for k in names:
         rows = rows.withColumn(k, F.when(F.col(k).isin(sorted(targets[k])), F.col(k)).otherwise(F.lit(OTHER)))
@@ -196,6 +200,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = cells / max(1.0, cells.sum())
     spark = docs.sparkSession
     table = spark.createDataFrame([(*[v[i] for v, i in zip(values, at, strict=True)], float(weights[at] / plain[at]) if plain[at] else 0.0, float(p[at]) if plain[at] else 1.0) for at in np.ndindex(cells.shape)], "source string, lang string, topic string, weight double, probability double")
-    u = (F.xxhash64(F.lit("mix"), "id").bitwiseAND((1 << 53) - 1)) / float(1 << 53)
+    u = (F.xxhash64(F.lit("mix"), F.coalesce(F.col("id").cast("string"), F.col("tag").cast("string"))).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
     out = rows.join(F.broadcast(table), list(names))  # the cells that the targets allow
-    return out.select(F.col("id").alias(id_col), F.col("source").alias("source_cell"), F.col("lang").alias("lang_cell"), F.col("topic").alias("topic_cell"), "tokens", "weight", "probability", (F.col("id").isNotNull() & (u < F.col("probability"))).alias("kept"), F.lit(float(taken.sum() / max(1.0, cells.sum()))).alias("expected_share"), F.lit(gap).alias("target_gap"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias("source_cell"), F.col("lang").alias("lang_cell"), F.col("topic").alias("topic_cell"), "tokens", "weight", "probability", (u < F.col("probability")).alias("kept"), F.lit(float(taken.sum() / max(1.0, cells.sum()))).alias("expected_share"), F.lit(gap).alias("target_gap"), "tag")

@@ -22,7 +22,10 @@ is at least the threshold.
 
 Nulls, empty texts and texts without words have no shingles and link with
 nothing; 1 to 4 words are one shingle. Rows with a null id take no part and
-are returned with null results. Repeated rows count as copies."""
+are returned with null results. Every other row is a document: rows that repeat
+an id count as copies where the text is the same and as documents of their own
+where it is not. A group is named by the smallest id in it, so groups that share
+that id share the name; ``kept`` tells them apart."""
 
 from __future__ import annotations
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import kernels as K
-from marquee.llm.shared import columns, components, cut, shuffle_parts
+from marquee.llm.shared import columns, components, cut, shuffle_parts, tagged
 
 BANDS, ROWS = 50, 5
 STEP, STEPS, TOLERANCE = 16, 4, 1e-6
@@ -61,7 +64,7 @@ def signatures(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, tags, texts = batch.columns
             for a, b in K.pieces(texts):
                 h, offs = K.shingles(texts.slice(a, b - a), ngram)
                 n = np.diff(offs)
@@ -76,8 +79,8 @@ def signatures(ngram: int):
                     keys = K.mix(keys * np.uint64(K.WORDS_BASE) + m[:, :, r])
                 keys = (keys & ~np.uint64(LOW - 1)) | np.arange(BANDS, dtype=np.uint64)
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["id", "n", "fp1", "fp2", "keys"],
+                    [ids.slice(a, b - a), tags.slice(a, b - a), pa.array(n.astype(np.int32)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))],
+                    names=["id", "tag", "n", "fp1", "fp2", "keys"],
                 )
 
     return run
@@ -187,25 +190,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: ``id_col``, ``class_id`` (smallest id of its
     near-duplicate group), ``n_links`` (other documents of similarity at least
     the threshold, copies included), ``copy_of`` (smallest id with an equal
-    shingle set), ``n_shingles``."""
+    shingle set), ``n_shingles``, ``tag`` (see tagged) and ``kept``, true for the
+    document that stands for its group and for rows that repeat it."""
     spark = docs.sparkSession
     docs = columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    real = docs.where("id is not null")
-    sig = cut(real.mapInArrow(signatures(ngram), "id long, n int, fp1 long, fp2 long, keys array<long>"), "signatures")
-    classes = sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("keys").alias("keys"))
-    classes = cut(classes, "classes")
-    met = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("a")).where("docs > 1")
+    real, repeated = tagged(docs.where("id is not null"), "id", "text")
+    sig = cut(real.select("id", "tag", "text").mapInArrow(signatures(ngram), "id long, tag long, n int, fp1 long, fp2 long, keys array<long>"), "signatures")
+    classes = sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("id", "tag")).alias("rep"), F.count(F.lit(1)).alias("w"), F.first("keys").alias("keys"))
+    # a class is a node by its smallest id, or, where ids repeat, by a number of its own
+    node = F.monotonically_increasing_id() if repeated else F.col("rep.id")
+    classes = cut(classes.select("fp1", "fp2", "n", "w", "keys", F.col("rep.id").alias("rep"), F.col("rep.tag").alias("rep_tag"), node.alias("node")), "classes")
+    met = classes.select(F.explode("keys").alias("key"), "node", "n")
+    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("a")).where("docs > 1")
     # of buckets with the same members one stays
     buckets = cut(buckets.groupBy("docs", "x", "a").agg(F.min("key").alias("key")).select("key", "docs"), "buckets")
     # merge joins at every size: no side is bounded, and the plan stays the same
     met = cut(met.join(buckets.hint("merge"), "key"), "met")
     large = met.groupBy("key").agg(F.max("docs").alias("docs"), F.sum("n").alias("size"))
     large = large.select("key", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
-    met = met.join(large, "key", "left").select("key", "rep", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    places = met.groupBy("rep").agg(F.collect_list("key").alias("keys"), F.collect_list("blocks").alias("blocks"))  # at most BANDS each
-    places = places.join(classes.select("rep", "w"), "rep")
-    put = real.join(places.hint("merge"), real["id"] == places["rep"]).select("id", "text", "w", "keys", F.explode(F.arrays_zip("keys", "blocks")).alias("p"))
+    met = met.join(large, "key", "left").select("key", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    places = met.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list("blocks").alias("blocks"))  # at most BANDS each
+    places = places.join(classes.select("node", "rep", "rep_tag", "w"), "node")
+    texts = real.dropDuplicates(["id", "tag"]) if repeated else real
+    put = texts.join(places.hint("merge"), (texts["id"] == places["rep"]) & (texts["tag"] == places["rep_tag"])).select(F.col("node").alias("id"), "text", "w", "keys", F.explode(F.arrays_zip("keys", "blocks")).alias("p"))
     put = put.select("id", "text", "w", "keys", F.col("p.keys").alias("key"), F.col("p.blocks").alias("blocks"), F.pmod(F.xxhash64("id"), F.col("p.blocks")).cast("int").alias("block"))
     # a block meets itself and each other block of its bucket once
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "text", "w", "keys", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -214,9 +221,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("n").alias("links")).join(comps, "id", "left")
     # classes that hold more than one document or have links; the others stand alone
-    told = classes.select("rep", "fp1", "fp2", F.col("n").alias("size"), "w").join(sums.withColumnRenamed("id", "rep"), "rep", "left").where("w > 1 or links > 0")
-    told = told.select("rep", "fp1", "fp2", "size", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root"))
-    rows = sig.select("id", "n", "fp1", "fp2").join(told, (sig["fp1"] == told["fp1"]) & (sig["fp2"] == told["fp2"]) & (sig["n"] == told["size"]), "left")
-    rows = rows.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("rep", "id").alias("copy_of"), F.col("n").alias("n_shingles"))
-    none = docs.where("id is null").select(F.col("id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in (("class_id", "long"), ("n_links", "long"), ("copy_of", "long"), ("n_shingles", "int"))])
+    told = classes.select("node", "rep", "rep_tag", "fp1", "fp2", F.col("n").alias("size"), "w").join(sums.withColumnRenamed("id", "node"), "node", "left").where("w > 1 or links > 0")
+    told = told.select("rep", "rep_tag", "fp1", "fp2", "size", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("root"))
+    if repeated:
+        told = cut(told, "told")
+        least = told.groupBy("root").agg(F.min(F.struct("rep", "rep_tag")).alias("top"))
+        told = told.join(least, "root").withColumn("root", F.col("top.rep")).withColumn("root_tag", F.col("top.rep_tag")).drop("top")
+    else:
+        told = told.withColumn("root_tag", F.lit(0).cast("long"))
+    rows = sig.select("id", "tag", "n", "fp1", "fp2").join(told, (sig["fp1"] == told["fp1"]) & (sig["fp2"] == told["fp2"]) & (sig["n"] == told["size"]), "left")
+    kept = F.col("root").isNull() | ((F.col("id") == F.col("root")) & (F.col("tag") == F.col("root_tag")))
+    rows = rows.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("rep", "id").alias("copy_of"), F.col("n").alias("n_shingles"), "tag", kept.alias("kept"))
+    none = docs.where("id is null").select(F.col("id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in (("class_id", "long"), ("n_links", "long"), ("copy_of", "long"), ("n_shingles", "int"))], F.xxhash64("text").alias("tag"), F.lit(True).alias("kept"))
     return rows.union(none)

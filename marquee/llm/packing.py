@@ -2,8 +2,9 @@
 
 Documents become items of their words and one end mark; what is longer than the
 longest permitted length is cut into full sequences and a rest. Items are dealt
-by a hash of the id to groups of GROUP_TOKENS tokens or so, and each group is
-packed on its own: the number of groups follows the data, their size does not.
+by a hash of the id and of their place in the input to groups of GROUP_TOKENS
+tokens or so, and each group is packed on its own: the number of groups follows
+the data, their size does not, whatever ids are null or repeat.
 
 Within a group items go, longest first, into the open bin that they fill best.
 Where none has room a bin opens, of the permitted length with the least cost a
@@ -13,7 +14,8 @@ the longest that may be opened freely, and the packing of least total cost
 stays. A sequence of length c costs OVERHEAD + c (1 + c / ATTENTION).
 
 Null texts and texts without words are items of no tokens, without a bin. Rows
-with null ids are packed like others; repeated rows are packed again."""
+with null ids are packed like others; repeated rows are packed again. The same
+input files give the same groups."""
 
 from __future__ import annotations
 
@@ -95,14 +97,14 @@ def grouped(lengths: tuple[int, ...]):
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (id, text) -> (id, tokens)."""
+    """mapInArrow: (id, text) -> (id, tokens, place), the place in the batch."""
     K.lean()
     for batch in batches:
         tokens = np.zeros(batch.num_rows, np.int64)
         for a, b in K.pieces(batch.column("text")):
             data, offs = K.raw(batch.column("text").slice(a, b - a))
             tokens[a:b] = np.diff(K.word_bounds(data, offs)[2])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens + (tokens > 0))], names=["id", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens + (tokens > 0)), pa.array(np.arange(batch.num_rows, dtype=np.int32))], names=["id", "tokens", "place"])
 
 
 def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -111,10 +113,10 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     name the sequence, ``bin_offset`` and ``bin_length``."""
     rows = columns(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    rows = cut(rows.mapInArrow(counted, f"id {kind}, tokens long"), "items")
+    rows = cut(rows.mapInArrow(counted, f"id {kind}, tokens long, place int"), "items")
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, -(-int(total) // GROUP_TOKENS))
-    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("id", "place"), F.lit(groups))).drop("place")
     # groups are small to read and long to pack: not many to a task
     out = rows.repartition(min(groups, 20_000), "bin_group").groupBy("bin_group").applyInArrow(grouped(tuple(sorted(lengths))), f"id {kind}, piece int, start long, tokens long, bin_group long, bin int, bin_offset long, bin_length int")
     return out.withColumnRenamed("id", id_col)

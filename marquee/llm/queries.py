@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import cover_tree, langid, licences, mixing, ngram_join, nn_descent, packing, sharding, substring_dedup, warc
+from marquee.llm.pipeline import run
+from marquee.llm.shared import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return settled(spark, "op1", lambda: ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("tag", "kept"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,19 +27,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return settled(spark, "op3", lambda: sharding.shard(table(spark, sf_dir, "documents"), shards=16))
 
 
 def op4_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_tree.embedding_dedup(table(spark, sf_dir, "embeddings"))
+    return settled(spark, "op4", lambda: cover_tree.embedding_dedup(table(spark, sf_dir, "embeddings")))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return settled(spark, "op5", lambda: mixing.mix_sources(table(spark, sf_dir, "documents")).drop("tag"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+    return settled(spark, "op6", lambda: packing.best_fit_packing(table(spark, sf_dir, "documents")))
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,21 +47,22 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return settled(spark, "op8", lambda: substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 def op9_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn_descent.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return settled(spark, "op9", lambda: nn_descent.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0))
 
 
 def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    def told() -> DataFrame:
+        folder = warc.write(table(spark, sf_dir, "pages"))
+        return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+    return settled(spark, "op10", told)
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_pipeline import run
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 

@@ -14,8 +14,6 @@ up and joined, so that no task numbers more than its own partition."""
 
 from __future__ import annotations
 
-from math import ceil, log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -27,10 +25,9 @@ JUMP = 2862933555777941757
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """The shard, 0 to shards - 1, of a 64-bit key. A key makes ln(shards) + 1
-    jumps on average; the fold has room for all that can happen below 64
-    shards, and beyond for more than any key needs but one in 10**15."""
-    steps = shards if shards <= 64 else min(shards, ceil(4 * log(shards)) + 48)
+    """The shard, 0 to shards - 1, of a 64-bit key. Every jump goes up by one at
+    least, so ``shards`` steps are room for any key; a key makes ln(shards) + 1
+    jumps on average and passes the other steps on as it is."""
     unsigned = F.when(key < 0, key.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(key.cast("decimal(20,0)"))
 
     def step(s: Column, _: Column) -> Column:
@@ -39,7 +36,7 @@ def jump_hash(key: Column, shards: int) -> Column:
         return F.when(s["j"] >= shards, s).otherwise(F.struct(s["j"].alias("b"), k.alias("k"), F.floor((s["j"] + 1) * (F.lit(float(1 << 31)) / (high + 1))).cast("long").alias("j")))
 
     start = F.struct(F.lit(-1).cast("long").alias("b"), unsigned.cast("decimal(20,0)").alias("k"), F.lit(0).cast("long").alias("j"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["b"].cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

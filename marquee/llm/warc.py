@@ -1,8 +1,9 @@
 """WARC archives compressed with a Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of the payloads (SAMPLE records,
-SAMPLE_BYTES), embedded in a skippable frame that leads each archive, and every
-record is a Zstandard frame of its own that uses it. Records are ``response``
+A dictionary is trained on a bounded sample of the payloads: the first PIECE
+bytes of each of SAMPLE of them. It is embedded in a skippable frame that leads
+each archive, and every record, whole whatever its size, is a Zstandard frame
+of its own that uses it. Records are ``response``
 with the whole payload, or, where an equal payload of at least LEAST bytes is
 archived under a smaller id, ``revisit`` with a reference to it.
 
@@ -14,7 +15,9 @@ bytes of payload or so; they are read back through Spark's binary file source.
 
 Null and empty payloads are empty. Null URLs are archived as urn:page:<id>,
 line breaks in URLs are escaped. Rows with a null id are responses that nothing
-refers to. Repeated rows are archived again."""
+refers to. Rows of one id with different payloads are records of their own, each
+a response or a revisit by its own payload; rows that repeat id and payload are
+archived again."""
 
 from __future__ import annotations
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from marquee.llm.shared import columns, cut, sample, shared_dir
 
 LEAST, ARCHIVE = 100, 64 << 20
-SAMPLE, SAMPLE_BYTES, DICTIONARY, LEVEL = 2000, 8 << 20, 112_640, 3
+SAMPLE, PIECE, DICTIONARY, LEVEL = 2000, 4096, 112_640, 3
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,20 +146,14 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
-    few, total = [], 0
-    short = columns(pages, id=id_col, html=payload_col).where("id is not null").where(F.octet_length("html") <= SAMPLE_BYTES // 64)
-    for r in sample(short.select("id", F.col("html").cast("binary").alias("html")), "id", SAMPLE).collect():  # SAMPLE rows
-        total += len(r["html"])
-        if total > SAMPLE_BYTES:
-            break
-        few.append(bytes(r["html"]))
+    some = columns(pages, id=id_col, html=payload_col).where("id is not null").select("id", F.substring(F.col("html").cast("binary"), 1, PIECE).alias("html"))
+    few = [bytes(r["html"]) for r in sample(some.where(F.length("html") > 0), "id", SAMPLE).collect()]  # SAMPLE pieces
     held = spark.sparkContext.broadcast(train(few))  # DICTIONARY bytes
     meta = rows.where("id is not null").where(F.length("html") >= LEAST).select("id", "digest")
     first = meta.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest", "first")
-    revisits = cut(meta.join(first, "digest").where("id <> first").select("id", "first").distinct(), "revisits")
-    put = rows.join(revisits.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"), "left").select("id", "url", "html", "digest", "first")
-    # a page's payload may be shorter in one of several rows of its id
-    put = put.withColumn("first", F.when(F.length("html") >= LEAST, F.col("first")))
+    revisits = cut(meta.join(first, "digest").where("id <> first").distinct(), "revisits")
+    # an id may come with several payloads, so that it takes both to tell
+    put = rows.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "digest", "first")
     # in the same order in every attempt, so that it fills the same archives
     put = put.sortWithinPartitions("id", "digest")
     cut(put.mapInArrow(writer(folder, held, ARCHIVE), "archive string, n long, bytes long"), "archives")

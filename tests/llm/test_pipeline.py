@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline as cp
 from marquee.llm import mixing, packing
+from marquee.llm import pipeline as cp
 from tests.llm.test_documents import WORD, check_bins, dedup_brute, frame, jaccard_brute, odd_texts
 
 
@@ -42,3 +42,10 @@ def test_odd_documents_pass(spark):
     for _, stage in cp.STAGES:
         docs = cp.cut(stage(spark, docs, ""), "odd")
     assert docs.count() > 0
+
+
+def test_the_driver_finds_the_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    assert corpus_pipeline.STAGES == cp.STAGES and corpus_pipeline.run is cp.run and corpus_pipeline.ORACLE_SQL is None
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0

@@ -38,14 +38,14 @@ def test_shingles_are_sets(rows, k):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 6), st.integers(0, 9)), max_size=60))
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 6), st.integers(-2, 2), st.integers(0, 9)), max_size=60))
 def test_again_leaves_the_first(rows):
-    h, ids, pos = (np.array([r[c] for r in rows], t) for c, t in enumerate((np.uint64, np.int64, np.int32)))
+    h, ids, tags, pos = (np.array([r[c] for r in rows], t) for c, t in enumerate((np.uint64, np.int64, np.int64, np.int32)))
     first = {}
-    for a, b, c in sorted(set(rows)):
-        first.setdefault(a, (b, c))
-    want = sorted((b, c, a) for a, b, c in rows if first[a] != (b, c))
-    assert sorted((int(ids[o]), int(pos[o]), int(h[o])) for o in substring_dedup.again(h, ids, pos)) == want
+    for a, *place in sorted(set(rows)):
+        first.setdefault(a, place)
+    want = sorted((*place, a) for a, *place in rows if first[a] != place)
+    assert sorted((int(ids[o]), int(tags[o]), int(pos[o]), int(h[o])) for o in substring_dedup.again(h, ids, tags, pos)) == want
 
 
 @settings(max_examples=100, deadline=None)
