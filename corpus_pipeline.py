@@ -1,73 +1,3 @@
-"""From raw documents to packed training sequences.
+"""From raw documents to packed training sequences; see marquee/llm/pipeline.py."""
 
-STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and
-returns a DataFrame, which is written as Parquet and read again as the docs of
-the next. All but the last return the columns of ``documents``."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from marquee.llm import langid, mixing, ngram_join, packing, substring_dedup
-from marquee.llm.shared import cut, settled
-
-#: Documents whose language is less certain than this are rejected.
-LEAST_SCORE = 0.4
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the languages of the labels; rejects those
-    without a letter and those that no language is likely for."""
-    model = langid.train(docs, where=~langid.held_out(F.col("doc_id")))
-    told = langid.identify(docs, model, pred="__lang", score="__score")
-    return told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    gone = settled(spark, "gone", lambda: ngram_join.ngram_jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 20-word windows go. A text that loses words becomes its kept
-    words joined by blanks; a document that loses all goes."""
-    rows = substring_dedup.substring_dedup(docs, carry=docs.columns).where("n_removed = 0 or n_removed < n_words")
-    whole = F.col("n_removed") == 0
-    return rows.select(
-        "doc_id",
-        F.when(whole, F.col("carried.text")).otherwise(F.col("kept_text")).alias("text"),
-        "carried.lang",
-        "carried.source",
-        F.when(whole, F.col("carried.n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"),
-    )
-
-
-def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples the documents so that sources, languages and topics meet their
-    target shares of tokens."""
-    kept = mixing.mix_sources(docs).where("kept").select(F.col("doc_id").alias("kid")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kid"], "left_semi")
-
-
-def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("ngram_jaccard_join", near_duplicates),
-    ("substring_dedup", repeated_passages),
-    ("source_mixing", mixed_sources),
-    ("best_fit_packing", packed_sequences),
-]
-#: SQL cannot express the stages; tests compare them with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return docs
+from marquee.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
