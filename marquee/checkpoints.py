@@ -3,29 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Where it is unset (tests on one machine) a temporary folder
-    is made once and set."""
+    the session. Where it is unset, a local master (tests on one machine) gets
+    a temporary folder, made once; on a cluster that is an error, as executors
+    would write to disks of their own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marquee-"))
     return shared_dir(spark)
 
 
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scopes: list[list[str]] = []
+_lock = threading.Lock()
+_writers: dict[int, list] = {}  # of each session the number of writers and the setting before the first
+_own = threading.local()  # the tables that a thread has written, by scope
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on while any thread of the session writes."""
+    with _lock:
+        held = _writers.setdefault(id(spark), [0, None])
+        if not held[0]:
+            held[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        held[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(CLEANUP, held[1]) if held[1] is not None else spark.conf.unset(CLEANUP)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,27 +59,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The shuffle files that led there are of no more use and go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    if _scopes:
-        _scopes[-1].append(path)
+    scopes = getattr(_own, "scopes", None)
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What ``build`` returns as a written table; the tables that it wrote on
-    its way are removed."""
-    _scopes.append([])
+    its way are removed, also when it fails."""
+    if not hasattr(_own, "scopes"):
+        _own.scopes = []
+    paths: list[str] = []
+    _own.scopes.append(paths)
+    out = None
     try:
-        df = build()
+        out = cut(build(), name)
     finally:
-        paths = _scopes.pop()
-    out = cut(df, name)
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _own.scopes.pop()
+        kept = paths.pop() if out is not None else None  # the last one is the result
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if _own.scopes:
+        _own.scopes[-1].append(kept)
     return out
