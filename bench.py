@@ -13,8 +13,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-import marquee.plans.catalogue
-import marquee.plans.pipelines  # noqa: F401
+import marquee.plans  # noqa: F401
 from marquee.plans.registry import QUERIES
 from marquee.ship import ship
 

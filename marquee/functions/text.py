@@ -81,36 +81,65 @@ def without_markup(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-#: Fixed patterns of wiki markup, in this order, with what stays of each: a
-#: group's text or a string.
-MARKUP: tuple[tuple[str, int | str], ...] = (
-    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", 2),
-    (r"\[\[([^\]]+)\]\]", 1),
-    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", 1),
-    ("'{2,5}", ""),
-    (r"(?i)<br\s*/?>", " "),
-    ("<[^>]+>", ""),
-)
-
-
-def without_wikitext(c: Column, depth: int = 8) -> Column:
-    """Readable text of wiki markup: comments and templates go, links keep
-    their labels, tags go but what they hold stays. Templates go in ``depth``
-    passes; texts that still have some take as many more as they have pairs of
-    braces at most."""
-    template = r"\{\{[^{}]*\}\}"
-    c = F.regexp_replace(c, "(?s)<!--.*?-->", "")
-    for _ in range(depth):
-        c = F.regexp_replace(c, template, "")
-
-    def rest(s: Column) -> Column:
-        pairs = ((F.length(s) - F.length(F.translate(s, "{", ""))) / 2).cast("int")
-        return F.when(s.rlike(template), F.aggregate(F.array_repeat(F.lit(0), pairs), s, lambda t, _: F.regexp_replace(t, template, ""))).otherwise(s)
-
-    c = F.transform(F.array(c), rest)[0]  # so that c is computed once
-    for pattern, kept in MARKUP:
-        c = F.regexp_replace(c, pattern, f"${kept}" if isinstance(kept, int) else kept)
-    return collapse(c)
+#: What the scanner stops at, by name.
+TOKENS = {
+    "comment": r"<!--.*?-->",
+    "open": r"\{\{",
+    "close": r"\}\}",
+    "link": r"\[\[",
+    "unlink": r"\]\]",
+    "outside": r"\[https?://[^\s\]]+\s+(?=[^\]]+\])",
+    "bracket": r"\]",
+    "quotes": r"'{2,5}",
+    "line": r"<[bB][rR]\s*/?>",
+    "tag": r"<[^>]+>",
+}
+SCAN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in TOKENS.items()), re.S)
+#: Which opening a closing token ends.
+ENDS = {"close": "open", "unlink": "link", "bracket": "outside"}
+
+
+def readable(text: str) -> str:
+    """Readable text of wiki markup, in one pass with a stack: comments and
+    templates go, at any depth, links keep their labels, tags go but what they
+    hold stays. Openings that nothing closes stay as they are written."""
+    stack: list[tuple[str, str, list[str]]] = [("", "", [])]  # kind, as written, what it holds
+
+    def end(kind: str) -> None:
+        """Closes the innermost opening of this kind; those within stay."""
+        while True:
+            inner, written, held = stack.pop()
+            if inner == kind:
+                break
+            stack[-1][2].extend([written, *held])
+        if kind == "link":
+            whole = "".join(held)
+            label = whole.partition("|")[2] if "|" in whole.strip("|") else whole
+            stack[-1][2].append(label)
+        elif kind == "outside":
+            stack[-1][2].extend(held)
+
+    at = 0
+    for m in SCAN.finditer(text):
+        stack[-1][2].append(text[at : m.start()])
+        at, kind = m.end(), m.lastgroup
+        if kind in ENDS.values():
+            stack.append((kind, m[0], []))
+        elif kind in ENDS:
+            if any(x[0] == ENDS[kind] for x in stack):
+                end(ENDS[kind])
+            else:
+                stack[-1][2].append(m[0])
+        elif kind == "line":
+            stack[-1][2].append(" ")
+    stack[-1][2].append(text[at:])
+    return " ".join("".join(x for _, written, held in stack for x in (written, *held)).split())
+
+
+@F.pandas_udf(T.StringType())
+def without_wikitext(c: pd.Series) -> pd.Series:
+    """``readable`` of a column."""
+    return c.map(lambda x: None if x is None else readable(x))
 
 
 def citation_markers(c: Column) -> Column:
@@ -125,57 +154,82 @@ def infobox_years(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(r"(?<!\d)(?:18|19|20)\d{2}(?!\d)"), 0), lambda y: y.cast("int"))))
 
 
+def packs(sizes: list[int], limit: int) -> list[int]:
+    """The pack of each piece: a pack takes pieces, a blank between them, as
+    long as what it has and the next one stay within the limit."""
+    out: list[int] = []
+    pack = total = 0
+    for n in sizes:
+        if total and total + n > limit:
+            pack, total = pack + 1, 0
+        total += n + (total > 0)
+        out.append(pack)
+    return out
+
+
 def paragraphs_packed(c: Column, limit: int = 1500) -> Column:
     """Paragraphs (separated by blank lines) joined up to ``limit`` readable
     characters; a paragraph is never split and empty ones go."""
-    size = lambda x: F.length(without_wikitext(x))
-    parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: size(p) > 0)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def step(s: Column, p: Column) -> Column:
-        full = (s["now"] != "") & (size(s["now"]) + size(p) > limit)
-        return F.struct(F.when(full, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.when(full | (s["now"] == ""), p).otherwise(F.concat(s["now"], F.lit("\n\n"), p)).alias("now"))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def packed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            sized = [(p.strip(), len(readable(p))) for p in re.split(r"\n\s*\n", text)]
+            kept = [x for x in sized if x[1]]
+            joined: dict[int, list[str]] = {}
+            for (paragraph, _), k in zip(kept, packs([n for _, n in kept], limit), strict=True):
+                joined.setdefault(k, []).append(paragraph)
+            return ["\n\n".join(x) for x in joined.values()]
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+        return texts.map(one)
+
+    return packed(c)
 
 
 #: Fixed list: top-level sections that hold references only.
 REFERENCE_SECTIONS = ("notes", "references", "external links", "see also", "bibliography", "works cited")
+#: A line that is a heading: as many equals signs behind the name as before it.
+HEADING = re.compile(r"(?m)^(?P<level>={2,6})[^\S\n]*(?P<name>[^\n]*?)[^\S\n]*(?P=level)[^\S\n]*$")
+
+
+def outline(levels: list[int], names: list[str]) -> list[list[str]]:
+    """The path of each heading: its name below the path of the nearest open
+    heading of a smaller level. A heading whose level skips some below that one
+    passes only its own name on to what is below itself."""
+    stack: list[tuple[int, list[str]]] = []  # open headings: level, what they pass on
+    out = []
+    for level, name in zip(levels, names, strict=True):
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        above, passed = stack[-1] if stack else (0, [])
+        out.append([*passed, name])
+        stack.append((level, out[-1] if above == level - 1 else [name]))
+    return out
+
+
+def slug_of(name: str) -> str:
+    """``slug`` of one string."""
+    return "-".join(re.findall("[a-z0-9]+", name.lower())) or "section"
 
 
 @F.udtf(returnType="locator string, title string, content string, ordinal int")
 class WikiSections:
     """Sections of a wiki page: the lead, then every headed section with the
-    path of the headings above it. A heading knows only the heading one level
-    above; where that level was skipped the path restarts, but for the nearest
-    remaining ancestor, which leads it. Reference sections and sections without
+    path of its heading (see outline). Reference sections and sections without
     readable text are left out."""
 
     def eval(self, text: str):
-        head = re.compile(r"^(={2,6})\s*(.*?)\s*\1\s*$", re.M)
         if text is None:
             return
-        found = list(head.finditer(text))
-        bounds = [m.start() for m in found] + [len(text)]
-        out = [("lead", "Lead", text[: bounds[0]])]
-        chains: dict[int, list[str]] = {}
-        for k, m in enumerate(found):
-            level, name = len(m[1]), " ".join(m[2].split())
-            chains = {a: b for a, b in chains.items() if a < level} | {level: [*chains.get(level - 1, []), name]}
-            above = [a for a in chains if a < level]
-            path = [*(chains[max(above)] if above else []), name]
-            if path[0].strip().lower() not in REFERENCE_SECTIONS:
-                parts = [re.sub("[^a-z0-9]+", "-", p.lower()).strip("-") or "section" for p in path]
-                out.append(("/".join(parts), " / ".join(path), text[m.end() : bounds[k + 1]]))
-        for n, (locator, title, content) in enumerate(x for x in out if readable(x[2])):
-            yield locator, title, content, n
-
-
-def readable(text: str) -> str:
-    """The same as ``without_wikitext``, for one string."""
-    text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
-    while (less := re.sub(r"\{\{[^{}]*\}\}", "", text)) != text:
-        text = less
-    for pattern, kept in MARKUP:
-        text = re.sub(pattern, rf"\{kept}" if isinstance(kept, int) else kept, text)
-    return " ".join(text.split())
+        heads = list(HEADING.finditer(text))
+        names = [" ".join(m["name"].split()) for m in heads]
+        paths = [["Lead"], *outline([len(m["level"]) for m in heads], names)]
+        starts, ends = [0, *(m.end() for m in heads)], [*(m.start() for m in heads), len(text)]
+        n = 0
+        for path, a, b in zip(paths, starts, ends, strict=True):
+            references = a > 0 and path[0].lower() in REFERENCE_SECTIONS
+            if not references and readable(text[a:b]):
+                yield "/".join(map(slug_of, path)), " / ".join(path), text[a:b], n
+                n += 1

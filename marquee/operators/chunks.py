@@ -3,19 +3,18 @@ deduplication and a readiness report."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SENTENCE = re.compile(r"(?<=[.?!])\s+")
-TOKEN = re.compile(r"\w+(?:['-]\w+)*|[^\w\s]")
-WORD = re.compile(r"\b[\w'-]+\b")
-CHUNK = "ordinal int, content string, content_hash string, words int, tokens int, sentences int, status string, flags array<string>"
+from marquee.functions.text import nfc_collapsed, word_count
+
+#: A break is white space behind a full stop, question or exclamation mark.
+BREAK = "(?<=[.?!]) "
+TOKEN = r"(?U)\w+(?:['-]\w+)*|[^\w\s]"
 
 
 @dataclass(frozen=True)
@@ -32,70 +31,72 @@ class Policy:
             raise ValueError("chunk sizes must satisfy 0 < minimum_words <= target <= maximum and 0 <= overlap < target")
 
 
-def sentences(text: str) -> list[tuple[str, int]]:
-    """Sentences of normalised text with their numbers of tokens."""
-    flat = " ".join(unicodedata.normalize("NFC", text).split())
-    return [(s, len(TOKEN.findall(s))) for s in SENTENCE.split(flat) if s]
-
-
-def fold(items: list[tuple[str, int]], p: Policy) -> list[list[tuple[str, int]]]:
-    """Runs of sentences: closed at the target, never above the maximum but for
-    a sentence that is longer alone; a new run begins with the last sentences
-    that reach the overlap, if these leave room for the next one."""
-    out: list[list[tuple[str, int]]] = []
-    run: list[tuple[str, int]] = []
-
-    def size() -> int:
-        return sum(n for _, n in run)
-
-    def tail() -> list[tuple[str, int]]:
-        total, k = 0, len(run)
-        while p.overlap and k and total < p.overlap:
-            k -= 1
-            total += run[k][1]
-        return run[k:]
-
-    for item in items:
-        if run and size() >= p.target:
-            out.append(run)
-            run = tail()
-        if run and size() + item[1] > p.maximum:
-            out.append(run)
-            run = tail()
-            if size() + item[1] > p.maximum:
-                run = []
-        run = [*run, item]
-    return [*out, run] if run else out
-
-
-def chunk(text: str, p: Policy) -> list[dict]:
-    rows = []
-    for n, run in enumerate(fold(sentences(text), p)):
-        content = " ".join(s for s, _ in run)
-        words = len(WORD.findall(content))
-        flags = ["below_minimum_words"] * (words < p.minimum_words) + ["oversized_single_sentence"] * any(k > p.maximum for _, k in run)
-        rows.append({"ordinal": n, "content": content, "content_hash": hashlib.sha256(content.encode()).hexdigest(), "words": words, "tokens": sum(k for _, k in run), "sentences": len(run), "status": "excluded" if flags else "eligible", "flags": flags})
-    return rows
-
-
-def chunks(passages: DataFrame, key: list[str], text: str, policy: Policy | None = None) -> DataFrame:
-    """The chunks of each passage, one row each."""
+def spans(tokens: list[int], p: Policy) -> list[tuple[int, int]]:
+    """The chunks of sentences with so many tokens each, as (start, end).
+
+    A chunk from s ends where it has reached the target, or before the sentence
+    that would take it above the maximum, but has one sentence at least. The
+    next one starts with the last sentences of it that reach the overlap, if
+    the following sentence fits behind them, and with that sentence otherwise;
+    an overlap that is left over so behind a full chunk is a chunk as well."""
+    total = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int64)
+    out, s, least = [], 0, 1  # a chunk of at least so many sentences of all
+    while s < len(tokens):
+        reached = int(np.searchsorted(total, total[s] + p.target))
+        within = int(np.searchsorted(total, total[s] + p.maximum, "right")) - 1
+        e = min(max(least, min(reached, within)), len(tokens))
+        out.append((s, e))
+        if e == len(tokens):
+            break
+        back = max(s, int(np.searchsorted(total, total[e] - p.overlap, "right")) - 1) if p.overlap else e
+        fits = total[e + 1] - total[back] <= p.maximum
+        if not fits and back < e and total[e] - total[s] >= p.target:
+            out.append((back, e))
+        s, least = (back if fits else e), e + 1
+    return out
+
+
+def sentences(passages: DataFrame, key: list[str], text: str, language: str | None = None) -> DataFrame:
+    """The sentences ``s`` of each passage in normal form and their numbers of
+    tokens ``n``. There is a rule for English only: with the column
+    ``language``, a passage in another one is an error."""
+    flat = nfc_collapsed(F.col(text))
+    if language:
+        known = F.coalesce(F.col(language) == "en", F.lit(False))
+        flat = F.when(known, flat).otherwise(F.raise_error(F.concat(F.lit("no sentence rule for the language "), F.coalesce(F.col(language), F.lit("null")))).cast("string"))
+    rows = passages.select(*key, F.filter(F.split(flat, BREAK), lambda x: x != "").alias("s"))
+    return rows.withColumn("n", F.transform("s", lambda x: F.regexp_count(x, F.lit(TOKEN))))
+
+
+def chunks(passages: DataFrame, key: list[str], text: str, policy: Policy | None = None, language: str | None = None) -> DataFrame:
+    """The chunks of each passage, one row each: sentences, their tokens, the
+    contents and hashes are JVM expressions; only where chunks begin and end,
+    and the normal form of the text, is Python's."""
     p = policy or Policy()
 
-    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in CHUNK.split(', '))}>>")
-    def cut(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: [] if x is None else chunk(x, p))
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def cut(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: [] if t is None else [{"start": a, "end": b} for a, b in spans(t, p)])
 
-    rows = passages.select(*key, F.explode(cut(F.col(text))).alias("c"))
-    return rows.select(*key, "c.*")
+    rows = sentences(passages, key, text, language)
+    rows = rows.select(*key, "s", "n", F.posexplode(cut("n")).alias("ordinal", "at"))
+    own = lambda c: F.slice(c, F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))
+    rows = rows.select(*key, "ordinal", F.array_join(own("s"), " ").alias("content"), own("n").alias("n"))
+    words = word_count(F.col("content"))
+    flags = F.array_compact(F.array(F.when(words < p.minimum_words, "below_minimum_words"), F.when(F.array_max("n") > p.maximum, "oversized_single_sentence")))
+    rows = rows.select(*key, "ordinal", "content", F.sha2("content", 256).alias("content_hash"), words.alias("words"), F.aggregate("n", F.lit(0), lambda a, x: a + x).alias("tokens"), F.size("n").alias("sentences"), flags.alias("flags"))
+    return rows.withColumn("status", F.when(F.size("flags") > 0, "excluded").otherwise("eligible"))
 
 
 def deduplicated(rows: DataFrame, order: list[str]) -> DataFrame:
     """Eligible chunks with the content of an earlier eligible one become
-    duplicates. Only hashes and keys are ranked, first and then joined."""
-    first = rows.where("status = 'eligible'").groupBy("content_hash").agg(F.min(F.struct(*order)).alias("first"))
-    out = rows.join(first, "content_hash", "left")
-    return out.withColumn("status", F.when((F.col("status") == "eligible") & (F.col("first") != F.struct(*order)), "duplicate").otherwise(F.col("status"))).drop("first")
+    duplicates. Only hashes and keys are ranked; the contents join by their
+    key, so that a content that very many chunks have is no hot key of theirs."""
+    keys = rows.where("status = 'eligible'").select("content_hash", F.struct(*order).alias("key"))
+    first = keys.groupBy("content_hash").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = keys.join(first, "content_hash").where(F.col("key") != F.col("first")).select("key.*").withColumn("__later", F.lit(True))
+    out = rows.join(later, order, "left")
+    return out.withColumn("status", F.when(F.col("__later"), "duplicate").otherwise(F.col("status"))).drop("__later")
 
 
 def licensed(passages: DataFrame, allowed: tuple[str, ...]) -> DataFrame:

@@ -85,27 +85,44 @@ def resolved_candidates(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     c = c.withColumn("late", F.col("route") > 0)
     best = first_wins(c, ["position"], ["late", F.desc("title_score"), "route", "place"])
     out = entries.join(best.select("position", "qid", "enwiki"), "position", "left")
+    # fixed texts of the catalogue
     reason = F.when(F.col("qid").isNull(), "no film QID with matching release year after Wikidata and Wikipedia fallback").when(F.col("enwiki").isNull(), "film QID has no English Wikipedia sitelink")
     return out.withColumn("reason", reason)
 
 
-def phrase_matches(phrases: DataFrame, texts: DataFrame, phrase: str, text: str, words: int) -> DataFrame:
-    """Pairs of a phrase and a text that contains it, both normalised to words
-    joined by blanks.
+def phrase_matches(phrases: DataFrame, texts: DataFrame, item: str, phrase: str, key: str, text: str, words: int) -> DataFrame:
+    """(item, key) of each phrase and each text that contains it, both
+    normalised to words joined by blanks. Items and keys are unique.
 
-    Containment is no equi-join. A phrase may begin and end within a word, so
-    its inner words are whole words of the text: the first ``words`` of them
-    are looked up among all runs of so many words of each text, and what is
-    found is verified. The few phrases that are too short for such a key are
-    compared with every text."""
+    Containment is no equi-join. A phrase may begin and end within a word, but
+    its inner words are whole words of the text: up to ``words`` of them are
+    looked up, as a hash, among the hashed runs of as many words of each text. A
+    phrase of one or two words has no inner word: it is looked up within the
+    distinct runs of one or two words that all texts have together. Only hashes
+    and keys are exploded and joined; texts are read again once to verify."""
     size = F.size(F.split(phrase, " "))
-    keyed = phrases.where(size >= words + 2).withColumn("__key", F.array_join(F.slice(F.split(phrase, " "), 2, words), " "))
-    run = r"(?<!\S)(?=(\S+" + r" \S+" * (words - 1) + r")(?!\S))"  # overlapping runs, in one pass
-    t = texts.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), 1))).alias("__key"))
-    long = t.join(keyed, "__key").where(F.contains(F.col(text), F.col(phrase))).drop("__key")
-    # a text has a run as often as it likes, but array_distinct keeps one
-    short = texts.join(phrases.where(size < words + 2), F.contains(F.col(text), F.col(phrase)))
-    return long.unionByName(short)
+    kinds = sorted(r[0] for r in phrases.select(F.least(size, F.lit(words + 2))).distinct().collect() if r[0])  # words + 2 at most
+
+    def runs(n: int) -> Column:
+        w = F.split(text, " ")
+        count = F.size(w) - (n - 1)
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.when(count > 0, F.slice(w, i, n)))
+
+    hits = None
+    for k in kinds:
+        some = phrases.where(size >= k if k == words + 2 else size == k)
+        if k > 2:
+            hashes = texts.select(key, F.explode(F.array_distinct(F.transform(runs(k - 2), lambda r: F.xxhash64(r)))).alias("__run"))
+            found = hashes.join(some.select(item, F.xxhash64(F.slice(F.split(phrase, " "), 2, k - 2)).alias("__run")), "__run")
+        else:
+            grams = texts.select(key, F.explode(F.array_distinct(F.transform(runs(k), lambda r: F.array_join(r, " ")))).alias("__run"))
+            known = grams.select("__run").distinct().join(some.select(item, F.col(phrase).alias("__p")), F.contains("__run", "__p")).select("__run", item)
+            found = grams.join(known, "__run")
+        hits = found.select(item, key) if hits is None else hits.union(found.select(item, key))
+    if hits is None:
+        return phrases.select(item).join(texts.select(key), F.lit(False))
+    pairs = hits.distinct().join(phrases.select(item, F.col(phrase).alias("__p")), item)
+    return pairs.join(texts.select(key, F.col(text).alias("__t")), key).where(F.contains("__t", "__p")).select(item, key)
 
 
 def union_in_order(routes: list[DataFrame], key: list[str], value: str) -> DataFrame:

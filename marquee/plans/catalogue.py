@@ -223,11 +223,6 @@ def era_neighbours(m: Model):
     return signals.era_neighbours(m.films())
 
 
-@query("q20_shared_credits", with_model("credits", "SELECT a.person_id AS a, b.person_id AS b, count(DISTINCT a.film_id)::BIGINT AS films FROM credits a JOIN credits b ON a.film_id = b.film_id AND a.person_id < b.person_id GROUP BY 1, 2 HAVING count(DISTINCT a.film_id) >= 2"))
-def shared_credits(m: Model):
-    return signals.co_people(m.credits(), m.people())
-
-
 TREE = "tree AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
 
 

@@ -58,7 +58,7 @@ SELECT item_id, doc_id FROM b JOIN d ON contains(t, p)""",
 def phrase_match(m: Model):
     texts = m.raw("documents").select("doc_id", phrase(F.col("text")).alias("t"))
     phrases = m.raw("benchmark").select("item_id", phrase(F.col("text")).alias("p"))
-    return relational.phrase_matches(phrases, texts, "p", "t", 4).select("item_id", "doc_id")
+    return relational.phrase_matches(phrases, texts, "item_id", "p", "doc_id", "t", 4)
 
 
 @query("jn22_manifest_facts", "SELECT o_orderkey AS position, c_name, CASE WHEN c_name IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'invalid' ELSE 'ok' END AS outcome FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
@@ -390,8 +390,7 @@ def canonical_json(m: Model):
 
 @query("sc11_word_count", r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?'))::INT AS words FROM documents")
 def word_counts(m: Model):
-    # a word begins and ends at a word boundary; hyphens at its ends are not part
-    return m.raw("documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?U)\b\w(?:[\w'-]*\w)?"), 0)).alias("words"))
+    return m.raw("documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
 @query("nm1_truncated", "SELECT c_custkey AS id, trunc(c_acctbal)::INT AS n, TRY_CAST(c_mktsegment AS INT) AS none FROM customer")
@@ -411,34 +410,11 @@ def inverted_index(m: Model):
     return index.select("conv_id", "turn", F.array_join(F.array_sort(F.map_keys("index")), " ").alias("words"), values.rebuilt_text(F.col("index")).alias("rebuilt"))
 
 
-@query("tx8_chunks")
-def passage_chunks(m: Model):
-    """Chunks of all licensed English passages, exact copies marked."""
-    p = chunks.licensed(m.passages(), ("CC BY-SA 4.0",)).where("language = 'en'")
-    rows = chunks.deduplicated(chunks.chunks(p, ["film", "doc_id"], "content"), ["film", "doc_id", "ordinal"])
-    return rows.withColumn("flags", F.array_join("flags", ","))
-
-
-@query("q12_chunk_report")
-def chunk_report(m: Model):
-    p = chunks.licensed(m.passages(), ("CC BY-SA 4.0",)).where("language = 'en'")
-    return chunks.report(chunks.deduplicated(chunks.chunks(p, ["film", "doc_id"], "content"), ["film", "doc_id", "ordinal"]), "film")
-
-
 @query("flt9_licensed", with_model("passages", "SELECT film, count(*)::BIGINT AS n FROM passages WHERE license = 'CC BY-SA 4.0' AND attribution_url <> '' AND language = 'en' GROUP BY 1"))
 def licensed(m: Model):
     return chunks.licensed(m.passages(), ("CC BY-SA 4.0",)).where("language = 'en'").groupBy("film").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tx2_sections")
-def sections(m: Model):
-    """Sections of wiki pages made of each document's lines: headings in turn
-    of two levels."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("== "), F.substring(x, 1, 20), F.lit(" =="))).when(i % 4 == 3, F.concat(F.lit("=== "), F.substring(x, 1, 20), F.lit(" ==="))).otherwise(x))
-    wiki = m.raw("documents").select("doc_id", F.array_join(lines, "\n").alias("wiki"))
-    return wiki.lateralJoin(text.WikiSections(F.col("wiki").outer())).select("doc_id", "ordinal", "locator", "title", F.sha2("content", 256).alias("hash"))
-
-
 @query(
     "val_constraints",
     """SELECT rule, key FROM (
@@ -558,36 +534,3 @@ def entity_ids(m: Model):
     u = F.concat(F.lit("http://x/entity/Q"), "p_partkey", F.when(F.col("p_size") % 3 == 0, "/").otherwise(""))
     label = F.when(F.col("p_size") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" ")))
     return m.raw("part").select(F.col("p_partkey").alias("id"), text.entity_id(u).alias("qid"), text.clean_label(label).alias("label"), text.last_part(u).alias("last"))
-
-
-def wikitext(m: Model):
-    """Documents as wiki pages: every line a paragraph with a reference, some
-    with links and templates."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(x, F.when(i % 3 == 0, F.concat(F.lit(' <ref name="r'), (i % 4).cast("string"), F.lit('" />'))).otherwise(" <ref>x</ref>"), F.when(i % 2 == 0, " [[A|b]] {{t|{{u}}}}").otherwise(" ''c'' [[d]]")))
-    return m.raw("documents").select("doc_id", F.array_join(lines, "\n\n").alias("wiki"))
-
-
-@query("tx1_wikitext", r"""SELECT doc_id, sha256(trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: x || '  ' ), '|'), '\s+', ' ', 'g'))) AS h, len(string_split(text, chr(10)))::INT AS paragraphs FROM documents""")
-def clean_wikitext(m: Model):
-    """Markup around the text goes, the text stays."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit(" {{t|{{u}}}} <br/> <!-- n\n -->")))
-    wiki = m.raw("documents").select("doc_id", F.array_join(lines, "|").alias("wiki"), F.size(lines).alias("paragraphs"))
-    return wiki.select("doc_id", values.content_hash(text.without_wikitext(F.col("wiki"))).alias("h"), "paragraphs")
-
-
-@query("tx3_paragraphs")
-def packed_paragraphs(m: Model):
-    """Paragraphs of each page packed to 1500 readable characters."""
-    rows = wikitext(m).select("doc_id", F.posexplode(text.paragraphs_packed(F.col("wiki"))).alias("ordinal", "content"))
-    return rows.select("doc_id", "ordinal", F.length(text.without_wikitext(F.col("content"))).alias("size"), values.content_hash(F.col("content")).alias("hash"))
-
-
-@query("tx4_citations", "SELECT doc_id, array_to_string(list_filter(['r0', 'inline', 'r3', 'r2', 'r1'], lambda x: (x = 'r0') OR (x = 'inline' AND n > 1) OR (x = 'r3' AND n > 3) OR (x = 'r2' AND n > 6) OR (x = 'r1' AND n > 9)), ',') AS markers FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)")
-def citations(m: Model):
-    return wikitext(m).select("doc_id", F.array_join(text.citation_markers(F.col("wiki")), ",").alias("markers"))
-
-
-@query("tx5_infobox_years", "SELECT p_partkey AS id, (1970 + p_size)::VARCHAR AS years FROM part")
-def infobox_years(m: Model):
-    page = F.concat(F.lit("{{Infobox\n| year = 1801\n| Released = {{d|"), (1970 + F.col("p_size")).cast("string"), F.lit("|5}} 120199\n}} in 1950"))
-    return m.raw("part").select(F.col("p_partkey").alias("id"), F.array_join(text.infobox_years(page).cast("array<string>"), ",").alias("years"))

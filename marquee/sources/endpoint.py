@@ -19,36 +19,71 @@ class Unavailable(RuntimeError):
     pass
 
 
+@dataclass(frozen=True)
+class Reply:
+    """What an answer means: done, or how long to wait before the next try, or
+    why there is none."""
+
+    done: bool = False
+    wait: float | None = None
+    fault: str = ""
+
+
+def asked_to_wait(_: int, headers: dict) -> Reply:
+    return Reply(wait=float(headers.get("Retry-After", 60)), fault="the service stays unavailable")
+
+
+def overloaded(tries: int, _: dict) -> Reply:
+    return Reply(wait=2.0**tries, fault="the service answers with a gateway error")
+
+
+def denied(_: int, __: dict) -> Reply:
+    return Reply(fault="the service denies the request")
+
+
+#: Fixed meanings of status codes; any other ends the request.
+REPLIES: dict[int, Callable[[int, dict], Reply]] = {
+    200: lambda *_: Reply(done=True),
+    401: denied,
+    403: denied,
+    429: asked_to_wait,
+    502: overloaded,
+    503: overloaded,
+    504: overloaded,
+}
+
+
 @dataclass
 class PacedClient:
-    """At most one request an ``interval``; waits as long as a 429 asks, backs
-    off on 502 to 504, stops at once on 401 and 403."""
+    """At most one request an ``interval`` and ``attempts`` of them a query; an
+    answer means what REPLIES says."""
 
     transport: Callable[[str], Answer]
     interval: float = 1.0
     attempts: int = 4
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.monotonic
-    _last: float = field(default=float("-inf"), init=False)
+    _next: float = field(default=float("-inf"), init=False)
+
+    def paced(self, text: str) -> Answer:
+        self.sleep(max(0.0, self._next - self.clock()))
+        answer = self.transport(text)
+        self._next = self.clock() + self.interval
+        return answer
 
     def query(self, text: str) -> str:
-        for n in range(self.attempts):
-            wait = self.interval - (self.clock() - self._last)
-            if wait > 0:
-                self.sleep(wait)
-            status, headers, body = self.transport(text)
-            self._last = self.clock()
-            if status == 429:
-                self.sleep(float(headers.get("Retry-After", 60)))
-            elif status in (401, 403):
-                raise Unavailable(f"the service denies the request ({status})")
-            elif status in (502, 503, 504) and n < self.attempts - 1:
-                self.sleep(2.0**n)
-            elif status == 200:
+        fault = "no attempt is allowed"
+        for tries in range(self.attempts):
+            status, headers, body = self.paced(text)
+            reply = REPLIES.get(status, lambda *_: Reply(fault="the service does not answer"))(tries, headers)
+            if reply.done:
                 return body
-            else:
-                raise Unavailable(f"the service answers {status}")
-        raise Unavailable("the service stays unavailable")
+            fault = f"{reply.fault} ({status})"
+            if reply.wait is None:
+                break
+            if tries + 1 < self.attempts:
+                self.sleep(reply.wait)
+        raise Unavailable(fault)
 
     def bindings(self, text: str) -> list[dict]:
         return json.loads(self.query(text))["results"]["bindings"]

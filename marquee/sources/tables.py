@@ -36,7 +36,7 @@ class Model:
 
     def credits(self) -> DataFrame:
         role = F.when(F.col("l_returnflag") == "A", "director").when(F.col("l_returnflag") == "N", "writer").otherwise("cast")
-        return self.raw("lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("person_id"), role.alias("role")).distinct()
+        return self.raw("lineitem").select(F.col("l_partkey").alias("film_id"), F.col("l_suppkey").alias("person_id"), role.alias("role")).distinct()
 
     def aliases(self) -> DataFrame:
         p = self.raw("part")
@@ -72,7 +72,7 @@ SQL = {
     "films": """films AS (SELECT p_partkey AS id, p_name AS title, p_size AS runtime, CASE WHEN p_size % 17 <> 0 THEN make_date((1970 + p_size)::BIGINT, 1 + p_partkey % 12, 1 + p_partkey % 28) END AS release_date, CASE WHEN p_partkey % 10 <> 0 THEN 'published' ELSE 'review' END AS status FROM part)""",
     "genres": """genres AS (SELECT p_partkey AS film_id, p_type AS label FROM part UNION SELECT p_partkey, p_brand FROM part)""",
     "people": """people AS (SELECT s_suppkey AS person_id, s_name AS name FROM supplier)""",
-    "credits": """credits AS (SELECT DISTINCT l_partkey AS film_id, l_suppkey AS person_id, CASE l_returnflag WHEN 'A' THEN 'director' WHEN 'N' THEN 'writer' ELSE 'cast' END AS role FROM lineitem WHERE l_quantity >= 45)""",
+    "credits": """credits AS (SELECT DISTINCT l_partkey AS film_id, l_suppkey AS person_id, CASE l_returnflag WHEN 'A' THEN 'director' WHEN 'N' THEN 'writer' ELSE 'cast' END AS role FROM lineitem)""",
     "aliases": """aliases AS (SELECT p_partkey AS film_id, upper(p_name) AS value FROM part UNION ALL SELECT p_partkey, p_brand || ' ' || p_name FROM part)""",
     "entities": """entities AS (SELECT 'order:' || o_orderkey AS entity_id, 'Work ' || o_orderkey AS label, 'film' AS kind FROM orders UNION ALL SELECT 'series:' || c_custkey, c_name, 'series' FROM customer)""",
     "assertions": """chain AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'resolved' ELSE 'review_required' END AS status, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders),

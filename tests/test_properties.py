@@ -12,18 +12,14 @@ sizes = st.lists(st.integers(1, 60), max_size=60)
 
 @settings(max_examples=200, deadline=None)
 @given(sizes, st.integers(1, 40), st.integers(0, 30), st.integers(0, 39))
-def test_fold_keeps_order_and_bounds(items, target, more, overlap):
+def test_spans_keep_order_and_bounds(items, target, more, overlap):
     p = chunks.Policy(target, target + more, min(overlap, target - 1), 1)
-    rows = [(f"s{i}", n) for i, n in enumerate(items)]
-    runs = chunks.fold(rows, p)
-    seen = -1
-    for run in runs:
-        at = [int(s[1:]) for s, _ in run]
-        assert at == list(range(at[0], at[0] + len(at)))  # whole sentences in a row
-        assert at[0] <= seen + 1 and at[-1] >= seen  # no gap; an overlap without room for more may stand alone
-        seen = at[-1]
-        assert sum(n for _, n in run) <= p.maximum or len(run) == 1
-    assert seen == len(items) - 1
+    seen = 0
+    for a, b in chunks.spans(items, p):
+        assert a < b and a <= seen and b >= seen  # no gap; an overlap without room for more may stand alone
+        seen = b
+        assert sum(items[a:b]) <= p.maximum or b == a + 1
+    assert seen == len(items)
 
 
 @given(st.text(alphabet="ab {}[]|'<>=\n", max_size=60))
