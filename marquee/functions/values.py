@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strict_date(c: Column) -> Column:
@@ -29,9 +30,15 @@ def era_points(first: Column, second: Column) -> Column:
     return F.when(gap <= 10, (20 - 2 * gap).cast("double"))
 
 
-def newer_or_older(new: Column, old: Column, empty: Column) -> Column:
-    """The new value unless it is null or empty."""
-    return F.coalesce(F.when(~empty, new), old)
+def filled(c: Column, kind: T.DataType) -> Column:
+    """The value, or null where it counts as none: zero, empty or null."""
+    if isinstance(kind, T.NumericType):
+        return F.when(c != 0, c)
+    if isinstance(kind, T.StringType):
+        return F.nullif(c, F.lit(""))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.when(F.size(c) > 0, c)
+    return F.when(c, c) if isinstance(kind, T.BooleanType) else c
 
 
 def map_labels(c: Column) -> Column:

@@ -1,3 +1,3 @@
 """Spark-native knowledge-catalogue engine."""
 
-from marquee.plans import catalogue, pipelines, texts  # noqa: F401
+from marquee.plans import catalogue, pipelines, texts, upserts  # noqa: F401

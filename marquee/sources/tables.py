@@ -5,6 +5,8 @@ pruned from the scan."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ class Model:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def sql(self, text: str) -> DataFrame:
+        """A statement over the driver's tables, named in braces."""
+        return self.spark.sql(text, **{n: self.raw(n) for n in set(re.findall(r"\{(\w+)\}", text))})
+
     def films(self) -> DataFrame:
         k = F.col("p_partkey")
         date = F.make_date(1970 + F.col("p_size"), (1 + k % 12).cast("int"), (1 + k % 28).cast("int"))
