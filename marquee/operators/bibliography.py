@@ -23,6 +23,16 @@ def safe_title(normal: Column) -> Column:
     return F.length(normal) >= 8
 
 
+#: Fixed bounds: how many works of a title each kind of provider is asked for.
+PER_TITLE = {"indexed": 10, "registered": 20}
+
+
+def answered(rows: DataFrame, kind: str) -> DataFrame:
+    """Of recorded answers (title, place, ...) those that a provider of the kind
+    gives to one title."""
+    return rows.where(F.col("place") < PER_TITLE[kind])
+
+
 def registered_works(raw: DataFrame) -> DataFrame:
     """Bibliographic fields only: no abstract is kept. Works without a DOI or
     a title go."""

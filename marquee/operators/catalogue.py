@@ -57,10 +57,14 @@ def provenance(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources, "source_id")
 
 
-def details(films: DataFrame, genres: DataFrame, credits: DataFrame, people: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Film items with nested credits and aliases."""
+def details(films: DataFrame, genres: DataFrame, credits: DataFrame, people: DataFrame, aliases: DataFrame, provenance_: DataFrame | None = None) -> DataFrame:
+    """Film items with nested credits and aliases and, where given, provenance
+    (film_id, field_name, source_name, reference)."""
     out = film_items(films, genres)
-    for child in (credit_lists(credits, people), aliases.groupBy("film_id").agg(F.array_sort(F.collect_set("value")).alias("aliases"))):
+    children = [credit_lists(credits, people), aliases.groupBy("film_id").agg(F.array_sort(F.collect_set("value")).alias("aliases"))]
+    if provenance_ is not None:
+        children.append(provenance_.groupBy("film_id").agg(F.array_sort(F.collect_list(F.struct("field_name", "source_name", "reference"))).alias("provenance")))
+    for child in children:
         out = out.join(child.withColumnRenamed("film_id", "id"), "id", "left")
     return out
 
@@ -90,11 +94,16 @@ def roles(c: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(c)), "/")
 
 
-def health(films: DataFrame, people: DataFrame, credits: DataFrame, sources: DataFrame, batches: DataFrame, at: str) -> DataFrame:
-    """One row: status, counts and the latest batch."""
+def health(films: DataFrame, people: DataFrame, credits: DataFrame, sources: DataFrame, batches: DataFrame, at: str, languages: DataFrame | None = None) -> DataFrame:
+    """One row: status, counts, the latest batch and, where given, the language
+    editions in their order."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     out = one(films, "films").crossJoin(one(people, "people")).crossJoin(one(credits, "credits")).crossJoin(one(sources, "sources"))  # one row each
-    return out.crossJoin(batches.agg(F.max(at).alias("latest"))).withColumn("status", F.when(F.col("films") > 0, "ready").otherwise("empty"))
+    out = out.crossJoin(batches.agg(F.max(at).alias("latest"))).withColumn("status", F.when(F.col("films") > 0, "ready").otherwise("empty"))
+    if languages is None:
+        return out
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(edition_rank(F.col("code")), "display_name", "code"))), lambda x: F.struct(x["code"].alias("code"), x["display_name"].alias("display_name")))
+    return out.crossJoin(languages.agg(listed.alias("editions")))  # one row
 
 
 def source_quality(sources: DataFrame, records: DataFrame, documents: DataFrame) -> DataFrame:
@@ -105,8 +114,17 @@ def source_quality(sources: DataFrame, records: DataFrame, documents: DataFrame)
     return sources.join(n, "source_id", "left").join(d, "source_id", "left").na.fill(0)
 
 
+def edition_rank(code: Column) -> Column:
+    return F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in EDITION_RANK.items()], F.lit(99)).alias("rank")
+
+
 def editions(languages: DataFrame) -> DataFrame:
     """(code, display_name) with its position among the editions."""
-    rank = F.coalesce(*[F.when(F.col("code") == k, F.lit(v)) for k, v in EDITION_RANK.items()], F.lit(99))
     # an edition list is small; the order is global by its nature
-    return languages.withColumn("rank", rank).orderBy("rank", "display_name")
+    return languages.withColumn("rank", edition_rank(F.col("code"))).orderBy("rank", "display_name")
+
+
+def responses(rows: DataFrame) -> DataFrame:
+    """Rows as the JSON documents that a service answers with: every field is
+    there, nulls included, dates as ISO."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("body"))

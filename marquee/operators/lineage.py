@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.checkpoints import cut
+from marquee.functions.values import plural
 from marquee.operators.catalogue import bounded
 from marquee.schemas import LINEAGE
 
@@ -19,28 +20,31 @@ def visible(assertions: DataFrame) -> DataFrame:
     return assertions.where(F.col("predicate").isin(*LINEAGE) & F.col("status").isin(*VISIBLE))
 
 
+#: Fixed texts: the label and the question of each kind of edge, named by its
+#: predicate and what its direction or target adds to it. The last one is for
+#: every other edge.
+COPY = {
+    "based_on/film": ("Film adaptation", "Which premise, character engine, or pressure system is carried across this adaptation?"),
+    "based_on": ("Source material", "Which premise, character engine, or pressure system is carried across this adaptation?"),
+    "follows/incoming": ("Next installment", "What promise does this ending leave open, and how could the next story escalate it?"),
+    "followed_by/outgoing": ("Next installment", "What promise does this ending leave open, and how could the next story escalate it?"),
+    "follows/outgoing": ("Previous installment", "What story engine does this installment inherit, and what must it transform?"),
+    "followed_by/incoming": ("Previous installment", "What story engine does this installment inherit, and what must it transform?"),
+    "part_of_series": ("Series membership", "What is the repeatable story promise that holds this work inside the wider series?"),
+    "": ("Related work", "What should a writer inspect in this source-backed relationship?"),
+}
+
+
 def labelled(edges: DataFrame) -> DataFrame:
-    """relation_label and writer_question from predicate, direction and the
-    kind of the target."""
-    p, out = F.col("predicate"), F.col("direction") == "outgoing"
-    following = ((p == "followed_by") & out) | ((p == "follows") & ~out)
-    label = (
-        F.when((p == "based_on") & (F.col("target_kind") == "film"), "Film adaptation")
-        .when(p == "based_on", "Source material")
-        .when(p.isin("follows", "followed_by") & following, "Next installment")
-        .when(p.isin("follows", "followed_by"), "Previous installment")
-        .when(p == "part_of_series", "Series membership")
-        .otherwise("Related work")
-    )
-    # fixed texts of the catalogue
-    question = (
-        F.when(p == "based_on", "Which premise, character engine, or pressure system is carried across this adaptation?")
-        .when(p.isin("follows", "followed_by") & following, "What promise does this ending leave open, and how could the next story escalate it?")
-        .when(p.isin("follows", "followed_by"), "What story engine does this installment inherit, and what must it transform?")
-        .when(p == "part_of_series", "What is the repeatable story promise that holds this work inside the wider series?")
-        .otherwise("What should a writer inspect in this source-backed relationship?")
-    )
-    return edges.withColumn("relation_label", label).withColumn("writer_question", question)
+    """relation_label and writer_question, looked up by the edge's predicate
+    with its direction, with the kind of its target, or alone."""
+    names = [F.concat_ws("/", "predicate", "direction"), F.concat_ws("/", "predicate", "target_kind"), F.col("predicate"), F.lit("")]
+
+    def text(which: int) -> Column:
+        table = F.create_map(*[F.lit(x) for k, v in COPY.items() for x in (k, v[which])])
+        return F.coalesce(*[F.try_element_at(table, n) for n in names])
+
+    return edges.withColumn("relation_label", text(0)).withColumn("writer_question", text(1))
 
 
 def edges(assertions: DataFrame, entities: DataFrame, limit: int = 12) -> DataFrame:
@@ -59,6 +63,25 @@ def edges(assertions: DataFrame, entities: DataFrame, limit: int = 12) -> DataFr
     return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
+def with_films(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Edges with the film that stands for the target, if one does, as a struct
+    of the columns of ``items (entity_id, ...)``."""
+    fields = [c for c in items.columns if c != "entity_id"]
+    film = items.select(F.col("entity_id").alias("target_id"), F.struct(*fields).alias("target_film"))
+    return rows.join(film, "target_id", "left")
+
+
+def summaries(films: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, routes, summary) of each film; one without an entity, or without a
+    route, has a fixed summary."""
+    n = edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("routes"))
+    rows = films.select("id", "entity_id").join(n, "entity_id", "left").withColumn("routes", F.coalesce("routes", F.lit(0)))
+    # fixed texts of the catalogue
+    unlinked, none = "This film has not yet been linked to the evidence core.", "No typed lineage route is available for this film yet."
+    found = F.concat(plural(F.col("routes"), "source-backed lineage route", "source-backed lineage routes"), F.lit(" found."))
+    return rows.select("id", "routes", F.when(F.col("entity_id").isNull(), unlinked).when(F.col("routes") == 0, none).otherwise(found).alias("summary"))
+
+
 def entry_points(films: DataFrame, assertions: DataFrame, limit: int = 6) -> DataFrame:
     """Films with most installments, then routes, then by title and id."""
     bounded(limit, 1, 20, "limit")

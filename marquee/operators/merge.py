@@ -6,13 +6,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.operators.relational import first_wins
 
 
+def by_values(df: DataFrame, order: list | None = None) -> list:
+    """A total order of rows: the given one, then all values that have one."""
+    return [*(order or []), *[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]]
+
+
 def new_rows(old: DataFrame, new: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
-    """Rows whose key the table lacks, the first of each key."""
-    first = first_wins(new, key, order) if order else new.dropDuplicates(key)
+    """Rows whose key the table lacks, the first of each key: by ``order``, then
+    by all values."""
+    first = first_wins(new, key, by_values(new, order))
     return first.join(old.select(*key), key, "left_anti")
 
 
@@ -31,14 +38,14 @@ def dispositions(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.select(*key).distinct().join(held, key, "left").withColumn("disposition", F.when(F.col("__held"), "reused").otherwise("created")).drop("__held")
 
 
-def update_or_insert(old: DataFrame, new: DataFrame, key: list[str], updates: dict[str, Column | None]) -> DataFrame:
-    """The table with the incoming rows: of a key that it has, the columns in
+def update_or_insert(old: DataFrame, new: DataFrame, key: list[str], updates: dict[str, Column | None], order: list | None = None) -> DataFrame:
+    """The table with the first incoming row of each key: of a key that it has, the columns in
     ``updates`` take the incoming value where it is not null (or where the
     given condition on ``new_<column>`` and ``old_<column>`` holds) and the
     others stay; other keys are appended."""
     rest = [c for c in old.columns if c not in key]
     a = old.select(*key, *[F.col(c).alias(f"old_{c}") for c in rest], F.lit(True).alias("__old"))
-    b = new.select(*key, *[F.col(c).alias(f"new_{c}") for c in rest])
+    b = first_wins(new, key, by_values(new, order)).select(*key, *[F.col(c).alias(f"new_{c}") for c in rest])
     both = a.join(b, key, "full")
     out = []
     for c in rest:

@@ -132,3 +132,13 @@ def union_in_order(routes: list[DataFrame], key: list[str], value: str) -> DataF
         r = r.withColumn("route", F.lit(n))
         rows = r if rows is None else rows.unionByName(r)
     return first_wins(rows, [*key, value], ["route", "place"])
+
+
+def set_sizes(a: str, b: str) -> tuple[Column, Column]:
+    """How many values two arrays have in common, and together."""
+    return F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+
+
+def difference(rows: DataFrame, without: DataFrame) -> DataFrame:
+    """The distinct rows that the others lack."""
+    return rows.distinct().join(without, rows.columns, "left_anti")

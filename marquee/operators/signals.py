@@ -46,6 +46,19 @@ def comparisons(pairs: DataFrame, films: DataFrame, genres: DataFrame, credits:
     return s.withColumn("summary", F.when(F.col("n") > 0, found).otherwise("No direct metadata connection was found in the current catalog."))
 
 
+def compared(first: int, second: int, films: DataFrame, genres: DataFrame, credits: DataFrame, people: DataFrame) -> DataFrame:
+    """The signals of one pair of films. The same film twice, and a film that is
+    not there, are errors."""
+    if first == second:
+        raise ValueError("choose two different films to compare")
+    there = {r["id"] for r in films.where(F.col("id").isin(first, second)).select("id").distinct().collect()}  # two at most
+    if len(there) < 2:
+        raise LookupError("one or both films were not found")
+    pair = films.sparkSession.range(1).select(F.lit(first).cast("long").alias("first"), F.lit(second).cast("long").alias("second"))
+    both = lambda df, c: df.where(F.col(c).isin(first, second))
+    return pair_signals(pair, both(films, "id"), both(genres, "film_id"), both(credits, "film_id"), people)
+
+
 def similar(target: int, films: DataFrame, genres: DataFrame, credits: DataFrame, limit: int = 8) -> DataFrame:
     """The published films with most points in common with one film.
 

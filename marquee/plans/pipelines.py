@@ -14,12 +14,6 @@ from marquee.sources.tables import Model, with_model
 # ---- joins -----------------------------------------------------------------
 
 
-@query("jn7_unprojected_targets", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity >= 48 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
-def unprojected_targets(m: Model):
-    known = m.raw("part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
-    return m.raw("lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("id")).distinct().join(known, "id", "left_anti")
-
-
 @query("jn14_pending", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type IN ('click', 'view'))")
 def pending(m: Model):
     outcomes = m.raw("events").select("user_id", F.col("event_type").alias("status"), F.lit("v1").alias("version"))
@@ -61,13 +55,6 @@ def phrase_match(m: Model):
     return relational.phrase_matches(phrases, texts, "item_id", "p", "doc_id", "t", 4)
 
 
-@query("jn22_manifest_facts", "SELECT o_orderkey AS position, c_name, CASE WHEN c_name IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'invalid' ELSE 'ok' END AS outcome FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
-def manifest_facts(m: Model):
-    c = m.raw("customer").where("c_mktsegment <> 'BUILDING'")
-    rows = m.raw("orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.select(F.col("o_orderkey").alias("position"), "c_name", F.when(F.col("c_name").isNull(), "missing").when(F.col("c_acctbal") < 0, "invalid").otherwise("ok").alias("outcome"))
-
-
 @query("prj10_correction_overlay", "SELECT p_partkey AS id, coalesce(n, p_name) AS title, p_name AS seed_title FROM part LEFT JOIN (SELECT p_partkey AS k, upper(p_name) AS n FROM part WHERE p_size = 7) ON k = p_partkey")
 def correction_overlay(m: Model):
     p = m.raw("part")
@@ -75,12 +62,6 @@ def correction_overlay(m: Model):
     return relational.overlaid(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), patches, "id", "title")
 
 
-@query("jn24_missing_locators", "SELECT DISTINCT conv_id, turn + 1 AS turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
-def missing_locators(m: Model):
-    c = m.raw("conversations").select("conv_id", "turn")
-    return c.select("conv_id", (F.col("turn") + 1).alias("turn")).join(c, ["conv_id", "turn"], "left_anti").distinct()
-
-
 @query("jn5_semi_filter", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def semi_filter(m: Model):
     o = m.raw("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
@@ -90,41 +71,6 @@ def semi_filter(m: Model):
 # ---- aggregates --------------------------------------------------------------
 
 
-@query(
-    "ag4_fold",
-    """SELECT l_partkey AS film, max_by(l_comment, l_key) AS last_title, count(DISTINCT l_suppkey)::BIGINT AS people, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS genres, min(l_shipdate)::DATE::VARCHAR AS first_release
-FROM (SELECT *, l_linestatus || l_suppkey AS l_comment, printf('%012d-%03d-%012d-%s-%012d', l_orderkey, l_linenumber, l_suppkey, l_linestatus, l_partkey) AS l_key FROM lineitem) GROUP BY 1""",
-)
-def fold(m: Model):
-    rows = m.raw("lineitem").withColumn("title", F.concat("l_linestatus", "l_suppkey")).withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus"))
-    return rows.groupBy(F.col("l_partkey").alias("film")).agg(
-        F.max_by("title", "key").alias("last_title"), F.count_distinct("l_suppkey").alias("people"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("genres"), F.min("l_shipdate").cast("date").cast("string").alias("first_release")
-    )
-
-
-@query(
-    "ag6_release_places",
-    """SELECT o_custkey AS film, o_orderdate::DATE::VARCHAR AS date, coalesce(string_agg(DISTINCT place, ',' ORDER BY place), '') AS places FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS place FROM orders) GROUP BY 1, 2""",
-)
-def release_places(m: Model):
-    place = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
-    rows = m.raw("orders").select(F.col("o_custkey").alias("film"), F.col("o_orderdate").cast("date").cast("string").alias("date"), place.alias("place"))
-    return rows.groupBy("film", "date").agg(F.array_join(F.array_sort(F.collect_set("place")), ",").alias("places"))
-
-
-@query("ag7_multimap", "SELECT p_name AS external, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS targets, count(DISTINCT p_brand)::BIGINT AS n FROM part GROUP BY 1")
-def multimap(m: Model):
-    s = m.raw("part").groupBy(F.col("p_name").alias("external")).agg(F.array_sort(F.collect_set("p_brand")).alias("s"))
-    return s.select("external", F.array_join("s", ",").alias("targets"), F.size("s").cast("long").alias("n"))
-
-
-@query("ag8_facts", "SELECT user_id, string_agg(DISTINCT CASE WHEN event_type = 'click' THEN event_type END, ',') AS types, string_agg(DISTINCT CASE WHEN event_type <> 'click' THEN day(ts)::VARCHAR END, ',' ORDER BY CASE WHEN event_type <> 'click' THEN day(ts)::VARCHAR END) AS days FROM events GROUP BY 1")
-def facts(m: Model):
-    click = F.col("event_type") == "click"
-    joined = lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(c)), ","), F.lit(""))
-    return m.raw("events").groupBy("user_id").agg(joined(F.when(click, F.col("event_type"))).alias("types"), joined(F.when(~click, F.dayofmonth("ts").cast("string"))).alias("days"))
-
-
 STATUSES = ("click", "view", "purchase")
 
 
@@ -138,38 +84,11 @@ def coverage(m: Model):
     return relational.coverage(m.raw("customer"), F.col("c_acctbal") >= 0, "c_nationkey")
 
 
-KINDS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-
-
-@query("ag14_type_priority", "SELECT p_name AS target, arg_min(p_type, rank) AS kind FROM (SELECT *, CASE p_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " ELSE 99 END * 1000000 + ascii(p_type) AS rank FROM part) GROUP BY 1")
-def type_priority(m: Model):
-    rank = F.coalesce(*[F.when(F.col("p_type") == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(99)) * 1000000 + F.ascii("p_type")
-    return m.raw("part").groupBy(F.col("p_name").alias("target")).agg(F.min_by("p_type", rank).alias("kind"))
-
-
-@query("ag15_group_max_any", "SELECT o_custkey AS film, max(o_totalprice) AS sitelinks, min(o_orderpriority) AS runtime FROM orders GROUP BY 1")
-def group_max_any(m: Model):
-    return m.raw("orders").groupBy(F.col("o_custkey").alias("film")).agg(F.max("o_totalprice").alias("sitelinks"), F.min("o_orderpriority").alias("runtime"))
-
-
 @query("ag17_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def distinct(m: Model):
     return m.raw("lineitem").select("l_returnflag", "l_linestatus").distinct()
 
 
-@query(
-    "ag10_narrative_quality",
-    """WITH c AS (SELECT conv_id, count(*) AS passages, count(DISTINCT role) AS sections, sum(len(regexp_extract_all(text, '[.]'))) AS markers, count(*) FILTER (role = 'assistant') AS answers, count(*) FILTER (role = 'assistant' AND length(text) = 0) AS missing FROM conversations GROUP BY 1)
-SELECT conv_id, passages::BIGINT AS passages, sections::BIGINT AS sections, markers::BIGINT AS markers, answers::BIGINT AS answers, (passages > 0 AND answers > 0 AND missing = 0) AS pass FROM c""",
-)
-def narrative_quality(m: Model):
-    answer = F.col("role") == "assistant"
-    c = m.raw("conversations").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("passages"), F.count_distinct("role").alias("sections"), F.sum(F.size(F.regexp_extract_all("text", F.lit("[.]"), 0))).alias("markers"), F.count_if(answer).alias("answers"), F.count_if(answer & (F.length("text") == 0)).alias("missing")
-    )
-    return c.withColumn("pass", (F.col("passages") > 0) & (F.col("answers") > 0) & (F.col("missing") == 0)).drop("missing")
-
-
 # ---- windows, top-k, sets ------------------------------------------------------
 
 
@@ -203,25 +122,6 @@ def ordinals(m: Model):
     return relational.numbered(m.raw("conversations"), ["conv_id", "role"], ["turn"]).select("conv_id", "turn", "ordinal")
 
 
-@query("wn9_keep_first", "SELECT conv_id, array_to_string(list(role ORDER BY f), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY 1")
-def keep_first(m: Model):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return m.raw("conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(ordered), ",").alias("roles"))
-
-
-@query("tk10_pages", "SELECT c_custkey, ((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 10)::BIGINT AS page FROM customer")
-def pages(m: Model):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return m.raw("customer").select("c_custkey", F.floor((F.row_number().over(w) - 1) / 10).alias("page"))
-
-
-@query("st2_set_ops", "SELECT a.p_brand AS a, b.p_brand AS b, len(list_intersect(a.s, b.s))::INT AS both, len(list_distinct(list_concat(a.s, b.s)))::INT AS either FROM (SELECT p_brand, list(DISTINCT p_name) AS s FROM part GROUP BY 1) a JOIN (SELECT p_brand, list(DISTINCT p_name) AS s FROM part GROUP BY 1) b ON substr(a.p_brand, 1, 7) = substr(b.p_brand, 1, 7) AND a.p_brand < b.p_brand")
-def set_ops(m: Model):
-    s = m.raw("part").groupBy("p_brand").agg(F.collect_set("p_name").alias("s")).withColumn("k", F.substring("p_brand", 1, 7))
-    b = s.select("k", F.col("p_brand").alias("b"), F.col("s").alias("t"))
-    return s.join(b, "k").where("p_brand < b").select(F.col("p_brand").alias("a"), "b", F.size(F.array_intersect("s", "t")).alias("both"), F.size(F.array_union("s", "t")).alias("either"))
-
-
 @query("st3_unpivot", "SELECT p_partkey AS id, 'brand' AS role, p_brand AS target FROM part UNION ALL SELECT p_partkey, 'kind', p_type FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part")
 def unpivot(m: Model):
     return relational.unpivoted(m.raw("part").withColumnRenamed("p_partkey", "id"), ["id"], {"p_brand": "brand", "p_type": "kind", "p_size": "size"}, "role", "target")
@@ -239,31 +139,6 @@ def ordered_union(m: Model):
     return relational.union_in_order([first, second], ["entry"], "qid")
 
 
-@query("st6_difference", "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 30 EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000")
-def difference(m: Model):
-    a = m.raw("lineitem").where("l_quantity > 30").select(F.col("l_suppkey").alias("k"))
-    return a.distinct().join(m.raw("supplier").where("s_acctbal < 3000").select(F.col("s_suppkey").alias("k")), "k", "left_anti")
-
-
-@query(
-    "q16_title_resolution",
-    """WITH e AS (SELECT p_partkey AS position, p_size AS y, p_name FROM part WHERE p_size < 6),
-c AS (SELECT e.position, p.p_partkey AS qid, CASE WHEN p.p_size = e.y THEN 0 ELSE 1 END AS route, p.p_partkey AS place, p.p_type <> 'ECONOMY' AS is_film, (p.p_brand = f.p_brand)::INT AS score, CASE WHEN p.p_partkey % 3 <> 0 THEN 'Page ' || p.p_partkey END AS enwiki
- FROM e JOIN part p ON p.p_name = e.p_name AND p.p_size BETWEEN e.y - 1 AND e.y + 1 JOIN part f ON f.p_partkey = e.position),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY route > 0, score DESC, route, place) AS r FROM c WHERE is_film) WHERE r = 1)
-SELECT e.position, b.qid, b.enwiki, CASE WHEN b.qid IS NULL THEN 'no film QID with matching release year after Wikidata and Wikipedia fallback' WHEN b.enwiki IS NULL THEN 'film QID has no English Wikipedia sitelink' END AS reason FROM e LEFT JOIN b ON b.position = e.position""",
-)
-def title_resolution(m: Model):
-    p = m.raw("part")
-    entries = p.where("p_size < 6").select(F.col("p_partkey").alias("position"), F.col("p_size").alias("release_year"))
-    mine = p.where("p_size < 6").select(F.col("p_partkey").alias("position"), F.col("p_size").alias("y"), F.col("p_brand").alias("brand"), "p_name")
-    c = mine.join(p, "p_name").where("p_size between y - 1 and y + 1").select(
-        "position", F.col("p_partkey").alias("qid"), F.when(F.col("p_size") == F.col("y"), 0).otherwise(1).alias("route"), F.col("p_partkey").alias("place"), (F.col("p_type") != "ECONOMY").alias("is_film"),
-        F.array(F.col("p_size") - 1, F.col("p_size"), F.col("p_size") + 1).alias("years"), (F.col("p_brand") == F.col("brand")).cast("int").alias("title_score"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("Page "), "p_partkey")).alias("enwiki"),
-    )
-    return relational.resolved_candidates(entries, c).select("position", "qid", "enwiki", "reason")
-
-
 # ---- merges ------------------------------------------------------------------------
 
 
@@ -457,12 +332,6 @@ def safe_titles(m: Model):
     return m.raw("part").select(F.col("p_partkey").alias("id"), bibliography.safe_title(text.ascii_tokens("p_name")).alias("safe"))
 
 
-@query("prj9_header_merge", "SELECT o_orderkey, c_custkey AS id, coalesce(o_orderpriority, c_mktsegment) AS label FROM customer JOIN orders ON o_custkey = c_custkey")
-def header_merge(m: Model):
-    rows = m.raw("customer").join(m.raw("orders"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select("o_orderkey", F.col("c_custkey").alias("id"), F.coalesce("o_orderpriority", "c_mktsegment").alias("label"))
-
-
 @query("sm3_pending_after_failure", "SELECT DISTINCT user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'purchase' AND d.value > 50)")
 def pending_after_failure(m: Model):
     e = m.raw("events")
@@ -483,39 +352,9 @@ def manifest_entries(m: Model):
     return rows.select("position", F.col("p_brand").alias("manifest"), F.col("p_partkey").alias("id"), values.content_hash(F.concat_ws(":", "p_brand", "p_partkey")).alias("entry_hash"))
 
 
-@query(
-    "q14_selection_audit",
-    """WITH f AS (SELECT l_orderkey AS position, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS types, list(DISTINCT year(l_shipdate)) AS years FROM lineitem GROUP BY 1),
-e AS (SELECT o_orderkey AS position, o_custkey AS qid, year(o_orderdate) AS y FROM orders)
-SELECT e.position, CASE WHEN f.position IS NULL THEN 'missing' WHEN NOT contains(types, 'R') THEN 'not an accepted film type' WHEN NOT list_contains(years, y) THEN 'release year absent' ELSE 'verified' END AS outcome FROM e LEFT JOIN f USING (position)""",
-)
-def selection_audit(m: Model):
-    facts_ = m.raw("lineitem").groupBy(F.col("l_orderkey").alias("position")).agg(F.collect_set("l_returnflag").alias("types"), F.collect_set(F.year("l_shipdate")).alias("years"))
-    rows = m.raw("orders").select(F.col("o_orderkey").alias("position"), F.year("o_orderdate").alias("y")).join(facts_, "position", "left")
-    outcome = F.when(F.col("types").isNull(), "missing").when(~F.arrays_overlap("types", F.array(F.lit("R"))), "not an accepted film type").when(~F.array_contains("years", F.col("y")), "release year absent").otherwise("verified")
-    return rows.select("position", outcome.alias("outcome"))
-
-
 # ---- further joins, merges and text ------------------------------------------------------
 
 
-@query("jn8_three_way", "SELECT l_orderkey, l_linenumber, s_name, c_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F' AND l_quantity > 20")
-def three_way(m: Model):
-    """Passages of members: the selective sides come first, AQE broadcasts
-    what turns out small."""
-    members = m.raw("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    snapshots = m.raw("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(members, F.col("o_custkey") == F.col("c_custkey"))
-    passages = m.raw("lineitem").where("l_quantity > 20").select("l_orderkey", "l_linenumber", "l_suppkey")
-    rows = passages.join(snapshots, F.col("l_orderkey") == F.col("o_orderkey")).join(m.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select("l_orderkey", "l_linenumber", "s_name", "c_name")
-
-
-@query("jn9_latest_snapshot", "SELECT o_custkey AS entity, max_by(o_orderkey, printf('%s-%012d', strftime(o_orderdate, '%Y%m%d'), o_orderkey)) AS snapshot FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1")
-def latest_snapshot(m: Model):
-    rows = m.raw("orders").where("o_orderstatus <> 'P'").join(m.raw("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
-    return rows.groupBy(F.col("o_custkey").alias("entity")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("snapshot"))
-
-
 @query(
     "up18_classification",
     f"""WITH {ENTITIES}, k AS (SELECT 'Q' || p_partkey AS qid, p_type AS kind, p_brand AS label FROM part WHERE p_size < 25)

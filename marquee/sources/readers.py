@@ -6,9 +6,10 @@ import io
 import json
 import tarfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,18 +21,22 @@ ARCHIVE_FIELDS = ("wikipedia_movie_id", "freebase_movie_id", "title", "release_d
 def tar_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
     """(line_no, value) of the member of tar.gz archives whose name ends so.
 
-    Archives come through the binary file source, one task each, and are
-    unpacked as a stream of lines."""
+    Archives come through the binary file source, one task each (2 GB packed at
+    most, as that source has it); the member is unpacked line by line and never
+    held as a whole."""
+
+    def numbered(tar: tarfile.TarFile) -> Iterator[tuple[int, str]]:
+        for m in tar:
+            if m.isfile() and m.name.endswith(member):
+                yield from enumerate(x.decode("utf-8", "replace").rstrip("\r\n") for x in tar.extractfile(m))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for content in part["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(member):
-                            lines = [x.decode("utf-8", "replace").rstrip("\r\n") for x in tar.extractfile(m)]
-                            for a in range(0, len(lines), 10_000):
-                                yield pd.DataFrame({"line_no": range(a, min(a + 10_000, len(lines))), "value": lines[a : a + 10_000]})
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                    lines = numbered(tar)
+                    while batch := list(islice(lines, 10_000)):
+                        yield pd.DataFrame(batch, columns=["line_no", "value"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line_no long, value string")
 
@@ -67,18 +72,30 @@ def title_years(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     title, year = F.trim("Series_Title"), F.trim("Released_Year")
     rows = rows.where((title != "") & year.rlike(r"^\d+$")).select(title.alias("title"), year.cast("int").alias("release_year"))
     rows = rows.limit(limit) if limit else rows
-    return rows.withColumn("line", F.monotonically_increasing_id()).selectExpr("cast(row_number() over (order by line) as int) as position", "title", "release_year")
+    return in_file_order(rows, "position").select("position", "title", "release_year")
+
+
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order in which they are read: each partition
+    numbers its own behind the counts of those before it, which are as many as
+    the partitions."""
+    rows = rows.withColumn("__line", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__line", 33))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    turn = F.row_number().over(Window.partitionBy("__part").orderBy("__line"))
+    return rows.withColumn("__turn", turn).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__turn")).cast("int")).drop("__line", "__part", "__turn", "__before")
 
 
 ENTRY = T.StructType([T.StructField(n, T.IntegerType() if n in ("position", "release_year") else T.StringType()) for n in ("position", "title", "release_year", "wikidata_id", "wikipedia_title", "evidence_url", "reason")])
 
 
-def manifest(spark: SparkSession, path: str, tag: str, field: str = "entries", tag_field: str = "schema") -> DataFrame:
-    """The entries of a JSON manifest that has the expected schema tag."""
+def manifest(spark: SparkSession, path: str, tag: str, field: str = "entries", tag_field: str = "schema", limit: int | None = None) -> DataFrame:
+    """The entries of JSON manifests, with ``limit`` the first of each. A file
+    without the expected schema tag is an error."""
     doc = spark.read.option("multiLine", True).schema(T.StructType([T.StructField(tag_field, T.StringType()), T.StructField(field, T.ArrayType(ENTRY))])).json(path)
-    if doc.where(F.col(tag_field).eqNullSafe(tag)).isEmpty():
+    if not doc.where(~F.col(tag_field).eqNullSafe(tag)).isEmpty() or doc.isEmpty():
         raise ValueError(f"not a manifest of {tag}")
-    return doc.select(F.inline(field))
+    return doc.select(F.inline(F.slice(field, 1, limit) if limit else F.col(field)))
 
 
 def bindings(rows: DataFrame, *names: str) -> DataFrame:
@@ -112,6 +129,23 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
 
 
+def page_records(payloads: DataFrame) -> DataFrame:
+    """(asked, page_id, title, revision, wikibase_item, url) of recorded page
+    look-ups: the stable record of each page that is there. A title that was
+    normalised or redirected on the way keeps the name that was asked for."""
+    hops = "array<struct<`from`:string,`to`:string>>"
+    q = F.from_json("value", f"query struct<normalized:{hops},redirects:{hops},pages:array<struct<pageid:long,title:string,missing:boolean,pageprops:struct<wikibase_item:string>,revisions:array<struct<revid:long>>>>>")["query"]
+    rows = payloads.select(q.alias("q")).select("q.normalized", "q.redirects", F.explode("q.pages").alias("p")).where(~F.coalesce("p.missing", F.lit(False)) & F.col("p.pageid").isNotNull())
+
+    def back(c: Column, hops_: Column) -> Column:
+        met = F.filter(F.coalesce(hops_, F.array().cast(hops)), lambda h: h["to"] == c)
+        return F.coalesce(F.get(met, 0)["from"], c)
+
+    asked = back(back(F.col("p.title"), F.col("redirects")), F.col("normalized"))
+    url = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.translate("p.title", " ", "_"))
+    return rows.select(asked.alias("asked"), F.col("p.pageid").alias("page_id"), F.col("p.title").alias("title"), F.get("p.revisions", 0)["revid"].alias("revision"), F.col("p.pageprops.wikibase_item").alias("wikibase_item"), url.alias("url"))
+
+
 def link_only_works(works: DataFrame, films: DataFrame) -> DataFrame:
     """Violations (work, rule) of the works' own fields; critical_works has all
     rules of a manifest."""

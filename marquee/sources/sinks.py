@@ -1,35 +1,78 @@
-"""Sinks: content-addressed payloads, canonical manifests, table versions."""
+"""Sinks: content-addressed payloads, canonical manifests, reports, table versions."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.checkpoints import cut
+from marquee.checkpoints import cut, shared_dir
 
 
-def store_payloads(payloads: DataFrame, folder: str) -> DataFrame:
-    """Writes (source, body) once by content: a payload's place is its source,
-    the first two digits of its SHA-256 and the hash. Returns (source, hash,
-    body, disposition) of all payloads, each once."""
-    spark = payloads.sparkSession
-    rows = payloads.select("source", "body", F.sha2("body", 256).alias("hash")).dropDuplicates(["source", "hash"])
-    held = existing(spark, folder).select("source", "hash", F.lit(True).alias("held"))
-    rows = cut(rows.join(held, ["source", "hash"], "left").withColumn("disposition", F.when(F.col("held"), "reused").otherwise("created")).drop("held"), "payloads")
-    fresh = rows.where("disposition = 'created'").select("source", F.substring("hash", 1, 2).alias("prefix"), "hash", "body")
-    fresh.write.mode("append").partitionBy("source", "prefix").parquet(folder)
-    return rows
+def as_uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
-def existing(spark: SparkSession, folder: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    schema = "hash string, body string, source string, prefix string"
-    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+def store_payloads(payloads: DataFrame, folder: str, suffix: str = "json") -> DataFrame:
+    """Writes each (source, body) once as a file named by its content: folder,
+    source, the first two digits of its SHA-256, the hash. Returns (source, hash,
+    uri, disposition) of all payloads, each once.
+
+    A file is written under a name of its own and renamed, so that a reader sees
+    all of it or none; of two writers of one payload both write the same."""
+    body = F.col("body").cast("binary")
+    rows = payloads.select("source", body.alias("body"), F.sha2(body, 256).alias("hash")).dropDuplicates(["source", "hash"])
+    root = as_uri(folder).rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            uris, found = [], []
+            for source, content, name in zip(*[batch.column(k).to_pylist() for k in ("source", "body", "hash")], strict=True):
+                place = f"{source}/{name[:2]}/{name}.{suffix}"
+                there = system.get_file_info(f"{path}/{place}").type != fs.FileType.NotFound
+                if not there:
+                    system.create_dir(f"{path}/{source}/{name[:2]}", recursive=True)
+                    part = f"{path}/{source}/{name[:2]}/_{uuid.uuid4().hex}"
+                    with system.open_output_stream(part, compression=None) as out:
+                        out.write(content)
+                    system.move(part, f"{path}/{place}")
+                uris.append(f"{root}/{place}")
+                found.append("reused" if there else "created")
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("hash"), pa.array(uris, pa.string()), pa.array(found, pa.string())], names=["source", "hash", "uri", "disposition"])
+
+    # written before it is read, so that a second reading does not find its own files
+    return cut(rows.where("body is not null").mapInArrow(put, "source string, hash string, uri string, disposition string"), "payloads")
+
+
+def read_payloads(uris: DataFrame) -> DataFrame:
+    """``uris`` with the ``body`` of each stored payload; null where the file is
+    not there or its content does not have the hash that it is named by, which
+    ``available`` tells."""
+    fields = uris.columns
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for uri in batch.column("uri").to_pylist():
+                try:
+                    system, path = fs.FileSystem.from_uri(uri)
+                    with system.open_input_stream(path, compression=None) as f:
+                        content = f.read()
+                except (OSError, TypeError, pa.ArrowInvalid):
+                    content = None
+                name = uri.rsplit("/", 1)[-1].partition(".")[0] if uri else ""
+                bodies.append(content if content is not None and hashlib.sha256(content).hexdigest() == name else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=[*fields, "body"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in uris.schema)
+    return uris.mapInArrow(get, f"{schema}, body binary").withColumn("available", F.col("body").isNotNull())
 
 
 def manifest_text(document: dict) -> tuple[str, str]:
@@ -38,10 +81,16 @@ def manifest_text(document: dict) -> tuple[str, str]:
     return text, hashlib.sha256(text.encode()).hexdigest()
 
 
-def title_manifest(entries: DataFrame, name: str, input_hash: str) -> dict:
-    """Numbered entries of a selection, which is as short as a person's list."""
+def title_manifest(entries: DataFrame, name: str, input_hash: str, **method: str) -> dict:
+    """Numbered entries of a selection, which is as short as a person's list,
+    with the hash of its input and how it was made."""
     rows = [r.asDict() for r in entries.orderBy("position").collect()]
-    return {"schema": name, "input_sha256": input_hash, "count": len(rows), "entries": rows}
+    return {"schema": name, "input_sha256": input_hash, "count": len(rows), "entries": rows, **({"method": method} if method else {})}
+
+
+def report_text(row: DataFrame) -> str:
+    """A report of one row as JSON, dates and numbers as they print."""
+    return json.dumps(row.first().asDict(recursive=True), sort_keys=True, indent=2, ensure_ascii=False, default=str)
 
 
 def next_version(df: DataFrame, folder: str) -> str:
@@ -49,3 +98,14 @@ def next_version(df: DataFrame, folder: str) -> str:
     path = f"{folder}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
+
+
+def outcomes(rows: DataFrame, statuses: tuple[str, ...], status: str = "status") -> DataFrame:
+    """The counters of a run: rows by status, all of them, and when it was
+    counted."""
+    return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == s).alias(s) for s in statuses]).withColumn("counted_at", F.current_timestamp())
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

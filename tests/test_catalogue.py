@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.functions import text, values
-from marquee.operators import catalogue, chunks, lineage, merge, relational, signals
+from marquee.operators import catalogue, chunks, evidence, folding, lineage, merge, relational, selection, signals, upserts
 
 D = dt.date
 
@@ -253,3 +253,56 @@ def test_phrases_are_found_wherever_they_stand(spark):
     assert {tuple(r) for r in got.collect()} == {(i, d) for i, x in phrases for d, y in texts if x in y}
     none = spark.createDataFrame([], "i int, p string")
     assert relational.phrase_matches(none, spark.createDataFrame(texts, "d int, t string"), "i", "p", "d", "t", 3).collect() == []
+
+
+def test_selection_checks(spark):
+    rows = spark.createDataFrame([("Q1",), ("Q22",)], "qid string")
+    assert selection.identifiers(rows, "qid", selection.ITEM).count() == 2
+    for bad in ("q1", "Q1 }", "Q", None):
+        with pytest.raises(Exception, match="not an identifier"):
+            selection.identifiers(rows.union(spark.createDataFrame([(bad,)], "qid string")), "qid", selection.ITEM).collect()
+
+
+def test_answers_need_passages(spark):
+    definitions = spark.createDataFrame([("q1", "lead"), ("q2", "plot/end")], "question string, locator string")
+    passages = spark.createDataFrame([("lead", 1), ("lead", 2)], "locator string, passage int")
+    assert evidence.answer_evidence(definitions.where("question = 'q1'"), passages, "locator").count() == 2
+    assert [r["locator"] for r in evidence.missing_locators(definitions, passages, "locator").collect()] == ["plot/end"]
+    with pytest.raises(Exception, match="no passage at plot/end"):
+        evidence.answer_evidence(definitions, passages, "locator").collect()
+
+
+def test_comparison_errors(spark, two):
+    f, g, c = two
+    assert signals.compared(1, 2, f, g, c, people(spark)).count() == 3
+    with pytest.raises(ValueError):
+        signals.compared(1, 1, f, g, c, people(spark))
+    with pytest.raises(LookupError):
+        signals.compared(1, 99, f, g, c, people(spark))
+
+
+def test_updates_take_one_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a")], "id int, v string")
+    new = spark.createDataFrame([(1, "c"), (1, "b"), (2, "e"), (2, "d")], "id int, v string")
+    assert sorted(map(tuple, merge.update_or_insert(old, new, ["id"], {"v": None}).collect())) == [(1, "b"), (2, "d")]
+
+
+def test_upsert_policies(spark):
+    old = spark.createDataFrame([("Q1", "One", "2000-01-01", 90, "US"), ("Q2", "Two", None, None, None)], "wikidata_id string, title string, release_date string, runtime int, countries string")
+    new = spark.createDataFrame([("Q1", "Uno", None, 0, ""), ("Q2", "Dos", "2001-01-01", 95, "IN"), ("Q3", "Tres", None, 0, ""), ("Q3", "Three", None, 1, "")], old.schema)
+    got = {r["wikidata_id"]: tuple(r)[1:] for r in upserts.upsert("film", old, new, "title").collect()}
+    assert got == {"Q1": ("One", "2000-01-01", 90, "US", "reused"), "Q2": ("Two", "2001-01-01", 95, "IN", "reused"), "Q3": ("Three", None, 1, "", "created")}
+    policy = "source_id int, mode string, rate int, notes string"
+    after = upserts.upsert("access_policy", spark.createDataFrame([(1, "api", 30, "n")], policy), spark.createDataFrame([(1, "api", None, "x")], policy))
+    assert [tuple(r) for r in after.collect()] == [(1, "api", None, "n", "reused")]
+    keys = "object_id int, revision string, content_hash string, url string"
+    snapshot = spark.createDataFrame([(1, None, "h", "u")], keys)  # a null revision is found again
+    assert upserts.counters(upserts.upsert("snapshot", snapshot, snapshot)).first().asDict() == {"created": 0, "reused": 1}
+    assert upserts.upsert("collection", spark.createDataFrame([], "code string"), spark.createDataFrame([("a",), ("a",)], "code string")).collect()[0].asDict() == {"code": "a", "disposition": "created"}
+
+
+def test_folded_lists_ignore_nulls(spark):
+    rows = spark.createDataFrame([("f", 1, "old", None, "US"), ("f", 2, "new", "2001", None), ("f", 2, "new", "2001", "IN"), ("g", 1, "only", None, None)], "film string, n int, title string, date string, place string")
+    got = {r["film"]: r.asDict(recursive=True) for r in folding.folded_records(rows, "film", ["n"], ["title"], {"places": ("place",), "pairs": ("date", "place")}, "date", "place").collect()}
+    assert got["f"] == {"film": "f", "title": "new", "first_release": "2001", "places": ["IN", "US"], "pairs": [{"date": "2001", "place": "IN"}], "releases": [{"date": "2001", "places": ["IN"]}]}
+    assert (got["g"]["title"], got["g"]["first_release"], got["g"]["places"], got["g"]["releases"]) == ("only", None, None, None)

@@ -40,8 +40,12 @@ def test_title_csv(spark, tmp_path):
 def test_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"schema": "v1", "entries": [{"position": 1, "title": "A", "release_year": 1999}, {"position": 2, "title": "B", "wikidata_id": "Q2"}]}, indent=1))
     assert [(r["position"], r["wikidata_id"]) for r in readers.manifest(spark, str(tmp_path / "m.json"), "v1").collect()] == [(1, None), (2, "Q2")]
+    assert readers.manifest(spark, str(tmp_path / "m.json"), "v1", limit=1).count() == 1
     with pytest.raises(ValueError):
         readers.manifest(spark, str(tmp_path / "m.json"), "v2")
+    (tmp_path / "n.json").write_text(json.dumps({"schema": "other", "entries": []}))
+    with pytest.raises(ValueError):  # one of two files
+        readers.manifest(spark, str(tmp_path), "v1")
 
 
 def lines(spark, *values):
@@ -88,17 +92,26 @@ def test_critical_works(spark):
 
 
 def test_sinks(spark, tmp_path):
-    p = spark.createDataFrame([("s", "one"), ("s", "two"), ("s", "one")], "source string, body string")
+    p = spark.createDataFrame([("s", "one"), ("s", "two"), ("s", "one"), ("t", None)], "source string, body string")
     folder = str(tmp_path / "blobs")
-    assert {r["disposition"] for r in sinks.store_payloads(p, folder).collect()} == {"created"}
+    first = sinks.store_payloads(p, folder).collect()
+    assert {r["disposition"] for r in first} == {"created"} and len(first) == 2
     again = sinks.store_payloads(p.union(spark.createDataFrame([("s", "three")], p.schema)), folder)
-    assert {(r["body"], r["disposition"]) for r in again.collect()} == {("one", "reused"), ("two", "reused"), ("three", "created")}
-    assert sinks.existing(spark, folder).count() == 3
+    assert sorted(r["disposition"] for r in again.collect()) == ["created", "reused", "reused"]
+    assert len(list((tmp_path / "blobs").rglob("*.json"))) == 3 and not list((tmp_path / "blobs").rglob("_*"))
+    uris = again.select("uri").union(spark.createDataFrame([(f"file://{folder}/none.json",), (None,), ("odd",)], "uri string"))
+    (tmp_path / "blobs" / "s" / "forged.json").write_text("x")
+    uris = uris.union(spark.createDataFrame([(f"file://{folder}/s/forged.json",)], "uri string"))
+    read = sinks.read_payloads(uris).collect()
+    assert {bytes(r["body"]).decode() for r in read if r["available"]} == {"one", "two", "three"} and sum(not r["available"] for r in read) == 4
     text, sha = sinks.manifest_text({"b": 1, "a": "é"})
     assert text.startswith('{\n  "a": "é"') and text.endswith("\n") and len(sha) == 64
-    m = sinks.title_manifest(spark.createDataFrame([(2, "b"), (1, "a")], "position int, title string"), "v1", "h")
-    assert [e["title"] for e in m["entries"]] == ["a", "b"]
-    assert spark.read.parquet(sinks.next_version(p, str(tmp_path / "t"))).count() == 3
+    m = sinks.title_manifest(spark.createDataFrame([(2, "b"), (1, "a")], "position int, title string"), "v1", "h", rule="first")
+    assert [e["title"] for e in m["entries"]] == ["a", "b"] and m["method"] == {"rule": "first"}
+    assert spark.read.parquet(sinks.next_version(p, str(tmp_path / "t"))).count() == 4
+    assert json.loads(sinks.report_text(spark.range(1).selectExpr("id", "date'2001-02-03' AS d"))) == {"id": 0, "d": "2001-02-03"}
+    row = sinks.outcomes(spark.createDataFrame([("ok",), ("ok",), ("bad",)], "status string"), ("ok", "failed")).first()
+    assert (row["total"], row["ok"], row["failed"]) == (3, 2, 0) and row["counted_at"] is not None
 
 
 def test_ingest_resumes(spark, tmp_path):
