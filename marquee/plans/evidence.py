@@ -580,7 +580,7 @@ def ingest_runs(m: Model):
     schema = "id long, name string"
     m.sql(INCOMING).repartition(3, "id").write.mode("append").json(source)
     for run in ("r1", "r2"):
-        ingest.ingest(m.spark, source, schema, ["id"], table, ledger, checkpoint, run, 2).awaitTermination()
+        ingest.drain(m.spark, source, schema, ["id"], table, ledger, checkpoint, run, 2)
         again = m.sql("SELECT c_custkey AS id, 'again' AS name FROM {customer} WHERE c_custkey < 100")
         again.union(again).coalesce(1).write.mode("append").json(source)
     return ingest.runs(m.spark, ledger).select("run", "status", "seen", "created", "reused")

@@ -3,10 +3,14 @@
 Input files arrive in a folder; every micro-batch is merged by key into a table
 of append-only versions and noted in a ledger. ``availableNow`` drains what is
 there and stops; a new start goes on where the last one ended, and a batch
-that was written but not committed is found by its keys and reused."""
+that was written but not committed is found by its keys and reused. A batch
+reads only the keys of the table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,7 +41,7 @@ def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table:
         batch = batch.persist()
         try:
             held = read_or_empty(s, table, schema)
-            fresh = new_rows(held, batch, key).persist()
+            fresh = new_rows(held.select(*key), batch, key).persist()
             seen, created = batch.count(), fresh.count()
             if created:
                 fresh.write.mode("append").parquet(table)
@@ -52,6 +56,30 @@ def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Busy(RuntimeError):
+    """Another writer has the table."""
+
+
+@contextmanager
+def exclusive(spark: SparkSession, table: str) -> Iterator[None]:
+    """The only writer of a table: a lock file beside it, which the file system
+    lets one of several create. A lock that a lost driver left is removed by hand."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}.lock")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.createNewFile(path):
+        raise Busy(f"{table} has a writer")
+    try:
+        yield
+    finally:
+        system.delete(path, False)
+
+
+def drain(spark: SparkSession, source: str, schema: str, key: list[str], table: str, ledger: str, checkpoint: str, run: str, files_per_batch: int = 1) -> None:
+    """``ingest`` to its end, as the only writer of the table."""
+    with exclusive(spark, table):
+        ingest(spark, source, schema, key, table, ledger, checkpoint, run, files_per_batch).awaitTermination()
+
+
 def runs(spark: SparkSession, ledger: str) -> DataFrame:
     """One row per run: its complete batches and counters, and ``status``: failed
     or running if one of its batches is and was not completed since by that run."""

@@ -213,3 +213,22 @@ def test_bibliography(spark):
     assert [(r["method"], r["score"]) for r in fresh.collect()] == [("title_and_abstract_phrase", 1.0)]
     assert b.discovered(entities, works, fresh.select("entity_id", "work_id"), failed)[1].count() == 0
     assert b.discovery_report(entities, out, fresh).first()["collection_films"] == 4
+
+
+def test_one_writer(spark, tmp_path):
+    table = str(tmp_path / "table")
+    with ingest.exclusive(spark, table):
+        with pytest.raises(ingest.Busy), ingest.exclusive(spark, table):
+            pass
+    with ingest.exclusive(spark, table):
+        pass
+    assert not list(tmp_path.glob("*.lock"))
+
+
+def test_command_line(spark, sf_dir):
+    from marquee.__main__ import main
+
+    out = io.StringIO()
+    assert main(["q3_editions", sf_dir], out) == 0
+    assert {"code", "display_name", "rank"} == set(json.loads(out.getvalue().splitlines()[0]))
+    assert main(["none"], out) == 2 and "q1_health" in out.getvalue()
