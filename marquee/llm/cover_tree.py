@@ -4,23 +4,28 @@ Vectors of norm 1 link when their cosine is at least the threshold, that is
 when their distance is at most reach = sqrt(2 - 2 threshold).
 
 1. Equal vectors become one row with a weight.
-2. The top of the tree is built on a bounded sample (TOP_SAMPLE vectors): nets
-   of radius 1, 1/2, ... as long as a net has at most TOP_CELLS centres. Every
-   vector goes to its nearest centre; each cell's covering radius is measured.
-   Cells are cut into chunks of CHUNK vectors or so, and each chunk builds the
-   rest of the tree: nested levels with halving radii, every node with the
-   true distance of its farthest descendant.
-3. Pairs of cells farther apart than their radii and the reach are pruned. The
-   other chunk pairs are traversed, from both roots down, level by level: a
-   pair of nodes is pruned when its centres' distance less both radii exceeds
-   the reach, and taken whole when the distance and both radii stay below it;
-   the rest goes on to the children. Leaves are decided by the cosine in double
-   precision on the original vectors.
+2. The upper levels of the tree are Spark tables. Each round splits the cells of
+   more than CHUNK vectors: a bounded sample of a cell (CELL_SAMPLE) gives a net
+   whose centres are farther apart than the halved radius, as many of them as
+   the cell's size asks for, FAN at most; every vector goes to the nearest one,
+   streaming past its cell's centres, and each new cell's covering radius is
+   measured. Hot cells are dealt to several tasks (SALT vectors each).
+3. Each cell that is left is a chunk, and builds the rest of the tree: nested
+   levels with halving radii, every node with the true distance of its farthest
+   descendant.
+4. Both trees are traversed together. Above the chunks a round of joins takes
+   each pair of cells to the pairs of their children: a pair farther apart than
+   both radii and the reach is pruned, one that links as a whole (distance and
+   both radii below the reach) is counted by the cells' weights, the rest goes
+   on. Within a pair of chunks the same happens level by level, and leaves are
+   decided by the cosine in double precision on the original vectors.
 
 Pairs never become rows: a task gives each vector its number of links and the
-smallest id it is connected with, and connected components follow. Where all
-vectors are far from each other the bounds prune only below the nets, and the
-work between chunks is a matrix product for each pair of them.
+smallest id it is connected with, and connected components follow. Chunk pairs
+come in tiles of TILE siblings a side, so that a chunk is sent once for TILE
+others. Vectors that lie in clusters meet only their cluster's neighbourhood.
+Where all vectors are far from each other no metric bound prunes, and the work
+is a matrix product for each pair of chunks.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing, and neither do vectors of different lengths. Rows with a null id
@@ -34,13 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import columns, components, cut, finite_vector, sample, tagged
+from marquee.llm.shared import columns, components, cut, finite_vector, shuffle_parts, tagged
 
 THRESHOLD = 0.9
-TOP_SAMPLE, TOP_CELLS, CHUNK = 4096, 64, 2048
+CHUNK, FAN, CELL_SAMPLE, SALT, DEPTH, TILE = 2048, 32, 1024, 500_000, 11, 4
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-3  # of distances in single precision
 
@@ -73,18 +78,19 @@ def net(d: np.ndarray, members: np.ndarray, radius: float) -> tuple[list[int], n
         at = int(left.argmax())
 
 
-def top_cells(sample: np.ndarray) -> np.ndarray:
-    """Centres of the finest net that has at most TOP_CELLS of them."""
-    if not len(sample):
-        return sample
-    x = unit(sample)
-    best, d = [0], distances(x.astype(np.float32), x.astype(np.float32))
+def picked(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` centres among vectors of norm 1: the first ones of the
+    coarsest net that has so many, else of the finest one that has several; of
+    vectors nearer than all nets, some that differ."""
+    d = distances(x.astype(np.float32), x.astype(np.float32))
+    np.fill_diagonal(d, 0)
+    best: list[int] = []
     for radius in LEVELS:
         centres, _ = net(d, np.arange(len(x)), radius)
-        if len(centres) > TOP_CELLS:
+        best = centres[:most] if len(centres) > 1 else best
+        if len(centres) >= most:
             break
-        best = centres
-    return x[best]
+    return x[best or np.arange(min(most, len(x)))]
 
 
 class Tree:
@@ -225,93 +231,217 @@ def link(a: dict, b: dict, same: bool, threshold: float) -> tuple[np.ndarray, np
     return ids[full], n[full], np.sort(ids)[low[full]]
 
 
+def split(key: tuple, rows: pa.Table) -> pa.Table:
+    """applyInArrow: the centres of a cell, from its sample."""
+    x = unit(matrix(rows.column("x").combine_chunks()))
+    most = min(FAN, max(2, -(-rows.column("n")[0].as_py() * 4 // (3 * CHUNK))))
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([pickle.dumps(picked(x, most))], pa.binary())], names=["dim", "cell", "held"])
+
+
+def matrix(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (cell, held, id, w, x, dim), the centres of a cell before
+    its vectors: each vector with its nearest centre's cell and distance."""
+    centres = None
+    for batch in batches:
+        leads = np.flatnonzero(batch.column("held").is_valid().to_numpy(zero_copy_only=False))
+        for at, to in zip([0, *(leads + 1).tolist()], [*leads.tolist(), batch.num_rows], strict=True):
+            if at and at <= batch.num_rows and at - 1 in leads:
+                centres = pickle.loads(batch.column("held")[at - 1].as_py())
+            if to > at:
+                part = batch.slice(at, to - at)
+                d = distances(unit(matrix(part.column("x"))), centres)
+                cell = part.column("cell").to_numpy() * FAN + 1 + d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in ("x", "id", "w", "dim")], pa.array(cell), pa.array(d.min(1))], names=["x", "id", "w", "dim", "cell", "far"])
+
+
+def family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (dim, cell, kids, held) -> what a pair of cells is expanded
+    by: of each cell its children's names, centres, radii and whether they are
+    leaves; a leaf is its own only child."""
+    for batch in batches:
+        out: dict[str, list] = {"dim": [], "cell": [], "held": []}
+        for row in batch.to_pylist():
+            kids = sorted(row["kids"], key=lambda k: k["cell"])
+            cells = np.array([k["cell"] for k in kids], np.int64)
+            centres = pickle.loads(row["held"])[(cells - 1) % FAN]
+            radii, leaf = np.array([k["radius"] for k in kids]), np.array([k["leaf"] for k in kids])
+            told = [(row["cell"], slice(None)), *[(int(cells[i]), slice(i, i + 1)) for i in np.flatnonzero(leaf)]]
+            for cell, own in told:
+                out["dim"].append(row["dim"])
+                out["cell"].append(cell)
+                out["held"].append(pickle.dumps((cells[own], centres[own], radii[own], leaf[own])))
+        yield pa.RecordBatch.from_arrays([pa.array(out["dim"], pa.int32()), pa.array(out["cell"], pa.int64()), pa.array(out["held"], pa.binary())], names=["dim", "cell", "held"])
+
+
+def expanded(reach: float):
+    """mapInArrow: (dim, a, b, ha, hb) -> the pairs of their children that are
+    not pruned (dim, a, b, state): WHOLE, both LEAF, or still OPEN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for dim, a, b, ha, hb in zip(*[batch.column(k).to_pylist() for k in ("dim", "a", "b", "ha", "hb")], strict=True):
+                (ca, xa, ra, la), (cb, xb, rb, lb) = pickle.loads(ha), pickle.loads(hb)
+                d = distances(xa, xb)
+                both = ra[:, None] + rb[None, :]
+                near = d - both <= reach + SLACK
+                if a == b:
+                    near &= np.tri(len(ca), dtype=bool).T
+                i, j = np.nonzero(near)
+                whole = (d + both)[i, j] <= reach - SLACK
+                state = np.where(whole, WHOLE, np.where(la[i] & lb[j], LEAF, OPEN)).astype(np.int32)
+                parts.append((np.full(len(i), dim, np.int32), ca[i], cb[j], state))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["dim", "a", "b", "state"])
+
+    return run
+
+
+OPEN, LEAF, WHOLE = 0, 1, 2
+
+
 def chunk_row(key: tuple, rows: pa.Table) -> pa.Table:
     """applyInArrow: a chunk's vectors, in the order of their tree, and the
     tree, in one row."""
-    x = rows.column("x").combine_chunks()
-    raw = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+    raw = matrix(rows.column("x").combine_chunks())
     tree = Tree(unit(raw))
     o, tree.order = tree.order, np.arange(len(raw))
     held = {"ids": rows.column("id").to_numpy()[o], "w": rows.column("w").to_numpy()[o], "x": raw[o], "tree": tree}
     tree.x32 = None
-    return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([pickle.dumps(held)], pa.binary())], names=["dim", "chunk", "held"])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([key[2].as_py()], pa.int32()), pa.array([pickle.dumps(held)], pa.binary())], names=["dim", "cell", "part", "held"])
 
 
 def pair_rows(threshold: float):
-    """applyInArrow: the chunks of a pair -> their links."""
+    """applyInArrow: the chunks of a pair of tiles and the pairs of them to
+    compare -> their links."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        sides = dict(zip(rows.column("chunk").to_pylist(), rows.column("held").to_pylist(), strict=True))
-        found = [np.zeros(0, np.int64)] * 3
-        if i in sides and j in sides:  # a chunk may be empty
-            a = pickle.loads(sides[i])
-            found = link(a, a if i == j else pickle.loads(sides[j]), i == j, threshold)
-        return pa.table([pa.array(x) for x in found], names=["id", "n", "root"])
+        packed = dict(zip(zip(rows.column("cell").to_pylist(), rows.column("part").to_pylist(), strict=True), rows.column("held").to_pylist(), strict=True))
+        sides: dict = {}
+
+        def side(name: tuple) -> dict | None:
+            if name not in sides:
+                sides[name] = pickle.loads(packed.pop(name)) if name in packed else None  # a chunk may be empty
+            return sides[name]
+
+        found = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for p in rows.column("pairs")[0].as_py():
+            a, b = (p["a"], p["pa"]), (p["b"], p["pb"])
+            if side(a) is not None and side(b) is not None:
+                for held, new in zip(found, link(side(a), side(b), a == b, threshold), strict=True):
+                    held.append(new)
+        return pa.table([pa.array(np.concatenate(x)) for x in found], names=["id", "n", "root"])
 
     return run
 
 
+def upper_levels(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Splits ``vectors (x, id, w, dim)`` until cells are chunks: the vectors
+    with their leaf ``cell``, the cells (dim, cell, n, radius, w, least, leaf)
+    and what pairs of them are expanded by (none, if no cell was split). The
+    root is cell 0 and the children of c are FAN c + 1 and so on."""
+    spark = vectors.sparkSession
+    kind = vectors.schema["x"].dataType.simpleString()
+    placed = vectors.select("x", "id", "w", "dim", F.lit(0).cast("long").alias("cell"), F.lit(2.0).alias("far"))
+    leaves = cells = centres = None
+    for depth in range(DEPTH + 1):
+        size = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.sum("w").alias("w"), F.min("id").alias("least"))
+        stats = cut(size.withColumn("leaf", (F.col("n") <= CHUNK) | F.lit(depth == DEPTH)), "cells")
+        cells = stats if cells is None else cells.union(stats)
+        large = stats.where("not leaf").select("dim", "cell", "n")
+        if large.isEmpty():
+            leaves = placed if leaves is None else leaves.union(placed)
+            break
+        marked = placed.join(large, ["dim", "cell"], "left").select(*placed.columns, "n")
+        done = marked.where("n is null").drop("n")
+        leaves = done if leaves is None else leaves.union(done)
+        going = marked.where("n is not null")
+        u = F.xxhash64(F.lit(depth), "id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+        turn = F.row_number().over(Window.partitionBy("dim", "cell").orderBy("u", "id"))
+        few = going.select("x", "id", "dim", "cell", "n", u.alias("u")).where(F.col("u") < 4 * CELL_SAMPLE / F.col("n")).withColumn("turn", turn).where(F.col("turn") <= CELL_SAMPLE)
+        nets = cut(few.select("dim", "cell", "x", "n").groupBy("dim", "cell").applyInArrow(split, "dim int, cell long, held binary"), "centres")
+        centres = nets if centres is None else centres.union(nets)
+        salts = F.ceil(F.col("n") / SALT)
+        lead = nets.join(large, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "held", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("w"), F.lit(None).cast(kind).alias("x"))
+        body = going.select("dim", "cell", F.pmod(F.xxhash64("id"), salts).alias("salt"), F.lit(None).cast("binary").alias("held"), "id", "w", "x")
+        both = lead.union(body).repartition(shuffle_parts(spark), "dim", "cell", "salt").sortWithinPartitions("dim", "cell", "salt", F.col("held").isNull())
+        placed = cut(both.mapInArrow(assigned, f"x {kind}, id long, w long, dim int, cell long, far double"), "placed")
+    if centres is None:
+        return leaves, cells, None
+    kids = cells.where("cell > 0").groupBy("dim", F.floor((F.col("cell") - 1) / FAN).alias("cell")).agg(F.collect_list(F.struct("cell", "radius", "leaf")).alias("kids"))  # FAN at most
+    kin = cut(kids.join(centres, ["dim", "cell"]).select("dim", "cell", "kids", "held").mapInArrow(family, "dim int, cell long, held binary"), "family")
+    return leaves, cells, kin
+
+
+def cell_pairs(cells: DataFrame, kin: DataFrame | None, reach: float) -> DataFrame:
+    """(dim, a, b, state): the pairs of leaves to compare and the pairs of cells
+    that link as a whole, by expanding the pairs of cells from the roots."""
+    roots = cells.where("cell = 0").select("dim", F.col("cell").alias("a"), F.col("cell").alias("b"), F.when(F.col("leaf"), LEAF).otherwise(OPEN).alias("state"))
+    told, now = roots.where(F.col("state") != OPEN), roots.where(F.col("state") == OPEN)
+    while kin is not None and not now.isEmpty():
+        ka, kb = (kin.select(F.col("dim"), F.col("cell").alias(k), F.col("held").alias(f"h{k}")) for k in ("a", "b"))
+        met = now.select("dim", "a", "b").join(ka, ["dim", "a"]).join(kb, ["dim", "b"]).select("dim", "a", "b", "ha", "hb")
+        new = cut(met.mapInArrow(expanded(reach), "dim int, a long, b long, state int"), "pairs")
+        told, now = told.union(new.where(F.col("state") != OPEN)), new.where(F.col("state") == OPEN)
+    return told
+
+
+def whole_links(pairs: DataFrame, cells: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(id, n, root) from the pairs of cells that link as a whole."""
+    c = cells.select("dim", "cell", "w", "least")
+    sides = pairs.join(c.select("dim", F.col("cell").alias("a"), F.col("w").alias("wa"), F.col("least").alias("la")), ["dim", "a"]).join(c.select("dim", F.col("cell").alias("b"), F.col("w").alias("wb"), F.col("least").alias("lb")), ["dim", "b"])
+    same, root = F.col("a") == F.col("b"), F.least("la", "lb").alias("root")
+    given = sides.select("dim", F.col("a").alias("cell"), F.col("wb").alias("n"), same.cast("long").alias("own"), root).union(sides.where(~same).select("dim", F.col("b").alias("cell"), F.col("wa").alias("n"), F.lit(0).cast("long").alias("own"), root))
+    given = given.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.min("root").alias("root"))
+    line = [F.col("cell")]
+    for _ in range(DEPTH):
+        line.append(F.when(line[-1] > 0, F.floor((line[-1] - 1) / FAN)))
+    above = leaves.select("id", "w", "dim", F.explode(F.array_compact(F.array(*line))).alias("cell"))
+    rows = above.join(given, ["dim", "cell"]).groupBy("id").agg(F.sum(F.col("n") - F.col("own") * F.col("w")).alias("n"), F.min("root").alias("root"))
+    return rows.where("n > 0")
+
+
 def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: ``id_col``, ``n_links``, ``component_id``,
     ``kept``."""
-    spark = table.sparkSession
+    kind = table.schema[vector_col].dataType
     rows = columns(table, id=id_col, x=vector_col).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     valid = rows.where("id is not null").where(finite_vector(F.col("x"))).withColumn("x", F.transform("x", lambda v: v + F.lit(0.0)))
     # a vector is a node by its smallest id, or, where ids repeat, by a number of its own
     _, repeated = tagged(valid.select("id"), "id", "id")
     groups = valid.groupBy("x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"))
     groups = cut(groups.select("x", "least", (F.monotonically_increasing_id() if repeated else F.col("least")).alias("id"), "w", F.size("x").alias("dim")), "vectors")
-    few: dict[int, list] = {}
-    for r in sample(groups.select("id", "dim", "x"), "id", TOP_SAMPLE).collect():  # TOP_SAMPLE rows
-        few.setdefault(r["dim"], []).append(r["x"])
-    tops = {d: top_cells(np.array(x)) for d, x in few.items()}
-    held = spark.sparkContext.broadcast(tops)  # TOP_CELLS vectors at most for each length that the sample has
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            cell, far = np.zeros(len(dims), np.int32), np.full(len(dims), 2.0)
-            x, offs = batch.column("x").flatten().to_numpy(), batch.column("x").offsets.to_numpy()
-            offs = offs - offs[0]
-            for d in np.unique(dims):
-                if d in held.value:
-                    at = np.flatnonzero(dims == d)
-                    dist = distances(unit(x[(offs[at][:, None] + np.arange(d))]), held.value[d])
-                    cell[at], far[at] = dist.argmin(1), dist.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
-
-    placed = cut(groups.select("x", "id", "w", "dim").mapInArrow(cells, "x array<double>, id long, w long, dim int, cell int, far double"), "cells")
-    # at most TOP_CELLS rows for each length of vector
-    stats = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
-    reach = float(np.sqrt(2 - 2 * threshold))
-    first, chunks = {}, {}
-    for r in sorted(stats, key=lambda r: (r["dim"], r["cell"])):
-        first[r["dim"], r["cell"]] = sum(chunks.values())
-        chunks[r["dim"], r["cell"]] = -(-r["n"] // CHUNK)
-    near = []
-    for p in stats:
-        for q in stats:
-            if p["dim"] == q["dim"]:
-                top = tops.get(p["dim"])
-                gap = 0.0 if top is None or p["cell"] == q["cell"] else float(distances(top[p["cell"]], top[q["cell"]]))
-                if gap - p["radius"] - q["radius"] <= reach + SLACK:
-                    near.append((p["dim"], p["cell"], first[p["dim"], p["cell"]], chunks[p["dim"], p["cell"]], first[q["dim"], q["cell"]], chunks[q["dim"], q["cell"]]))
-    # a task for each chunk pair or few of them: they are small to read and long to compare
-    tasks = min(10_000, max(1, sum(x[3] * x[5] for x in near) // 2))
-    if not near:
+    if groups.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.lit(0).cast("long")).alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    near = spark.createDataFrame(near, "dim int, cell int, first int, n int, other int, m int")  # bounded by TOP_CELLS squared
-    near = F.broadcast(near)
-    put = placed.join(near.select("dim", "cell", "first", "n").distinct(), ["dim", "cell"])
-    put = put.withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("id"), "n")).cast("int"))
+    reach = float(np.sqrt(2 - 2 * threshold))
     # single precision where the vectors come in it, so that nothing is lost
-    put = put.select("id", "w", F.col("x").cast(table.schema[vector_col].dataType), "dim", "chunk")
-    chunks = cut(put.groupBy("dim", "chunk").applyInArrow(chunk_row, "dim int, chunk int, held binary"), "chunks")
-    put = chunks.join(near, (near["dim"] == chunks["dim"]) & (F.col("chunk") >= near["first"]) & (F.col("chunk") < near["first"] + near["n"]))
-    put = put.select(chunks["dim"], "chunk", "held", F.explode(F.sequence(F.col("other"), F.col("other") + F.col("m") - 1)).alias("mate"))
-    put = put.select("dim", "chunk", "held", F.least("chunk", "mate").alias("i"), F.greatest("chunk", "mate").alias("j"))
-    links = cut(put.repartition(tasks, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(pair_rows(threshold), "id long, n long, root long"), "found")
+    leaves, cells, kin = upper_levels(groups.select(F.col("x").cast(kind), "id", "w", "dim"))
+    cells = cut(cells, "cells")
+    pairs = cut(cell_pairs(cells, kin, reach), "pairs")
+    # a leaf above CHUNK, which only the last level can have, is dealt to parts
+    parts = cells.where("leaf").where(F.col("n") > CHUNK).select("dim", "cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    chunks = leaves.join(parts, ["dim", "cell"], "left").select("id", "w", "x", "dim", "cell", part)
+    chunks = cut(chunks.groupBy("dim", "cell", "part").applyInArrow(chunk_row, "dim int, cell long, part int, held binary"), "chunks")
+    numbers = lambda k: parts.select("dim", F.col("cell").alias(k), F.col("parts").alias(f"n{k}"))
+    met = pairs.where(F.col("state") == LEAF).join(numbers("a"), ["dim", "a"], "left").join(numbers("b"), ["dim", "b"], "left")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    met = met.select("dim", "a", "b", "nb", upto("na").alias("pa")).select("dim", "a", "b", "pa", upto("nb").alias("pb")).where("a <> b or pa <= pb")
+    tile = lambda c: F.floor((F.col(c) - 1) / TILE)
+    place_a, place_b = F.struct(tile("a").alias("t"), F.col("pa").alias("p")), F.struct(tile("b").alias("t"), F.col("pb").alias("p"))
+    met = met.withColumn("i", F.least(place_a, place_b)).withColumn("j", F.greatest(place_a, place_b))
+    met = met.groupBy("dim", "i", "j").agg(F.collect_list(F.struct("a", "pa", "b", "pb")).alias("pairs"))  # TILE squared at most
+    sides = met.withColumn("tile", F.col("i")).union(met.where("i <> j").withColumn("tile", F.col("j")))
+    named = chunks.select(F.col("dim"), F.struct(tile("cell").alias("t"), F.col("part").alias("p")).alias("tile"), "cell", "part", "held")
+    put = sides.join(named, ["dim", "tile"]).select("dim", "i.t", "i.p", F.col("j.t").alias("t2"), F.col("j.p").alias("p2"), "pairs", "cell", "part", "held")
+    # a task for each pair of tiles or few of them: they are small to read and long to compare
+    tasks = min(10_000, max(1, met.count()))
+    found = put.repartition(tasks, "dim", "t", "p", "t2", "p2").groupBy("dim", "t", "p", "t2", "p2").applyInArrow(pair_rows(threshold), "id long, n long, root long")
+    links = cut(found.union(whole_links(pairs.where(F.col("state") == WHOLE).select("dim", "a", "b"), cells, leaves)), "found")
     comps = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("id").agg(F.sum("n").alias("links"))
     if repeated:
