@@ -15,9 +15,10 @@ is its own share of the tokens; the listed targets share the rest. So the
 cells are as many as the targets allow, whatever the data, and the fit runs on
 the driver.
 
-Topics: the texts' words of 5 bytes or more fall into TOPICS groups by a hash,
-and the topic is the group with the most of them (ties to the smaller; none:
-null)."""
+Topics: a column of the table, where it has one (``topic_col``). Otherwise the
+texts' words of 5 bytes or more fall into TOPICS groups by a hash, and the group
+with the most of them stands for the topic (ties to the smaller; none: null): a
+split by vocabulary that needs no training, not one by subject."""
 
 from __future__ import annotations
 
@@ -34,17 +35,19 @@ from marquee.llm.shared import columns, cut, tagged
 TOPICS, SHARE, ROUNDS, CLOSE = 8, 0.6, 200, 1e-9
 BOUND_ROUNDS, BOUND_CLOSE = 500, 1e-6
 OTHER = "other"
-#: Target shares of tokens; each marginal is scaled to 1.
+#: How many sources and topics get a target of their own where none are given.
+MOST = 64
+#: Target shares of tokens; each marginal is scaled to 1. A marginal without
+#: targets has equal shares for its most frequent values, MOST of them.
 TARGETS: dict[str, dict[str, float]] = {
-    "source": {f"src{i}": 1.0 for i in range(20)},
     "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
     "topic": {f"topic{i}": 1.0 for i in range(TOPICS)},
 }
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (id, tag, source, lang, text) -> id, tag, source, lang, topic,
-    tokens."""
+    """mapInArrow: (id, tag, source, lang, given, text) -> id, tag, source, lang,
+    given, topic, tokens."""
     K.lean()
     for batch in batches:
         texts = batch.column("text")
@@ -59,7 +62,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.bincount(doc[long] * TOPICS + group[long], minlength=(b - a) * TOPICS).reshape(-1, TOPICS)
             tokens.append(n)
             topics += [f"topic{t}" if some else None for t, some in zip(table.argmax(1), table.any(1), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(topics, pa.string()), pa.array(np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64))], names=["id", "tag", "source", "lang", "topic", "tokens"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(topics, pa.string()), pa.array(np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64))], names=["id", "tag", "source", "lang", "given", "topic", "tokens"])
 
 
 def rake(cells: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
@@ -166,7 +169,7 @@ def probabilities(cells: np.ndarray, weights: np.ndarray, share: float, squares:
     return np.minimum(1.0, np.divide(best, cells, out=np.zeros_like(w), where=there))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float]] = TARGETS, share: float = SHARE) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict[str, float]] = TARGETS, share: float = SHARE) -> DataFrame:
     """One row per document: ``id_col``, ``source_cell``, ``lang_cell``,
     ``topic_cell``, ``tokens``, ``weight`` (the factor of its cell over the
     plain share), ``probability``, ``kept``, and, the same in all rows,
@@ -174,14 +177,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the id names the document (see tagged). Null and empty texts have no tokens
     and take their cell's probability. Rows of one id share the draw, but each
     has its cell's probability."""
-    rows = columns(docs, id=id_col, source=source_col, lang=lang_col, text=text_col)
+    given = {"given": topic_col} if topic_col else {}
+    rows = columns(docs, id=id_col, source=source_col, lang=lang_col, text=text_col, **given)
     kind = rows.schema["id"].dataType.simpleString()
-    rows, _ = tagged(rows.select("id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text"), "id", "text", "source", "lang")
-    rows = rows.select("id", "tag", "source", "lang", "text").mapInArrow(measured, f"id {kind}, tag long, source string, lang string, topic string, tokens long")
+    topic = F.col("given").cast("string") if topic_col else F.lit(None).cast("string")
+    rows, _ = tagged(rows.select("id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.alias("given"), "text"), "id", "text", "source", "lang")
+    rows = rows.select("id", "tag", "source", "lang", "given", "text").mapInArrow(measured, f"id {kind}, tag long, source string, lang string, given string, topic string, tokens long")
+    rows = (rows.withColumn("topic", F.col("given")) if topic_col else rows).drop("given")
+    rows = cut(rows, "measured")
+    targets = dict(targets)
+    for k in ("source", "lang", "topic"):
+        if k not in targets:
+            top = rows.where(F.col(k).isNotNull()).groupBy(k).count().orderBy(F.desc("count"), k).limit(MOST).collect()  # MOST rows
+            targets[k] = {r[k]: 1.0 for r in top}
     names = ("source", "lang", "topic")
     for k in names:
         rows = rows.withColumn(k, F.when(F.col(k).isin(sorted(targets[k])), F.col(k)).otherwise(F.lit(OTHER)))
-    rows = cut(rows, "measured")
     values = [[*sorted(targets[k]), OTHER] for k in names]
     cells, squares = np.zeros([len(v) for v in values]), np.zeros([len(v) for v in values])
     for r in rows.groupBy(*names).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("q")).collect():  # as many as the targets allow
@@ -192,7 +203,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = margin(cells, axis)
         rest = own[-1] / own.sum() if own.sum() else 0.0
         t = np.array([targets[k][x] for x in v[:-1]], float)
-        shares.append(np.append(t / t.sum() * (1 - rest), rest))
+        shares.append(np.append(t / max(t.sum(), 1e-300) * (1 - rest), rest))
     weights = rake(cells, shares)
     p = probabilities(cells, weights, share, squares)
     taken = p * cells

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.llm import kernels, langid, licences, mixing, ngram_join, packing, queries, sharding, substring_dedup
 
@@ -191,8 +192,6 @@ def jump(key, n):
 
 
 def test_sharding(spark):
-    from pyspark.sql import functions as F
-
     texts = [*odd_texts(), *[f"t {i % 40}" for i in range(400)]]
     ids = [None, None, *range(-3, len(texts) - 5)]
     docs = frame(spark, texts, ids)
@@ -253,15 +252,14 @@ def expected_marginals(rows):
 @pytest.mark.parametrize("hot", [False, True])
 def test_mixing_expects_the_targets(spark, hot):
     """The given tables, and a third of the rows in one source."""
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     if hot:
         docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
     rows = mixing.mix_sources(docs).collect()
     for k, got in expected_marginals(rows).items():
         rest = sum(r["tokens"] for r in rows if r[f"{k}_cell"] == mixing.OTHER) / sum(r["tokens"] for r in rows)
-        want = {v: t / sum(mixing.TARGETS[k].values()) * (1 - rest) for v, t in mixing.TARGETS[k].items()} | {mixing.OTHER: rest}
+        given = mixing.TARGETS.get(k) or dict.fromkeys({r[f"{k}_cell"] for r in rows} - {mixing.OTHER}, 1.0)
+        want = {v: t / sum(given.values()) * (1 - rest) for v, t in given.items()} | {mixing.OTHER: rest}
         assert set(got) <= set(want) and all(abs(got[v] - t) < 1e-5 for v, t in want.items())
     share = sum(r["tokens"] * r["probability"] for r in rows) / sum(r["tokens"] for r in rows)
     assert abs(share - rows[0]["expected_share"]) < 1e-9 and rows[0]["target_gap"] < 1e-5
@@ -377,3 +375,105 @@ def test_licences_wrapped(spark, width):
     assert rows[0]["found"][0]["line"] == 0 and rows[0]["found"][0]["lines"] > 1
     sampled = licences.sample_lines(frame(spark, texts[1:2]), "doc_id", "text")
     assert {"A title", "plain words"} <= set(sampled) and not set(sampled) & set(texts[0].split("\n")[: rows[0]["found"][0]["lines"]])
+
+
+def slow_ipf(cells, targets, rounds=400):
+    """Raking on a dict of cells, marginal by marginal."""
+    total = sum(cells.values())
+    w = {k: v / total for k, v in cells.items()}
+    for _ in range(rounds):
+        for axis, t in enumerate(targets):
+            have = Counter()
+            for k, v in w.items():
+                have[k[axis]] += v
+            w = {k: v * t[k[axis]] / have[k[axis]] for k, v in w.items()}
+    return w
+
+
+def test_mixing_weights_are_those_of_a_slow_fit(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mix_sources(docs, share=0.1).collect()
+    cells = Counter()
+    for r in rows:
+        cells[r["source_cell"], r["lang_cell"], r["topic_cell"]] += r["tokens"]
+    cells = {k: v for k, v in cells.items() if v}
+    total = sum(cells.values())
+    targets = []
+    for axis, k in enumerate(("source", "lang", "topic")):
+        own = Counter()
+        for c, v in cells.items():
+            own[c[axis]] += v / total
+        want = mixing.TARGETS.get(k) or dict.fromkeys(own, 1.0)
+        there = {v: want[v] for v in own if v in want}
+        rest = 1 - own.get("other", 0.0)
+        targets.append({v: rest * x / sum(there.values()) for v, x in there.items()} | ({"other": own["other"]} if "other" in own else {}))
+    slow = slow_ipf(cells, targets)
+    for r in rows:
+        c = r["source_cell"], r["lang_cell"], r["topic_cell"]
+        if c in slow:
+            assert np.isclose(r["weight"], slow[c] / (cells[c] / total), rtol=1e-4)
+    got = expected_marginals(rows)
+    for axis, k in enumerate(("source", "lang", "topic")):
+        assert all(abs(got[k][v] - t) < 0.01 for v, t in targets[axis].items())
+    assert all(abs(r["target_gap"]) < 0.01 for r in rows[:1])
+
+
+def test_mixing_takes_topics_of_the_table(spark):
+    docs = frame(spark, ["a b c d"] * 40, langs=["en", "de"] * 20).withColumn("subject", F.expr("case when doc_id % 4 < 3 then 'news' end"))
+    rows = mixing.mix_sources(docs, topic_col="subject", targets={"lang": {"en": 1.0, "de": 1.0}}).collect()
+    assert Counter(r["topic_cell"] for r in rows) == Counter({"news": 30, "other": 10})
+
+
+def slow_fill(items, lengths, longest):
+    """Best fit by looking at every open bin."""
+    bins, where, rest = [], [], sum(items)
+    for n in items:
+        fit = [(size - used, b) for b, (size, used) in enumerate(bins) if size - used >= n]
+        if fit:
+            b = min(fit)[1]
+        else:
+            able = [c for c in lengths if c >= n]
+            some = [c for c in able if c <= longest] or able[:1]
+            b = len(bins)
+            bins.append([min(some, key=lambda c: (packing.cost(c) / min(c, rest), c)), 0])
+        bins[b][1] += n
+        where.append(b)
+        rest -= n
+    return where, [min(c for c in lengths if c >= used) for _, used in bins]
+
+
+def test_packing_is_best_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        items = sorted(rng.integers(1, 65, int(rng.integers(1, 80))).tolist(), reverse=True)
+        lengths = (8, 16, 32, 64)
+        slow = [slow_fill(items, lengths, c) for c in lengths]
+        for c, (where, final) in zip(lengths, slow, strict=True):
+            assert packing.fill(items, lengths, c) == (where, final, sum(map(packing.cost, final)))
+        assert sum(map(packing.cost, packing.pack(items, lengths)[1])) == min(sum(map(packing.cost, f)) for _, f in slow)
+
+
+def test_language_scores_are_those_of_the_dense_kernel():
+    """The product with one matrix is K(x, L) K(L, L)^(-1/2) and the ridge."""
+    texts = ["der hund und die katze", "the dog and the cat", "das haus ist alt", "this house is old", "und die", "and the"]
+    labels = ["de", "en"] * 3
+    model = langid.fit(texts, labels)
+
+    def kernel(a, b):
+        a, b = set(langid.presence(pa.array([a]))[0].tolist()), set(langid.presence(pa.array([b]))[0].tolist())
+        return len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+
+    marks = [texts[i] for i in np.lexsort(([labels.index(x) for x in labels], [0, 0, 1, 1, 2, 2]))]
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    phi = np.array([[kernel(t, m) for m in marks] for t in texts]) @ root
+    target = np.where(np.array(labels)[:, None] == np.array(["de", "en"]), 1.0, -1.0)
+    mean, middle = phi.mean(0), target.mean(0)
+    ridge = np.linalg.solve((phi - mean).T @ (phi - mean) + langid.RIDGE * len(texts) * np.eye(len(marks)), (phi - mean).T @ (target - middle))
+    new = ["die alte katze", "an old cat", "haus"]
+    dense = np.array([[kernel(t, m) for m in marks] for t in new]) @ root @ ridge + middle - mean @ ridge
+    z = np.exp(model.sharpness * dense - (model.sharpness * dense).max(1, keepdims=True))
+    assert np.allclose(langid.scores(model, pa.array(new)), z / z.sum(1, keepdims=True), atol=1e-4)
+    # n-grams of 2 to 4 bytes, each once: "die" has 4 + 3 + 2 of them with its blanks
+    assert len(langid.presence(pa.array(["die"]))[0]) == 9 and len(langid.presence(pa.array(["die die"]))[0]) == 9 + 3
