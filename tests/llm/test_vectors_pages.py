@@ -112,6 +112,20 @@ def test_nn_descent(spark, monkeypatch):
     assert recall >= 0.9
 
 
+def test_nn_descent_widens_the_beam(spark, monkeypatch):
+    """A beam that finds too little grows until the check passes."""
+    monkeypatch.setattr(nn_descent, "BEAM", 4)
+    monkeypatch.setattr(nn_descent, "ENTRIES", 4)
+    monkeypatch.setattr(nn_descent, "CHUNK", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 64)))]
+    want = search_brute(rows, lambda i: i % 100 == 0)
+    got = {}
+    for r in nn_descent.nearest_neighbours(vectors_frame(spark, rows, "double"), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & {w[0] for w in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_nn_descent_small(spark):
     rows = [(0, [1.0] * 64), (100, [2.0] * 64), (7, [1.0] * 64), (None, [3.0] * 64)]
     got = sorted(tuple(r) for r in nn_descent.nearest_neighbours(vectors_frame(spark, rows), F.col("vec_id") % 100 == 0).collect())
