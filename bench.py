@@ -18,7 +18,7 @@ from marquee.plans.registry import QUERIES
 from marquee.ship import ship
 
 HEADLINE = (
-    "q1_health", "q2_source_quality", "q4_film_search", "q4_genre_decade", "q5_entry_points", "q6_compare_signals", "q7_lineage_edges", "q8_film_detail", "q9_filmography", "q10_person_graph", "q11_similar_films",
+    "q1_health", "q2_source_quality", "q4_film_search", "q4_genre_decade", "q5_entry_points", "q6_compare_signals", "q6_compare_pair", "q7_lineage_edges", "q7_lineage_one", "q8_film_detail", "q8_film_one", "q9_filmography", "q10_person_graph", "q11_similar_films",
     "ag4_fold", "jn15_reconcile_status", "jn21_phrase_match", "wn2_exact_dedup", "wn3_stratified_shelf", "up1_update_or_insert", "tx1_strip_markup", "tx8_chunks", "val_constraints",
 )
 RUNS = 3

@@ -3,6 +3,8 @@ splits, pending work, overlays."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,19 +105,23 @@ def phrase_matches(phrases: DataFrame, texts: DataFrame, item: str, phrase: str,
     size = F.size(F.split(phrase, " "))
     kinds = sorted(r[0] for r in phrases.select(F.least(size, F.lit(words + 2))).distinct().collect() if r[0])  # words + 2 at most
 
-    def runs(n: int) -> Column:
-        w = F.split(text, " ")
-        count = F.size(w) - (n - 1)
-        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.when(count > 0, F.slice(w, i, n)))
+    def runs(n: int, name: Callable[[Column], Column]) -> Column:
+        """The distinct names of the runs of n words of each text; the words are
+        a variable of their own, so that a text is split once."""
+
+        def of(w: Column) -> Column:
+            count = F.size(w) - (n - 1)
+            return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: name(F.slice(w, i, n))))
+
+        return F.explode(F.array_distinct(F.transform(F.array(F.split(text, " ")), of)[0])).alias("__run")
 
     hits = None
     for k in kinds:
         some = phrases.where(size >= k if k == words + 2 else size == k)
         if k > 2:
-            hashes = texts.select(key, F.explode(F.array_distinct(F.transform(runs(k - 2), lambda r: F.xxhash64(r)))).alias("__run"))
-            found = hashes.join(some.select(item, F.xxhash64(F.slice(F.split(phrase, " "), 2, k - 2)).alias("__run")), "__run")
+            found = texts.select(key, runs(k - 2, F.xxhash64)).join(some.select(item, F.xxhash64(F.slice(F.split(phrase, " "), 2, k - 2)).alias("__run")), "__run")
         else:
-            grams = texts.select(key, F.explode(F.array_distinct(F.transform(runs(k), lambda r: F.array_join(r, " ")))).alias("__run"))
+            grams = texts.select(key, runs(k, lambda r: F.array_join(r, " ")))
             known = grams.select("__run").distinct().join(some.select(item, F.col(phrase).alias("__p")), F.contains("__run", "__p")).select("__run", item)
             found = grams.join(known, "__run")
         hits = found.select(item, key) if hits is None else hits.union(found.select(item, key))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text, values
 from marquee.operators import bibliography, catalogue, evidence, folding, lineage, relational, selection, signals
-from marquee.plans.catalogue import SIGNALS
+from marquee.plans.catalogue import SIGNALS, TARGET
 from marquee.plans.registry import query
 from marquee.plans.upserts import bare
 from marquee.sources import endpoint, readers, sinks
@@ -318,9 +318,9 @@ def health_editions(m: Model):
     return rows.withColumn("latest", F.date_format("latest", "yyyy-MM-dd")).withColumn("editions", F.array_join(F.transform("editions", lambda e: e["code"]), ","))
 
 
-@query("q6_compare_pair", with_model("films genres credits people", "SELECT label, contribution, evidence FROM sig", "pairs AS (SELECT 13 AS first, 14 AS second), " + SIGNALS))
+@query("q6_compare_pair", with_model("films genres credits people", "SELECT label, contribution, evidence FROM sig", f"pairs AS (SELECT {TARGET} AS first, {TARGET + 1} AS second), " + SIGNALS))
 def compare_pair(m: Model):
-    return signals.compared(13, 14, m.films(), m.genres(), m.credits(), m.people()).select("label", "contribution", "evidence")
+    return signals.compared(TARGET, TARGET + 1, m.films(), m.genres(), m.credits(), m.people()).select("label", "contribution", "evidence")
 
 
 WORKS = "works AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'order:' || o_orderkey END AS entity_id, 'Work ' || o_orderkey AS title FROM orders WHERE o_orderkey % 3 <> 0)"
@@ -366,6 +366,19 @@ def film_provenance(m: Model):
     return d.select("id", F.array_join(F.transform("provenance", lambda p: F.concat(p["field_name"], F.lit("@"), p["source_name"])), ";").alias("provenance"))
 
 
+@query("q7_lineage_one", with_model("entities assertions", "SELECT e.entity_id, position::INT AS position, relation_label, target_id, target_title FROM edges e WHERE e.entity_id = 'order:13'", ROUTES))
+def lineage_one(m: Model):
+    """The point form: the edges of one entity."""
+    return lineage.edges(m.assertions(), m.entities()).where("entity_id = 'order:13'").select("entity_id", "position", "relation_label", "target_id", "target_title")
+
+
+@query("q8_film_one", with_model("films genres aliases", f"SELECT id, title, (SELECT string_agg(label, ', ' ORDER BY label) FROM (SELECT DISTINCT label FROM genres WHERE film_id = {TARGET})) AS genres, (SELECT string_agg(value, ';' ORDER BY value) FROM (SELECT DISTINCT value FROM aliases WHERE film_id = {TARGET})) AS aliases FROM films WHERE id = {TARGET}"))
+def film_one(m: Model):
+    """The point form: one film with its children."""
+    d = catalogue.details(m.films(), m.genres(), m.credits(), m.people(), m.aliases()).where(F.col("id") == TARGET)
+    return d.select("id", "title", F.array_join("genres", ", ").alias("genres"), F.array_join("aliases", ";").alias("aliases"))
+
+
 @query("snk4_responses", with_model("films", """SELECT '{"id":' || id || ',"title":"' || title || '","release_date":' || coalesce('"' || release_date || '"', 'null') || '}' AS body FROM films"""))
 def responses(m: Model):
     return catalogue.responses(m.films().select("id", "title", "release_date"))
