@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.shared import columns, components, cut, finite_vector, shuffle_parts, tagged
@@ -397,10 +397,13 @@ def whole_links(pairs: DataFrame, cells: DataFrame, leaves: DataFrame) -> DataFr
     same, root = F.col("a") == F.col("b"), F.least("la", "lb").alias("root")
     given = sides.select("dim", F.col("a").alias("cell"), F.col("wb").alias("n"), same.cast("long").alias("own"), root).union(sides.where(~same).select("dim", F.col("b").alias("cell"), F.col("wa").alias("n"), F.lit(0).cast("long").alias("own"), root))
     given = given.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.min("root").alias("root"))
-    line = [F.col("cell")]
-    for _ in range(DEPTH):
-        line.append(F.when(line[-1] > 0, F.floor((line[-1] - 1) / FAN)))
-    above = leaves.select("id", "w", "dim", F.explode(F.array_compact(F.array(*line))).alias("cell"))
+
+    def up(line: Column, _: Column) -> Column:
+        last = F.element_at(line, -1)
+        return F.when(last > 0, F.array_append(line, F.floor((last - 1) / FAN))).otherwise(line)
+
+    line = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.array("cell"), up)  # a cell and all above it
+    above = leaves.select("id", "w", "dim", F.explode(line).alias("cell"))
     rows = above.join(given, ["dim", "cell"]).groupBy("id").agg(F.sum(F.col("n") - F.col("own") * F.col("w")).alias("n"), F.min("root").alias("root"))
     return rows.where("n > 0")
 
