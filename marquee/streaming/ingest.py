@@ -82,9 +82,12 @@ def drain(spark: SparkSession, source: str, schema: str, key: list[str], table:
 
 def runs(spark: SparkSession, ledger: str) -> DataFrame:
     """One row per run: its complete batches and counters, and ``status``: failed
-    or running if one of its batches is and was not completed since by that run."""
+    or running if one of its batches is and was not completed since by that run.
+    A batch that was complete but not committed comes again and finds its own
+    rows: of its counters those that created most count."""
     rows = read_or_empty(spark, ledger, LEDGER)
-    done = rows.where("status = 'complete'").dropDuplicates(["run", "batch"])
+    counters = F.struct("created", "seen", "reused")
+    done = rows.where("status = 'complete'").groupBy("run", "batch").agg(F.max(counters).alias("c")).select("run", "batch", "c.*")
     left = rows.where("status <> 'complete'").join(done.select("run", "batch"), ["run", "batch"], "left_anti")
     open_ = left.groupBy("run").agg(F.min("status").alias("open"))  # failed before running
     told = done.groupBy("run").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("seen", "created", "reused")])

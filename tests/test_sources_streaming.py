@@ -152,6 +152,12 @@ def test_ledger_of_a_failed_batch(spark, tmp_path, monkeypatch):
     assert {(r["run"], r["batches"], r["status"]) for r in ingest.runs(spark, args[5]).collect()} == {("r1", 0, "failed"), ("r2", 1, "complete")}
 
 
+def test_ledger_of_a_repeated_batch(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    spark.createDataFrame([("r", 0, 3, 0, 3, "complete"), ("r", 0, 3, 2, 1, "complete"), ("r", 0, 0, 0, 0, "running")], ingest.LEDGER).write.parquet(path)
+    assert [tuple(r) for r in ingest.runs(spark, path).collect()] == [("r", 1, 3, 2, 1, "complete")]
+
+
 def test_windowed_counts(spark, tmp_path):
     src = tmp_path / "ev"
     src.mkdir()
