@@ -89,6 +89,10 @@ def entry_points(films: DataFrame, assertions: DataFrame, limit: int = 6) -> Dat
     return films.join(n, "entity_id").orderBy(F.desc("installments"), F.desc("routes"), "title", "entity_id").limit(limit)
 
 
+#: After so many rounds what a closure knows becomes one table.
+ROUNDS = 16
+
+
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, ancestor, depth): transitive closure of a hierarchy, each node
     with itself at depth 0; of several ways the shortest. Every round joins
@@ -103,4 +107,6 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
         if new.isEmpty():
             break
         known = known.unionByName(new)
+        if depth % ROUNDS == 0:  # few tables to read, however deep the hierarchy
+            known = cut(known, "closure")
     return known
