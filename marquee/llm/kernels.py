@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 BYTES_BASE, WORDS_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Of a second polynomial, where 64 bits are too few.
+BYTES_BASE_2, WORDS_BASE_2 = 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, return.
 IS_SPACE = np.zeros(256, bool)
@@ -97,16 +99,16 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTES_BASE) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, inv = powers(BYTES_BASE, len(data))
+    p, inv = powers(base, len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inv[starts])
 
 
-def window_hashes(w: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(w: np.ndarray, rows: np.ndarray, k: int, base: int = WORDS_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of k consecutive words of one row, and where each
     begins. rows: where each row's words begin among w."""
     n = np.maximum(np.diff(rows) - (k - 1), 0)
@@ -114,7 +116,7 @@ def window_hashes(w: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first = np.cumsum(n) - n
     at = np.arange(n.sum()) + np.repeat(rows[:-1] - first, n)
-    p, inv = powers(WORDS_BASE, len(w))
+    p, inv = powers(base, len(w))
     sums = np.zeros(len(w) + 1, np.uint64)
     np.cumsum(w * p[: len(w)], out=sums[1:])
     return mix((sums[at + k] - sums[at]) * inv[at]), at

@@ -1,22 +1,18 @@
 """Substring dedup: repeated fixed-length token windows go.
 
 Every window of ``window`` consecutive words (runs without ASCII white space)
-of every text gets a Rabin-Karp hash modulo 2**64. The hashes are dealt by
-value to parts of PART_WINDOWS windows or so; each part counts its hashes and
-tells, of each that occurs again, all occurrences but the first (smallest id,
-then smallest start). Before that, each piece of PIECE bytes of text counts its
-own: what is not the first there goes for certain, and only the first travels,
-so a window that a third of all documents hold reaches its part once a piece.
-Occurrences travel in packed slices, nine bytes a window or so: what the part
-does not tell of the hash, and the compressed distances to the windows before.
-The repeated starts of each document merge into maximal intervals of words,
-which are removed.
+of every text gets a Rabin-Karp hash of 128 bits (two polynomials modulo 2**64).
+The hashes are dealt by value to parts, which count them and tell, of each that
+occurs again, all occurrences but the first: smallest id, then smallest start
+(``repeats``). The repeated starts of each document merge into maximal intervals
+of words, which are removed.
 
 Null, empty and short texts have no window and stay. Rows with a null id take
 no part and stay as they are. Rows repeating id and text are one document; rows
 of one id with different texts are documents of their own, in the order of a
 hash of the text.
-Two different windows share a hash with probability 2**-64 a pair."""
+Two different windows share a hash with probability 2**-128 a pair: of 100 TB,
+17 trillion windows, some pair does with probability 1e-12."""
 
 from __future__ import annotations
 
@@ -25,199 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import kernels as K
+from marquee.llm.repeats import repeated
 from marquee.llm.shared import cut, tagged
 
 WINDOW = 20
-PART_WINDOWS, PIECE = 1_000_000, 8 << 20
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones, and so on."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+def windows(window: int):
+    """Keys of all windows of each text: two polynomials of their words."""
 
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, offs = K.raw(texts)
+        starts, ends, rows = K.word_bounds(data, offs)
+        hi, at = K.window_hashes(K.word_hashes(data, starts, ends), rows, window)
+        lo, _ = K.window_hashes(K.word_hashes(data, starts, ends, K.BYTES_BASE_2), rows, window, K.WORDS_BASE_2)
+        doc = np.searchsorted(rows, at, "right") - 1
+        return hi, lo, doc, at - rows[doc]
 
-def numbers(data: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
-    width = np.dtype(kind).itemsize
-    x = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
-    return np.ascontiguousarray(x).view(kind).reshape(n), at + n * width
-
-
-def slices(window: int, bits: int, piece: int):
-    """mapInArrow: (id, tag, text) -> packed slices (part, id, tag, hashes,
-    rest): a slice holds the windows of one part, the first ``bits`` bits of the
-    hash, in the order of the rows: the last bytes of the hashes, and the rows'
-    ids, tags and numbers of windows with the steps from start to start. Rows
-    without hashes bring the repeated starts of one document in its piece."""
-    parts, keep = 1 << bits, -(-(64 - bits) // 8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.lean()
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            all_ids, all_tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-            for a, b in K.pieces(texts, piece):
-                hs, docs, where = [], [], []
-                for c, d in K.pieces(texts.slice(a, b - a)):
-                    data, offs = K.raw(texts.slice(a + c, d - c))
-                    starts, ends, rows = K.word_bounds(data, offs)
-                    h, at = K.window_hashes(K.word_hashes(data, starts, ends), rows, window)
-                    doc = np.searchsorted(rows, at, "right") - 1
-                    hs.append(h)
-                    docs.append((doc + a + c).astype(np.int32))
-                    where.append((at - rows[doc]).astype(np.int32))
-                if not sum(map(len, hs)):
-                    continue
-                h, doc, pos = np.concatenate(hs), np.concatenate(docs), np.concatenate(where)
-                del hs, docs, where
-                out: dict[str, list] = {k: [] for k in ("part", "id", "tag", "hashes", "rest")}
-                ids, tags = all_ids[doc].astype(np.int64), all_tags[doc].astype(np.int64)
-                o = again(h, ids, tags, pos)
-                for i, t, found in by_id(o, ids, tags, pos):
-                    for k, v in (("part", i % parts), ("id", i), ("tag", t), ("hashes", b""), ("rest", found)):
-                        out[k].append(v)
-                stays = np.ones(len(h), bool)
-                stays[o] = False
-                h, doc, pos = h[stays], doc[stays], pos[stays]
-                part = (h >> np.uint64(64 - bits)).astype(np.int16 if bits < 16 else np.int32)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                h, doc, pos = h[order], doc[order], pos[order]
-                for p in np.flatnonzero(np.diff(cuts)):
-                    own = slice(cuts[p], cuts[p + 1])
-                    d = doc[own]
-                    first = np.flatnonzero(np.diff(d, prepend=-1))
-                    step = np.diff(pos[own], prepend=np.int32(0)).astype(np.int32)
-                    step[first] = pos[own][first]
-                    out["part"].append(int(p))
-                    out["id"].append(None)
-                    out["tag"].append(None)
-                    out["hashes"].append(h[own].view(np.uint8).reshape(-1, 8)[:, :keep].tobytes())
-                    out["rest"].append(packer.compress(len(first).to_bytes(8, "little") + planes(np.diff(all_ids[d[first]].astype(np.int64), prepend=0)) + planes(all_tags[d[first]].astype(np.int64)) + planes(np.diff(np.append(first, len(d))).astype(np.int32)) + planes(step)))
-                yield pa.record_batch([pa.array(out["part"], pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["tag"], pa.int64()), pa.array(out["hashes"], pa.binary()), pa.array(out["rest"], pa.binary())], names=["part", "id", "tag", "hashes", "rest"])
-
-    return run
-
-
-def opened(hashes: pa.Buffer, rest: pa.Buffer, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A slice's hashes (without the part's bits above), ids, tags and starts,
-    one for each window."""
-    low = np.frombuffer(hashes, np.uint8).reshape(-1, keep)
-    h = np.zeros((len(low), 8), np.uint8)
-    h[:, :keep] = low
-    data = zstandard.ZstdDecompressor().decompress(rest)
-    docs = int.from_bytes(data[:8], "little")
-    ids, at = numbers(data, 8, docs, np.int64)
-    tags, at = numbers(data, at, docs, np.int64)
-    n, at = numbers(data, at, docs, np.int32)
-    step, _ = numbers(data, at, len(low), np.int32)
-    total = np.cumsum(step.astype(np.int64))
-    first = np.cumsum(n) - n
-    base = total[first] - step[first]
-    return h.view(np.uint64).reshape(-1), np.repeat(np.cumsum(ids), n), np.repeat(tags, n), (total - np.repeat(base, n)).astype(np.int32)
-
-
-def again(h: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Where, in order of (id, tag, start), each hash occurs but for its
-    smallest (id, tag, start)."""
-    order = np.argsort(h)
-    s = h[order]
-    same = s[1:] == s[:-1]
-    several = np.zeros(len(s), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    o = order[several]
-    o = o[np.lexsort((pos[o], tags[o], ids[o], h[o]))]
-    head = np.ones(len(o), bool)
-    head[1:] = h[o][1:] != h[o][:-1]
-    lead = o[np.flatnonzero(head)][np.cumsum(head) - 1] if len(o) else o
-    o = o[(ids[o] != ids[lead]) | (tags[o] != tags[lead]) | (pos[o] != pos[lead])]
-    return o[np.lexsort((pos[o], tags[o], ids[o]))]
-
-
-def by_id(o: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """The starts of each (id, tag); o is in their order."""
-    if not len(o):
-        return
-    i, t = ids[o], tags[o]
-    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]))
-    for a, b in zip(first, np.append(first[1:], len(o)), strict=True):
-        yield int(i[a]), int(t[a]), pos[o[a:b]].tobytes()
-
-
-def repeats(buckets: int, bits: int):
-    """mapInArrow over slices sorted by part -> (bucket, ids, tags, starts): the
-    repeated starts that a task finds, packed by a hash of the id."""
-    keep = -(-(64 - bits) // 8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.lean()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def count(held: list) -> None:
-            h, ids, tags, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            o = again(h, ids, tags, pos)
-            found.append((ids[o], tags[o], pos[o]))
-
-        def told() -> pa.RecordBatch:
-            ids, tags, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-            found.clear()
-            to = (K.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            at = [order[cuts[b] : cuts[b + 1]] for b in some]
-            return pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array([x[o].tobytes() for o in at], pa.binary()) for x in (ids, tags, pos)]], names=["bucket", "ids", "tags", "starts"])
-
-        now, held = None, []
-        for batch in batches:
-            for r in range(batch.num_rows):
-                part = batch.column(0)[r].as_py()
-                hashes, rest = batch.column(3)[r].as_buffer(), batch.column(4)[r].as_buffer()
-                if part != now and held:
-                    count(held)
-                    held = []
-                now = part
-                if hashes.size:
-                    held.append(opened(hashes, rest, keep))
-                else:
-                    at = np.frombuffer(rest, np.int32).copy()
-                    found.append((np.full(len(at), batch.column(1)[r].as_py()), np.full(len(at), batch.column(2)[r].as_py()), at))
-                if len(found) >= 4096:
-                    yield told()
-        if held:
-            count(held)
-        if found:
-            yield told()
-
-    return run
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by bucket: one row (id, tag, starts) for each
-    document."""
-    K.lean()
-
-    def told(held: list) -> pa.RecordBatch:
-        ids, tags, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        found = list(by_id(np.lexsort((tags, ids)), ids, tags, pos))
-        return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], names=["id", "tag", "starts"])
-
-    now, held = None, []
-    for batch in batches:
-        for r in range(batch.num_rows):
-            bucket = batch.column(0)[r].as_py()
-            if bucket != now and held:
-                yield told(held)
-                held = []
-            now = bucket
-            held.append(tuple(np.frombuffer(batch.column(k)[r].as_buffer(), t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32))))
-    if held:
-        yield told(held)
+    return of
 
 
 def removed(window: int):
@@ -265,14 +90,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = F.struct(*[docs[f"`{c}`"] for c in carry]) if carry else F.lit(None).cast("boolean")
     docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"), held.alias("carried"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # words have 6 bytes or so, with the blank behind them
-    bits = max(8, (int(size) // (6 * PART_WINDOWS)).bit_length())
     docs, _ = tagged(docs, "id", "text")
-    packed = docs.where("id is not null").select("id", "tag", "text").mapInArrow(slices(window, bits, PIECE), "part int, id long, tag long, hashes binary, rest binary")
-    tasks = max(8, (1 << bits) // 4)
-    packed = packed.repartition(tasks, "part").sortWithinPartitions("part")
-    found = packed.mapInArrow(repeats(tasks, bits), "bucket int, ids binary, tags binary, starts binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = cut(found.mapInArrow(gathered, "id long, tag long, starts binary"), "repeats")
+    # words have 6 bytes or so, with the blank behind them
+    found = repeated(docs, windows(window), int(size) // 6, False, np.ndarray.tobytes)
+    found = cut(found.select("id", "tag", F.col("found").alias("starts")), "repeats")
     rows = docs.join(found, ["id", "tag"], "left").select("id", "text", "starts", "carried")
     out = f"carried {docs.schema['carried'].dataType.simpleString()}, id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
     rows = rows.mapInArrow(removed(window), out).withColumnRenamed("id", id_col)
