@@ -87,10 +87,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (maximal runs without ASCII white space)
-    and, for each row, where its words begin among them."""
-    on = ~IS_SPACE[data]
+def word_bounds(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (maximal runs without ASCII white space, or
+    without other bytes that stand between words) and, for each row, where its
+    words begin among them."""
+    on = ~between[data]
     prev, nxt = np.zeros(len(on), bool), np.zeros(len(on), bool)
     prev[1:], nxt[:-1] = on[:-1], on[1:]
     inner = offs[(offs > 0) & (offs < len(on))]

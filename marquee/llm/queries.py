@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import cover_tree, langid, licences, line_dedup, mixing, ngram_join, nn_descent, packing, sharding, substring_dedup, warc
+from marquee.llm import collocations, cover_tree, langid, licences, line_dedup, mixing, ngram_join, nn_descent, packing, periodic, sharding, substring_dedup, warc
 from marquee.llm.pipeline import run
 from marquee.llm.shared import settled
 
@@ -62,16 +62,24 @@ def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, "op10", told)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, "op11", lambda: collocations.collocations(table(spark, sf_dir, "documents")))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, "op12", lambda: line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed_text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_language_id, op3_jump_hash_sharding, op4_cover_tree_dedup, op5_source_mixing, op6_best_fit_packing, op7_licence_scan, op8_substring_dedup, op9_nn_descent_search, op10_warc_dictionary_archive, op12_line_dedup, pipeline]
+    own = [op1_ngram_jaccard_join, op2_language_id, op3_jump_hash_sharding, op4_cover_tree_dedup, op5_source_mixing, op6_best_fit_packing, op7_licence_scan, op8_substring_dedup, op9_nn_descent_search, op10_warc_dictionary_archive, op11_phrase_collocations, op12_line_dedup, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
