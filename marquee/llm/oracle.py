@@ -24,15 +24,15 @@ FROM d GROUP BY doc_id
 SQL["op11_phrase_collocations"] = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
-g AS (SELECT lang, list_slice(words, i, i + k - 1) AS words, k FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(k))),
-f AS (SELECT lang, words, k, count(*) AS f FROM g GROUP BY ALL),
+g AS (SELECT lang, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase, k FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(k))),
+f AS MATERIALIZED (SELECT lang, phrase, k, string_split(phrase, ' ') AS words, count(*) AS f FROM g GROUP BY lang, phrase, k),
 n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
-cut AS (SELECT c.lang, c.words, c.f AS a, x.f AS l, y.f AS r, c.cut, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c JOIN f AS x ON x.lang = c.lang AND x.words = list_slice(c.words, 1, c.cut) JOIN f AS y ON y.lang = c.lang AND y.words = list_slice(c.words, c.cut + 1, c.k)),
-low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
-part AS (SELECT lang, list_slice(words, i, i + k - 1) AS words, max(f) AS f FROM (SELECT c.lang, c.words, c.f, t.k, unnest(range(1, c.k - t.k + 2)) AS i FROM c, (VALUES (2), (3)) AS t(k) WHERE t.k < c.k) GROUP BY ALL),
-kept AS (SELECT low.*, array_to_string(low.words, ' ') AS phrase FROM low LEFT JOIN part ON part.lang = low.lang AND part.words = low.words WHERE part.f IS NULL OR 100 * part.f < 80 * low.a)
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(words[1:cut], ' ') AS x, array_to_string(words[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+low AS (SELECT cuts.*, fx.f AS l, fy.f AS r, (2000000::HUGEINT * a) // (fx.f + fy.f) AS score FROM cuts JOIN f AS fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f AS fy ON fy.lang = cuts.lang AND fy.phrase = y
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (2000000::HUGEINT * a) // (fx.f + fy.f), cut) = 1),
+part AS (SELECT lang, array_to_string(list_slice(words, i, i + m - 1), ' ') AS phrase, max(f) AS f FROM (SELECT lang, words, f, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) AS t(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN part ON part.lang = low.lang AND part.phrase = low.phrase WHERE part.f IS NULL OR 100 * part.f < 80 * low.a)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
 """
