@@ -110,3 +110,15 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
         if depth % ROUNDS == 0:  # few tables to read, however deep the hierarchy
             known = cut(known, "closure")
     return known
+
+
+def handoffs(pairs: DataFrame, crew: DataFrame) -> DataFrame:
+    """``pairs (node, next)``, ``crew (work, role)`` -> what each installment hands
+    on: numbers of roles ``retained``, ``left`` and ``joined``, and the retained
+    ones as text. Repeated credits count once."""
+    roles = crew.where("role is not null").groupBy("work").agg(F.collect_set("role").alias("roles"))
+    none = F.array().cast("array<string>")
+    rows = pairs.join(roles.select(F.col("work").alias("node"), F.col("roles").alias("x")), "node", "left").join(roles.select(F.col("work").alias("next"), F.col("roles").alias("y")), "next", "left")
+    rows = rows.select("node", "next", F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y")).withColumn("kept", F.array_intersect("x", "y"))
+    n = lambda c: F.size(c).cast("long")
+    return rows.select("node", "next", n("kept").alias("retained"), (n("x") - n("kept")).alias("left"), (n("y") - n("kept")).alias("joined"), F.array_join(F.array_sort("kept"), ", ").alias("kept_roles"))

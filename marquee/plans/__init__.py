@@ -1,3 +1,3 @@
 """Spark-native knowledge-catalogue engine."""
 
-from marquee.plans import catalogue, evidence, pipelines, texts, upserts  # noqa: F401
+from marquee.plans import catalogue, evidence, foundation, pipelines, texts, upserts  # noqa: F401
