@@ -67,6 +67,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What ``build`` returns as a written table; the tables that it wrote on
     its way are removed, also when it fails."""
@@ -81,8 +86,7 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
         _own.scopes.pop()
         kept = paths.pop() if out is not None else None  # the last one is the result
         for p in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(spark, p)
     if _own.scopes:
         _own.scopes[-1].append(kept)
     return out
