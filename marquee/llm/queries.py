@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import collocations, cover_tree, langid, licences, line_dedup, mixing, ngram_join, nn_descent, packing, periodic, sharding, substring_dedup, warc
 from marquee.llm.pipeline import run
-from marquee.llm.shared import settled
+from marquee.llm.shared import removed, settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,15 @@ def op9_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     def told() -> DataFrame:
-        folder = warc.write(table(spark, sf_dir, "pages"))
-        return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-    return settled(spark, "op10", told)
+        folders.append(warc.write(table(spark, sf_dir, "pages")))
+        return warc.read(spark, folders[0]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    folders: list[str] = []
+    try:
+        return settled(spark, "op10", told)
+    finally:  # the result is a table by now
+        for folder in folders:
+            removed(spark, folder)
 
 
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ it is a whole number and xxhash64 of it otherwise; null has the key 0. Equal
 ids share a shard.
 
 The slot numbers the rows of a shard from 0 without gaps in the order of the
-ids. Rows are range-partitioned by (shard, id) and written once; counts of
+ids, of equal ids by CRC and size. Rows are range-partitioned in this order, so
+that an id that many rows share is split as well, and written once; counts of
 (partition, shard), at most the partitions plus the shards of them, are summed
 up and joined, so that no task numbers more than its own partition."""
 
@@ -49,7 +50,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     whole = isinstance(rows.schema["id"].dataType, IntegralType)
     key = F.coalesce(F.col("id").cast("long") if whole else F.xxhash64("id"), F.lit(0))
     rows = rows.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"))
-    rows = cut(rows.repartitionByRange(shuffle_parts(spark), "shard", "id").withColumn("part", F.spark_partition_id()), "shards")
+    # a number of each row's own splits ranges even among rows that are all the same
+    rows = rows.withColumn("own", F.monotonically_increasing_id()).repartitionByRange(shuffle_parts(spark), "shard", "id", "text_crc32", "size", "own").drop("own")
+    rows = cut(rows.withColumn("part", F.spark_partition_id()), "shards")
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     turn = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.checkpoints import cut, settled, shared_dir
+from marquee.checkpoints import cut, removed, settled, shared_dir
+from marquee.operators.graph import components
 
-__all__ = ["columns", "components", "cut", "finite_vector", "sample", "settled", "shared_dir", "shuffle_parts", "tagged"]
+__all__ = ["columns", "components", "cut", "finite_vector", "removed", "sample", "settled", "shared_dir", "shuffle_parts", "tagged"]
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -44,41 +45,6 @@ def sample(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     return few.orderBy(u, key).limit(size)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of ``links (a long, b long)``: ``(id, root)`` with
-    the smallest id of each component as its root.
-
-    Alternating large-star and small-star rounds: each round is one minimum
-    per node (combined before the shuffle) and one equi-join, so no component
-    is ever gathered in one task. Rounds end when the set of links stays as it
-    was. Links of a node with itself and nulls are ignored."""
-
-    def stars(e: DataFrame, large: bool) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        low = low.select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        grown = both.join(low, both["a"] == low["u"])
-        if large:  # larger neighbours of u hang on the smallest one
-            out = grown.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:  # a > b here: smaller neighbours and u itself hang on the smallest
-            out = grown.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    e = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e, "links")
-    before = mark(e)
-    while before[0]:
-        e = cut(stars(stars(e, True), False), "links")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
-    return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-
-
 def finite_vector(c: Column) -> Column:
     """Whether an array of floats is not null or empty, holds only finite
     numbers and is not zero."""

@@ -17,7 +17,8 @@ Null and empty payloads are empty. Null URLs are archived as urn:page:<id>,
 line breaks in URLs are escaped. Rows with a null id are responses that nothing
 refers to. Rows of one id with different payloads are records of their own, each
 a response or a revisit by its own payload; rows that repeat id and payload are
-archived again."""
+archived again, under a record id of their own: it comes of page (or URL),
+digest and, for such rows, a number. A reference names the response of its digest."""
 
 from __future__ import annotations
 
@@ -45,20 +46,22 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(page: int | None, url: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'urn:page:{page}' if page is not None else f'{url} {digest}')}>"
+def record_id(page: int | None, url: str, digest: str, turn: int) -> str:
+    """turn: 0, or what tells apart rows that repeat id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'urn:page:{page} {digest} {turn}' if page is not None else f'{url} {digest} {turn}')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """One WARC/1.1 record; first: the id of the response that it revisits."""
+def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, turn: int) -> bytes:
+    """One WARC/1.1 record; first: the id of the response that it revisits, of
+    the same digest and turn 0."""
     url = (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if first is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, url, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, url, digest, turn)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if page is not None:
         lines.append(f"X-Page-Id: {page}")
     if first is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, '', '')}", f"X-Refers-To-Page-Id: {first}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, '', digest, 0)}", f"X-Refers-To-Page-Id: {first}"]
     lines += [f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -99,7 +102,7 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def writer(folder: str, held, limit: int):
-    """mapInArrow: (id, url, html, digest, first) -> (archive, n, bytes)."""
+    """mapInArrow: (id, url, html, digest, first, turn) -> (archive, n, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = held.value
@@ -119,14 +122,14 @@ def writer(folder: str, held, limit: int):
             out, turn = None, turn + 1
 
         for batch in batches:
-            for page, url, html, digest, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for page, url, html, digest, first, of_row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if out is None:
                     name, n, size = f"part-{part:06d}-{turn:04d}.warc.zst", 0, 0
                     temporary = f"_{name}.{uuid.uuid4().hex}"
                     out = system.open_output_stream(f"{path}/{temporary}")
                     out.write(lead(dictionary))
                 payload = html or b""
-                out.write(context.compress(record(page, url, payload, digest, first)))
+                out.write(context.compress(record(page, url, payload, digest, first, of_row)))
                 n, size = n + 1, size + len(payload)
                 if size >= limit:
                     close()
@@ -152,10 +155,17 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     meta = rows.where("id is not null").where(F.length("html") >= LEAST).select("id", "digest")
     first = meta.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest", "first")
     revisits = cut(meta.join(first, "digest").where("id <> first").distinct(), "revisits")
+    several = cut(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "several")
+    rows = rows.withColumn("own", F.monotonically_increasing_id() + 1)
+    lead = F.col("own")
+    if not several.isEmpty():
+        leads = rows.join(several, "id", "left_semi").groupBy("id", "digest").agg(F.min("own").alias("lead"))
+        rows, lead = rows.join(leads, ["id", "digest"], "left"), F.coalesce("lead", "own")
+    rows = rows.withColumn("turn", F.when(F.col("id").isNotNull() & (F.col("own") == lead), 0).otherwise(F.col("own")))
     # an id may come with several payloads, so that it takes both to tell
-    put = rows.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "digest", "first")
+    put = rows.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "digest", "first", "turn")
     # in the same order in every attempt, so that it fills the same archives
-    put = put.sortWithinPartitions("id", "digest")
+    put = put.sortWithinPartitions("id", "digest", "turn")
     cut(put.mapInArrow(writer(folder, held, ARCHIVE), "archive string, n long, bytes long"), "archives")
     return folder
 

@@ -63,6 +63,6 @@ def test_bins_hold_their_items(items):
 def test_record_round_trip(page, url, payload):
     import zstandard
 
-    data = zstandard.ZstdCompressor().compress(warc.record(page, url, payload, "d", None))
+    data = zstandard.ZstdCompressor().compress(warc.record(page, url, payload, "d", None, 0))
     ((headers, block),) = list(warc.records(data))
     assert block.partition(b"\r\n\r\n")[2] == payload and headers["WARC-Type"] == "response"

@@ -10,8 +10,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marquee.llm import collocations, line_dedup, periodic, queries, repeats
+from marquee.llm import collocations, line_dedup, nn_descent, periodic, queries, repeats, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, part int, id int, tag long, phrase string, n long"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -204,7 +205,7 @@ def test_suffix_arrays():
             assert least(np.array([a]), np.array([b]))[0] == common[a : b + 1].min()
 
 
-def test_windows_have_128_bits():
+def test_windows_have_two_hashes():
     from marquee.llm.substring_dedup import windows
 
     hi, lo, doc, pos = windows(3)(pa.array(["a b c d", None, "a b c"]))
@@ -223,3 +224,89 @@ def test_registered(spark, sf_dir):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op13_periodic_runs(spark, sf_dir).collect()}
     few = docs[:40] + [d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 10 == 0]
     assert all(got[d["doc_id"]] == periodic_brute(d["doc_id"], d["text"], True) for d in few)
+
+
+def test_slices_round_trip():
+    from marquee.llm.substring_dedup import windows
+
+    texts = pa.array([" ".join(f"w{i}" for i in range(k, k + 40)) for k in range(0, 300, 25)])
+    ids = pa.array(np.arange(len(texts)) * 7)
+    batch = pa.record_batch([ids, pa.array(np.zeros(len(texts), np.int64)), texts], names=["id", "tag", "text"])
+    (out,) = repeats.slices(windows(20), 8, 8 << 20, False)(iter([batch]))
+    told = set()
+    for r in range(out.num_rows):
+        if out.column("keys")[r].as_buffer().size:
+            hi, lo, i, t, pos = repeats.opened(out.column("keys")[r].as_buffer(), out.column("rest")[r].as_buffer(), repeats.width(8))
+            part = np.uint64(out.column("part")[r].as_py()) << np.uint64(56)
+            told |= set(zip((hi | part).tolist(), lo.tolist(), i.tolist(), pos.tolist(), strict=True))
+    hi, lo, doc, pos = windows(20)(texts)
+    first = {}
+    for h, x, d, p in zip(hi.tolist(), lo.tolist(), doc.tolist(), pos.tolist(), strict=True):
+        first.setdefault(h, (h, x & 0xFFFFFFFF, 7 * d, p))
+    assert told == set(first.values())
+
+
+def recall_of(graph, x, k):
+    hit = total = 0
+    ids = sorted(x)
+    m = np.stack([x[i] for i in ids])
+    for r in graph.collect():
+        d = ((m - x[r["id"]]) ** 2).sum(1)
+        true = [ids[p] for p in np.argsort(d, kind="stable") if ids[p] != r["id"]][:k]
+        hit += len(set(true) & set(np.frombuffer(r["ids"], np.int64)[:k].tolist()))
+        total += len(true)
+    return hit / total
+
+
+def test_descent_makes_the_graph(spark):
+    """The graph starts poor; the rounds find the neighbours."""
+    rng = np.random.default_rng(8)
+    x = {i: v for i, v in enumerate(rng.normal(size=(3000, 24)))}
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "id long, x array<double>")
+    assert recall_of(nn_descent.first_graph(nodes), x, 10) < 0.5
+    assert recall_of(nn_descent.neighbour_graph(nodes), x, 10) > 0.9
+
+
+def test_few_ids_of_many_vectors(spark):
+    """More vectors of the nearest ids than a beam holds: the others are found
+    all the same."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 8)) * 50
+    rows = [(i, (centres[i] + rng.normal(size=8)).tolist()) for i in range(20) for _ in range(120)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
+    got = defaultdict(list)
+    for r in nn_descent.nearest_neighbours(df, F.col("vec_id") < 3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(3):
+        own = np.array([v for i, v in rows if i == q])
+        d = {i: min(np.sqrt(((own - np.array(v)) ** 2).sum(1)).min() for j, v in rows if j == i) for i in range(20) if i != q}
+        want = sorted(d.items(), key=lambda x: (x[1], x[0]))[:10]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
+
+
+def test_record_ids(spark):
+    """Unique, and references name the response of their digest."""
+    a, b = "<p>" + "a" * 200, "<p>" + "b" * 200
+    rows = [(7, "u", a), (7, "u", b), (8, "v", a), (8, "v", b), (9, "w", a), (9, "w", a), (7, "u", a), (None, "n", a), (None, "n", a), (None, None, None), (None, None, "")]
+    folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    heads = [h for r in spark.read.format("binaryFile").load(folder).collect() for h, _ in warc.records(bytes(r["content"]))]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == len(rows)
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    for h in revisits:
+        to = ids[h["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["X-Page-Id"] == h["X-Refers-To-Page-Id"] == "7" and to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+
+
+def test_shards_split_an_id_that_many_rows_share(spark, monkeypatch):
+    seen = []
+    cut = sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df, name: seen.append(cut(df, name)) or seen[-1])
+    rows = [(None, "same", "en")] * 4000 + [(i, f"t{i}", "en") for i in range(4000)]
+    got = sharding.shard(frame(spark, rows), 4).collect()
+    assert max(r["count"] for r in seen[0].groupBy("part").count().collect()) < 2000
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
