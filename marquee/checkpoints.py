@@ -61,10 +61,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with cleaned(spark):
         df.write.parquet(path)
+    noted(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def noted(path: str) -> str:
+    """The path goes with the scope that is open, if there is one."""
     scopes = getattr(_own, "scopes", None)
     if scopes:
         scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def removed(spark: SparkSession, path: str) -> None:

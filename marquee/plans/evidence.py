@@ -4,11 +4,6 @@ read the same text as the operator's input."""
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -436,80 +431,86 @@ def outcomes(m: Model):
 # ---- readers and sinks: the tables as files of their kinds, read back --------------------
 
 
-def put(m: Model, name: str, content: bytes, folder: str | None = None) -> str:
-    """A file in the shared folder; its folder's URI."""
-    folder = folder or sinks.new_folder(m.spark, "files")
-    system, path = fs.FileSystem.from_uri(sinks.as_uri(folder))
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
-        out.write(content)
+def archives(m: Model) -> str:
+    """Films and plots as tar.gz archives, as the source comes; their folder."""
+    k = F.col("p_partkey").cast("string")
+    labels = lambda *pairs: F.to_json(F.create_map(*[x for key, value in pairs for x in (F.lit(key), value)]))
+    language = F.when(F.col("p_size") % 2 != 0, "English Language").otherwise("French Language")
+    head = F.concat_ws("\t", k, F.concat(F.lit("/m/"), k), "p_name", F.lit("1999"), F.lit(""), F.lit("90"), labels(("/m/l", language)), F.lit("{}"))
+    genres = F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.concat(F.lit("\t"), labels(("/m/g", F.col("p_type")), ("/m/h", F.col("p_brand")))))
+    plot = F.concat(k, F.lit("\tplot\tof "), "p_brand")
+    plots = F.when(F.col("p_size") % 3 == 0, F.array(F.concat(k, F.lit("\tearlier plot")), F.concat(F.lit("no tab "), k), plot)).otherwise(F.array(plot))
+    line = lambda member, value: F.struct(F.lit(member).alias("member"), value.alias("value"))
+    each = F.concat(F.array(line("x/movie.metadata.tsv", F.concat(head, genres))), F.transform(plots, lambda x: line("x/plot_summaries.txt", x)))
+    folder = sinks.new_folder(m.spark, "archives")
+    sinks.write_archives(m.raw("part").repartition(4, "p_partkey").select(F.inline(each)), folder, 1 << 20)
     return folder
 
 
-def archive(m: Model) -> str:
-    """Films and plots as a tar.gz: this is how the source comes, as one file."""
-    meta, plots = [], []
-    for r in m.raw("part").orderBy("p_partkey").toLocalIterator():
-        short = r["p_partkey"] % 7 == 0
-        fields = [str(r["p_partkey"]), f"/m/{r['p_partkey']}", r["p_name"], "1999", "", "90", json.dumps({"/m/l": "English Language" if r["p_size"] % 2 else "French Language"}), "{}", json.dumps({"/m/g": r["p_type"], "/m/h": r["p_brand"]})]
-        meta.append("\t".join(fields[:8] if short else fields))
-        plots += [f"{r['p_partkey']}\tearlier plot", f"no tab {r['p_partkey']}"] if r["p_size"] % 3 == 0 else []
-        plots.append(f"{r['p_partkey']}\tplot\tof {r['p_brand']}")
-    packed = io.BytesIO()
-    with tarfile.open(fileobj=packed, mode="w:gz") as tar:
-        for name, lines in (("x/movie.metadata.tsv", meta), ("x/plot_summaries.txt", plots)):
-            info = tarfile.TarInfo(name)
-            body = "\n".join(lines).encode()
-            info.size = len(body)
-            tar.addfile(info, io.BytesIO(body))
-    return put(m, "a.tar.gz", packed.getvalue())
-
-
-@query("src3_archive_rows", "SELECT p_partkey::VARCHAR AS wikipedia_movie_id, p_name AS title, array_to_string(list_sort([p_type, p_brand]), ',') AS genres FROM part WHERE p_partkey % 7 <> 0")
+@query("src3_archive_rows", "SELECT p_partkey::VARCHAR AS wikipedia_movie_id, p_name AS title, array_to_string(list_sort([p_type, p_brand]), ',') AS genres FROM part WHERE p_partkey % 7 <> 0", writes=True)
 def archive_rows(m: Model):
-    rows = readers.archive_rows(readers.tar_lines(m.spark, archive(m), "metadata.tsv"))
+    rows = readers.archive_rows(readers.tar_lines(m.spark, archives(m), "metadata.tsv"))
     return rows.select("wikipedia_movie_id", "title", F.array_join("genres", ",").alias("genres"))
 
 
-@query("src4_keyed_text", "SELECT p_partkey::VARCHAR AS key, 'plot' || chr(9) || 'of ' || p_brand AS text FROM part")
+@query("src4_keyed_text", "SELECT p_partkey::VARCHAR AS key, 'plot' || chr(9) || 'of ' || p_brand AS text FROM part", writes=True)
 def keyed_text(m: Model):
-    return readers.keyed_text(readers.tar_lines(m.spark, archive(m), "plot_summaries.txt"))
+    return readers.keyed_text(readers.tar_lines(m.spark, archives(m), "plot_summaries.txt"))
 
 
-@query("ar2_english_with_plot", "SELECT p_partkey::VARCHAR AS wikipedia_movie_id, 'plot' || chr(9) || 'of ' || p_brand AS plot FROM part WHERE p_partkey % 7 <> 0 AND p_size % 2 = 1")
+@query("ar2_english_with_plot", "SELECT p_partkey::VARCHAR AS wikipedia_movie_id, 'plot' || chr(9) || 'of ' || p_brand AS plot FROM part WHERE p_partkey % 7 <> 0 AND p_size % 2 = 1", writes=True)
 def english_with_plot(m: Model):
-    at = archive(m)
+    at = archives(m)
     plots = readers.keyed_text(readers.tar_lines(m.spark, at, "plot_summaries.txt"))
     return readers.english_with_plot(readers.archive_rows(readers.tar_lines(m.spark, at, "metadata.tsv")), plots).select("wikipedia_movie_id", "plot")
 
 
-@query("src5_title_years", "SELECT row_number() OVER (ORDER BY p_partkey)::INT AS position, p_name AS title, (1900 + p_size)::INT AS release_year FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 6 <> 0")
+def title_file(m: Model) -> str:
+    """A list of titles as CSV, with a mark in front and rows that do not count."""
+    k = F.col("p_partkey")
+    title = F.when(k % 5 == 0, " ").otherwise(F.col("p_name")).alias("\ufeffSeries_Title")
+    year = F.concat(F.lit(" "), F.when(k % 6 == 0, "PG").otherwise((F.col("p_size") + 1900).cast("string")), F.lit(" ")).alias("Released_Year")
+    folder = sinks.new_folder(m.spark, "titles")
+    m.raw("part").orderBy("p_partkey").select(title, year, F.lit(7).alias("Rating")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return folder
+
+
+TITLES = "SELECT row_number() OVER (ORDER BY p_partkey)::INT AS position, p_name AS title, (1900 + p_size)::INT AS release_year FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 6 <> 0"
+
+
+@query("src5_title_years", TITLES, writes=True)
 def title_years(m: Model):
-    lines = ["﻿Series_Title,Released_Year,Rating"]
-    for r in m.raw("part").orderBy("p_partkey").toLocalIterator():
-        k = r["p_partkey"]
-        lines.append(f"{' ' if k % 5 == 0 else r['p_name']}, {'PG' if k % 6 == 0 else 1900 + r['p_size']} ,7")
-    return readers.title_years(m.spark, put(m, "titles.csv", "\n".join(lines).encode()))
+    return readers.title_years(m.spark, title_file(m))
+
+
+@query("tk11_first_titles", f"SELECT * FROM ({TITLES}) WHERE position <= 20", writes=True)
+def first_titles(m: Model):
+    """The first 20 entries of a list."""
+    return readers.title_years(m.spark, title_file(m), limit=20)
 
 
-@query("src6_manifest", "SELECT p_partkey::INT AS position, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'Q' || p_partkey END AS wikidata_id FROM part WHERE p_partkey < 500")
+@query("src6_manifest", "SELECT p_partkey::INT AS position, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'Q' || p_partkey END AS wikidata_id FROM part", writes=True)
 def manifest(m: Model):
-    rows = m.raw("part").where("p_partkey < 500").orderBy("p_partkey").collect()  # a manifest is a person's list
-    entries = [{"position": r["p_partkey"], "title": r["p_name"], **({"wikidata_id": f"Q{r['p_partkey']}"} if r["p_size"] % 2 == 0 else {})} for r in rows]
-    return readers.manifest(m.spark, put(m, "manifest.json", json.dumps({"schema": "v1", "entries": entries}, indent=1).encode()), "v1").select("position", "title", "wikidata_id")
+    """Manifests of a thousand entries at most, a file each."""
+    qid = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Q"), "p_partkey"))
+    entry = F.struct(F.col("p_partkey").alias("position"), F.col("p_name").alias("title"), qid.alias("wikidata_id"))
+    docs = m.raw("part").groupBy((F.col("p_partkey") / 1000).cast("long").alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    folder = sinks.new_folder(m.spark, "manifests")
+    docs.select(F.to_json(F.struct(F.lit("v1").alias("schema"), "entries"), {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return readers.manifest(m.spark, folder, "v1").select("position", "title", "wikidata_id")
 
 
-@query("src7_recorded_bindings", "SELECT 'http://x/Q' || n_nationkey AS item, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS label FROM nation")
+@query("src7_recorded_bindings", "SELECT 'http://x/Q' || c_custkey AS item, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS label FROM customer", writes=True)
 def recorded_bindings(m: Model):
+    """Recorded answers, one a line, in several files."""
     m.spark.dataSource.register(endpoint.RecordedSource)
-    answers = []
-    for page in endpoint.pages([r.asDict() for r in m.raw("nation").orderBy("n_nationkey").collect()], 10):
-        answers.append(json.dumps({"results": {"bindings": [{"item": {"value": f"http://x/Q{r['n_nationkey']}"}, **({"label": {"value": r["n_name"]}} if r["n_nationkey"] % 2 == 0 else {})} for r in page]}}))
-    replies = iter([(503, {}, ""), *[(200, {}, a) for a in answers]])
-    client = endpoint.PacedClient(lambda _: next(replies), interval=0.0, sleep=lambda _: None)
-    folder = put(m, "answers.jsonl", "\n".join(client.query("q") for _ in answers).encode())
-    rows = m.spark.read.format("recorded_bindings").option("path", f"{folder}/answers.jsonl").load()
-    return readers.bindings(rows, "item", "label")
+    value = lambda c: F.struct(c.alias("value"))
+    label = F.when(F.col("c_custkey") % 2 == 0, value(F.col("c_name")))
+    binding = F.struct(value(F.concat(F.lit("http://x/Q"), "c_custkey")).alias("item"), label.alias("label"))
+    answers = m.raw("customer").groupBy((F.col("c_custkey") / 10).cast("long").alias("page")).agg(F.collect_list(binding).alias("bindings"))
+    folder = sinks.new_folder(m.spark, "answers")
+    answers.repartition(4, "page").select(F.to_json(F.struct(F.struct("bindings").alias("results"))).alias("value")).write.text(folder)
+    return readers.bindings(m.spark.read.format("recorded_bindings").option("path", folder).load(), "item", "label")
 
 
 def entity_payloads(m: Model) -> DataFrame:
@@ -557,7 +558,7 @@ def answered(m: Model):
     return bibliography.answered(rows, "indexed")
 
 
-@query("snk1_store_payloads", "SELECT source, hash, source || '/' || substr(hash, 1, 2) || '/' || hash || '.json' AS place, CASE WHEN even THEN 'reused' ELSE 'created' END AS disposition FROM (SELECT 's' || page_id % 3 AS source, sha256(coalesce(html, '')) AS hash, bool_or(page_id % 2 = 0) AS even FROM pages GROUP BY 1, 2)")
+@query("snk1_store_payloads", "SELECT source, hash, source || '/' || substr(hash, 1, 2) || '/' || hash || '.json' AS place, CASE WHEN even THEN 'reused' ELSE 'created' END AS disposition FROM (SELECT 's' || page_id % 3 AS source, sha256(coalesce(html, '')) AS hash, bool_or(page_id % 2 = 0) AS even FROM pages GROUP BY 1, 2)", writes=True)
 def store_payloads(m: Model):
     rows = m.raw("pages").select("page_id", F.concat(F.lit("s"), F.col("page_id") % 3).alias("source"), F.coalesce("html", F.lit("")).alias("body"))
     folder = sinks.new_folder(m.spark, "blobs")
@@ -566,7 +567,7 @@ def store_payloads(m: Model):
     return told.select("source", "hash", F.regexp_extract("uri", r"([^/]+/[^/]+/[^/]+)$", 1).alias("place"), "disposition")
 
 
-@query("src12_payload_reread", "SELECT page_id, CASE WHEN page_id % 6 <> 0 THEN octet_length(encode(html)) END::INT AS bytes, page_id % 6 <> 0 AS available FROM pages WHERE html IS NOT NULL")
+@query("src12_payload_reread", "SELECT page_id, CASE WHEN page_id % 6 <> 0 THEN octet_length(encode(html)) END::INT AS bytes, page_id % 6 <> 0 AS available FROM pages WHERE html IS NOT NULL", writes=True)
 def payload_reread(m: Model):
     rows = m.raw("pages").where("html is not null").select("page_id", F.lit("s").alias("source"), F.col("html").alias("body"))
     stored = sinks.store_payloads(rows, sinks.new_folder(m.spark, "blobs"))
@@ -576,16 +577,20 @@ def payload_reread(m: Model):
     return read.select("page_id", F.octet_length("body").alias("bytes"), "available")
 
 
-@query("snk2_manifest_hash", """SELECT sha256('{' || chr(10) || '  "names": [' || chr(10) || string_agg('    "' || r_name || '"', ',' || chr(10) ORDER BY r_name) || chr(10) || '  ],' || chr(10) || '  "version": 1' || chr(10) || '}' || chr(10)) AS hash FROM region""")
+@query(
+    "snk2_manifest_hash",
+    """SELECT r_name AS region, sha256('{' || chr(10) || '  "names": [' || chr(10) || string_agg('    "' || n_name || '"', ',' || chr(10) ORDER BY n_name) || chr(10) || '  ],' || chr(10) || '  "version": 1' || chr(10) || '}' || chr(10)) AS hash FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""",
+)
 def manifest_hash(m: Model):
-    names = [r["r_name"] for r in m.raw("region").orderBy("r_name").collect()]  # a manifest is a person's list
-    return m.spark.range(1).select(F.lit(sinks.manifest_text({"version": 1, "names": names})[1]).alias("hash"))
+    """The hash of each region's manifest of nations."""
+    names = m.raw("nation").join(m.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region")).agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    return names.select("region", sinks.manifest_hash(F.to_json(F.struct(F.lit(1).alias("version"), "names"))).alias("hash"))
 
 
 INCOMING = "SELECT c_custkey AS id, c_name AS name FROM {customer} UNION ALL SELECT c_custkey, upper(c_name) FROM {customer} WHERE c_custkey % 3 = 0"
 
 
-@query("sm1_ingest_runs", f"SELECT 'r1' AS run, 'complete' AS status, count(*)::BIGINT AS seen, count(DISTINCT id)::BIGINT AS created, (count(*) - count(DISTINCT id))::BIGINT AS reused FROM ({bare(INCOMING)}) UNION ALL SELECT 'r2', 'complete', 2 * count(*) FILTER (c_custkey < 100), 0, 2 * count(*) FILTER (c_custkey < 100) FROM customer")
+@query("sm1_ingest_runs", f"SELECT 'r1' AS run, 'complete' AS status, count(*)::BIGINT AS seen, count(DISTINCT id)::BIGINT AS created, (count(*) - count(DISTINCT id))::BIGINT AS reused FROM ({bare(INCOMING)}) UNION ALL SELECT 'r2', 'complete', 2 * count(*) FILTER (c_custkey < 100), 0, 2 * count(*) FILTER (c_custkey < 100) FROM customer", writes=True)
 def ingest_runs(m: Model):
     """Files are drained page by page, a second start reads only what is new,
     and the ledger has the counters of both."""
@@ -599,7 +604,7 @@ def ingest_runs(m: Model):
     return ingest.runs(m.spark, ledger).select("run", "status", "seen", "created", "reused")
 
 
-@query("sm2_ingested_table", f"SELECT id FROM ({bare(INCOMING)}) GROUP BY 1")
+@query("sm2_ingested_table", f"SELECT id FROM ({bare(INCOMING)}) GROUP BY 1", writes=True)
 def ingested_table(m: Model):
     source, table, ledger, checkpoint = (sinks.new_folder(m.spark, n) for n in ("incoming", "table", "ledger", "progress"))
     m.sql(INCOMING).repartition(3).write.mode("append").json(source)
@@ -613,6 +618,7 @@ def ingested_table(m: Model):
 d AS (SELECT f.*, i.enwiki, (length(f.qid) % 2 = 0 AND i.p_name = title)::INT AS score FROM found f JOIN i ON i.qid = f.qid WHERE i.p_type IN {FILM_TYPES} AND release_year BETWEEN year - 1 AND year),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY route > 0, score DESC, route, place, qid) AS rn FROM d) WHERE rn = 1)
 SELECT count(*)::BIGINT AS entries, count(b.qid)::BIGINT AS resolved, (count(*) - count(b.qid))::BIGINT AS unresolved, count(DISTINCT b.qid)::BIGINT AS captured FROM e LEFT JOIN b ON b.position = e.position""",
+    writes=True,
 )
 def resolve_and_capture(m: Model):
     """A list of titles and years, resolved to items whose payloads are captured."""

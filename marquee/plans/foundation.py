@@ -23,7 +23,7 @@ pair AS MATERIALIZED (SELECT a, b, shared, x + y - shared AS total, levenshtein(
  WHERE 1000 * shared >= 800 * (x + y - shared) AND levenshtein(a, b) <= 2)"""
 
 
-@query("er_pairs", f"WITH {NAMES}, {PAIRS} SELECT a, b, shared::BIGINT AS shared, total::BIGINT AS total, edits::BIGINT AS edits FROM pair")
+@query("er_pairs", f"WITH {NAMES}, {PAIRS} SELECT a, b, shared::BIGINT AS shared, total::BIGINT AS total, edits::BIGINT AS edits FROM pair", writes=True)
 def er_pairs(m: Model):
     """Names that nearly agree."""
     return resolution.near_names(named(m).select(resolution.normal(F.col("name")).alias("name")))
@@ -36,6 +36,7 @@ reach AS (SELECT name, name AS r FROM named UNION SELECT reach.name, link.b FROM
 root AS (SELECT name, min(r) AS root FROM reach GROUP BY name),
 member AS (SELECT e.id, e.name, root FROM entity AS e JOIN root ON root.name = trim(regexp_replace(lower(e.name), '[ \\t\\n]+', ' ', 'g')))
 SELECT id, name, min(id) OVER (PARTITION BY root) AS cluster, count(*) OVER (PARTITION BY root) AS members FROM member""",
+    writes=True,
 )
 def er_clusters(m: Model):
     """Entities by their cluster of near names."""
@@ -65,7 +66,7 @@ def semantic(m: Model) -> DataFrame:
     return retrieval.semantic(v.join(m.raw("documents").select(F.col("doc_id").alias("doc")), "doc"), asked)
 
 
-@query("rt_lexical_ranks", f"WITH {RANKED} SELECT query, doc, score, rank::BIGINT AS rank FROM lexical")
+@query("rt_lexical_ranks", f"WITH {RANKED} SELECT query, doc, score, rank::BIGINT AS rank FROM lexical", writes=True)
 def lexical_ranks(m: Model):
     """BM25 for every benchmark text over all documents."""
     return lexical(m)
@@ -83,6 +84,7 @@ def semantic_ranks(m: Model):
 both_lists AS (SELECT query, doc, rank AS l, NULL AS s FROM lexical UNION ALL SELECT query, doc, NULL, rank FROM semantic),
 score AS (SELECT query, doc, max(l) AS l, max(s) AS s, sum(1000000000 // (60 + coalesce(l, s))) AS score FROM both_lists GROUP BY ALL)
 SELECT query, doc, l::BIGINT AS lexical_rank, s::BIGINT AS semantic_rank, score::BIGINT AS score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM score) WHERE rank <= 10""",
+    writes=True,
 )
 def fused_candidates(m: Model):
     """Lexical and semantic candidates by reciprocal rank fusion."""
@@ -104,7 +106,7 @@ r0 AS (SELECT a AS seed, a AS node, 0::BIGINT AS kept, 1000000000000::BIGINT AS
 )
 
 
-@query("gr_personal_ranks", with_model("assertions", f"SELECT seed, node, (kept + waits)::BIGINT AS mass FROM r{ROUNDS}", RANKS))
+@query("gr_personal_ranks", with_model("assertions", f"SELECT seed, node, (kept + waits)::BIGINT AS mass FROM r{ROUNDS}", RANKS), writes=True)
 def personal_ranks(m: Model):
     """Personalised rank of every work and series as a seed."""
     links = m.assertions().select(F.col("subject").alias("a"), F.col("object").alias("b"))
@@ -126,6 +128,7 @@ v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
 scored AS (SELECT seed, other, structured::BIGINT AS structured, coalesce(greatest(0, round(list_cosine_similarity(x.x, y.x) * 1000)), 0)::BIGINT AS semantic, graph::BIGINT AS graph,
  (3 * structured + 3 * coalesce(greatest(0, round(list_cosine_similarity(x.x, y.x) * 1000)), 0) + 4 * graph)::BIGINT AS score FROM pairs LEFT JOIN v AS x ON x.vec_id = ka LEFT JOIN v AS y ON y.vec_id = kb)""",
     ),
+    writes=True,
 )
 def composite_similar(m: Model):
     """Works that the graph brings near, by 0.3 structured, 0.3 semantic and 0.4
@@ -167,6 +170,7 @@ def installments(m: Model) -> DataFrame:
 place AS (SELECT n.node, n.node AS head, 0 AS position FROM (SELECT node FROM one UNION SELECT next FROM one) AS n ANTI JOIN kept ON kept.next = n.node
  UNION ALL SELECT kept.next, place.head, place.position + 1 FROM place JOIN kept ON kept.node = place.node)""",
     ),
+    writes=True,
 )
 def series_positions(m: Model):
     """Head, position, successor and length of every installment's series."""
@@ -182,6 +186,7 @@ def series_positions(m: Model):
         NEXT + """,
 r AS (SELECT 'order:' || l_orderkey AS work, list(DISTINCT CASE l_returnflag WHEN 'A' THEN 'director:' ELSE 'writer:' END || l_suppkey) AS roles FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY ALL)""",
     ),
+    writes=True,
 )
 def series_handoffs(m: Model):
     """Which writers and directors an installment hands on to the next one."""
@@ -197,6 +202,7 @@ def series_handoffs(m: Model):
         """SELECT a AS film_id, count(*) AS partners, max(shared)::BIGINT AS most, min(b) FILTER (shared = most) AS nearest FROM (SELECT *, max(shared) OVER (PARTITION BY a) AS most FROM (SELECT x.film_id AS a, y.film_id AS b, count(*) AS shared FROM q AS x JOIN q AS y ON x.person_id = y.person_id AND x.film_id <> y.film_id GROUP BY ALL HAVING count(*) >= 2)) GROUP BY a""",
         "q AS (SELECT DISTINCT film_id, person_id FROM credits WHERE role = 'director')",
     ),
+    writes=True,
 )
 def creative_engines(m: Model):
     """Of each film how many others share two directors with it or more, and the
@@ -233,7 +239,7 @@ def turns(m: Model) -> DataFrame:
     return m.raw("conversations").select(F.col("conv_id").alias("script"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("speaker"), "text")
 
 
-@query("sp_scenes", f"WITH {SCENES} SELECT script, turn::BIGINT AS turn, speaker, words::BIGINT AS words, lines::BIGINT AS lines, scene::BIGINT AS scene, run::BIGINT AS run FROM s")
+@query("sp_scenes", f"WITH {SCENES} SELECT script, turn::BIGINT AS turn, speaker, words::BIGINT AS words, lines::BIGINT AS lines, scene::BIGINT AS scene, run::BIGINT AS run FROM s", writes=True)
 def scenes(m: Model):
     """Scene and speaker's run of every turn."""
     return screenplay.scenes(turns(m))
@@ -245,6 +251,7 @@ def scenes(m: Model):
 a AS (SELECT script, count(DISTINCT scene) AS scenes, count(*) AS turns, count(DISTINCT run) AS runs, count(DISTINCT speaker) AS speakers, sum(words) AS words, sum(CASE WHEN speaker IN ('user', 'assistant') THEN words ELSE 0 END) AS spoken FROM s GROUP BY script)
 SELECT script, scenes, (SELECT max(turns) FROM c WHERE c.script = a.script)::BIGINT AS longest_scene, turns, runs, (SELECT max(turns) FROM r WHERE r.script = a.script)::BIGINT AS longest_run, speakers, words::BIGINT AS words, spoken::BIGINT AS dialogue_words,
  CASE WHEN words > 0 THEN 1000 * spoken // words ELSE 0 END::BIGINT AS density_milli, CASE WHEN turns > scenes THEN 1000 * (runs - scenes) // (turns - scenes) ELSE 0 END::BIGINT AS transition_milli FROM a""",
+    writes=True,
 )
 def measures(m: Model):
     """Scene length, dialogue density, speakers and transitions of every script."""

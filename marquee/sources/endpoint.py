@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Answer = tuple[int, dict, str]
@@ -95,9 +96,9 @@ def pages(ids: list[str], size: int) -> Iterator[list[str]]:
 
 
 class RecordedSource(DataSource):
-    """``spark.read.format("recorded_bindings").option("path", file)``: one
-    recorded answer a line; a row for each binding. One partition, as a paced
-    service allows no more."""
+    """``spark.read.format("recorded_bindings").option("path", path)``: a file, or
+    a folder of files, with one recorded answer a line; a row for each binding.
+    A partition for each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,18 +111,25 @@ class RecordedSource(DataSource):
         return RecordedReader(self.options["path"])
 
 
+@dataclass
+class RecordedFile(InputPartition):
+    path: str
+
+
 class RecordedReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path
+        self.uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition) -> Iterator[tuple[str]]:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        with system.open_input_stream(path) as f:
+        system, path = fs.FileSystem.from_uri(self.uri)
+        if system.get_file_info(path).type == fs.FileType.File:
+            return [RecordedFile(path)]
+        files = system.get_file_info(fs.FileSelector(path))
+        return [RecordedFile(f.path) for f in files if f.is_file and not f.base_name.startswith(("_", "."))]
+
+    def read(self, partition: RecordedFile) -> Iterator[tuple[str]]:
+        system, _ = fs.FileSystem.from_uri(self.uri)
+        with system.open_input_stream(partition.path) as f:
             for line in f.read().decode().splitlines():
                 for b in json.loads(line)["results"]["bindings"]:
                     yield (json.dumps(b),)

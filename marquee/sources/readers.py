@@ -65,21 +65,22 @@ def title_years(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     """(position, title, release_year) of a CSV with Series_Title and
     Released_Year; rows without a title or a year of digits go."""
     rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
-    missing = {"Series_Title", "Released_Year"} - set(rows.columns)
+    names = [c.lstrip("﻿").strip() for c in rows.columns]
+    missing = {"Series_Title", "Released_Year"} - set(names)
     if missing:
         raise ValueError(f"the file lacks {sorted(missing)}")
+    rows = rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start")).toDF(*names, "__file")
     title, year = F.trim("Series_Title"), F.trim("Released_Year")
-    rows = rows.where((title != "") & year.rlike(r"^\d+$")).select(title.alias("title"), year.cast("int").alias("release_year"))
-    rows = rows.limit(limit) if limit else rows
-    return in_file_order(rows, "position").select("position", "title", "release_year")
+    rows = rows.where((title != "") & year.rlike(r"^\d+$")).select(title.alias("title"), year.cast("int").alias("release_year"), "__file")
+    rows = in_file_order(rows, "position").select("position", "title", "release_year")
+    return rows.where(F.col("position") <= limit) if limit else rows
 
 
 def in_file_order(rows: DataFrame, name: str) -> DataFrame:
-    """Rows numbered from 1 in the order in which they are read: each partition
-    numbers its own behind the counts of those before it, which are as many as
-    the partitions."""
-    rows = rows.withColumn("__line", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__line", 33))
+    """Rows (..., __file) numbered from 1 in the order of the files and the lines
+    in them: each split of a file numbers its own behind the counts of those
+    before it, which are as many as the splits."""
+    rows = rows.withColumn("__line", F.monotonically_increasing_id()).withColumnRenamed("__file", "__part")
     counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     turn = F.row_number().over(Window.partitionBy("__part").orderBy("__line"))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+import tarfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.checkpoints import cut, shared_dir
+from marquee.checkpoints import cut, noted, shared_dir
 
 
 def as_uri(folder: str) -> str:
@@ -81,6 +85,67 @@ def manifest_text(document: dict) -> tuple[str, str]:
     return text, hashlib.sha256(text.encode()).hexdigest()
 
 
+def manifest_hash(document: Column) -> Column:
+    """SHA-256 of the canonical JSON of manifests that come as JSON texts."""
+
+    @F.pandas_udf("string")
+    def told(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else manifest_text(json.loads(t))[1])
+
+    return told(document)
+
+
+#: Bytes of lines in an archive, or so.
+ARCHIVE = 64 << 20
+
+
+def write_archives(lines: DataFrame, folder: str, limit: int = ARCHIVE) -> int:
+    """Writes ``lines (member, value)`` as tar.gz archives: each task fills its own
+    one after another, with all members that it has lines of, in the order of
+    its rows. An archive gets its name when it is complete, the same one in each
+    attempt. The number of archives."""
+    folder = as_uri(folder)
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        held: dict[str, list[bytes]] = {}
+        names, size = [], 0
+
+        def close() -> None:
+            packed = io.BytesIO()
+            with tarfile.open(fileobj=packed, mode="w:gz") as tar:
+                for member, own in held.items():
+                    info = tarfile.TarInfo(member)
+                    body = b"\n".join(own) + b"\n"
+                    info.size = len(body)
+                    tar.addfile(info, io.BytesIO(body))
+            name = f"part-{TaskContext.get().partitionId():06d}-{len(names):04d}.tar.gz"
+            temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(temporary, compression=None) as out:
+                out.write(packed.getvalue())
+            if system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+                system.delete_file(f"{path}/{name}")  # of an attempt that was lost
+            system.move(temporary, f"{path}/{name}")
+            names.append(name)
+            held.clear()
+
+        for batch in batches:
+            for member, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                line = (value or "").encode()
+                held.setdefault(member, []).append(line)
+                size += len(line) + 1
+                if size >= limit:
+                    close()
+                    size = 0
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
+
+    return lines.select("member", "value").mapInArrow(run, "archive string").count()
+
+
 def title_manifest(entries: DataFrame, name: str, input_hash: str, **method: str) -> dict:
     """Numbered entries of a selection, which is as short as a person's list,
     with the hash of its input and how it was made."""
@@ -107,5 +172,5 @@ def outcomes(rows: DataFrame, statuses: tuple[str, ...], status: str = "status")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder of that name in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of that name in the shared folder; it goes with the query."""
+    return noted(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
