@@ -1,7 +1,7 @@
 """Line dedup: lines that other documents hold as well stay in one document only.
 
 A line's key is the line without ASCII white space at both ends, A-Z in lower
-case. Keys of at least ``shortest`` code points get hashes of 128 bits, which
+case. Keys of at least ``shortest`` code points get hashes of 96 bits, which
 are dealt by ranges to parts; each part sorts them by document and position
 behind the key, streams through them and keeps the lines of the first document
 (smallest id) of each key (``repeats``). What comes back is no text but, for
@@ -12,7 +12,7 @@ Null and empty texts have one empty line. Keys that one document alone holds sta
 however often. Rows with a null id take no part and stay as they are. Rows
 repeating id and text are one document; rows of one id with different texts are
 documents of their own, in the order of a hash of the text. Two different keys
-share a hash with probability 2**-128 a pair."""
+share a hash with probability 2**-96 a pair."""
 
 from __future__ import annotations
 
@@ -118,5 +118,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``kept_sha256`` and ``kept_text`` (lines that stay, joined by line feeds)."""
     docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
     docs, _ = tagged(docs, "id", "text")
-    rows = docs.join(_bitmaps(docs, shortest), ["id", "tag"], "left").select("id", "text", "keep", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))
+    rows = docs.join(_bitmaps(docs, shortest).hint("merge"), ["id", "tag"], "left").select("id", "text", "keep", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))
     return rows.mapInArrow(applied, "id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
