@@ -74,3 +74,22 @@ def rebuilt_text(index: Column) -> Column:
     start = F.struct(F.lit(None).cast("int").alias("p"), F.array().cast("array<string>").alias("words"))
     kept = F.aggregate(F.array_sort(pairs), start, lambda a, x: F.when(a["p"].eqNullSafe(x["p"]), a).otherwise(F.struct(x["p"].alias("p"), F.array_append(a["words"], x["w"]).alias("words"))), lambda a: a["words"])
     return F.coalesce(F.array_join(kept, " "), F.lit(""))
+
+
+def rounded(x: Column) -> Column:
+    """A double of less than 2**40 with two decimals, by its binary value and
+    half to even, as Python rounds: 2.675 is a little less than that and gives
+    2.67. In whole numbers: the fraction is the sum of a / 2**30 and b / 2**70,
+    which holds it in full (what lies below 2**-70 is far from any half)."""
+    size = F.abs(x)
+    whole = F.floor(size)
+    scaled = (size - whole) * float(1 << 30)
+    a = F.floor(scaled)
+    b = F.floor((scaled - a) * float(1 << 40))
+    cents = (a.cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(13,0)")).cast("decimal(32,0)") + b.cast("decimal(13,0)")
+    unit = F.lit(str(1 << 70)).cast("decimal(22,0)")
+    hundred = (cents * F.lit(100).cast("decimal(3,0)")).cast("decimal(36,0)")
+    rest = hundred % unit
+    down = F.floor((hundred - rest) / unit).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (down % 2 == 1))
+    return F.signum(x) * (whole * 100 + down + up.cast("long")).cast("double") / 100

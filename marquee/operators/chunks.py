@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import nfc_collapsed, word_count
+from marquee.functions.values import rounded
 
 #: A break is white space behind a full stop, question or exclamation mark.
 BREAK = "(?<=[.?!]) "
@@ -90,13 +91,16 @@ def chunks(passages: DataFrame, key: list[str], text: str, policy: Policy | None
 
 def deduplicated(rows: DataFrame, order: list[str]) -> DataFrame:
     """Eligible chunks with the content of an earlier eligible one become
-    duplicates. Only hashes and keys are ranked; the contents join by their
+    duplicates, with the flag and, as ``duplicate_of`` (a struct of ``order``),
+    the first of these. Only hashes and keys are ranked; the contents join by their
     key, so that a content that very many chunks have is no hot key of theirs."""
     keys = rows.where("status = 'eligible'").select("content_hash", F.struct(*order).alias("key"))
     first = keys.groupBy("content_hash").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = keys.join(first, "content_hash").where(F.col("key") != F.col("first")).select("key.*").withColumn("__later", F.lit(True))
+    later = keys.join(first, "content_hash").where(F.col("key") != F.col("first")).select("key.*", F.col("first").alias("duplicate_of"))
+    again = F.col("duplicate_of").isNotNull()
     out = rows.join(later, order, "left")
-    return out.withColumn("status", F.when(F.col("__later"), "duplicate").otherwise(F.col("status"))).drop("__later")
+    out = out.withColumn("status", F.when(again, "duplicate").otherwise(F.col("status")))
+    return out.withColumn("flags", F.when(again, F.array_append("flags", F.lit("exact_duplicate_content"))).otherwise(F.col("flags")))
 
 
 def licensed(passages: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
@@ -115,7 +119,7 @@ def report(rows: DataFrame, film: str) -> DataFrame:
         *[F.count_if(F.array_contains("flags", f)).alias(f) for f in ("below_minimum_words", "oversized_single_sentence")],
         F.coalesce(F.min(tokens), F.lit(0)).alias("tokens_min"),
         F.coalesce(F.max(tokens), F.lit(0)).alias("tokens_max"),
-        F.coalesce(F.round(F.avg(tokens), 2), F.lit(0.0)).alias("tokens_average"),
+        F.coalesce(rounded(F.avg(tokens)), F.lit(0.0)).alias("tokens_average"),
     )
     return all_.crossJoin(per)  # one row each
 

@@ -1,8 +1,8 @@
 """Flat rows of query answers folded to one record for each item.
 
-Every list of a record is an aggregate of its own over the distinct pairs that
-it needs, joined by the item: nothing multiplies, and an item that very many
-rows repeat is reduced before the shuffle."""
+All lists of a record are sets of one aggregate: rows are read and dealt once,
+nothing multiplies, and an item that very many rows repeat is reduced before
+the shuffle, to its distinct values."""
 
 from __future__ import annotations
 
@@ -10,28 +10,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def listed(rows: DataFrame, item: str, name: str, *parts: str) -> DataFrame:
-    """(item, name): the distinct values, or structs of several columns, in
-    order; rows where one is null bring nothing."""
-    there = rows.select(item, *parts).where(" and ".join(f"{p} is not null" for p in parts)).distinct()
+def listed(*parts: str) -> Column:
+    """The distinct values, or structs of several columns, in order; rows where
+    one is null bring nothing."""
     value = F.col(parts[0]) if len(parts) == 1 else F.struct(*parts)
-    return there.groupBy(item).agg(F.array_sort(F.collect_list(value)).alias(name))
+    there = F.expr(" and ".join(f"`{p}` is not null" for p in parts))
+    return F.array_sort(F.collect_set(F.when(there, value)))
 
 
 def folded_records(rows: DataFrame, item: str, order: list[str], last: list[str], lists: dict[str, tuple[str, ...]], release: str | None = None, places: str | None = None) -> DataFrame:
     """One record for each item: the ``last`` columns of its last row, the
-    ``lists``, and with ``release`` its earliest date and, with ``places``, the
-    places of each date."""
-    head = rows.groupBy(item).agg(F.max_by(F.struct(*last), F.struct(*order)).alias("__last"), *([F.min(release).alias("first_release")] if release else []))
-    out = head.select(item, *[F.col(f"__last.{c}").alias(c) for c in last], *(["first_release"] if release else []))
-    for name, parts in lists.items():
-        out = out.join(listed(rows, item, name, *parts), item, "left")
+    ``lists``, null where they are empty, and with ``release`` its earliest date
+    and, with ``places``, the places of each date."""
+    sets = {name: listed(*parts) for name, parts in lists.items()}
     if release and places:
-        by_date = release_places(rows.where(F.col(release).isNotNull()), [item, release], places)
-        out = out.join(by_date.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(release, "places"))).alias("releases")), item, "left")
+        sets["__dated"] = F.array_sort(F.collect_set(F.when(F.col(release).isNotNull(), F.struct(release, places))))
+    out = rows.groupBy(item).agg(F.max_by(F.struct(*last), F.struct(*order)).alias("__last"), *([F.min(release).alias("first_release")] if release else []), *[c.alias(n) for n, c in sets.items()])
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    out = out.select(item, *[F.col(f"__last.{c}").alias(c) for c in last], *(["first_release"] if release else []), *[some(n) for n in sets])
+    if release and places:
+        out = out.withColumn("releases", by_date(F.col("__dated"), release, places)).drop("__dated")
     return out
 
 
+def by_date(pairs: Column, release: str, place: str) -> Column:
+    """Pairs in order -> (release, places): a place for each pair of the date,
+    in order, without nulls. One pass: a pair is added to the last date or begins
+    another one."""
+    kind = f"array<struct<{release}:string,places:array<string>>>"
+    one = lambda x: F.filter(F.array(x[place].cast("string")), lambda v: v.isNotNull())
+    fresh = lambda x: F.struct(x[release].cast("string").alias(release), one(x).alias("places"))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        more = F.struct(last[release].alias(release), F.concat(last["places"], one(x)).alias("places"))
+        same = (F.size(done) > 0) & F.coalesce(F.try_element_at(done, F.lit(-1))[release] == x[release].cast("string"), F.lit(False))
+        return F.when(same, F.array_append(F.slice(done, 1, F.size(done) - 1), more)).otherwise(F.array_append(done, fresh(x)))
+
+    return F.when(pairs.isNotNull(), F.aggregate(pairs, F.array().cast(kind), add))
+
+
 def release_places(rows: DataFrame, key: list[str], place: str) -> DataFrame:
     """The places of each item and date, in order; a date without any keeps an
     empty list."""

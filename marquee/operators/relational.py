@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.functions.values import rounded
+
 
 def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -76,7 +78,7 @@ def histogram(df: DataFrame, by: list[str], column: str, keys: tuple[str, ...])
 def coverage(checked: DataFrame, ok: Column, key: str) -> DataFrame:
     """Number, verified, percent and duplicates of a key."""
     n = F.count(F.lit(1))
-    return checked.agg(n.alias("entries"), F.count_if(ok).alias("verified"), F.when(n > 0, F.round(100 * F.count_if(ok) / n, 2)).otherwise(0.0).alias("coverage_percent"), (F.count(key) - F.count_distinct(key)).alias("duplicates"))
+    return checked.agg(n.alias("entries"), F.count_if(ok).alias("verified"), F.when(n > 0, rounded(100 * F.count_if(ok) / n)).otherwise(0.0).alias("coverage_percent"), (F.count(key) - F.count_distinct(key)).alias("duplicates"))
 
 
 def resolved_candidates(entries: DataFrame, candidates: DataFrame) -> DataFrame:

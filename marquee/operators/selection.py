@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import folded
+from marquee.functions.values import rounded
 from marquee.operators.relational import first_wins
 
 #: Fixed names of the search routes, in the order in which they are asked.
@@ -85,7 +86,7 @@ def audit_report(rows: DataFrame) -> DataFrame:
     """One row over the audited entries: numbers, coverage and whether all of
     them are verified and no item stands for two."""
     n, ok = F.count(F.lit(1)), F.count_if(F.col("outcome") == "verified")
-    told = rows.agg(n.alias("entries"), ok.alias("verified"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("missing", "invalid")], F.when(n > 0, F.round(100 * ok / n, 2)).otherwise(0.0).alias("coverage_percent"), (F.count("qid") - F.count_distinct("qid")).alias("duplicate_qids"))
+    told = rows.agg(n.alias("entries"), ok.alias("verified"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("missing", "invalid")], F.when(n > 0, rounded(100 * ok / n)).otherwise(0.0).alias("coverage_percent"), (F.count("qid") - F.count_distinct("qid")).alias("duplicate_qids"))
     return told.withColumn("pass", (F.col("missing") == 0) & (F.col("invalid") == 0) & (F.col("duplicate_qids") == 0))
 
 

@@ -79,7 +79,7 @@ def status_histogram(m: Model):
     return relational.histogram(m.raw("events"), ["user_id"], "event_type", STATUSES)
 
 
-@query("ag12_coverage", "SELECT count(*)::BIGINT AS entries, count(*) FILTER (c_acctbal >= 0)::BIGINT AS verified, round(100.0::DOUBLE * count(*) FILTER (c_acctbal >= 0) / count(*), 2)::DOUBLE AS coverage_percent, (count(c_nationkey) - count(DISTINCT c_nationkey))::BIGINT AS duplicates FROM customer")
+@query("ag12_coverage", "SELECT count(*)::BIGINT AS entries, count(*) FILTER (c_acctbal >= 0)::BIGINT AS verified, printf('%.2f', (100.0::DOUBLE * count(*) FILTER (c_acctbal >= 0) / count(*))::DOUBLE)::DOUBLE AS coverage_percent, (count(c_nationkey) - count(DISTINCT c_nationkey))::BIGINT AS duplicates FROM customer")
 def coverage(m: Model):
     return relational.coverage(m.raw("customer"), F.col("c_acctbal") >= 0, "c_nationkey")
 

@@ -28,7 +28,8 @@ cuts AS (SELECT doc_id, unnest(done) AS c, unnest(range(len(done))) AS ordinal F
 made AS (SELECT film, doc_id, ordinal::INT AS ordinal, array_to_string(s[c.a + 1 : c.b], ' ') AS content, list_sum(n[c.a + 1 : c.b])::INT AS tokens, (c.b - c.a)::INT AS sentences, list_max(n[c.a + 1 : c.b]) > 360 AS big FROM cuts JOIN sized USING (doc_id)),
 told AS (SELECT *, sha256(content) AS content_hash, len(regexp_extract_all(content, '[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?'))::INT AS words FROM made),
 flagged AS (SELECT *, concat_ws(',', CASE WHEN words < 40 THEN 'below_minimum_words' END, CASE WHEN big THEN 'oversized_single_sentence' END) AS flags FROM told),
-chunk AS (SELECT *, CASE WHEN flags <> '' THEN 'excluded' WHEN row_number() OVER (PARTITION BY content_hash, flags = '' ORDER BY film, doc_id, ordinal) > 1 THEN 'duplicate' ELSE 'eligible' END AS status FROM flagged)"""
+ranked AS (SELECT *, CASE WHEN flags <> '' THEN 'excluded' WHEN row_number() OVER (PARTITION BY content_hash, flags = '' ORDER BY film, doc_id, ordinal) > 1 THEN 'duplicate' ELSE 'eligible' END AS status FROM flagged),
+chunk AS (SELECT * REPLACE (CASE WHEN status = 'duplicate' THEN 'exact_duplicate_content' ELSE flags END AS flags) FROM ranked)"""
 
 
 def licensed_chunks(m: Model):
@@ -39,7 +40,21 @@ def licensed_chunks(m: Model):
 @query("tx8_chunks", with_model("passages", "SELECT film, doc_id, ordinal, content, content_hash, words, tokens, sentences, flags, status FROM chunk", CHUNKS))
 def passage_chunks(m: Model):
     """Chunks of all licensed English passages, exact copies marked."""
-    return licensed_chunks(m).withColumn("flags", F.array_join("flags", ","))
+    return licensed_chunks(m).withColumn("flags", F.array_join("flags", ",")).drop("duplicate_of")
+
+
+@query(
+    "wn2_duplicate_of",
+    with_model(
+        "passages",
+        """SELECT c.film, c.doc_id, c.ordinal, f.film || '/' || f.doc_id || '/' || f.ordinal AS duplicate_of FROM chunk AS c JOIN (SELECT * FROM chunk WHERE status = 'eligible') AS f ON f.content_hash = c.content_hash WHERE c.status = 'duplicate'""",
+        CHUNKS,
+    ),
+)
+def duplicate_of(m: Model):
+    """Every duplicate chunk and the first one of its content."""
+    rows = licensed_chunks(m).where("status = 'duplicate' and array_contains(flags, 'exact_duplicate_content')")
+    return rows.select("film", "doc_id", "ordinal", F.concat_ws("/", "duplicate_of.film", "duplicate_of.doc_id", "duplicate_of.ordinal").alias("duplicate_of"))
 
 
 @query(
@@ -48,7 +63,7 @@ def passage_chunks(m: Model):
         "passages",
         """SELECT count(*)::BIGINT AS chunks, count(*) FILTER (status = 'eligible')::BIGINT AS eligible, count(*) FILTER (status = 'duplicate')::BIGINT AS duplicate, count(*) FILTER (status = 'excluded')::BIGINT AS excluded,
  count(*) FILTER (contains(flags, 'below_minimum_words'))::BIGINT AS below_minimum_words, count(*) FILTER (contains(flags, 'oversized_single_sentence'))::BIGINT AS oversized_single_sentence,
- coalesce(min(tokens) FILTER (status = 'eligible'), 0)::INT AS tokens_min, coalesce(max(tokens) FILTER (status = 'eligible'), 0)::INT AS tokens_max, coalesce(round(avg(tokens) FILTER (status = 'eligible'), 2), 0)::DOUBLE AS tokens_average,
+ coalesce(min(tokens) FILTER (status = 'eligible'), 0)::INT AS tokens_min, coalesce(max(tokens) FILTER (status = 'eligible'), 0)::INT AS tokens_max, coalesce(printf('%.2f', avg(tokens) FILTER (status = 'eligible'))::DOUBLE, 0)::DOUBLE AS tokens_average,
  (SELECT coalesce(min(n), 0) FROM per)::BIGINT AS film_min, (SELECT coalesce(max(n), 0) FROM per)::BIGINT AS film_max, (SELECT count(*) FROM per)::BIGINT AS films FROM chunk""",
         CHUNKS + ", per AS (SELECT film, count(*) AS n FROM chunk WHERE status = 'eligible' GROUP BY 1)",
     ),

@@ -19,18 +19,53 @@ def bare(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
+#: What the schema says of each table, for the statements: its key; behind a bar
+#: the columns that a filled incoming value replaces, behind another bar those
+#: that any incoming value replaces.
+RULES = {
+    "film": "wikidata_id | release_date runtime countries",
+    "release_event": "film_id release_date source_id reference",
+    "external_relation": "film_id target type source_id",
+    "person": "wikidata_id",
+    "film_genre": "film_id genre_id",
+    "film_credit": "film_id person_id role",
+    "corpus_record": "source_id external_id",
+    "narrative_document": "record_id document_type content_hash",
+    "entity_alias": "entity_id value language kind",
+    "source_record": "source_id external_id",
+    "assertion": "subject predicate object value_json reference",
+    "snapshot": "object_id revision content_hash",
+    "run_snapshot": "run_id snapshot_id",
+    "source_assertion": "snapshot_id locator extractor",
+    "passage": "snapshot_id locator ordinal content_hash",
+    "chunk": "configuration passage_id ordinal",
+    "discovery_query": "entity_id provider version | | run_id status candidates",
+    "discovery_candidate": "entity_id provider work_id",
+    "membership": "collection entity_id",
+    "critical_work": "source_id external_id",
+    "work_subject": "source_id external_id entity_id role",
+    "answer": "entity_id question_id version",
+    "answer_evidence": "entity_id question_id passage_id",
+    "data_source": "name",
+    "access_policy": "source_id mode | | rate",
+    "snapshot_entity": "wikidata_id",
+    "source_object": "source_id external_id",
+    "collection": "code",
+}
+
+
 def merge_sql(name: str, old: str, new: str, columns: str, order: str, prefix: str = "") -> str:
     """A full join of the table and the first incoming row of each key, as
     common table expressions ending in ``{prefix}merged``."""
-    p = up.POLICIES[name]
+    key, given, fresh = (x.split() for x in (RULES[name] + " | |").split("|")[:3])
     names = columns.split()
-    key, rest = list(p.key), [c for c in names if c not in p.key]
+    rest = [c for c in names if c not in key]
     by = ", ".join([*order.split(), *names])
 
     def value(c: str) -> str:
-        if c in p.fresh:
+        if c in fresh:
             return f"CASE WHEN n.turn_ = 1 THEN n.{c} ELSE o.{c} END AS {c}"
-        if c in p.given:
+        if c in given:
             return f"CASE WHEN o.held THEN CASE WHEN n.turn_ = 1 AND n.{c} IS NOT NULL AND n.{c}::VARCHAR NOT IN ('', '0', '[]') THEN n.{c} ELSE o.{c} END ELSE n.{c} END AS {c}"
         return f"CASE WHEN o.held THEN o.{c} ELSE n.{c} END AS {c}"
 

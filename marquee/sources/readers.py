@@ -7,6 +7,7 @@ import json
 import tarfile
 from collections.abc import Iterator
 from itertools import islice
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -186,34 +187,40 @@ def critical_works(works: DataFrame, films: DataFrame) -> DataFrame:
     return link_only_works(works, films).union(more).distinct()
 
 
-def parse_robots(body: str, agent: str) -> list[tuple[str, str]]:
-    """The rules that hold for an agent: those of its own group, else of *."""
-    groups: dict[str, list[tuple[str, str]]] = {}
-    names: list[str] = []
-    open_group = False
-    for line in body.splitlines():
-        k, _, v = line.partition("#")[0].partition(":")
-        k, v = k.strip().lower(), v.strip()
-        if k == "user-agent":
-            names = [*names, v.lower()] if open_group else [v.lower()]
-            open_group = True
-        elif k in ("allow", "disallow") and names:
-            open_group = False
-            for n in names:
-                groups.setdefault(n, []).append((k, v))
-    own = next((g for n, g in groups.items() if n != "*" and n in agent.lower()), None)
-    return own if own is not None else groups.get("*", [])
-
-
-def robots_allow(status: int, body: str, agent: str, path: str) -> bool:
-    """Whether a path may be fetched; fails closed: anything but a readable
-    file or its absence (404) forbids."""
-    if status == 404:
-        return True
+def robots_allow(status: int | None, body: str | None, agent: str, url: str) -> bool:
+    """Whether a page may be fetched; fails closed: without a readable file
+    (status 200) nothing may."""
     if status != 200:
         return False
-    rules = [(len(v), k == "allow") for k, v in parse_robots(body, agent) if v and path.startswith(v)]
-    return max(rules)[1] if rules else True
+    rules = RobotFileParser()
+    rules.parse((body or "").splitlines())
+    return rules.can_fetch(agent, url)
+
+
+def access_decisions(pages: DataFrame, sites: DataFrame, agent: str) -> DataFrame:
+    """``pages (url)``, ``sites (site, status, body)`` (recorded robots.txt files,
+    site being scheme and host) -> (url, allowed, reason). Rules are read once for each
+    site of a batch; a page whose site was never asked is not allowed."""
+
+    @F.pandas_udf("boolean")
+    def allowed(status: pd.Series, body: pd.Series, url: pd.Series) -> pd.Series:
+        parsed: dict[str, RobotFileParser] = {}
+        out = []
+        for s, b, u in zip(status, body, url, strict=True):
+            if s != 200 or u is None:
+                out.append(False)
+                continue
+            if (b or "") not in parsed:
+                rules = parsed[b or ""] = RobotFileParser()
+                rules.parse((b or "").splitlines())
+            out.append(parsed[b or ""].can_fetch(agent, u))
+        return pd.Series(out, dtype=bool)
+
+    site = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
+    known = sites.groupBy("site").agg(F.max(F.struct("status", "body")).alias("s")).select(F.col("site").alias("__site"), "s.status", "s.body")
+    rows = pages.select("url").join(known, site == F.col("__site"), "left").withColumn("allowed", allowed("status", "body", "url"))
+    reason = F.when(F.col("status").isNull(), "robots.txt was not retrieved").when(F.col("status") != 200, F.concat(F.lit("robots.txt returned HTTP "), F.col("status").cast("string"))).when(F.col("allowed"), "allowed by robots.txt").otherwise("disallowed by robots.txt")
+    return rows.select("url", "allowed", reason.alias("reason"))
 
 
 def critical_manifest_json(text: str) -> dict:

@@ -50,3 +50,21 @@ def test_no_cross_joins_and_no_python(spark, sf_dir, name):
     assert "CartesianProduct" not in p
     assert name in ONE_ROW or "BroadcastNestedLoopJoin" not in p
     assert bool(re.search("Python|Pandas|Arrow", p)) == (name in PYTHON)
+
+
+def test_upsert_statements_do_not_follow_the_operator(spark, sf_dir, monkeypatch):
+    """The SQL has keys and columns of its own: another policy changes the rows,
+    not the statement."""
+    from dataclasses import replace
+
+    from marquee.operators import upserts
+    from marquee.plans import upserts as plans
+
+    for name, p in upserts.POLICIES.items():
+        told = (plans.RULES[name] + " | |").split("|")[:3]
+        assert [tuple(x.split()) for x in told] == [p.key, p.given, p.fresh]
+    before = plans.merge_sql("film", plans.FILMS_OLD, plans.FILMS_NEW, plans.FILM_COLUMNS, "title")
+    rows = sorted(map(str, registry.QUERIES["up1_films"](spark, sf_dir).collect()))
+    monkeypatch.setitem(upserts.POLICIES, "film", replace(upserts.POLICIES["film"], given=("runtime",)))
+    assert plans.merge_sql("film", plans.FILMS_OLD, plans.FILMS_NEW, plans.FILM_COLUMNS, "title") == before
+    assert sorted(map(str, registry.QUERIES["up1_films"](spark, sf_dir).collect())) != rows

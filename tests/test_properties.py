@@ -1,7 +1,9 @@
 """Properties that hold for any input."""
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marquee.functions.text import readable
 from marquee.operators import chunks
@@ -32,3 +34,13 @@ def test_readable_is_collapsed(text):
 def test_pages_cover(ids, size):
     got = list(pages(ids, size))
     assert [x for p in got for x in p] == ids and all(0 < len(p) <= size for p in got)
+
+
+def test_rounding_is_of_the_binary_value(spark):
+    """As Python's: 2.675 and 1.005 lie below their halves."""
+    from marquee.functions.values import rounded
+
+    rng = np.random.default_rng(1)
+    xs = [0.0, 2.675, 1.005, 0.125, 0.375, 2.5, 33.335, 66.665, 0.005, 0.015, 1e-9, 99.995, 100.0, 1e9 + 0.125, -2.675, *(rng.integers(0, 10**6, 300) / 1000).tolist(), *(100 * rng.integers(0, 400, 300) / rng.integers(400, 900, 300)).tolist()]
+    got = spark.createDataFrame([(float(x),) for x in xs], "x double").select("x", rounded(F.col("x")).alias("r")).collect()
+    assert all(r["r"] == round(r["x"], 2) for r in got)

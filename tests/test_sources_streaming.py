@@ -68,9 +68,14 @@ def test_works_and_robots(spark):
     schema = "external_id string, title string, canonical_url string, rights_scope string, published_on string, subjects array<struct<wikidata_id:string,role:string>>"
     w = spark.createDataFrame([("a", "T", "u", "metadata_link_only", "2001-01-01", [("Q1", "main")]), ("b", " ", "u", "full", "01/2001", [("Q9", "main")]), ("c", "T", "u", "metadata_link_only", None, [])], schema)
     assert {tuple(r) for r in readers.link_only_works(w, films).collect()} == {("b", "empty_title"), ("b", "rights_scope"), ("b", "published_on"), ("b", "unknown_subject"), ("c", "no_subject")}
-    body = "User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: mybot\nDisallow: /\n"
+    body = "User-agent: *\nAllow: /private/open\nDisallow: /private\n\nUser-agent: mybot\nDisallow: /\n"
     assert readers.robots_allow(200, body, "other", "/x") and not readers.robots_allow(200, body, "other", "/private/x") and readers.robots_allow(200, body, "other", "/private/open/x")
-    assert not readers.robots_allow(200, body, "MyBot/1.0", "/x") and not readers.robots_allow(503, "", "x", "/") and readers.robots_allow(404, "", "x", "/")
+    assert not readers.robots_allow(200, body, "MyBot/1.0", "/x") and not readers.robots_allow(503, "", "x", "/") and not readers.robots_allow(404, "", "x", "/")
+    sites = spark.createDataFrame([("https://a", 200, body), ("https://b", 404, ""), ("https://c", 200, None)], "site string, status int, body string")
+    pages = spark.createDataFrame([("https://a/x",), ("https://a/private/x",), ("https://a/private/open/1",), ("https://b/x",), ("https://c/x",), ("https://d/x",), (None,)], "url string")
+    told = {r["url"]: (r["allowed"], r["reason"]) for r in readers.access_decisions(pages, sites, "other/2").collect()}
+    yes, no = (True, "allowed by robots.txt"), (False, "disallowed by robots.txt")
+    assert told == {"https://a/x": yes, "https://a/private/x": no, "https://a/private/open/1": yes, "https://b/x": (False, "robots.txt returned HTTP 404"), "https://c/x": yes, "https://d/x": (False, "robots.txt was not retrieved"), None: (False, "robots.txt was not retrieved")}
     with pytest.raises(ValueError):
         readers.critical_manifest_json('{"works": 1}')
 
