@@ -1,6 +1,6 @@
 """Which keys of documents (windows of words, lines) occur again, and where.
 
-Each key is a hash of 128 bits, two polynomials of the bytes. Keys are dealt by
+Each key is a hash of 96 bits, of two polynomials of the bytes. Keys are dealt by
 ranges of their first bits to parts; each part puts its keys in the order of
 (key, id, tag, position) and tells all occurrences but the first ones: those of
 the smallest document, or only the smallest occurrence itself. Before that, each
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from marquee.llm import kernels as K
 
 PART_KEYS, PIECE, TASKS = 1_000_000, 8 << 20, 16_384
+#: Bytes of a key's second polynomial that travel.
+SECOND = 4
 #: (texts) -> the keys' first and last 64 bits, the rows that hold them and the positions there.
 Keys = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -42,7 +44,7 @@ def numbers(data: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
 
 def width(bits: int) -> int:
     """Bytes of a key whose first ``bits`` bits are known."""
-    return 8 + -(-(64 - bits) // 8)
+    return SECOND + -(-(64 - bits) // 8)
 
 
 def slices(keys: Keys, bits: int, piece: int, by_document: bool):
@@ -86,8 +88,8 @@ def slices(keys: Keys, bits: int, piece: int, by_document: bool):
                     first = np.flatnonzero(np.diff(d, prepend=-1))
                     step = np.diff(pos[own], prepend=np.int32(0)).astype(np.int32)
                     step[first] = pos[own][first]
-                    both = np.empty((len(d), 16), np.uint8)
-                    both[:, :8], both[:, 8:] = lo[own].view(np.uint8).reshape(-1, 8), hi[own].view(np.uint8).reshape(-1, 8)
+                    both = np.empty((len(d), SECOND + 8), np.uint8)
+                    both[:, :SECOND], both[:, SECOND:] = lo[own].view(np.uint8).reshape(-1, 8)[:, :SECOND], hi[own].view(np.uint8).reshape(-1, 8)
                     out["part"].append(int(p))
                     out["id"].append(None)
                     out["tag"].append(None)
@@ -102,9 +104,9 @@ def opened(keys: pa.Buffer, rest: pa.Buffer, keep: int) -> tuple[np.ndarray, ...
     """A slice's keys (without the part's bits above), ids, tags and positions,
     one for each occurrence."""
     some = np.frombuffer(keys, np.uint8).reshape(-1, keep)
-    both = np.zeros((len(some), 16), np.uint8)
-    both[:, :keep] = some
-    lo, hi = both.view(np.uint64).T.copy()
+    both = np.zeros((2, len(some), 8), np.uint8)
+    both[0, :, :SECOND], both[1, :, : keep - SECOND] = some[:, :SECOND], some[:, SECOND:]
+    lo, hi = both.view(np.uint64).reshape(2, -1)
     data = zstandard.ZstdDecompressor().decompress(rest)
     docs = int.from_bytes(data[:8], "little")
     ids, at = numbers(data, 8, docs, np.int64)

@@ -1,7 +1,7 @@
 """Substring dedup: repeated fixed-length token windows go.
 
 Every window of ``window`` consecutive words (runs without ASCII white space)
-of every text gets a Rabin-Karp hash of 128 bits (two polynomials modulo 2**64).
+of every text gets a Rabin-Karp hash of 96 bits (of two polynomials modulo 2**64).
 The hashes are dealt by value to parts, which count them and tell, of each that
 occurs again, all occurrences but the first: smallest id, then smallest start
 (``repeats``). The repeated starts of each document merge into maximal intervals
@@ -11,8 +11,8 @@ Null, empty and short texts have no window and stay. Rows with a null id take
 no part and stay as they are. Rows repeating id and text are one document; rows
 of one id with different texts are documents of their own, in the order of a
 hash of the text.
-Two different windows share a hash with probability 2**-128 a pair: of 100 TB,
-17 trillion windows, some pair does with probability 1e-12."""
+Two different windows share a hash with probability 2**-96 a pair: of 100 TB,
+17 trillion windows, some pair does with probability 0.002."""
 
 from __future__ import annotations
 
