@@ -3,8 +3,6 @@ splits, pending work, overlays."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,43 +92,54 @@ def resolved_candidates(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason)
 
 
+#: A short phrase is looked up by its first so many characters.
+PIECE = 3
+
+
 def phrase_matches(phrases: DataFrame, texts: DataFrame, item: str, phrase: str, key: str, text: str, words: int) -> DataFrame:
     """(item, key) of each phrase and each text that contains it, both
     normalised to words joined by blanks. Items and keys are unique.
 
     Containment is no equi-join. A phrase may begin and end within a word, but
     its inner words are whole words of the text: up to ``words`` of them are
-    looked up, as a hash, among the hashed runs of as many words of each text. A
-    phrase of one or two words has no inner word: it is looked up within the
-    distinct runs of one or two words that all texts have together. Only hashes
-    and keys are exploded and joined; texts are read again once to verify."""
+    looked up, as a hash, among the hashed runs of each text, which is split once
+    and gives its runs of all lengths in one pass. A phrase of one or two words
+    has no inner word: its first characters are looked up among the pieces of as
+    many characters of the distinct runs of one and two words that all texts
+    have together. Only hashes and keys are exploded and joined; texts are read
+    again once to verify."""
     size = F.size(F.split(phrase, " "))
-    kinds = sorted(r[0] for r in phrases.select(F.least(size, F.lit(words + 2))).distinct().collect() if r[0])  # words + 2 at most
-
-    def runs(n: int, name: Callable[[Column], Column]) -> Column:
-        """The distinct names of the runs of n words of each text; the words are
-        a variable of their own, so that a text is split once."""
-
-        def of(w: Column) -> Column:
-            count = F.size(w) - (n - 1)
-            return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: name(F.slice(w, i, n))))
-
-        return F.explode(F.array_distinct(F.transform(F.array(F.split(text, " ")), of)[0])).alias("__run")
-
-    hits = None
-    for k in kinds:
-        some = phrases.where(size >= k if k == words + 2 else size == k)
-        if k > 2:
-            found = texts.select(key, runs(k - 2, F.xxhash64)).join(some.select(item, F.xxhash64(F.slice(F.split(phrase, " "), 2, k - 2)).alias("__run")), "__run")
-        else:
-            grams = texts.select(key, runs(k, lambda r: F.array_join(r, " ")))
-            known = grams.select("__run").distinct().join(some.select(item, F.col(phrase).alias("__p")), F.contains("__run", "__p")).select("__run", item)
-            found = grams.join(known, "__run")
-        hits = found.select(item, key) if hits is None else hits.union(found.select(item, key))
-    if hits is None:
-        return phrases.select(item).join(texts.select(key), F.lit(False))
-    pairs = hits.distinct().join(phrases.select(item, F.col(phrase).alias("__p")), item)
-    return pairs.join(texts.select(key, F.col(text).alias("__t")), key).where(F.contains("__t", "__p")).select(item, key)
+    told = phrases.where(F.col(phrase) != "").select(item, F.col(phrase).alias("__p"), size.alias("__size"))
+    long = told.where("__size > 2").select(item, F.xxhash64(F.expr(f"slice(split(__p, ' '), 2, least(__size - 2, {words}))")).alias("__run"))
+
+    def runs(w: Column, n: int) -> Column:
+        count = F.size(w) - (n - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    # one row: which kinds and lengths of phrases there are, so that texts are not taken apart for none
+    has = lambda c: F.coalesce(F.max(c), F.lit(False))
+    kinds = phrases.agg(F.sort_array(F.collect_set(F.when(size > 2, F.least(size - 2, F.lit(words))))).alias("long"), has((size <= 2) & (F.col(phrase) != "")).alias("short"), has(F.col(phrase) == "").alias("empty")).first()
+    hits = []
+    if kinds["long"]:
+        # the words are a variable of their own, so that a text is split once
+        every = F.transform(F.array(F.split(text, " ")), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in kinds["long"]])))[0]
+        hits.append(texts.select(key, F.explode(every).alias("__run")).join(long, "__run").select(item, key))
+    if kinds["short"]:
+        short = told.where("__size <= 2").withColumn("__n", F.least(F.length("__p"), F.lit(PIECE))).withColumn("__piece", F.expr("substring(__p, 1, __n)"))
+        grams = F.transform(F.array(F.split(text, " ")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, 2), " "))))[0]
+        of_text = texts.select(key, F.explode(grams).alias("__run"))
+        pieces = F.expr(f"flatten(transform(sequence(1, {PIECE}), n -> if(length(__run) >= n, array_distinct(transform(sequence(1, length(__run) - n + 1), i -> substring(__run, i, n))), array())))")
+        known = of_text.select("__run").distinct().select("__run", F.explode(pieces).alias("__piece"))
+        known = known.join(short.select(item, "__p", "__piece"), "__piece").where(F.contains("__run", "__p")).select("__run", item).distinct()
+        hits.append(of_text.join(known, "__run").select(item, key))
+    found = []
+    if hits:
+        pairs = hits[0].union(hits[1]) if len(hits) > 1 else hits[0]
+        pairs = pairs.distinct().join(told.select(item, "__p"), item)
+        found.append(pairs.join(texts.select(key, F.col(text).alias("__t")), key).where(F.contains("__t", "__p")).select(item, key))
+    if kinds["empty"] or not hits:  # an empty phrase is in every text
+        found.append(phrases.where(F.col(phrase) == "").select(item).crossJoin(texts.where(F.col(text).isNotNull()).select(key)))
+    return found[0].union(found[1]) if len(found) > 1 else found[0]
 
 
 def union_in_order(routes: list[DataFrame], key: list[str], value: str) -> DataFrame:
