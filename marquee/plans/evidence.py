@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.checkpoints import removed
 from marquee.functions import text, values
 from marquee.operators import bibliography, catalogue, evidence, folding, lineage, relational, selection, signals
 from marquee.plans.catalogue import SIGNALS, TARGET
@@ -630,3 +631,124 @@ def resolve_and_capture(m: Model):
     n = resolved.agg(F.count(F.lit(1)).alias("entries"), F.count("qid").alias("resolved"), F.count_if(F.col("qid").isNull()).alias("unresolved"))
     return n.crossJoin(captured.agg(F.count_if(F.col("disposition") == "created").alias("captured")))  # one row each
 
+
+
+@query("sm2_keyed_state", f"SELECT id FROM ({bare(INCOMING)}) GROUP BY 1", writes=True)
+def keyed_state(m: Model):
+    """Keys as state of the stream, over two starts: the second brings them all
+    again and adds none."""
+    source, table, checkpoint = (sinks.new_folder(m.spark, n) for n in ("incoming", "table", "progress"))
+    for _ in range(2):
+        m.sql(INCOMING).repartition(3).write.mode("append").json(source)
+        ingest.keyed(m.spark, source, "id long, name string", ["id"], table, checkpoint, 2).awaitTermination()
+    return m.spark.read.parquet(table).select("id")
+
+
+@query("sm5_run_states", f"SELECT 'r1' AS run, 'failed' AS status, 0::BIGINT AS created, true AS has_error UNION ALL SELECT 'r2', 'complete', count(DISTINCT id)::BIGINT, false FROM ({bare(INCOMING)})", writes=True)
+def run_states(m: Model):
+    """A run whose table cannot be written fails and says why; the next one,
+    from where it stopped, completes."""
+    source, table, ledger, checkpoint = (sinks.new_folder(m.spark, n) for n in ("incoming", "table", "ledger", "progress"))
+    m.sql(INCOMING).coalesce(1).write.json(source)
+    sinks.put_text(table, "in the way")
+    try:
+        ingest.drain(m.spark, source, "id long, name string", ["id"], table, ledger, checkpoint, "r1")
+    except Exception:  # noqa: BLE001 - the ledger has it
+        pass
+    removed(m.spark, table)
+    ingest.drain(m.spark, source, "id long, name string", ["id"], table, ledger, checkpoint, "r2")
+    return ingest.runs(m.spark, ledger).select("run", "status", "created", F.col("error").isNotNull().alias("has_error"))
+
+
+@query(
+    "prj7_registered_works",
+    """SELECT '10.5/' || p_partkey AS doi, trim(p_name) AS title, CASE WHEN p_size % 2 = 0 THEN 'https://x/' || p_partkey ELSE 'https://doi.org/10.5/' || p_partkey END AS url, 1900 + p_size AS year,
+ CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_brand || ' ' || p_type END AS author, 'http://l/' || p_size AS license FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""",
+)
+def registered_works(m: Model):
+    """Bibliographic fields of recorded works; without DOI or title they go."""
+    k = F.col("p_partkey")
+    doi = F.when(k % 5 == 0, F.when(k % 2 == 0, " ")).otherwise(F.concat(F.lit(" 10.5/"), k))
+    title = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(" "), "p_name", F.lit(" ")), F.lit("other")))
+    dated = F.struct(F.array(F.array((F.col("p_size") + 1900).cast("int"))).alias("date-parts"))
+    empty = F.lit(None).cast(bibliography.DATE_PARTS)
+    author = F.array(F.struct(F.col("p_brand").alias("given"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).otherwise("").alias("family")))
+    raw = m.raw("part").select(
+        doi.alias("DOI"), title.alias("title"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://x/"), k)).alias("URL"), F.lit("book").alias("type"), F.when(F.col("p_size") % 2 == 0, dated).otherwise(empty).alias("published"), dated.alias("published-print"), empty.alias("published-online"),
+        author.alias("author"), F.lit(None).cast("array<string>").alias("container-title"), F.lit("p").alias("publisher"), F.array(F.struct(F.concat(F.lit("http://l/"), "p_size").alias("URL"))).alias("license"), F.lit(1).alias("is-referenced-by-count"), F.lit("never kept").alias("abstract"),
+    )
+    rows = bibliography.registered_works(raw)
+    return rows.select("doi", "title", "url", F.get(F.get("published.date-parts", 0), 0).alias("year"), F.get("authors", 0).alias("author"), F.get("licenses", 0).alias("license"))
+
+
+@query(
+    "prj7_indexed_works",
+    r"""SELECT 'W' || doc_id AS work_id, source AS title, array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' ') AS abstract, lang AS author, doc_id % 2 = 0 AS is_oa, CASE WHEN doc_id % 3 = 0 THEN 'https://best/' || doc_id ELSE 'https://first/' || doc_id END AS page FROM documents WHERE text IS NOT NULL""",
+)
+def indexed_works(m: Model):
+    """Works whose id ends a URL and whose abstract is rebuilt from its index."""
+    words = m.raw("documents").where("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("at", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.collect_list(F.col("at").cast("int")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("abstract_inverted_index"))
+    k = F.col("doc_id").cast("string")
+    place = lambda name: F.struct(F.concat(F.lit(f"https://{name}/"), k).alias("landing_page_url"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("string").alias("pdf_url"))
+    author = F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"))
+    none = F.struct(F.struct(F.lit("").alias("display_name")).alias("author"))
+    raw = m.raw("documents").where("text is not null").join(index, "doc_id", "left").select(
+        F.concat(F.lit("https://works/W"), k, F.when(F.col("doc_id") % 2 == 0, "/").otherwise("")).alias("id"), F.col("source").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("publication_date"), F.array(none, author).alias("authorships"),
+        place("first").alias("primary_location"), F.when(F.col("doc_id") % 3 == 0, place("best")).alias("best_oa_location"), F.struct((F.col("doc_id") % 2 == 0).alias("is_oa"), F.lit("x").alias("oa_status")).alias("open_access"), F.col("lang").alias("language"), F.lit(0).alias("cited_by_count"), F.lit("article").alias("type"), "abstract_inverted_index",
+    )
+    rows = bibliography.indexed_works(raw)
+    return rows.select("work_id", "title", "abstract", F.get("authors", 0).alias("author"), F.col("open_access.is_oa").alias("is_oa"), F.col("open_access.landing_page_url").alias("page"))
+
+
+@query(
+    "flt15_access_decisions",
+    r"""SELECT url, coalesce(status, 0) = 200 AND NOT (starts_with(path, '/private') AND NOT starts_with(path, '/private/open')) AND k % 7 <> 1 AS allowed,
+ CASE WHEN status IS NULL THEN 'robots.txt was not retrieved' WHEN status <> 200 THEN 'robots.txt returned HTTP ' || status WHEN starts_with(path, '/private') AND NOT starts_with(path, '/private/open') OR k % 7 = 1 THEN 'disallowed by robots.txt' ELSE 'allowed by robots.txt' END AS reason
+FROM (SELECT page_id % 7 AS k, 'https://s' || page_id % 7 || CASE page_id % 3 WHEN 0 THEN '/private/open/' WHEN 1 THEN '/private/' ELSE '/p/' END || page_id AS url, CASE page_id % 3 WHEN 0 THEN '/private/open/' WHEN 1 THEN '/private/' ELSE '/p/' END AS path,
+ CASE page_id % 7 WHEN 0 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN NULL ELSE 200 END AS status FROM pages)""",
+)
+def access_decisions(m: Model):
+    """What recorded robots.txt files allow of every page; fails closed."""
+    k = F.col("page_id") % 7
+    path = F.when(F.col("page_id") % 3 == 0, "/private/open/").when(F.col("page_id") % 3 == 1, "/private/").otherwise("/p/")
+    rows = m.raw("pages").select(F.concat(F.lit("https://s"), k, path, F.col("page_id")).alias("url"), k.alias("k"))
+    body = F.when(F.col("k") == 1, "User-agent: marquee\nDisallow: /\n\nUser-agent: *\nAllow: /\n").otherwise("User-agent: *\nAllow: /private/open\nDisallow: /private\n")
+    status = F.when(F.col("k") == 0, 404).when(F.col("k") == 2, 503).otherwise(200)
+    sites = rows.select("k").distinct().where("k <> 3").select(F.concat(F.lit("https://s"), "k").alias("site"), status.alias("status"), body.alias("body"))
+    return readers.access_decisions(rows.select("url"), sites, "Marquee/1.0")
+
+
+@query(
+    "flt16_critical_works",
+    """WITH w AS (SELECT p_partkey AS k, 'w' || p_partkey AS work, p_size AS s FROM part)
+SELECT work, 'empty_title' AS rule FROM w WHERE s % 5 = 0 UNION ALL SELECT work, 'rights_scope' FROM w WHERE s % 7 = 0 UNION ALL SELECT work, 'published_on' FROM w WHERE s % 3 = 0 UNION ALL SELECT work, 'no_subject' FROM w WHERE s % 11 = 0
+UNION ALL SELECT work, 'unknown_subject' FROM w WHERE s % 11 <> 0 AND k % 4 = 0 AND k > 0 UNION ALL SELECT work, 'empty_work_kind' FROM w WHERE s % 13 = 0 UNION ALL SELECT work, 'authors' FROM w WHERE s % 17 = 0 UNION ALL SELECT work, 'empty_source_url' FROM w WHERE s % 19 = 0 UNION ALL SELECT work, 'subject_role' FROM w WHERE s % 11 <> 0 AND s % 23 = 0""",
+)
+def critical_works(m: Model):
+    """Every rule that a work of a manifest breaks."""
+    s, k = F.col("p_size"), F.col("p_partkey")
+    text = lambda n, good: F.when(s % n == 0, " ").otherwise(good)
+    subject = F.struct(F.concat(F.lit("Q"), F.when(k % 4 == 0, -k).otherwise(k)).alias("wikidata_id"), F.when(s % 23 == 0, "other").otherwise("primary").alias("role"))
+    source = F.struct(F.lit("n").alias("name"), text(19, F.lit("u")).alias("url"), F.lit("t").alias("source_type"), F.lit("l").alias("license"), F.lit("r").alias("rights_status"))
+    works = m.raw("part").select(
+        F.concat(F.lit("w"), k).alias("external_id"), text(5, F.col("p_name")).alias("title"), F.lit("https://u").alias("canonical_url"), F.when(s % 7 != 0, "metadata_link_only").otherwise("full").alias("rights_scope"), F.when(s % 3 == 0, "99/2001").when(s % 2 == 0, "2001-01-01").alias("published_on"),
+        F.when(s % 11 == 0, F.array().cast("array<struct<wikidata_id:string,role:string>>")).otherwise(F.array(subject)).alias("subjects"), text(13, F.lit("essay")).alias("work_kind"), F.lit("l").alias("work_license"), F.lit("en").alias("language_code"), source.alias("source"), F.array(text(17, F.lit("A")), F.lit("B")).alias("authors"),
+    )
+    return readers.critical_works(works, m.raw("part").select(F.concat(F.lit("Q"), k).alias("qid")))
+
+
+@query("dt4_counted_at", "SELECT count(*)::BIGINT AS total, true AS counted_now FROM events")
+def counted_at(m: Model):
+    """A run's counters bear the time at which they were taken."""
+    rows = sinks.outcomes(m.raw("events"), ("click",), "event_type")
+    return rows.select("total", (F.abs(F.unix_seconds("counted_at") - F.unix_seconds(F.current_timestamp())) < 3600).alias("counted_now"))
+
+
+@query("snk5_table_versions", "SELECT c_mktsegment AS segment, count(*)::BIGINT AS n FROM customer WHERE c_acctbal >= 0 GROUP BY 1", writes=True)
+def table_versions(m: Model):
+    """A table's next version is written beside the one that is read for it."""
+    folder = sinks.new_folder(m.spark, "versions")
+    first = sinks.next_version(m.raw("customer"), folder)
+    second = sinks.next_version(m.spark.read.parquet(first).where("c_acctbal >= 0"), folder)
+    return m.spark.read.parquet(second).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))

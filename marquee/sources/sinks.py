@@ -79,6 +79,14 @@ def read_payloads(uris: DataFrame) -> DataFrame:
     return uris.mapInArrow(get, f"{schema}, body binary").withColumn("available", F.col("body").isNotNull())
 
 
+def put_text(uri: str, text: str) -> None:
+    """A small file."""
+    system, path = fs.FileSystem.from_uri(as_uri(uri))
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as out:
+        out.write(text.encode())
+
+
 def manifest_text(document: dict) -> tuple[str, str]:
     """Canonical JSON of a manifest and its SHA-256."""
     text = json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False) + "\n"

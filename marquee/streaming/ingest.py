@@ -24,16 +24,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-LEDGER = "run string, batch long, seen long, created long, reused long, status string"
+LEDGER = "run string, batch long, seen long, created long, reused long, status string, error string"
 
 
 def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table: str, ledger: str, checkpoint: str, run: str, files_per_batch: int = 1) -> StreamingQuery:
     """Drains ``source`` (JSON lines) into ``table``. The ledger has a row of a
-    batch when it starts (running) and when it ends (complete or failed)."""
+    batch when it starts (running) and when it ends (complete, or failed with the
+    error's first 500 characters)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
 
-    def note(s: SparkSession, n: int, status: str, seen: int = 0, created: int = 0) -> None:
-        s.createDataFrame([(run, n, seen, created, seen - created, status)], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+    def note(s: SparkSession, n: int, status: str, seen: int = 0, created: int = 0, error: str | None = None) -> None:
+        s.createDataFrame([(run, n, seen, created, seen - created, status, error)], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
 
     def merge(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
@@ -47,8 +48,8 @@ def ingest(spark: SparkSession, source: str, schema: str, key: list[str], table:
                 fresh.write.mode("append").parquet(table)
             note(s, n, "complete", seen, created)
             fresh.unpersist()
-        except Exception:
-            note(s, n, "failed")
+        except Exception as e:
+            note(s, n, "failed", error=str(e)[:500])
             raise
         finally:
             batch.unpersist()
@@ -89,10 +90,33 @@ def runs(spark: SparkSession, ledger: str) -> DataFrame:
     counters = F.struct("created", "seen", "reused")
     done = rows.where("status = 'complete'").groupBy("run", "batch").agg(F.max(counters).alias("c")).select("run", "batch", "c.*")
     left = rows.where("status <> 'complete'").join(done.select("run", "batch"), ["run", "batch"], "left_anti")
-    open_ = left.groupBy("run").agg(F.min("status").alias("open"))  # failed before running
+    open_ = left.groupBy("run").agg(F.min("status").alias("open"), F.max("error").alias("error"))  # failed before running
     told = done.groupBy("run").agg(F.count(F.lit(1)).alias("batches"), *[F.sum(c).alias(c) for c in ("seen", "created", "reused")])
     told = rows.select("run").distinct().join(told, "run", "left").join(open_, "run", "left")
-    return told.select("run", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("batches", "seen", "created", "reused")], F.coalesce("open", F.lit("complete")).alias("status"))
+    return told.select("run", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("batches", "seen", "created", "reused")], F.coalesce("open", F.lit("complete")).alias("status"), "error")
+
+
+def keyed(spark: SparkSession, source: str, schema: str, key: list[str], table: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
+    """Drains ``source`` (JSON lines) into ``table``, each key once, with the keys
+    as state of the stream: a batch meets its keys where the state store holds
+    them, by their hash, and reads nothing of the table, so its cost does not
+    grow with it. State lies with the checkpoint and is found again by a later
+    start. A batch writes the folder of its number, so one that comes again
+    replaces what it left. Of rows with the same key any one of the first batch
+    stays; rows with a null in the key are a key as well."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source).dropDuplicates(key)
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={n}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_counts(rows: DataFrame, at: str, by: str, key: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """windowed_counts of a stream in which rows may come twice: a key counts once
+    within the watermark, and its state goes with it."""
+    once = rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return once.groupBy(F.window(at, size), by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

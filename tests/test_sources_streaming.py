@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import shutil
 import tarfile
 
 import pytest
@@ -159,8 +160,8 @@ def test_ledger_of_a_failed_batch(spark, tmp_path, monkeypatch):
 
 def test_ledger_of_a_repeated_batch(spark, tmp_path):
     path = str(tmp_path / "ledger")
-    spark.createDataFrame([("r", 0, 3, 0, 3, "complete"), ("r", 0, 3, 2, 1, "complete"), ("r", 0, 0, 0, 0, "running")], ingest.LEDGER).write.parquet(path)
-    assert [tuple(r) for r in ingest.runs(spark, path).collect()] == [("r", 1, 3, 2, 1, "complete")]
+    spark.createDataFrame([("r", 0, 3, 0, 3, "complete", None), ("r", 0, 3, 2, 1, "complete", None), ("r", 0, 0, 0, 0, "running", None)], ingest.LEDGER).write.parquet(path)
+    assert [tuple(r) for r in ingest.runs(spark, path).collect()] == [("r", 1, 3, 2, 1, "complete", None)]
 
 
 def test_windowed_counts(spark, tmp_path):
@@ -243,3 +244,41 @@ def test_command_line(spark, sf_dir):
     assert main(["q3_editions", sf_dir], out) == 0
     assert {"code", "display_name", "rank"} == set(json.loads(out.getvalue().splitlines()[0]))
     assert main(["none"], out) == 2 and "q1_health" in out.getvalue()
+
+
+def test_keys_are_state_of_the_stream(spark, tmp_path):
+    """Another start finds the state; a batch that comes again replaces its rows,
+    and nothing of the table is read."""
+    source, table, progress = (str(tmp_path / n) for n in ("in", "table", "progress"))
+    schema = "id long, name string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+    put([(1, "a"), (2, "b"), (2, "b"), (None, "n")])
+    ingest.keyed(spark, source, schema, ["id"], table, progress).awaitTermination()
+    shutil.rmtree(table)  # what a batch adds does not depend on the table
+    put([(2, "again"), (3, "c"), (None, "n2")])
+    q = ingest.keyed(spark, source, schema, ["id"], table, progress)
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(table).select("id", "name").collect()] == [(3, "c")]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+
+
+def test_late_and_repeated_rows(spark, tmp_path):
+    source, table, progress = (str(tmp_path / n) for n in ("in", "table", "progress"))
+    schema = "id string, at timestamp, kind string"
+    batches = [[("a", "2024-01-01 00:10:00", "x"), ("a", "2024-01-01 00:10:00", "x"), ("b", "2024-01-01 00:20:00", "x")], [("c", "2024-01-01 09:00:00", "x")], [("late", "2024-01-01 00:30:00", "x"), ("c", "2024-01-01 09:00:00", "x"), ("d", "2024-01-01 15:00:00", "x")], [("e", "2024-01-02 00:00:00", "x")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id string, at string, kind string").coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema(schema).json(source)
+        out = ingest.late_counts(stream, "at", "kind", "id")
+        out.writeStream.format("parquet").option("path", table).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["window"]["start"].hour, r["n"]) for r in spark.read.parquet(table).collect()}
+    assert got == {(0, 2), (9, 1), (15, 1)}
+
+
+def test_archives_of_tasks(spark, tmp_path):
+    rows = [("x/a.tsv", f"{i}\té") if i % 3 else ("x/b.txt", None if i % 2 else str(i)) for i in range(900)]
+    folder = str(tmp_path / "archives")
+    assert sinks.write_archives(spark.createDataFrame(rows, "member string, value string").repartition(3), folder, 1500) > 3
+    got = [r["value"] for name in ("a.tsv", "b.txt") for r in readers.tar_lines(spark, folder, name).collect()]
+    assert sorted(got) == sorted(v or "" for _, v in rows)
+    assert sinks.write_archives(spark.createDataFrame([], "member string, value string"), folder) in (0, 1, 2)
