@@ -12,7 +12,9 @@ notices (words dropped, doubled or put around them, halves) and, for unknown,
 on lines of the corpus that no notice resembles or is wrapped in: at most SAMPLE_DOCS documents
 of at most SAMPLE_BYTES, in the order of a hash of the id. A fourth of the
 rows is held back to calibrate: the temperature that makes their probabilities
-most likely, unknown among them.
+most likely, unknown among them. (To hold back whole notices instead doubles the
+temperature; wrapped notices of the GPL then stay below LEAST beside the AGPL's
+and LGPL's, which share most of their words.)
 
 A candidate counts for a family when its calibrated probability is LEAST at
 least and beats the others, and one of the family's notices confirms it: a
@@ -41,17 +43,20 @@ UNKNOWN = "unknown"
 #: Short notices by which works name their licence.
 NOTICES: dict[str, list[str]] = {
     "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.", "Released under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the CC BY 4.0 licence."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "Published under the Apache License 2.0.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the CC BY 4.0 licence.", "Licensed under Creative Commons BY 3.0."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under the CC BY-NC 4.0 licence."],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Available under the CC BY-SA 4.0 licence."],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Available under the CC BY-SA 4.0 licence.", "Licensed under Creative Commons BY-SA 3.0."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 into the public domain.", "Dedicated to the public domain under CC0 1.0."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.", "SPDX-License-Identifier: BSL-1.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Released under the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "Released under the GPL version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted."],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "Released under the LGPL version 3.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission.", "Copyright. All rights reserved.", "Confidential and proprietary. Do not distribute."],
 }
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -231,6 +236,14 @@ def train(lines: list[str], seed: int = 5) -> Model:
     w, rows, _, pair = featured(pa.array([t.replace("\n", " ") for t in texts]))
     code_ = np.array(code)
     held = np.arange(len(code_)) % 4 == 3
+    weights, bias = fit(w, rows, pair, code_, ~held, len(families))
+    z = logits(weights, bias, w, rows, pair)[held]
+    loss = {t: -np.log(softmax(z / t)[np.arange(held.sum()), code_[held]] + 1e-12).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
+    return Model(families, weights, bias, min(loss, key=loss.get), pairs)
+
+
+def fit(w: np.ndarray, rows: np.ndarray, pair: np.ndarray, code: np.ndarray, learn: np.ndarray, families: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the regression on the rows that ``learn`` marks."""
     n = np.diff(rows)
     row = np.repeat(np.arange(len(n)), n)
     mask = np.uint64(FEATURES - 1)
@@ -240,13 +253,13 @@ def train(lines: list[str], seed: int = 5) -> Model:
     order = np.argsort(ids, kind="stable")
     used, first = np.unique(ids[order], return_index=True)
     of = of[order]
-    weights, bias = np.zeros((FEATURES, len(families)), np.float32), np.zeros(len(families), np.float32)
-    target = np.eye(len(families), dtype=np.float32)[code_]
-    share = np.bincount(code_, minlength=len(families))
-    each = np.where(held, 0, 1 / np.maximum(share[code_], 1)).astype(np.float32)
-    each[code_ == len(families) - 1] *= 3
+    weights, bias = np.zeros((FEATURES, families), np.float32), np.zeros(families, np.float32)
+    target = np.eye(families, dtype=np.float32)[code]
+    share = np.bincount(code[learn], minlength=families)
+    each = np.where(learn, 1 / np.maximum(share[code], 1), 0).astype(np.float32)
+    each[code == families - 1] *= 3
     each /= each.sum()
-    g2, b2 = np.full((len(used), len(families)), 1e-8, np.float32), np.full(len(families), 1e-8, np.float32)
+    g2, b2 = np.full((len(used), families), 1e-8, np.float32), np.full(families, 1e-8, np.float32)
     for _ in range(EPOCHS):
         wrong = (softmax(logits(weights, bias, w, rows, pair)) - target) * each[:, None]
         grad = np.add.reduceat((wrong * scale[:, None])[of], first, axis=0) + 1e-6 * weights[used]
@@ -254,20 +267,19 @@ def train(lines: list[str], seed: int = 5) -> Model:
         b2 += wrong.sum(0) ** 2
         weights[used] -= 0.5 * grad / np.sqrt(g2)
         bias -= 0.5 * wrong.sum(0) / np.sqrt(b2)
-    z = logits(weights, bias, w, rows, pair)[held]
-    loss = {t: -np.log(softmax(z / t)[np.arange(held.sum()), code_[held]] + 1e-12).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
-    return Model(families, weights, bias, min(loss, key=loss.get), pairs)
+    return weights, bias
 
 
 def sample_lines(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    rows = columns(docs, id=id_col, text=text_col).where("id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES // 64)
     """Lines of the sample, without those that a wrapped notice stands in."""
+    rows = columns(docs, id=id_col, text=text_col).where("id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES // 64)
     total, out = 0, []
     pairs = notice_pairs()
     for r in sample(rows, "id", SAMPLE_DOCS).collect():  # SAMPLE_DOCS rows
-        total += len(r["text"].encode())
-        if total > SAMPLE_BYTES:
-            break
+        size = len(r["text"].encode())
+        if total + size > SAMPLE_BYTES:
+            continue
+        total += size
         w, lines, doc, pair = featured(pa.array([r["text"]]))
         whole, paragraph = joined(w, lines, doc, pair)
         wrapped = set().union(*stretches(pairs, whole, lines, paragraph).values())

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.llm import collocations, line_dedup, nn_descent, periodic, queries, repeats, sharding, warc
+from marquee.llm import collocations, licences, line_dedup, nn_descent, periodic, queries, repeats, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, part int, id int, tag long, phrase string, n long"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,3 +310,20 @@ def test_shards_split_an_id_that_many_rows_share(spark, monkeypatch):
     for s in range(4):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
         assert slots == list(range(len(slots)))
+
+
+def test_licence_notices_of_other_wordings(spark):
+    """Usual variants are found; plain text with the same words is not."""
+    lines = {
+        "Licensed under Creative Commons BY-SA 3.0.": "CC-BY-SA",
+        "Published under the Apache License 2.0": "Apache-2.0",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose": "ISC",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY': "MIT",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "made available under the terms of the Eclipse Public License 2.0": "EPL-2.0",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD",
+        "a permission of the author to copy a license for the software of the public library": None,
+    }
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(frame(spark, [(i, x, "en") for i, x in enumerate(lines)]), licences.train([])).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
