@@ -11,6 +11,8 @@ from marquee.sources.tables import Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that write on their way; their result is a table.
+WRITES: set[str] = set()
 
 
 def query(name: str, sql: str | None = None, writes: bool = False):
@@ -20,6 +22,7 @@ def query(name: str, sql: str | None = None, writes: bool = False):
 
     def keep(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         if writes:
+            WRITES.add(name)
             QUERIES[name] = lambda spark, sf_dir: settled(spark, name, lambda: f(Model(spark, sf_dir)))
         else:
             QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
