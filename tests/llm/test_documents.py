@@ -442,7 +442,7 @@ def slow_fill(items, lengths, longest):
     return where, [min(c for c in lengths if c >= used) for _, used in bins]
 
 
-def test_packing_is_best_fit():
+def test_packing_is_best_fit_beside_a_slow_one():
     rng = np.random.default_rng(4)
     for _ in range(60):
         items = sorted(rng.integers(1, 65, int(rng.integers(1, 80))).tolist(), reverse=True)
