@@ -14,8 +14,8 @@ candidate, so the counts of all parts are among them.
 
 The sketch has a cell for each four occurrences or so, up to 2**MOST_BITS in a
 row; what the second pass holds of it is one bit a cell, at most
-ROWS * 2**MOST_BITS / 8 bytes (128 MB), the only thing that is broadcast. Where
-a table is so large that this sketch fills up (beyond some 50 GB of text), more
+ROWS * 2**MOST_BITS / 8 bytes (256 MB), the only thing that is broadcast. Where
+a table is so large that this sketch fills up (beyond some 80 GB of text), more
 phrases pass and the second pass counts more of them; the result is the same.
 
 A candidate (2 words or more, ``least`` occurrences) of a occurrences, cut where
@@ -43,7 +43,7 @@ from marquee.llm.repeats import numbers, planes
 from marquee.llm.shared import columns, cut
 
 LONGEST, LEAST, TOP, SHARE = 4, 30, 2000, 80
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 29
+ROWS, LEAST_BITS, MOST_BITS = 2, 16, 30
 #: Cells of a range and ranges of a row, at least.
 RANGE_BITS, LEAST_RANGES = 20, 6
 PIECE = 8 << 20
@@ -184,7 +184,7 @@ def survivors(held, bits: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
         for batch in batches:
-            for a, b in K.pieces(batch.column(0), PIECE // 2):
+            for a, b in K.pieces(batch.column(0), PIECE // 4):
                 rest = phrases(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), longest)
                 data, starts, ends, lang, names = next(rest)
                 if not len(starts):
@@ -231,8 +231,8 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Dat
     language."""
     spark = docs.sparkSession
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # a word has 6 bytes or so, and each starts a phrase of every length
-    bits = min(MOST_BITS, max(LEAST_BITS, (size * longest // 24).bit_length()))
+    # a word has 6 bytes or so, and each starts a phrase of every length; 2 to 4 of these share a cell
+    bits = min(MOST_BITS, max(LEAST_BITS, (size * longest // 24).bit_length() - 2))
     parts = ROWS << ranges(bits)
     sketch = docs.select("text", "lang").mapInArrow(partial_sketches(bits, longest), "part int, counts binary").repartition(parts, "part").sortWithinPartitions("part")
     full = sketch.mapInArrow(merged(bits, least), "part int, full binary").collect()  # at most ROWS * 2**MOST_BITS bits
