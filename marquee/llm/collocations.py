@@ -8,8 +8,9 @@ First pass: each piece of PIECE bytes of text adds the hashes of its phrases of
 sparse, (cell, count) by ranges of cells, and merge by addition, a range in a
 task. The merged sketch never counts a phrase too low, so every phrase of
 ``least`` occurrences is in cells of as many. Second pass: phrases all of whose
-cells hold ``least`` are counted exactly, by their words; those that the sketch
-let pass wrongly go then. A part of a candidate occurs at least as often as the
+cells hold ``least`` are counted exactly, by their words, first those of a
+task and then, packed by parts of a hash, all; those that the sketch let pass
+wrongly go then. A part of a candidate occurs at least as often as the
 candidate, so the counts of all parts are among them.
 
 The sketch has a cell for each four occurrences or so, up to 2**MOST_BITS in a
@@ -47,6 +48,8 @@ ROWS, LEAST_BITS, MOST_BITS = 2, 16, 30
 #: Cells of a range and ranges of a row, at least.
 RANGE_BITS, LEAST_RANGES = 20, 6
 PIECE = 8 << 20
+#: Bytes of text whose phrases travel together, and for which there is a part of the phrases.
+FLUSH, PART = 32 << 20, 64 << 20
 #: Ends a piece: . , ; : ! ? line feed, vertical tab, form feed, return.
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -176,19 +179,50 @@ def bitmaps(held, bits: int) -> list[np.ndarray]:
     return _bitmaps[held.value[0]]
 
 
-def survivors(held, bits: int, longest: int):
-    """mapInArrow: (text, lang) -> (lang, k, phrase, n): the phrases of a piece
-    of texts that the sketch lets pass, told apart by their words, and how often
-    the piece holds them; with k = 0 the number of its words."""
+#: Phrases as they travel, without the schema.
+COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """Equal phrases of a language as one row, in order."""
+    rows = pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum"), *[(c, "max") for c in tables[0].column_names[4:]]])
+    rows = rows.rename_columns([c.removesuffix("_sum").removesuffix("_max") for c in rows.column_names])
+    return rows.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+
+
+def survivors(held, bits: int, longest: int, part_bits: int):
+    """mapInArrow: (text, lang) -> (part, counts): the phrases that the sketch
+    lets pass, told apart by their words, and how often FLUSH bytes of text or so
+    hold them, packed by the first bits of a hash; with k = 0 the number of
+    words."""
+
+    def told(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray, h: np.ndarray) -> pa.Table:
+        part = (h >> np.uint64(64 - part_bits)).astype(np.int32)
+        return pa.table([lang.cast(pa.string()), pa.array(np.full(len(n), k), pa.int32()), phrase, pa.array(n.astype(np.int64)), pa.array(part)], names=[*COUNTS.names, "part"])
+
+    def packed(tables: list[pa.Table]) -> pa.RecordBatch:
+        rows = summed(tables)
+        part = rows.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        rows = rows.select(COUNTS.names).take(pa.array(order)).combine_chunks()
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        packer, out = zstandard.ZstdCompressor(level=3), []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+            some = pa.Table.from_batches(rows.slice(a, b - a).to_batches(), COUNTS).combine_chunks().to_batches()[0]
+            own = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in some.columns], schema=COUNTS)
+            out.append(packer.compress(own.serialize().to_pybytes()))
+        return pa.record_batch([pa.array(part[order][cuts], pa.int32()), pa.array(out, pa.binary())], names=["part", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
+        found, read = [], 0
         for batch in batches:
             for a, b in K.pieces(batch.column(0), PIECE // 4):
                 rest = phrases(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), longest)
                 data, starts, ends, lang, names = next(rest)
                 if not len(starts):
                     continue
+                read += len(data)
                 size = ends - starts
                 begin = np.concatenate([[0], np.cumsum(size)])
                 on = np.repeat(starts - begin[:-1], size) + np.arange(begin[-1])
@@ -200,12 +234,12 @@ def survivors(held, bits: int, longest: int):
                 begin = begin + np.arange(len(begin))
                 n = np.bincount(lang, minlength=len(names))
                 some = np.flatnonzero(n)
-                yield told(pa.array(names).take(pa.array(some)), 0, pa.nulls(len(some), pa.string()), n[some])
+                found.append(told(pa.array(names).take(pa.array(some)), 0, pa.nulls(len(some), pa.string()), n[some], salts(names)[some]))
                 for k, h, at in rest:
                     passes = np.ones(len(h), bool)
                     for full, cell in zip(bitmaps(held, bits), cells(h, bits), strict=True):
                         passes &= (full[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-                    at = at[passes]
+                    at, h = at[passes], h[passes]
                     if not len(at):
                         continue
                     code = lang[at]
@@ -217,10 +251,42 @@ def survivors(held, bits: int, longest: int):
                     offs = np.concatenate([[0], np.cumsum(size_k)])
                     own = spaced[np.repeat(begin[at] - offs[:-1], size_k) + np.arange(offs[-1])]
                     phrase = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(own.tobytes())])
-                    yield told(pa.array(names).take(pa.array(lang[at])), k, phrase.cast(pa.large_string()).cast(pa.string()), n)
+                    found.append(told(pa.array(names).take(pa.array(lang[at])), k, phrase.cast(pa.large_string()).cast(pa.string()), n, h[first]))
+                if read >= FLUSH:
+                    yield packed(found)
+                    found, read = [], 0
+        if found:
+            yield packed(found)
+
+    return run
+
 
-    def told(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([lang.cast(pa.string()), pa.array(np.full(len(n), k), pa.int32()), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+def counted(least: int):
+    """mapInArrow over rows sorted by part -> (lang, k, phrase, f): phrases with
+    ``least`` occurrences or more, and the numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
+        now, held, size = None, [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            rows = summed(held).rename_columns(["lang", "k", "phrase", "f"])
+            keep = (rows.column("k").to_numpy() == 0) | (rows.column("f").to_numpy() >= least)
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now:
+                    if held:
+                        yield from told()
+                    now, held, size = part, [], 0
+                data = zstandard.ZstdDecompressor().decompress(counts.as_buffer())
+                held.append(pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(data), COUNTS)]))
+                size += len(data)
+                if size > FLUSH:  # a part never holds more than its distinct phrases and so much
+                    held, size = [summed(held).select(COUNTS.names)], 0
+        if held:
+            yield from told()
 
     return run
 
@@ -237,8 +303,9 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Dat
     sketch = docs.select("text", "lang").mapInArrow(partial_sketches(bits, longest), "part int, counts binary").repartition(parts, "part").sortWithinPartitions("part")
     full = sketch.mapInArrow(merged(bits, least), "part int, full binary").collect()  # at most ROWS * 2**MOST_BITS bits
     held = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["part"], bytes(r["full"])) for r in full]))
-    found = docs.select("text", "lang").mapInArrow(survivors(held, bits, longest), "lang string, k int, phrase string, n long")
-    found = cut(found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("k").eqNullSafe(0) | (F.col("f") >= least)), "phrases")
+    part_bits = max(6, (size // PART).bit_length())
+    found = docs.select("text", "lang").mapInArrow(survivors(held, bits, longest, part_bits), "part int, counts binary").repartition(1 << part_bits, "part").sortWithinPartitions("part")
+    found = cut(found.mapInArrow(counted(least), "lang string, k int, phrase string, f long"), "phrases")
     held.unpersist()
     return found
 
