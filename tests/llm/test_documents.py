@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.llm import kernels, langid, licences, mixing, ngram_join, packing, queries, sharding, substring_dedup
+from marquee.llm import kernels, langid, licences, mixing, ngram_join, packing, queries, repeats, sharding, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, part int, id int, w long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,7 +119,7 @@ def test_substring_dedup_brute(spark, sf_dir):
 
 
 def test_substring_dedup_odd(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "PIECE", 500)
+    monkeypatch.setattr(repeats, "PIECE", 500)
     texts = odd_texts()
     ids = [int(x) for x in np.random.default_rng(0).permutation(len(texts)) * 3]
     told = substring_dedup.substring_dedup(frame(spark, [*texts, texts[6]], [*ids, None])).collect()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marquee.llm import kernels, packing, substring_dedup, warc
+from marquee.llm import kernels, packing, repeats, warc
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t\xa0", max_size=40)), min_size=1, max_size=12)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,7 +45,7 @@ def test_again_leaves_the_first(rows):
     for a, *place in sorted(set(rows)):
         first.setdefault(a, place)
     want = sorted((*place, a) for a, *place in rows if first[a] != place)
-    assert sorted((int(ids[o]), int(tags[o]), int(pos[o]), int(h[o])) for o in substring_dedup.again(h, ids, tags, pos)) == want
+    assert sorted((int(ids[o]), int(tags[o]), int(pos[o]), int(h[o])) for o in repeats.again(h, np.zeros_like(h), ids, tags, pos, False)) == want
 
 
 @settings(max_examples=100, deadline=None)
