@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators import board, graph, lineage, resolution, retrieval, screenplay
+from marquee.checkpoints import cut
+from marquee.operators import board, counters, graph, lineage, resolution, retrieval, screenplay
 from marquee.plans.registry import query
 from marquee.sources.tables import Model, with_model
 
@@ -269,3 +270,15 @@ def sessions(m: Model):
     out = screenplay.sessions(m.raw("events").select(F.col("user_id").alias("visitor"), "ts"))
     text = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return out.select("visitor", F.date_format("start", text).alias("start"), F.date_format("end", text).alias("end"), "events")
+
+
+@query("ag2_kept_counters", "SELECT o_orderstatus AS status, count(*) AS rows, count(DISTINCT o_custkey) AS members FROM orders GROUP BY 1", writes=True)
+def kept_counters(m: Model):
+    """Orders and distinct customers by status, merged from batches in turn."""
+    by = ["status"]
+    rows = m.raw("orders").select(F.col("o_orderstatus").alias("status"), "o_custkey", (F.col("o_orderkey") % 3).alias("batch"))
+    state = None
+    for batch in (2, 0, 1):
+        new = counters.delta(rows.where(F.col("batch") == batch), by, "o_custkey")
+        state = cut(new if state is None else counters.merged(by, state, new), "counters")
+    return counters.told(state, by)

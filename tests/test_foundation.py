@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import board, graph, lineage, resolution, retrieval, screenplay
+from marquee.operators import board, counters, graph, lineage, resolution, retrieval, screenplay
 from marquee.plans import foundation
 from marquee.sources.tables import Model
 
@@ -227,3 +227,17 @@ def test_fused(spark):
     got = {tuple(r) for r in retrieval.fused({"l": a, "s": b}).collect()}
     assert got == {(1, 11, 2, 1, 10**9 // 62 + 10**9 // 61, 1), (1, 10, 1, None, 10**9 // 61, 2), (2, 12, None, 3, 10**9 // 63, 1)}
     assert retrieval.semantic(spark.createDataFrame([(1, [1.0])], "doc long, x array<double>").where(retrieval.usable(F.col("x"))), spark.createDataFrame([(2, [1.0])], "query long, x array<double>")).count() == 1
+
+
+def test_counters_merge_in_any_order(spark):
+    rng = np.random.default_rng(7)
+    rows = [(str(g), int(v)) for g, v in zip(rng.integers(0, 4, 900), rng.integers(0, 100_000, 900) % 70_001, strict=True)] + [("0", None), ("9", None), (None, 5), ("1", 0), ("1", 32_767), ("1", 32_768)]
+    df = lambda r: spark.createDataFrame(r, "g string, v long")
+    parts = [counters.delta(df(rows[a::3]), ["g"], "v") for a in range(3)]
+    want = {g: (sum(x == g for x, _ in rows), len({v for x, v in rows if x == g and v is not None})) for g in {x for x, _ in rows}}
+    for order in ((0, 1, 2), (2, 0, 1)):
+        one = counters.merged(["g"], *(parts[i] for i in order))
+        assert {r["g"]: (r["rows"], r["members"]) for r in counters.told(one, ["g"]).collect()} == want
+    two = counters.merged(["g"], counters.merged(["g"], parts[1], parts[2]), parts[0])
+    assert {r["g"]: (r["rows"], r["members"]) for r in counters.told(two, ["g"]).collect()} == want
+    assert counters.told(counters.delta(df([]), ["g"], "v"), ["g"]).collect() == []
