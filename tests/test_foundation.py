@@ -49,6 +49,17 @@ def test_near_names(spark, per_mille):
     assert got == want
 
 
+def test_few_numbered_names_meet_at_a_key(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(resolution, "cut", lambda df, name: written.setdefault(name, df.cache()))
+    names = spark.range(4000).selectExpr("concat('customer#', lpad(id, 9, '0')) AS name")
+    found = resolution.near_names(names).count()
+    posted = written["posted"]
+    sides = posted.groupBy("key", F.least("size", "other").alias("s"), F.greatest("size", "other").alias("o")).agg(F.count_if(F.expr("size <= other")).alias("small"), F.count_if(F.expr("size >= other")).alias("large"))
+    met = sides.agg(F.sum(F.when(F.col("s") < F.col("o"), F.col("small") * F.col("large")).otherwise(F.expr("small * (small - 1) div 2")))).first()[0]
+    assert found > 18000 and met < 10 * found, (found, met)
+
+
 def test_clusters(spark):
     rows = [("p1", "Mani  Ratnam films"), ("p2", "mani ratnam films "), ("p3", "mani rathnam films"), ("p4", "someone else"), ("p5", None), ("p6", None)]
     got = {r["id"]: (r["cluster"], r["members"]) for r in resolution.resolved(spark.createDataFrame(rows, "id string, name string"), per_mille=700).collect()}
