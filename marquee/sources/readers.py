@@ -20,26 +20,26 @@ ARCHIVE_FIELDS = ("wikipedia_movie_id", "freebase_movie_id", "title", "release_d
 
 
 def tar_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(line_no, value) of the member of tar.gz archives whose name ends so.
+    """(archive, line_no, value) of the members of tar.gz archives whose name ends
+    so; lines are numbered through an archive, from 0.
 
     Archives come through the binary file source, one task each (2 GB packed at
     most, as that source has it); the member is unpacked line by line and never
     held as a whole."""
 
     def numbered(tar: tarfile.TarFile) -> Iterator[tuple[int, str]]:
-        for m in tar:
-            if m.isfile() and m.name.endswith(member):
-                yield from enumerate(x.decode("utf-8", "replace").rstrip("\r\n") for x in tar.extractfile(m))
+        files = (tar.extractfile(m) for m in tar if m.isfile() and m.name.endswith(member))
+        yield from enumerate(x.decode("utf-8", "replace").rstrip("\r\n") for f in files for x in f)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for content in part["content"]:
+            for path, content in zip(part["path"], part["content"], strict=True):
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
                     lines = numbered(tar)
                     while batch := list(islice(lines, 10_000)):
-                        yield pd.DataFrame(batch, columns=["line_no", "value"])
+                        yield pd.DataFrame(batch, columns=["line_no", "value"]).assign(archive=path)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line_no long, value string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, line_no long, value string")
 
 
 def archive_rows(lines: DataFrame) -> DataFrame:
@@ -56,10 +56,10 @@ def english_with_plot(rows: DataFrame, plots: DataFrame) -> DataFrame:
 
 
 def keyed_text(lines: DataFrame) -> DataFrame:
-    """(key, text) of lines key<TAB>text; the last line of a key stays, lines
-    without a tab go."""
+    """(key, text) of lines key<TAB>text; the last line of a key stays, in the
+    order of the archives' names and the lines in them; lines without a tab go."""
     parts = lines.withColumn("f", F.split("value", "\t", 2)).where(F.size("f") == 2)
-    return parts.groupBy(F.col("f")[0].alias("key")).agg(F.max_by(F.col("f")[1], "line_no").alias("text"))
+    return parts.groupBy(F.col("f")[0].alias("key")).agg(F.max_by(F.col("f")[1], F.struct("archive", "line_no")).alias("text"))
 
 
 def title_years(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -129,7 +129,7 @@ def write_archives(lines: DataFrame, folder: str, limit: int = ARCHIVE) -> int:
                     body = b"\n".join(own) + b"\n"
                     info.size = len(body)
                     tar.addfile(info, io.BytesIO(body))
-            name = f"part-{TaskContext.get().partitionId():06d}-{len(names):04d}.tar.gz"
+            name = f"part-{TaskContext.get().partitionId():06d}-{len(names):06d}.tar.gz"
             temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
             with system.open_output_stream(temporary, compression=None) as out:
                 out.write(packed.getvalue())

@@ -29,6 +29,15 @@ def test_archive(spark, tmp_path):
     assert gzip.open(tmp_path / "a.tar.gz").read(1)
 
 
+def test_last_line_in_a_later_archive(spark, tmp_path):
+    rows = [("x/plot_summaries.txt", f"{i}\t{text}") for i in range(200) for text in ("earlier", "last")]
+    folder = str(tmp_path / "archives")
+    # 21 bytes: archives end between the lines of a key, and lines start anew
+    assert sinks.write_archives(spark.createDataFrame(rows, "member string, value string").coalesce(1), folder, 21) > 50
+    text = readers.keyed_text(readers.tar_lines(spark, folder, "plot_summaries.txt"))
+    assert {(r["key"], r["text"]) for r in text.collect()} == {(str(i), "last") for i in range(200)}
+
+
 def test_title_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿Series_Title,Released_Year,IMDB_Rating\nOne,1999,8\n ,2000,7\nTwo,PG,7\nThree, 2001 ,6\n", encoding="utf-8")
     assert [tuple(r) for r in readers.title_years(spark, str(tmp_path / "a.csv")).collect()] == [(1, "One", 1999), (2, "Three", 2001)]
