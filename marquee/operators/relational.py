@@ -81,11 +81,11 @@ def coverage(checked: DataFrame, ok: Column, key: str) -> DataFrame:
 
 def resolved_candidates(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best candidate of each entry: films of the entry's year, by title
-    score, then route and place; a later route counts only for entries that the
+    score, then route, place and item; a later route counts only for entries that the
     first one left open. Entries without any stay unresolved with a reason."""
     c = entries.join(candidates, "position").where(F.col("is_film") & F.array_contains("years", F.col("release_year")))
     c = c.withColumn("late", F.col("route") > 0)
-    best = first_wins(c, ["position"], ["late", F.desc("title_score"), "route", "place"])
+    best = first_wins(c, ["position"], ["late", F.desc("title_score"), "route", "place", "qid"])
     out = entries.join(best.select("position", "qid", "enwiki"), "position", "left")
     # fixed texts of the catalogue
     reason = F.when(F.col("qid").isNull(), "no film QID with matching release year after Wikidata and Wikipedia fallback").when(F.col("enwiki").isNull(), "film QID has no English Wikipedia sitelink")
