@@ -237,6 +237,15 @@ def items(m: Model):
     return m.sql(ITEMS).select("qid", F.array("p_type", "p_brand").alias("types"), F.array((F.col("year") - 1).cast("int"), F.col("year").cast("int")).alias("years"), F.array("p_brand", F.when(F.length("qid") % 2 == 0, F.upper("p_name"))).alias("names"), "enwiki")
 
 
+def resolution(m: Model):
+    """Each title and year resolved once, and given to all entries that ask it."""
+    entries = m.sql(ENTRIES)
+    asking = selection.requests(entries)
+    told = selection.described(selection.answered(asking, m.sql(ANSWERS)), items(m), asking, FILM_TYPES)
+    best = relational.resolved_candidates(asking.select("position", F.col("release_year").cast("int")), told).withColumnRenamed("position", "asked")
+    return selection.same_request(entries, asking).join(best, "asked").drop("asked")
+
+
 @query(
     "q16_title_resolution",
     f"""WITH {FOUND}, i AS ({bare(ITEMS)}),
@@ -245,9 +254,7 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY
 SELECT e.position, b.qid, b.enwiki, CASE WHEN b.qid IS NULL THEN 'no film QID with matching release year after Wikidata and Wikipedia fallback' WHEN b.enwiki IS NULL THEN 'film QID has no English Wikipedia sitelink' END AS reason FROM e LEFT JOIN b ON b.position = e.position""",
 )
 def title_resolution(m: Model):
-    entries = m.sql(ENTRIES)
-    told = selection.described(found(m), items(m), entries, FILM_TYPES)
-    return relational.resolved_candidates(entries.select("position", F.col("release_year").cast("int")), told).select("position", "qid", "enwiki", "reason")
+    return resolution(m).select("position", "qid", "enwiki", "reason")
 
 
 CHOSEN = "SELECT o_orderkey AS position, year(o_orderdate) AS release_year FROM {orders}"
@@ -623,9 +630,7 @@ SELECT count(*)::BIGINT AS entries, count(b.qid)::BIGINT AS resolved, (count(*)
 )
 def resolve_and_capture(m: Model):
     """A list of titles and years, resolved to items whose payloads are captured."""
-    entries = m.sql(ENTRIES)
-    told = selection.described(found(m), items(m), entries, FILM_TYPES)
-    resolved = relational.resolved_candidates(entries.select("position", F.col("release_year").cast("int")), told)
+    resolved = resolution(m)
     qids = selection.all_identifiers(resolved.where("qid is not null").select("qid"))
     captured = sinks.store_payloads(qids.select(F.lit("items").alias("source"), F.concat(F.lit('{"id":"'), "qid", F.lit('"}')).alias("body")), sinks.new_folder(m.spark, "blobs"))
     n = resolved.agg(F.count(F.lit(1)).alias("entries"), F.count("qid").alias("resolved"), F.count_if(F.col("qid").isNull()).alias("unresolved"))

@@ -9,6 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.operators import relational, selection
 from marquee.sources import readers, sinks
 from marquee.streaming import ingest
 
@@ -291,3 +292,19 @@ def test_archives_of_tasks(spark, tmp_path):
     got = [r["value"] for name in ("a.tsv", "b.txt") for r in readers.tar_lines(spark, folder, name).collect()]
     assert sorted(got) == sorted(v or "" for _, v in rows)
     assert sinks.write_archives(spark.createDataFrame([], "member string, value string"), folder) in (0, 1, 2)
+
+
+def test_equal_requests_are_answered_once(spark):
+    entries = spark.createDataFrame([(1, "A", 2001), (2, "A", 2001), (3, "A", None), (4, None, 2001), (5, "B", 2001)], "position long, title string, release_year int")
+    answers = spark.createDataFrame([("A", "en", 1, "Q2"), ("A", "en", 1, "Q1"), ("A", "wikipedia", 0, "Q1"), ("A 2001 film", "title_year", 0, "Q3"), ("A", "en", 10, "Q4"), ("A", "en", 0, None)], "query string, route string, place int, qid string")
+    assert selection.requests(entries).count() == 4
+    got = {tuple(r) for r in selection.candidates(entries, answers).collect()}
+    own = {(1, "Q2", 0, 1), (1, "Q1", 0, 1), (1, "Q3", 3, 0)}
+    assert got == own | {(2, *r[1:]) for r in own} | {(3, "Q2", 0, 1), (3, "Q1", 0, 1)}
+
+
+def test_ties_of_candidates_go_to_the_smaller_item(spark):
+    entries = spark.createDataFrame([(1, 2001)], "position long, release_year int")
+    told = [(1, q, 0, 1, True, [2001], 1, None) for q in ("Q5", "Q4", "Q9", "Q3", "Q7")]
+    rows = spark.createDataFrame(told, "position long, qid string, route int, place int, is_film boolean, years array<int>, title_score int, enwiki string")
+    assert [r["qid"] for r in relational.resolved_candidates(entries, rows.coalesce(1)).collect()] == ["Q3"]
