@@ -114,34 +114,55 @@ def personal_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = 8, keep: in
 BLOCK = 512
 
 
+#: Sets of more members do not name their choices of two.
+LARGE = 64
+
+
 def shared_twice(members: DataFrame, least: int = 2) -> DataFrame:
     """Pairs of sets that share ``least`` members or more: ``members (owner,
     member)`` -> (a, b, shared) with a < b.
 
-    Members are ordered by degree, rare ones first. Sets that share ``least``
-    members share one at least among all but their last ``least - 1``, so a
-    member that a third of all sets hold, the last one nearly everywhere,
-    proposes no pairs. Where a member still has many owners, these are dealt to
-    blocks of BLOCK, and each pair of blocks is a key of its own. Proposed pairs
-    are counted exactly, by a join with the members of both. Repeated rows count
+    Two sets that share two members have that choice of two in common, which far
+    fewer sets have than a single member. Each set names its choices, sets meet
+    at those that several name, and a pair that meets n (n - 1) / 2 times shares n
+    members: nothing is proposed that shares less than two. Where a choice still
+    has many owners, these are dealt to blocks of BLOCK, and each pair of blocks is
+    a key of its own. A set of more than LARGE members is met with all others at
+    its members instead, but for its last ``least - 1``, by degree, and these
+    pairs are counted by a join with the members of both. Repeated rows count
     once; nulls are ignored."""
     rows = members.where("owner is not null and member is not null").select("owner", "member").distinct()
     degree = rows.groupBy("member").agg(F.count(F.lit(1)).alias("degree"))
-    rows = rows.join(degree, "member")
-    turn = Window.partitionBy("owner").orderBy("degree", "member")
-    ordered = rows.withColumn("turn", F.row_number().over(turn)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("owner")))
-    prefix = cut(ordered.where(F.col("size") >= least).where(F.col("turn") <= F.col("size") - (least - 1)).select("owner", "member", "degree"), "prefix")
+    listed = F.sort_array(F.collect_list(F.struct("degree", "member")))
+    sets = rows.join(degree, "member").groupBy("owner").agg(listed.alias("listed")).withColumn("size", F.size("listed"))
+    ordered = sets.where(F.col("size") >= least).select("owner", "size", F.posexplode("listed").alias("turn", "it"), "listed")
+    rest = F.when(F.col("size") <= LARGE, F.transform(F.expr("slice(listed, turn + 2, size)"), lambda x: x["member"]))
+    prefix = ordered.where(F.col("turn") < F.col("size") - 1 if least > 1 else F.lit(True))
+    prefix = cut(prefix.select("owner", "size", "turn", F.col("it.member").alias("member"), F.col("it.degree").alias("degree"), rest.alias("rest")), "prefix")
+
+    if least > 1:
+        choices = prefix.select("owner", "member", F.explode("rest").alias("other"))
+        named = choices.groupBy("member", "other").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1")
+        blocks = F.greatest(F.ceil(F.col("degree") / BLOCK), F.lit(1)).cast("long")
+        dealt = choices.join(named, ["member", "other"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("owner"), F.col("blocks")))
+        # owners of block i meet those of block j once, at the key (i, j) with i <= j
+        left = dealt.select("member", "other", F.col("owner").alias("x"), F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"))
+        right = dealt.select("member", "other", F.col("owner").alias("y"), F.col("own").alias("j"), F.explode(F.expr("sequence(0L, own)")).alias("i"))
+        met = left.join(right, ["member", "other", "i", "j"]).where("x <> y and (i < j or x < y)")
+        times = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        pairs = times.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("times"))) / 2).cast("long").alias("shared")).where(F.col("shared") >= least)
+    # large sets, and with ``least`` 1 all of them, meet the others at their members
+    large = F.col("size") > LARGE if least > 1 else F.lit(True)
+    asks = prefix.where(large & (F.col("turn") <= F.col("size") - least))
     blocks = F.greatest(F.ceil(F.col("degree") / BLOCK), F.lit(1)).cast("long")
-    own = F.pmod(F.xxhash64("owner"), blocks)
-    dealt = prefix.withColumn("blocks", blocks).withColumn("own", own)
-    # owners of block i meet those of block j once, at the key (i, j) with i <= j
-    left = dealt.select("member", F.col("owner").alias("x"), F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"))
-    right = dealt.select("member", F.col("owner").alias("y"), F.col("own").alias("j"), F.explode(F.expr("sequence(0L, own)")).alias("i"))
-    met = left.join(right, ["member", "i", "j"]).where("x <> y and (i < j or x < y)")
-    pairs = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    sets = rows.groupBy("owner").agg(F.collect_set("member").alias("members"))
-    both = pairs.join(sets.select(F.col("owner").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("owner").alias("b"), F.col("members").alias("of_b")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    asks = asks.select("member", F.col("owner").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"))
+    given = prefix.where(F.col("turn") <= F.col("size") - least).select("member", F.col("owner").alias("y"), F.pmod(F.xxhash64("owner"), blocks).alias("i"))
+    single = asks.join(given, ["member", "i"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(None).cast("long").alias("shared")).distinct()
+    pairs = cut(pairs.union(single) if least > 1 else single, "pairs")
+    told = sets.select("owner", F.transform("listed", lambda x: x["member"]).alias("members"))
+    both = pairs.where("shared is null").join(told.select(F.col("owner").alias("a"), F.col("members").alias("of_a")), "a").join(told.select(F.col("owner").alias("b"), F.col("members").alias("of_b")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    return pairs.where("shared is not null").union(counted)
 
 
 def best(rows: DataFrame, key: str, tie: str, k: int, score: str = "score") -> DataFrame:

@@ -150,6 +150,21 @@ def test_a_hub_proposes_no_pairs(spark, monkeypatch):
     assert seen["prefix"].where("member = 9999").count() == 0 and seen["pairs"].count() == 150
 
 
+def test_sets_that_share_one_member_are_not_proposed(spark, monkeypatch):
+    seen = {}
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: seen.setdefault(name, cut(df, name)))
+    rng = np.random.default_rng(4)
+    rows = [(o, int(m)) for o in range(400) for m in rng.integers(0, 100, 8)]
+    rows += [(o, m) for o in (1000, 1001) for m in range(100)]  # more than LARGE members
+    sets = defaultdict(set)
+    for o, m in rows:
+        sets[o].add(m)
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
+    assert {tuple(r) for r in graph.shared_twice(spark.createDataFrame(rows, "owner long, member long")).collect()} == want
+    assert seen["pairs"].count() <= len(want) + 10
+
+
 def bm25(docs, queries, k):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D.,;:!?]+", (t or "").lower())
     tf = {d: Counter(words(t)) for d, t in docs}
