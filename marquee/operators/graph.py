@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +86,128 @@ def chains(links: DataFrame) -> DataFrame:
 
 #: Mass is counted in whole units, so that sums do not depend on their order.
 UNITS = 10**12
+#: A cell of so many nodes times links at most is one row.
+CELL = 1 << 20
+#: So many steps a label goes; pairs of nodes and links that a task works on at once.
+HOPS, WORK = 4, 1 << 21
+
+
+def celled(edges: DataFrame) -> DataFrame:
+    """``edges (a, b)`` -> (x, cell): of each node, named by its hash, the part of
+    the graph that it lies in and no link leaves, or null where that is too large
+    to be one row or more than HOPS steps wide.
+
+    Each node takes the smallest label of itself and its neighbours, HOPS times
+    or until all agree with their neighbours. A cell none of whose nodes has a
+    neighbour of another label is closed. Two nodes of one hash lie in one cell,
+    which is then no less closed."""
+    e = edges.select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
+    both = e.union(e.select("y", "x"))
+    state = cut(both.groupBy("x").agg(F.min("y").alias("y"), F.count(F.lit(1)).alias("links")).select("x", "links", F.least("x", "y").alias("low")), "labels")
+    for _ in range(HOPS):
+        near = both.join(state.select(F.col("x").alias("y"), F.col("low").alias("near")), "y").groupBy("x").agg(F.min("near").alias("least"), F.max("near").alias("most"))
+        agree = (F.col("least") == F.col("low")) & (F.col("most") == F.col("low"))
+        state = cut(state.join(near, "x").select("x", "links", F.col("low").alias("cell"), F.least("low", "least").alias("low"), agree.alias("settled")), "labels")
+        if state.where("not settled").isEmpty():
+            break
+    fits = F.every("settled") & (F.count(F.lit(1)) * F.sum("links") <= 2 * CELL)
+    sized = state.groupBy("cell").agg(fits.alias("fits"))
+    return cut(state.join(sized, "cell").select("x", F.when(F.col("fits"), F.col("cell")).alias("cell")), "cells")
+
+
+def dealt(edges: DataFrame, about: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``edges (a, b)`` in two parts that share no node: a row for each small cell
+    (cell, links), with the rows of ``about (node, ...)`` for its nodes, and the
+    edges that lie in no such cell, or None."""
+    e = cut(edges.where("a <> b").select("a", "b"), "edges")
+    cells = celled(e)
+    own = cells.where("cell is not null")
+    rows = e.withColumn("x", F.xxhash64("a")).join(own, "x").groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("links"))
+    if about is not None:
+        told = about.withColumn("x", F.xxhash64("node")).join(own, "x").groupBy("cell").agg(F.collect_list(F.struct(*about.columns)).alias("about"))
+        rows = rows.join(told, "cell", "left")
+    apart = cells.where("cell is null")
+    return rows, None if apart.isEmpty() else cut(e.withColumn("x", F.xxhash64("a")).join(apart, "x", "left_semi").select("a", "b"), "edges")
+
+
+def ranked(cells: DataFrame, rounds: int, keep: int = 15, least: int = UNITS // 10**6) -> DataFrame:
+    """Rows of ``dealt`` with their ``members`` instead of the links and for each
+    member, as a seed, its ``ranks``: structs of a member's place and its mass, as
+    ``pushed`` would find it."""
+    kind = cells.schema["links"].dataType.elementType["a"].dataType.simpleString()
+    others = [c for c in cells.columns if c != "links"]
+    schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.list_value_length(batch.column("links")).to_numpy(zero_copy_only=False).astype(np.int64)
+            turn = np.cumsum(n * (n + 1)) // WORK
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(n)]
+            for i, j in zip(cuts, cuts[1:]):
+                some = batch.slice(i, j - i)
+                if some.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in others), *masses(some.column("links"), rounds, keep, least)], names=[*others, "members", "ranks"])
+
+    return cells.mapInArrow(run, f"{schema}, members array<{kind}>, ranks array<array<struct<at:int,mass:bigint>>>")
+
+
+def masses(links: pa.ListArray, rounds: int, keep: int, least: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """Members and ranks of some cells, all pairs of a cell's nodes at once. Sums
+    of mass stay below 2**53, so they are exact in floating point."""
+    size, ends = pc.list_value_length(links).to_numpy(zero_copy_only=False), links.flatten()
+    named = pa.concat_arrays([ends.field("a"), ends.field("b")]).dictionary_encode()
+    code, n = named.indices.to_numpy().astype(np.int64), len(named.dictionary)
+    owner = np.zeros(n, np.int64)
+    owner[code] = np.tile(np.repeat(np.arange(len(size)), size), 2)
+    order = np.argsort(owner, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    owner, (a, b) = owner[order], place[code].reshape(2, -1)
+    a, b = np.divmod(np.unique(np.concatenate([a * n + b, b * n + a])), n)
+    count = np.bincount(owner, minlength=len(size))  # nodes of each cell
+    first = (np.cumsum(count) - count)[owner]  # of each node the first one of its cell
+    wide = count[owner]
+    base = np.cumsum(wide) - wide  # where the pairs of each seed begin
+    at = np.arange(wide.sum()) - np.repeat(base, wide)
+    degree = np.bincount(a, minlength=n)[at + np.repeat(first, wide)]
+    # each link carries mass for each seed of its cell
+    times = wide[a]
+    seed = np.repeat(first[a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    shift = (base - first)[seed]
+    source, target = shift + np.repeat(a, times), shift + np.repeat(b, times)
+    kept, waits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    waits[base + np.arange(n) - first] = UNITS
+    for _ in range(rounds):
+        part = waits * (100 - keep) // (100 * degree)
+        part[part < least] = 0
+        kept += np.where(part > 0, waits - part * degree, 0)
+        waits = np.where(part > 0, 0, waits) + np.bincount(target, part[source], len(at)).astype(np.int64)
+    mass = kept + waits
+    held = mass > 0
+    found = pa.StructArray.from_arrays([pa.array(at[held].astype(np.int32)), pa.array(mass[held])], names=["at", "mass"])
+    ranks = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.add.reduceat(held, base, dtype=np.int64))]).astype(np.int32), found)
+    cells = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+    return pa.ListArray.from_arrays(cells, named.dictionary.take(pa.array(order))), pa.ListArray.from_arrays(cells, ranks)
+
+
+def personal_ranks(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 8, keep: int = 15, least: int = UNITS // 10**6) -> DataFrame:
+    """Personalised PageRank by pushing mass, see ``pushed``, of the given seeds
+    or, without any, of every node with a link. In the second case small cells
+    of the graph are worked out where they lie: of these no pair of nodes is
+    shuffled."""
+    if seeds is not None:
+        return pushed(edges, seeds, rounds, keep, least)
+    cells, rest = dealt(edges)
+    rows = ranked(cells, rounds, keep, least).select("members", F.posexplode("ranks").alias("seed", "near")).select("members", "seed", F.inline("near"))
+    rows = rows.select(F.get("members", "seed").alias("seed"), F.get("members", "at").alias("node"), "mass")
+    return rows if rest is None else rows.union(pushed(rest, nodes(rest), rounds, keep, least))
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("seed")).union(edges.select("b"))
 
 
-def personal_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = 8, keep: int = 15, least: int = UNITS // 10**6) -> DataFrame:
+def pushed(edges: DataFrame, seeds: DataFrame, rounds: int = 8, keep: int = 15, least: int = UNITS // 10**6) -> DataFrame:
     """Personalised PageRank of each seed by pushing mass: ``edges (a, b)``, both
     ways and without repeats here, ``seeds (seed)`` -> (seed, node, mass).
 

@@ -267,3 +267,29 @@ def test_counters_merge_in_any_order(spark):
     two = counters.merged(["g"], counters.merged(["g"], parts[1], parts[2]), parts[0])
     assert {r["g"]: (r["rows"], r["members"]) for r in counters.told(two, ["g"]).collect()} == want
     assert counters.told(counters.delta(df([]), ["g"], "v"), ["g"]).collect() == []
+
+
+def linked(spark):
+    """Stars, repeated and turned links, a link of a node with itself, a chain
+    that is longer than labels go, and nulls."""
+    stars = [(f"h{h}", f"n{h}.{i}") for h in range(6) for i in range(h + 2)]
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(20)]
+    more = [(b, a) for a, b in stars[::3]] + stars[::4] + [("n5.0", "n5.1"), ("h0", "h0"), ("alone", "alone"), (None, "x"), ("x", None)]
+    return spark.createDataFrame(stars + chain + more, "a string, b string")
+
+
+@pytest.mark.parametrize(("cell", "least"), [(graph.CELL, graph.UNITS // 10**6), (30, graph.UNITS // 8)])
+def test_ranks_of_small_cells_are_those_of_pushed_mass(spark, monkeypatch, cell, least):
+    monkeypatch.setattr(graph, "CELL", cell)
+    monkeypatch.setattr(graph, "WORK", 40)
+    e = linked(spark)
+    got = sorted(map(tuple, graph.personal_ranks(e, rounds=3, least=least).collect()))
+    assert got == sorted(map(tuple, graph.pushed(e, graph.nodes(e.where("a <> b")), rounds=3, least=least).collect()))
+
+
+def test_cells_share_no_node_with_the_rest(spark):
+    cells, rest = graph.dealt(linked(spark))
+    within = [{x for link in r["links"] for x in link} for r in cells.collect()]
+    apart = {x for r in rest.collect() for x in r}
+    assert apart == {f"c{i:02}" for i in range(21)}
+    assert len(within) == 6 and sum(map(len, within)) == len(set().union(*within)) and not apart & set().union(*within)
