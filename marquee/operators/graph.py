@@ -124,7 +124,7 @@ def dealt(edges: DataFrame, about: DataFrame | None = None) -> tuple[DataFrame,
     own = cells.where("cell is not null")
     rows = e.withColumn("x", F.xxhash64("a")).join(own, "x").groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("links"))
     if about is not None:
-        told = about.withColumn("x", F.xxhash64("node")).join(own, "x").groupBy("cell").agg(F.collect_list(F.struct(*about.columns)).alias("about"))
+        told = about.select(F.xxhash64("node").alias("x"), F.struct(*about.columns).alias("row")).join(own, "x").groupBy("cell").agg(F.collect_list("row").alias("about"))
         rows = rows.join(told, "cell", "left")
     apart = cells.where("cell is null")
     return rows, None if apart.isEmpty() else cut(e.withColumn("x", F.xxhash64("a")).join(apart, "x", "left_semi").select("a", "b"), "edges")

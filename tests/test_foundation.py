@@ -293,3 +293,14 @@ def test_cells_share_no_node_with_the_rest(spark):
     apart = {x for r in rest.collect() for x in r}
     assert apart == {f"c{i:02}" for i in range(21)}
     assert len(within) == 6 and sum(map(len, within)) == len(set().union(*within)) and not apart & set().union(*within)
+
+
+def test_composite_similarity_of_large_cells(spark, sf_dir, monkeypatch):
+    """What is too large to be one row is compared by joins, with the same result."""
+    from marquee.plans.registry import QUERIES
+
+    monkeypatch.setattr(graph, "CELL", 40)
+    rows = QUERIES["gr_composite_similar"](spark, sf_dir)
+    monkeypatch.setattr(graph, "CELL", 1 << 20)
+    whole = QUERIES["gr_composite_similar"](spark, sf_dir)
+    assert rows.columns == whole.columns and sorted(map(tuple, rows.collect())) == sorted(map(tuple, whole.collect()))
