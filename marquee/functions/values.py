@@ -67,12 +67,22 @@ def plural(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, F.lit(one)).otherwise(F.lit(many)))
 
 
+def inverted(words: Column) -> Column:
+    """The inverted index word -> positions of an array of words: these are
+    sorted, and each run of one word is an entry."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["w"] != F.get(s, i - 1)["w"]), i)), lambda i: i.isNotNull())
+    run = lambda s, b, e: F.struct(F.get(s, b)["w"].alias("key"), F.transform(F.slice(s, b + 1, e - b), lambda x: x["at"]).alias("value"))
+    runs = lambda s, b: F.transform(b, lambda at, k: run(s, at, F.coalesce(F.get(b, k + 1), F.size(s))))
+    return F.map_from_entries(F.get(F.transform(F.array(placed), lambda s: F.get(F.transform(F.array(begins(s)), lambda b: runs(s, b)), 0)), 0))
+
+
 def rebuilt_text(index: Column) -> Column:
     """Text of an inverted index word -> positions; where words collide the
     last one of the map stays."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-i).alias("i"), e["key"].alias("w")))))
-    start = F.struct(F.lit(None).cast("int").alias("p"), F.array().cast("array<string>").alias("words"))
-    kept = F.aggregate(F.array_sort(pairs), start, lambda a, x: F.when(a["p"].eqNullSafe(x["p"]), a).otherwise(F.struct(x["p"].alias("p"), F.array_append(a["words"], x["w"]).alias("words"))), lambda a: a["words"])
+    first = lambda s: F.filter(s, lambda x, i: x["p"].isNotNull() & ((i == 0) | ~x["p"].eqNullSafe(F.get(s, i - 1)["p"])))
+    kept = F.get(F.transform(F.array(F.sort_array(pairs)), lambda s: F.transform(first(s), lambda x: x["w"])), 0)
     return F.coalesce(F.array_join(kept, " "), F.lit(""))
 
 

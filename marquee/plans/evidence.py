@@ -692,15 +692,14 @@ def registered_works(m: Model):
 )
 def indexed_works(m: Model):
     """Works whose id ends a URL and whose abstract is rebuilt from its index."""
-    words = m.raw("documents").where("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("at", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list(F.col("at").cast("int")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("abstract_inverted_index"))
+    index = values.inverted(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
     k = F.col("doc_id").cast("string")
     place = lambda name: F.struct(F.concat(F.lit(f"https://{name}/"), k).alias("landing_page_url"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("string").alias("pdf_url"))
     author = F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"))
     none = F.struct(F.struct(F.lit("").alias("display_name")).alias("author"))
-    raw = m.raw("documents").where("text is not null").join(index, "doc_id", "left").select(
+    raw = m.raw("documents").where("text is not null").select(
         F.concat(F.lit("https://works/W"), k, F.when(F.col("doc_id") % 2 == 0, "/").otherwise("")).alias("id"), F.col("source").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("publication_date"), F.array(none, author).alias("authorships"),
-        place("first").alias("primary_location"), F.when(F.col("doc_id") % 3 == 0, place("best")).alias("best_oa_location"), F.struct((F.col("doc_id") % 2 == 0).alias("is_oa"), F.lit("x").alias("oa_status")).alias("open_access"), F.col("lang").alias("language"), F.lit(0).alias("cited_by_count"), F.lit("article").alias("type"), "abstract_inverted_index",
+        place("first").alias("primary_location"), F.when(F.col("doc_id") % 3 == 0, place("best")).alias("best_oa_location"), F.struct((F.col("doc_id") % 2 == 0).alias("is_oa"), F.lit("x").alias("oa_status")).alias("open_access"), F.col("lang").alias("language"), F.lit(0).alias("cited_by_count"), F.lit("article").alias("type"), index.alias("abstract_inverted_index"),
     )
     rows = bibliography.indexed_works(raw)
     return rows.select("work_id", "title", "abstract", F.get("authors", 0).alias("author"), F.col("open_access.is_oa").alias("is_oa"), F.col("open_access.landing_page_url").alias("page"))

@@ -304,3 +304,15 @@ def test_composite_similarity_of_large_cells(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(graph, "CELL", 1 << 20)
     whole = QUERIES["gr_composite_similar"](spark, sf_dir)
     assert rows.columns == whole.columns and sorted(map(tuple, rows.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_an_index_is_made_and_read_in_its_row(spark, sf_dir):
+    from marquee.functions import values
+    from marquee.plans.registry import QUERIES
+
+    rows = [(["b", "a", "b", "é", "a", "b"],), ([],), (None,), (["x"] * 3,)]
+    index = spark.createDataFrame(rows, "words array<string>").select("words", values.inverted(F.col("words")).alias("i"))
+    got = index.select("i", values.rebuilt_text(F.col("i"))).collect()
+    assert [r[0] for r in got] == [{"a": [1, 4], "b": [0, 2, 5], "é": [3]}, {}, None, {"x": [0, 1, 2]}]
+    assert [r[1] for r in got] == ["b a b é a b", "", "", "x x x"]
+    assert "Exchange" not in QUERIES["prj7_indexed_works"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
