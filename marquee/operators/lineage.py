@@ -95,21 +95,30 @@ ROUNDS = 16
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, ancestor, depth): transitive closure of a hierarchy, each node
-    with itself at depth 0; of several ways the shortest. Every round joins
-    only the last round's new pairs, until there are none; cycles end as well."""
+    with itself at depth 0; of several ways the shortest.
+
+    Rounds go over the nodes that have children only: every round joins the last
+    round's new pairs, until there are none; cycles end as well. Leaves, the bulk
+    of a hierarchy, take over what their parents know in one join."""
     pairs = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent is not null").distinct()
-    nodes = pairs.select("child").union(pairs.select("parent")).distinct()
-    new = nodes.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
+    pairs = cut(pairs, "closure")
+    inner = cut(pairs.select(F.col("parent").alias("child")).distinct(), "closure")
+    up = cut(pairs.join(inner, "child"), "closure").withColumnRenamed("child", "ancestor")
+    new = inner.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
     known = new
     for depth in count(1):
-        step = new.join(pairs.withColumnRenamed("child", "ancestor"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
+        step = new.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
         new = cut(step.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if new.isEmpty():
             break
         known = known.unionByName(new)
         if depth % ROUNDS == 0:  # few tables to read, however deep the hierarchy
             known = cut(known, "closure")
-    return known
+    leaves = pairs.join(inner, "child", "left_anti")
+    own = leaves.select("child").distinct().select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
+    above = leaves.where("child is not null").join(known.select(F.col("child").alias("parent"), "ancestor", "depth"), "parent")
+    above = above.groupBy("child", "ancestor").agg((F.min("depth") + 1).alias("depth"))
+    return known.unionByName(own).unionByName(above)
 
 
 def handoffs(pairs: DataFrame, crew: DataFrame) -> DataFrame:

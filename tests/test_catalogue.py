@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marquee import schemas
+from marquee import checkpoints, schemas
 from marquee.functions import text, values
 from marquee.operators import catalogue, chunks, evidence, folding, lineage, merge, relational, selection, signals, upserts
 
@@ -234,6 +234,17 @@ def test_closure_has_no_last_level(spark):
     assert got == {(0, i, i) for i in range(n + 1)} | {(1000, 1000, 0), (1000, 1001, 1), (1001, 1001, 0), (1001, 1000, 1)}
 
 
+def test_closure_takes_leaves_through_no_round(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "d"), ("x", "x"), ("both", "a"), ("both", "d"), (None, "d"), ("d", None)] + [(f"leaf{i}", "a") for i in range(300)]
+    tables = []
+    monkeypatch.setattr(lineage, "cut", lambda df, name: tables.append(checkpoints.cut(df, name)) or tables[-1])
+    got = sorted(map(tuple, lineage.closure(spark.createDataFrame(pairs, "child string, parent string"), "child", "parent").where("child is not null").collect()))
+    up = {"a": {"a": 0, "b": 1, "c": 2, "d": 3}, "b": {"b": 0, "c": 1, "d": 2}, "c": {"c": 0, "d": 1}, "d": {"d": 0}, "x": {"x": 0, "d": 1}, "both": {"both": 0, "a": 1, "b": 2, "c": 3, "d": 1}}
+    up |= {f"leaf{i}": {f"leaf{i}": 0, "a": 1, "b": 2, "c": 3, "d": 4} for i in range(300)}
+    assert got == sorted((c, a, n) for c, of in up.items() for a, n in of.items())
+    assert all(t.count() < 10 for t in tables[1:])  # the first one is the pairs
+
+
 def test_templates_of_any_depth(spark):
     for depth in (1, 8, 9, 40):
         wiki = "before " + "{{a|" * depth + "x" + "}}" * depth + " {{open after"
