@@ -48,6 +48,13 @@ def components(links: DataFrame) -> DataFrame:
     return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def successors(links: DataFrame) -> DataFrame:
+    """``links (node, next)`` -> the links that chains keep: of each node the
+    smallest successor, of those that name one the smallest node."""
+    one = links.where("node <> next").groupBy("node").agg(F.min("next").alias("next"))
+    return one.groupBy("next").agg(F.min("node").alias("node")).select("node", "next")
+
+
 def chains(links: DataFrame) -> DataFrame:
     """``links (node, next)`` -> (node, head, position, next, length, cyclic): the
     place of every node in its chain, from 0, by pointer doubling.

@@ -196,6 +196,17 @@ def test_lexical_ranks_are_exact(spark, monkeypatch, block):
     assert retrieval.lexical(none, spark.createDataFrame(queries, "query long, text string")).collect() == []
 
 
+def test_handoffs_follow_no_pointers(spark, monkeypatch, sf_dir):
+    links = [("a", "b"), ("a", "c"), ("d", "b"), ("b", "e"), ("e", "e"), ("x", "y"), ("y", "x"), (None, "a"), ("c", None), ("d", "f")]
+    df = spark.createDataFrame(links, "node string, next string")
+    want = graph.chains(df).where("next is not null").select("node", "next").collect()
+    assert sorted(graph.successors(df).collect()) == sorted(want) and want
+    from marquee.plans.registry import QUERIES
+
+    monkeypatch.setattr(graph, "chains", lambda links: 1 / 0)
+    assert QUERIES["gr_series_handoffs"](spark, sf_dir).count()
+
+
 def test_lexical_ranks_write_no_postings(spark, monkeypatch):
     """Tables and shuffles hold queries and answers, no words of documents; rows
     that repeat an id are one document, as in the SQL."""
