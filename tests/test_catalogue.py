@@ -2,7 +2,10 @@
 
 import datetime as dt
 import random
+import re
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +230,19 @@ def test_constraints(spark):
     assert [r["rule"] for r in schemas.longer_than(d, "k", k=0).collect()] == ["length_k"] * 4
 
 
+def test_text_functions_send_no_ascii_to_python(spark, monkeypatch):
+    texts = [None, "", " ", "a\x1c\x1fB\x0b\x0c c\r\n", "plain TEXT 9-8", "e\u0301 \u00a0x\u2003y ", "\ufb01 \u00c5ngstr\u00f6m\x85Z"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    got = sorted(df.select("i", text.nfc_collapsed(F.col("t")), text.ascii_tokens(F.col("t"))).collect())
+    tokens = lambda x: " ".join(re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()))
+    assert [tuple(r) for r in got] == [(i, None, None) if x is None else (i, " ".join(unicodedata.normalize("NFC", x).split()), tokens(x)) for i, x in enumerate(texts)]
+    seen = text.beside_ascii(F.col("t"), F.lit("plain"), lambda c: F.concat(F.lit("sent "), F.coalesce(c, F.lit("nothing"))))
+    assert {r[0] for r in df.select(seen).collect()} == {"plain", "sent nothing", *("sent " + x for x in texts if x and not x.isascii())}
+    monkeypatch.setattr(text, "ROWS", 3)
+    for n in (0, 1, 7):
+        assert text.composed.func(pa.array(["a  b", None] * n, pa.string())).to_pylist() == ["a b", None] * n
+
+
 def test_closure_has_no_last_level(spark):
     n = 67
     tree = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "child long, parent long")
