@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee.checkpoints import cut
 from marquee.functions.values import plural
 from marquee.operators.catalogue import bounded
+from marquee.parts import parted
 from marquee.schemas import LINEAGE
 
 VISIBLE = ("resolved", "published")
@@ -50,13 +51,15 @@ def labelled(edges: DataFrame) -> DataFrame:
 def edges(assertions: DataFrame, entities: DataFrame, limit: int = 12) -> DataFrame:
     """The visible edges of every entity: per entity at most ``limit``, by label,
     title and target. Of edges with the same target and label the first stays,
-    outgoing before incoming, then by assertion."""
+    outgoing before incoming, then by assertion. Entities are counted first: the
+    edges meet their targets in parts of a bounded number of them."""
     bounded(limit, 1, 30, "limit")
     seen = visible(assertions)
     e = entities.select(F.col("entity_id").alias("target_id"), F.col("label").alias("target_title"), F.col("kind").alias("target_kind"))
     out = seen.select(F.col("subject").alias("entity_id"), F.col("object").alias("target_id"), "assertion_id", "predicate", F.lit("outgoing").alias("direction"))
     back = seen.select(F.col("object").alias("entity_id"), F.col("subject").alias("target_id"), "assertion_id", "predicate", F.lit("incoming").alias("direction"))
-    rows = labelled(out.unionByName(back).where("entity_id is not null").join(e, "target_id"))
+    both = parted(out.unionByName(back).where("entity_id is not null"), entities.count(), "target_id")
+    rows = labelled(both.join(e, "target_id"))
     first = Window.partitionBy("entity_id", "target_id", "relation_label").orderBy(F.desc("direction"), "assertion_id")
     rows = rows.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
     order = Window.partitionBy("entity_id").orderBy("relation_label", "target_title", "target_id")

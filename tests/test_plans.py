@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from marquee import parts
 from marquee.operators import catalogue, lineage, relational
 from marquee.plans import registry
 from marquee.sources.tables import Model
@@ -38,6 +39,14 @@ def test_top_k_is_limited_before_the_shuffle(m):
     assert "TakeOrderedAndProject" in plan(lineage.entry_points(m.entities().select("entity_id", F.col("label").alias("title")), m.assertions()))
 
 
+def test_edges_meet_their_targets_in_parts_of_some_rows(m, monkeypatch):
+    """Whose number adaptive execution leaves as it is."""
+    monkeypatch.setattr(parts, "ROWS", 100)
+    n = -(-m.entities().count() // 100)
+    assert n > 8
+    assert re.search(rf"hashpartitioning\(target_id#\d+, {n}\), REPARTITION_BY_NUM", plan(lineage.edges(m.assertions(), m.entities())))
+
+
 #: A single row may be joined to a table.
 ONE_ROW = {"q1_health", "q1_health_editions", "q11_similar_films", "q12_chunk_report", "q15_discovery_quality", "q19_resolve_and_audit", "up17_counts", "q6_compare_pair"}
 #: Queries of text functions that the JVM has no expressions for.
