@@ -301,7 +301,7 @@ def licensed(m: Model):
 def constraints(m: Model):
     o, li = m.raw("orders"), m.raw("lineitem")
     rows = schemas.violations(o, "o_orderkey", {"price_positive": F.col("o_totalprice") > 1000, "status_known": F.col("o_orderstatus").isin("F", "O")})
-    orphans = schemas.orphans(li, "l_orderkey", o.where("o_orderstatus <> 'P'"), "o_orderkey").select(F.lit("orphan").alias("rule"), F.col("l_orderkey").cast("string").alias("key"))
+    orphans = schemas.orphans(li, "l_orderkey", o.where("o_orderstatus <> 'P'").hint("shuffle_hash"), "o_orderkey").select(F.lit("orphan").alias("rule"), F.col("l_orderkey").cast("string").alias("key"))
     twice = schemas.duplicates(li, "l_orderkey", "l_linenumber").select(F.lit("duplicate").alias("rule"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
     return rows.union(orphans).union(twice)
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marquee import parts
+from marquee import parts, schemas
 from marquee.operators import catalogue, lineage, relational
 from marquee.plans import registry
 from marquee.sources.tables import Model
@@ -47,6 +47,18 @@ def test_edges_meet_their_targets_in_parts_of_some_rows(m, monkeypatch):
     assert re.search(rf"hashpartitioning\(target_id#\d+, {n}\), REPARTITION_BY_NUM", plan(lineage.edges(m.assertions(), m.entities())))
 
 
+def test_constraints_neither_sort_nor_count_what_a_file_holds(m, monkeypatch):
+    """Duplicates are counted behind the shuffle only, in parts of some rows;
+    orphans are looked up in hashed parents."""
+    monkeypatch.setattr(parts, "ROWS", 100)
+    n = -(-m.raw("lineitem").count() // 100)
+    twice = plan(schemas.duplicates(m.raw("lineitem"), "l_orderkey", "l_linenumber"))
+    assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, l_linenumber#\d+, {n}\), REPARTITION_BY_NUM", twice)
+    assert "HashAggregate" not in twice.split("Exchange", 1)[1]
+    p = plan(registry.QUERIES["val_constraints"](m.spark, m.sf_dir))
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
+
+
 #: A single row may be joined to a table.
 ONE_ROW = {"q1_health", "q1_health_editions", "q11_similar_films", "q12_chunk_report", "q15_discovery_quality", "q19_resolve_and_audit", "up17_counts", "q6_compare_pair"}
 #: Queries of text functions that the JVM has no expressions for.
