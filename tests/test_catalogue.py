@@ -243,6 +243,13 @@ def test_text_functions_send_no_ascii_to_python(spark, monkeypatch):
         assert text.composed.func(pa.array(["a  b", None] * n, pa.string())).to_pylist() == ["a b", None] * n
 
 
+def test_text_functions_take_names_of_columns(spark):
+    df = spark.createDataFrame([("Crème  Brûlée 2",), ("Plain, Text",), (None,)], "t string")
+    for f in (text.ascii_tokens, text.nfc_collapsed):
+        assert df.select(f("t").alias("x")).collect() == df.select(f(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in df.select(text.ascii_tokens("t").alias("x")).collect()] == ["creme brulee 2", "plain text", None]
+
+
 def test_closure_has_no_last_level(spark):
     n = 67
     tree = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "child long, parent long")
