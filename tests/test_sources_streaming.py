@@ -237,6 +237,16 @@ def test_bibliography(spark):
     assert b.discovery_report(entities, out, fresh).first()["collection_films"] == 4
 
 
+def test_titles_beyond_ascii_are_discovered(spark):
+    from marquee.operators import bibliography as b
+
+    entities = spark.createDataFrame([(1, "Les Misérables"), (2, "Plain Long Title"), (3, "Été"), (4, None)], "entity_id long, title string")
+    works = spark.createDataFrame([(1, "W1", "On les miserables", None), (2, "W2", "Another", "of a plain, long title")], "entity_id long, work_id string, title string, abstract string")
+    out, fresh = b.discovered(entities, works, spark.createDataFrame([], "entity_id long, work_id string"))
+    assert {r["entity_id"]: r["status"] for r in out.collect()} == {1: "complete", 2: "complete", 3: "skipped_ambiguous", 4: "no_candidates"}
+    assert {(r["entity_id"], r["method"]) for r in fresh.collect()} == {(1, "title_phrase"), (2, "title_and_abstract_phrase")}
+
+
 def test_one_writer(spark, tmp_path):
     table = str(tmp_path / "table")
     with ingest.exclusive(spark, table):
