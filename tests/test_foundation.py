@@ -49,6 +49,23 @@ def test_near_names(spark, per_mille):
     assert got == want
 
 
+def test_near_names_of_any_length(spark):
+    """The threshold lets long names lack more pieces than two edits touch."""
+    rng = np.random.default_rng(2)
+    names = []
+    for n in (20, 45, 60, 61, 75, 120, 250):
+        base = "".join(rng.choice(list("abcdefghijklmnop"), n))
+        names += [base, base[:9] + "z" + base[10:], base[:9] + "z" + base[10:15] + base[16:], base + "zz", base[:14] + "zzz" + base[17:]]
+    got = {tuple(r) for r in resolution.near_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    want, some = set(), sorted(names)
+    for i, a in enumerate(some):
+        for b in some[i + 1 :]:
+            both, all_ = len(pieces(a) & pieces(b)), len(pieces(a) | pieces(b))
+            if 1000 * both >= 800 * all_ and edits(a, b) <= 2:
+                want.add((a, b, both, all_, edits(a, b)))
+    assert got == want and {len(a) for a, *_ in want} >= {60, 75, 120, 250}
+
+
 def test_few_numbered_names_meet_at_a_key(spark, monkeypatch):
     written = {}
     monkeypatch.setattr(resolution, "cut", lambda df, name: written.setdefault(name, df.cache()))
