@@ -17,15 +17,17 @@ when their distance is at most reach = sqrt(2 - 2 threshold).
    each pair of cells to the pairs of their children: a pair farther apart than
    both radii and the reach is pruned, one that links as a whole (distance and
    both radii below the reach) is counted by the cells' weights, the rest goes
-   on. Within a pair of chunks the same happens level by level, and leaves are
-   decided by the cosine in double precision on the original vectors.
+   on. Within a pair of chunks the same happens level by level, but for coarse
+   levels that are nearly as large as the finest; leaves are decided by the
+   cosine in double precision on the original vectors.
 
 Pairs never become rows: a task gives each vector its number of links and the
-smallest id it is connected with, and connected components follow. Chunk pairs
-come in tiles of TILE siblings a side, so that a chunk is sent once for TILE
-others. Vectors that lie in clusters meet only their cluster's neighbourhood.
-Where all vectors are far from each other no metric bound prunes, and the work
-is a matrix product for each pair of chunks.
+smallest id it is connected with, and connected components follow. Chunks
+travel in TILES tiles of neighbouring cells, more if a tile would hold over
+TILE_BYTES, so that each is sent as often as there are tiles, not chunks.
+Vectors that lie in clusters meet only their cluster's neighbourhood. Where all
+vectors are far from each other no metric bound prunes, and the work is one
+matrix product for each pair of chunks: it stays quadratic there.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing, and neither do vectors of different lengths. Rows with a null id
@@ -45,8 +47,11 @@ from pyspark.sql import functions as F
 from marquee.llm.shared import columns, components, cut, finite_vector, shuffle_parts, tagged
 
 THRESHOLD = 0.9
-CHUNK, FAN, CELL_SAMPLE, SALT, DEPTH, TILE = 2048, 32, 1024, 500_000, 11, 4
+CHUNK, FAN, CELL_SAMPLE, SALT, DEPTH, TILES, TILE_BYTES = 2048, 32, 1024, 500_000, 11, 16, 1 << 24
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: From this level on radii are so small that hardly any far pair stays.
+FINE = 4
+BLOCK = 512  # rows of a matrix product, which then fits the cache
 SLACK = 1e-3  # of distances in single precision
 
 
@@ -123,14 +128,36 @@ class Tree:
         parents.append(np.repeat(np.arange(len(groups)), [len(g) for g in groups]))
         self.order = np.array([g[0] for g in raw[-1]], np.int64)
         self.x32 = x32[self.order]
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
         self.levels = []
-        for groups, up in zip(raw, parents, strict=True):
+        for k, (groups, up) in enumerate(zip(raw, parents, strict=True)):
+            if k and len(groups) == len(raw[k - 1]):  # the level above: it is held once
+                same = self.levels[-1]
+                self.levels.append((*same[:4], same[4] if k > 1 and len(same[4]) == len(raw[k - 2]) else up.astype(np.int32)))
+                continue
             size = np.array([len(g) for g in groups])
-            end = np.cumsum(size)
+            end = np.cumsum(size).astype(np.int32)
             radius = np.array([d[g[0], g].max() for g in groups], np.float32)
-            self.levels.append((place[[g[0] for g in groups]], end - size, end, radius, up))
+            self.levels.append((place[[g[0] for g in groups]], (end - size).astype(np.int32), end, radius, up.astype(np.int32)))
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and of b, of norm 1 and with these radii, that are no farther
+    apart than both radii and the reach, and their distances. Each block of a
+    matrix product is passed over while it is in the cache, and most hold no
+    cosine that even the largest radii would let near."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for k in range(0, len(a), BLOCK):
+        g = a[k : k + BLOCK] @ b.T
+        least = 1 - (reach + SLACK + ra[k : k + BLOCK].max() + rb.max()) ** 2 / 2
+        if g.max() >= least:
+            at = np.flatnonzero(g >= least)
+            i, j = at // len(b), at % len(b)
+            d = np.sqrt(np.maximum(2 - 2 * g.ravel()[at], 0))
+            near = d - ra[k + i] - rb[j] <= reach + SLACK
+            found.append((k + i[near], j[near], d[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def traverse(a: Tree, b: Tree, reach: float) -> tuple[list[tuple], np.ndarray, np.ndarray]:
@@ -139,29 +166,26 @@ def traverse(a: Tree, b: Tree, reach: float) -> tuple[list[tuple], np.ndarray, n
 
     As long as most pairs of a level stay, all of the next level are taken as
     one matrix product; then pairs are listed and only their children looked
-    at."""
+    at. A level of large radii is passed over where it has about as many pairs
+    as there are vectors': its product would cost as much and prune less."""
     whole = []
     i = j = None
     last = len(a.levels) - 1
     for level in range(len(a.levels)):
         (ca, sa, ea, ra, _), (cb, sb, eb, rb, _) = a.levels[level], b.levels[level]
         if i is None:
-            g = a.x32[ca] @ b.x32[cb].T
-            # near where the distance is at most the reach and both radii
-            least = (ra + np.float32(reach + SLACK))[:, None] + rb[None, :]
-            least *= least
-            least *= -0.5
-            least += 1
-            at = np.flatnonzero(g >= least)
-            if len(at) > 0.25 * g.size and level < last:
+            size = len(ca) * len(cb)
+            if level < FINE and size * 16 > len(a.x32) * len(b.x32):
+                continue
+            i, j, d = near_pairs(a.x32[ca], b.x32[cb], ra, rb, reach)
+            if len(i) > 0.25 * size and level < last:
+                i = j = None
                 continue
-            i, j = at // len(cb), at % len(cb)
-            d = np.sqrt(np.maximum(2 - 2 * g.ravel()[at], 0))
         else:
             d = np.concatenate([np.zeros(0, np.float32), *[np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x32[ca[i[k : k + 65536]]], b.x32[cb[j[k : k + 65536]]]), 0)) for k in range(0, len(i), 65536)]])
             near = d - ra[i] - rb[j] <= reach + SLACK
             i, j, d = i[near], j[near], d[near]
-        if level == last:
+        if level == last or not len(i):
             break
         inside = d + ra[i] + rb[j] <= reach - SLACK
         if inside.any():
@@ -181,11 +205,11 @@ def link(a: dict, b: dict, same: bool, threshold: float) -> tuple[np.ndarray, np
     """Ids, weighted link counts and smallest connected ids of two chunks, or
     of one with itself."""
     reach = float(np.sqrt(2 - 2 * threshold))
-    xa, xb = unit(a["x"]), unit(b["x"])
-    ta, tb = a["tree"], b["tree"]
-    ta.x32, tb.x32 = xa.astype(np.float32), xb.astype(np.float32)
-    whole, pa_, pb_ = traverse(ta, tb, reach)
+    xa, xb = a["unit"], b["unit"]
+    whole, pa_, pb_ = traverse(a["tree"], b["tree"], reach)
     ia, ib, wa, wb = a["ids"], b["ids"], a["w"], b["w"]
+    if not whole and not len(pa_):
+        return ia[:0], wa[:0], ia[:0]
     exact = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", xa[pa_[k : k + 65536]], xb[pb_[k : k + 65536]]) for k in range(0, len(pa_), 65536)]]) >= threshold
     if same:
         exact &= pa_ != pb_
@@ -315,30 +339,48 @@ def chunk_row(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([key[2].as_py()], pa.int32()), pa.array([pickle.dumps(held)], pa.binary())], names=["dim", "cell", "part", "held"])
 
 
-def pair_rows(threshold: float):
-    """applyInArrow: the chunks of a pair of tiles and the pairs of them to
-    compare -> their links."""
+def unpacked(held: bytes) -> dict:
+    """A chunk with its vectors at norm 1, in double and in single precision."""
+    chunk = pickle.loads(held)
+    chunk["unit"] = unit(chunk.pop("x"))
+    chunk["tree"].x32 = chunk["unit"].astype(np.float32)
+    return chunk
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        packed = dict(zip(zip(rows.column("cell").to_pylist(), rows.column("part").to_pylist(), strict=True), rows.column("held").to_pylist(), strict=True))
-        sides: dict = {}
 
-        def side(name: tuple) -> dict | None:
-            if name not in sides:
-                sides[name] = pickle.loads(packed.pop(name)) if name in packed else None  # a chunk may be empty
-            return sides[name]
+def pair_rows(threshold: float):
+    """applyInArrow: the chunks of a pair of tiles and, in rows without a
+    chunk, the pairs of them to compare -> their links."""
 
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        chunk = {(c, p): unpacked(h) for c, p, h in zip(*[rows.column(k).to_pylist() for k in ("cell", "part", "held")], strict=True) if h is not None}
         found = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for p in rows.column("pairs")[0].as_py():
-            a, b = (p["a"], p["pa"]), (p["b"], p["pb"])
-            if side(a) is not None and side(b) is not None:
-                for held, new in zip(found, link(side(a), side(b), a == b, threshold), strict=True):
-                    held.append(new)
+        for pairs in rows.column("pairs").to_pylist():
+            for p in pairs or []:
+                a, b = (p["a"], p["pa"]), (p["b"], p["pb"])
+                if a in chunk and b in chunk:  # a chunk may be empty
+                    for held, new in zip(found, link(chunk[a], chunk[b], a == b, threshold), strict=True):
+                        held.append(new)
         return pa.table([pa.array(np.concatenate(x)) for x in found], names=["id", "n", "root"])
 
     return run
 
 
+def tiled(cells: DataFrame) -> DataFrame:
+    """(dim, cell, part, parts, tile) of the chunks: tiles of about equal size, in
+    the order that cells have in the tree, so that what is near shares a tile."""
+    starts = [(FAN**k - 1) // (FAN - 1) for k in range(DEPTH + 1)]  # the first cell of each depth
+    first = F.coalesce(*[F.when(F.col("cell") >= starts[k], F.col("cell") * FAN ** (DEPTH - k) + starts[DEPTH - k]) for k in range(DEPTH, -1, -1)])
+    order = Window.partitionBy("dim").orderBy(first)  # a row for a chunk or several, not for a vector
+    n, before = F.sum("n").over(Window.partitionBy("dim")), F.sum("n").over(order) - F.col("n")
+    tiles = F.greatest(F.lit(TILES), F.ceil(n * F.col("dim") * 4 / TILE_BYTES))
+    tiles = F.greatest(F.least(F.lit(TILES), F.ceil(n / (2 * CHUNK))), F.ceil(n * F.col("dim") * 4 / TILE_BYTES))
+    # a leaf above CHUNK, which only the last level can have, is dealt to parts
+    parts = F.ceil(F.col("n") / CHUNK)
+    leaf = cells.where("leaf").select("dim", "cell", "n", parts.cast("int").alias("parts"), before.alias("before"), (tiles / n).alias("each"))
+    leaf = leaf.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return leaf.select("dim", "cell", "part", "parts", F.floor((F.col("before") + F.col("part") * F.col("n") / F.col("parts")) * F.col("each")).alias("tile"))
+
+
 def upper_levels(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Splits ``vectors (x, id, w, dim)`` until cells are chunks: the vectors
     with their leaf ``cell``, the cells (dim, cell, n, radius, w, least, leaf)
@@ -425,25 +467,21 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     leaves, cells, kin = upper_levels(groups.select(F.col("x").cast(kind), "id", "w", "dim"))
     cells = cut(cells, "cells")
     pairs = cut(cell_pairs(cells, kin, reach), "pairs")
-    # a leaf above CHUNK, which only the last level can have, is dealt to parts
-    parts = cells.where("leaf").where(F.col("n") > CHUNK).select("dim", "cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-    chunks = leaves.join(parts, ["dim", "cell"], "left").select("id", "w", "x", "dim", "cell", part)
+    tiles = cut(tiled(cells), "tiles")
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    chunks = leaves.join(tiles.select("dim", "cell", "parts").distinct(), ["dim", "cell"]).select("id", "w", "x", "dim", "cell", part)
     chunks = cut(chunks.groupBy("dim", "cell", "part").applyInArrow(chunk_row, "dim int, cell long, part int, held binary"), "chunks")
-    numbers = lambda k: parts.select("dim", F.col("cell").alias(k), F.col("parts").alias(f"n{k}"))
-    met = pairs.where(F.col("state") == LEAF).join(numbers("a"), ["dim", "a"], "left").join(numbers("b"), ["dim", "b"], "left")
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
-    met = met.select("dim", "a", "b", "nb", upto("na").alias("pa")).select("dim", "a", "b", "pa", upto("nb").alias("pb")).where("a <> b or pa <= pb")
-    tile = lambda c: F.floor((F.col(c) - 1) / TILE)
-    place_a, place_b = F.struct(tile("a").alias("t"), F.col("pa").alias("p")), F.struct(tile("b").alias("t"), F.col("pb").alias("p"))
-    met = met.withColumn("i", F.least(place_a, place_b)).withColumn("j", F.greatest(place_a, place_b))
-    met = met.groupBy("dim", "i", "j").agg(F.collect_list(F.struct("a", "pa", "b", "pb")).alias("pairs"))  # TILE squared at most
-    sides = met.withColumn("tile", F.col("i")).union(met.where("i <> j").withColumn("tile", F.col("j")))
-    named = chunks.select(F.col("dim"), F.struct(tile("cell").alias("t"), F.col("part").alias("p")).alias("tile"), "cell", "part", "held")
-    put = sides.join(named, ["dim", "tile"]).select("dim", "i.t", "i.p", F.col("j.t").alias("t2"), F.col("j.p").alias("p2"), "pairs", "cell", "part", "held")
+    side = lambda k: tiles.select("dim", F.col("cell").alias(k), F.col("part").alias(f"p{k}"), F.col("tile").alias(f"t{k}"))
+    met = pairs.where(F.col("state") == LEAF).join(side("a"), ["dim", "a"]).join(side("b"), ["dim", "b"]).where("a <> b or pa <= pb")
+    met = cut(met.select("dim", F.least("ta", "tb").alias("i"), F.greatest("ta", "tb").alias("j"), "a", "pa", "b", "pb"), "met")
+    asked = met.groupBy("dim", "i", "j").agg(F.collect_list(F.struct("a", "pa", "b", "pb")).alias("pairs"))  # of two tiles' chunks
+    needed = met.select("dim", "i", "j", F.col("a").alias("cell"), F.col("pa").alias("part")).union(met.select("dim", "i", "j", "b", "pb")).distinct()
+    none = F.lit(None)
+    put = needed.join(chunks, ["dim", "cell", "part"]).select("dim", "i", "j", "cell", "part", "held", none.cast(asked.schema["pairs"].dataType).alias("pairs"))
+    put = put.union(asked.select("dim", "i", "j", none.cast("long"), none.cast("int"), none.cast("binary"), "pairs"))
     # a task for each pair of tiles or few of them: they are small to read and long to compare
-    tasks = min(10_000, max(1, met.count()))
-    found = put.repartition(tasks, "dim", "t", "p", "t2", "p2").groupBy("dim", "t", "p", "t2", "p2").applyInArrow(pair_rows(threshold), "id long, n long, root long")
+    tasks = min(10_000, max(1, 3 * asked.count()))
+    found = put.repartition(tasks, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(pair_rows(threshold), "id long, n long, root long")
     links = cut(found.union(whole_links(pairs.where(F.col("state") == WHOLE).select("dim", "a", "b"), cells, leaves)), "found")
     comps = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("id").agg(F.sum("n").alias("links"))

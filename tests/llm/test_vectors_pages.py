@@ -1,6 +1,7 @@
 """Operators on embeddings and pages against brute force, and corner cases."""
 
 import hashlib
+import pickle
 
 import numpy as np
 import pytest
@@ -82,6 +83,40 @@ def test_tree_levels_nest():
         assert (r <= radius + 1e-6).all() and ((s <= c) & (c < e)).all()
 
 
+def test_levels_that_do_not_differ_are_held_once():
+    """Vectors far from each other: a chunk's tree is small beside its vectors,
+    and their pairs are multiplied once, not once a level."""
+    x = cover_tree.unit(np.random.default_rng(0).normal(size=(400, 256)))
+    t, u = cover_tree.Tree(x[:200]), cover_tree.Tree(x[200:])
+    assert [len(level[0]) for level in t.levels] == [1] + [200] * 6
+    assert len(pickle.dumps(t.levels)) < 0.1 * 4 * x[:200].size
+    multiplied = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            multiplied.append(len(self) * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    t.x32 = t.x32.view(Counted)
+    assert cover_tree.traverse(t, u, 0.447)[0] == [] and max(multiplied) == 200 * 200 and sum(multiplied) < 1.1 * 200 * 200
+
+
+def test_chunks_travel_once_a_tile(spark, monkeypatch):
+    """As often as there are tiles, however many chunks they meet."""
+    written = {}
+    monkeypatch.setattr(cover_tree, "CHUNK", 16)
+    monkeypatch.setattr(cover_tree, "TILES", 3, raising=False)
+    cut = cover_tree.cut
+    monkeypatch.setattr(cover_tree, "cut", lambda df, name: written.setdefault(name, cut(df, name)) if name in ("chunks", "met") else cut(df, name))
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(rng.normal(size=(300, 16)))]
+    rows += [(1000 + k, [float(np.float32(x + 0.05)) for x in rows[k][1]]) for k in range(100)]
+    assert told(cover_tree.embedding_dedup(vectors_frame(spark, rows))) == link_brute(rows)
+    chunks, met = written["chunks"].count(), written["met"]
+    sent = met.selectExpr("i", "j", "a AS cell", "pa AS part").union(met.selectExpr("i", "j", "b", "pb")).distinct().count()
+    assert chunks > 20 and met.select("i", "j").distinct().count() == 6 and sent <= 3 * chunks
+
+
 def search_brute(rows, asked, k=10):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and valid(v) and len(v) == 64]
     ids, x = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
