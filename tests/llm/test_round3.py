@@ -267,6 +267,18 @@ def test_descent_makes_the_graph(spark):
     assert recall_of(nn_descent.neighbour_graph(nodes), x, 10) > 0.9
 
 
+def test_what_parts_tell_each_other_is_packed(spark, monkeypatch):
+    """A row for each pair of parts, not one for each node or link."""
+    written, cut = [], nn_descent.cut
+    monkeypatch.setattr(nn_descent, "cut", lambda df, name: written.append((name, cut(df, name))) or written[-1][1])
+    monkeypatch.setattr(nn_descent, "PART", 100, raising=False)
+    x = {i: v for i, v in enumerate(np.random.default_rng(5).normal(size=(900, 16)))}
+    graph = nn_descent.neighbour_graph(spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "id long, x array<double>"))
+    assert recall_of(graph, x, 10) > 0.9
+    rounds = [df.count() for name, df in written if name == "graph"][1:]  # without the first graph
+    assert rounds and max(rounds) <= 9 + 9 * 9
+
+
 def test_few_ids_of_many_vectors(spark):
     """More vectors of the nearest ids than a beam holds: the others are found
     all the same."""
